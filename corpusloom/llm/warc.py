@@ -57,11 +57,12 @@ def write_archive(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z
     other; of repeated rows one is the response. Line breaks are taken out of URIs. Other columns are ignored."""
     records = staged(_records(pages, date, least_revisit), "records")
     records.select("record_id", "digest", F.col("header").cast("binary"), F.col("http").cast("binary").alias("http")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/headers")
-    owners = records.filter("owner").select(F.col("page_id").alias("owner_id"), F.col("digest").alias("d"))
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page")  # not null: the join's partitioning then serves the next step
+    owners = records.filter("owner").select("digest", page)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    bytes_of = pages.select("page_id", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    own = bytes_of.join(owners, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("owner_id")), "left_semi")
-    own.dropDuplicates(["digest"]).select("digest", "payload").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
+    bytes_of = pages.select(page, payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    own = bytes_of.join(owners, ["digest", "page"], "left_semi")
+    own.dropDuplicates(["digest", "page"]).select("digest", "payload").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_archive(spark, path: str) -> DataFrame:
