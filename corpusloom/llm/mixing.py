@@ -121,7 +121,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = placed.join(shards.select(F.col("source").alias("s"), F.col("shard").alias("h"), "words", "n"), F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")), "left").drop("s", "h")
     # blocks that a document can touch: b*words div n <= x is b <= ((x + 1) * n - 1) div words
     touched = sized.withColumn("b", F.explode_outer(F.when((F.col("size") > 0) & (F.col("words") > 0), F.expr("sequence(((start + 1) * n - 1) div words, (stop * n - 1) div words)"))))
-    c = chosen.withColumnRenamed("b", "c")
+    c = chosen.withColumnRenamed("b", "c").hint("merge")  # rows grow in the explode, unseen by size estimates: never broadcast
     met = touched.join(c, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")) & (F.col("b") == F.col("c")), "left")
     overlap = F.coalesce((F.least("stop", "b_stop") - F.greatest("start", "b_start")) * F.col("times"), F.lit(0))
     out = met.groupBy("id", "source", "shard", "row", "size", "source_size", "target").agg(F.sum(overlap).cast("long").alias("taken"))
