@@ -94,10 +94,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return done.unionByName(long)
 
 
-def _collisions(docs: DataFrame, slim: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _collisions(docs: DataFrame, slim: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(fp, n_bytes) of groups whose texts differ in some chunk."""
-    groups = slim.groupBy("fp", "n_bytes").agg(F.sum("n").alias("rows")).filter("rows > 1")
-    ids = staged(slim.join(groups, ["fp", "n_bytes"], "left_semi").select("id").distinct(), "candidates")
+    ids = staged(slim.join(groups.filter("group_size > 1"), ["fp", "n_bytes"], "left_semi").select("id").distinct(), "candidates")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(ids, rows["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
@@ -124,13 +123,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is kept. Very long texts are hashed in chunks over many tasks."""
     prints = fingerprints(docs, id_col, text_col, chunk_bytes)
     slim = staged(prints.groupBy("id", "fp", "n_bytes", "sha256").agg(F.count("*").alias("n")), "fingerprints")
-    differ = staged(_collisions(docs, slim, id_col, text_col), "collisions")
-    slim = slim.withColumn("apart", F.lit(""))
+
+    def grouped(*key: str) -> DataFrame:
+        # staged, so that a join reads it like any table and can split a large group
+        return staged(slim.groupBy(*key).agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
+
+    key = ["fp", "n_bytes"]
+    groups = grouped(*key)
+    differ = staged(_collisions(docs, slim, groups, id_col, text_col), "collisions")
     if not differ.isEmpty():  # texts of one fingerprint that differ are told apart by their digests as well
         differ = differ.withColumn("hit", F.lit(True))
-        slim = slim.join(differ, ["fp", "n_bytes"], "left").withColumn("apart", F.when("hit", F.col("sha256")).otherwise("")).drop("hit")
-    key = ["fp", "n_bytes", "apart"]
-    groups = slim.groupBy(*key).agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
+        slim = slim.join(differ, key, "left").withColumn("apart", F.when("hit", F.col("sha256")).otherwise("")).drop("hit")
+        key = [*key, "apart"]
+        groups = grouped(*key)
     rows = slim.join(groups, key).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return rows.select("id", "keep_id", "group_size", ((F.col("i") == 1) & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), "sha256")
 
