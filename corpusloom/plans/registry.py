@@ -1,6 +1,27 @@
-"""All queries and their SQL."""
+"""All queries and their SQL; importing a module of queries registers them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the DuckDB SQL for its rows if there is any."""
+
+    def register(run: Query) -> Query:
+        QUERIES[run.__name__] = run
+        if sql:
+            ORACLES[run.__name__] = sql
+        return run
+
+    return register
+
+
+def load_all() -> None:
+    from . import batches, checks, codec, corpus, coverage, packing, rewards, runs  # noqa: F401
