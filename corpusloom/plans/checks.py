@@ -1 +1,41 @@
-"""Queries."""
+"""Queries over check matrices."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import checks as op
+from .registry import query
+from .views import CHECK_SQL, check_matrix
+
+CHECKS = ["good", "clean", "english", "long_enough"]
+_SUM = " + ".join(f"CAST({c} AS INT)" for c in CHECKS)
+_AVG = ", ".join(f"round(avg(CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS {c}" for c in CHECKS)
+_PASS = f"CASE WHEN {_SUM} = 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+@query(f"WITH {CHECK_SQL} SELECT conf, ({_SUM}) / 4.0::DOUBLE AS fraction, {_SUM} = 4 AS passed FROM v_check")
+def pass_fraction(spark, sf_dir):
+    return check_matrix(spark, sf_dir).select("conf", op.fraction(CHECKS).alias("fraction"), op.passed(CHECKS).alias("passed"))
+
+
+@query(f"WITH {CHECK_SQL} SELECT CASE WHEN grouping(key) = 1 THEN 'ALL' ELSE key END AS key, {_AVG}, round(100 * avg({_PASS}), 6) AS pass_percentage, count(*) AS n, coalesce(string_agg(DISTINCT error, ';' ORDER BY error), '') AS errors FROM v_check GROUP BY GROUPING SETS ((key), ())")
+def pass_rates(spark, sf_dir):
+    return op.pass_rates(check_matrix(spark, sf_dir), "key", CHECKS)
+
+
+@query(f"WITH {CHECK_SQL}, k AS (SELECT key, {', '.join(f'avg(CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS {c}' for c in CHECKS)}, avg({_PASS}) AS p FROM v_check WHERE error IS NULL GROUP BY key) SELECT {', '.join(f'round(avg({c}), 6) AS {c}' for c in CHECKS)}, round(100 * avg(p), 6) AS pass_percentage, count(*) AS n_keys FROM k")
+def pass_rates_macro(spark, sf_dir):
+    return op.pass_rates_macro(check_matrix(spark, sf_dir), "key", CHECKS)
+
+
+@query(f"WITH {CHECK_SQL} SELECT key, round(100 * avg({_PASS}), 6) AS pass_percentage FROM v_check GROUP BY key HAVING round(100 * avg({_PASS}), 6) < 18")
+def failed_keys(spark, sf_dir):
+    return op.pass_rates(check_matrix(spark, sf_dir), "key", CHECKS).filter("key <> 'ALL' and pass_percentage < 18").select("key", "pass_percentage")
+
+
+@query(f"WITH {CHECK_SQL}, m AS (SELECT unnest(['off', 'basic', 'geometry', 'full']) AS mode) SELECT mode, count(*) AS checked, count(*) FILTER (WHERE CASE mode WHEN 'off' THEN true WHEN 'basic' THEN good WHEN 'geometry' THEN good AND clean ELSE good AND clean AND english AND long_enough END) AS passed FROM v_check, m GROUP BY mode")
+def check_gate(spark, sf_dir):
+    gates = F.array(*(F.struct(F.lit(m).alias("mode"), op.gate(CHECKS, m)[0].alias("ok")) for m in ("off", "basic", "geometry", "full")))
+    rows = check_matrix(spark, sf_dir).select(F.inline(gates))
+    return rows.groupBy("mode").agg(F.count("*").alias("checked"), F.count_if("ok").alias("passed"))

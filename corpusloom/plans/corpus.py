@@ -114,12 +114,12 @@ def order_by_length(spark, sf_dir):
 _KEYS = "k AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'none/' || page_id ELSE url END AS url FROM pages), t AS (SELECT CASE WHEN page_id % 2 = 0 THEN url ELSE replace(url, '/', '_') END AS name, min(page_id) AS target FROM pages GROUP BY 1)"
 
 
-@query(f"WITH {_KEYS} SELECT k.url, coalesce(min(a.target), min(b.target)) AS target FROM k LEFT JOIN t a ON k.url = a.name LEFT JOIN t b ON replace(k.url, '/', '_') = b.name GROUP BY k.url")
+@query(f"WITH {_KEYS} SELECT k.url, coalesce(min(a.target), min(b.target), -1) AS target FROM k LEFT JOIN t a ON k.url = a.name LEFT JOIN t b ON replace(k.url, '/', '_') = b.name GROUP BY k.url")
 def fallback_lookup(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     keys = pages.select(F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("none/"), "page_id")).otherwise(F.col("url")).alias("url")).distinct()
     names = pages.groupBy(F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.translate("url", "/", "_")).alias("name")).agg(F.min("page_id").alias("target"))
-    return op.fallback_lookup(keys, names, "url", "name", "target")
+    return op.fallback_lookup(keys, names, "url", "name", "target").fillna(-1, ["target"])
 
 
 @query("SELECT doc_id, nullif(trim(CASE WHEN l.quality = 0 THEN ' ' ELSE 'fixed-' || d.source END), '') AS corrected FROM documents d LEFT JOIN labels l USING (doc_id)")

@@ -1 +1,148 @@
-"""Queries."""
+"""Queries over rollouts and rewards."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..functions.geometry import null_if_nan
+from ..operators import coverage, rewards
+from ..session import table
+from .registry import query
+from .views import PAIRS_SQL, ROLLOUT_SQL, SCALE, rollouts, true_and_generated
+
+P = rewards.Params(w_match=0.0)
+PM = rewards.Params()
+
+
+def _setup(spark, sf_dir):
+    """Pairs (every 13th rollout's distances are NaN) and rollouts with their gates."""
+    true, gen = true_and_generated(spark, sf_dir)
+    pairs = coverage.pair_distances(true, gen, SCALE)
+    pairs = pairs.withColumn("r", null_if_nan(F.when(F.col("j") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("r"))))
+    runs = gen.select("key", F.col("conf_id").alias("j"), (F.col("conf_id") % 7 != 0).alias("graph"), (F.col("conf_id") % 11 != 0).alias("parsed"))
+    return pairs, runs.withColumn("valid", F.col("graph") & F.col("parsed"))
+
+
+_SIG = lambda x: f"(1 / (1 + exp(-({x}))))"
+_R = f"""{PAIRS_SQL}, d AS (SELECT key, i, j, CASE WHEN j % 13 = 0 THEN NULL ELSE r END AS r FROM pairs),
+ro AS (SELECT key, conf_id AS j, conf_id % 7 <> 0 AS graph, conf_id % 11 <> 0 AS parsed, conf_id % 7 <> 0 AND conf_id % 11 <> 0 AS valid FROM v_gen),
+dv AS (SELECT d.* FROM d JOIN ro USING (key, j) WHERE valid),
+kk AS (SELECT *, CASE WHEN r IS NULL THEN 0.0::DOUBLE ELSE {_SIG('(0.75 - r) / 0.75')} END AS k FROM dv),
+mg AS (SELECT *, k * exp(sum(ln(1 - k)) OVER (PARTITION BY key, i) - ln(1 - k)) * (1 + 0.2 * coalesce(greatest(0.0, least(1.0, 1 - r / 0.75)), 0.0)) AS marginal FROM kk),
+ea AS (SELECT key, j, min(r) AS d_min, arg_min(i, r) AS best_i, avg(marginal) AS cover FROM mg GROUP BY key, j),
+rw AS (SELECT key, j, graph, parsed, valid, d_min, best_i, CASE WHEN d_min IS NULL THEN 0.0::DOUBLE ELSE exp(-d_min / 0.25) END AS r_qual,
+  CASE WHEN valid AND d_min IS NOT NULL THEN cover + 0.1 * {_SIG('(0.75 - d_min) / 0.75')} ELSE 0.0::DOUBLE END AS r_smcov FROM ro LEFT JOIN ea USING (key, j)),
+rr AS (SELECT *, CASE WHEN valid AND d_min IS NOT NULL THEN r_qual + r_smcov ELSE -1.0::DOUBLE END AS reward FROM rw)"""
+
+
+def _rounded(df, *cols):
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+@query(f"WITH {_R} SELECT key, j, round(d_min, 6) AS d_min, round(r_qual, 6) AS r_qual FROM rr")
+def quality_reward(spark, sf_dir):
+    return _rounded(rewards.rollout_rewards(*_setup(spark, sf_dir), P).select("key", "j", "d_min", "r_qual"), "d_min", "r_qual")
+
+
+@query(f"WITH {_R} SELECT key, j, round(r_smcov, 6) AS r_smcov FROM rr")
+def smooth_coverage(spark, sf_dir):
+    return _rounded(rewards.rollout_rewards(*_setup(spark, sf_dir), P).select("key", "j", "r_smcov"), "r_smcov")
+
+
+@query(f"WITH {_R} SELECT key, j, valid, coalesce(best_i, -1) AS best_i, round(reward, 6) AS reward FROM rr")
+def combine_reward(spark, sf_dir):
+    return _rounded(rewards.rollout_rewards(*_setup(spark, sf_dir), P).select("key", "j", "valid", F.coalesce("best_i", F.lit(-1)).alias("best_i"), "reward"), "reward")
+
+
+@query()
+def assignment(spark, sf_dir):
+    """Rewards with the matching term; tests hold the matching against brute force."""
+    pairs, runs = _setup(spark, sf_dir)
+    matched = rewards.assign(pairs.join(runs.filter("valid").select("key", "j"), ["key", "j"]), PM.delta)
+    return _rounded(rewards.rollout_rewards(pairs, runs, PM, matched).select("key", "j", "r_match", "reward"), "r_match", "reward")
+
+
+_RANK = lambda c: f"rank() OVER (PARTITION BY key ORDER BY round({c}, 9)) + (count(*) OVER (PARTITION BY key, round({c}, 9)) - 1) / 2.0"
+_RHO = f"rk AS (SELECT key, CAST({_RANK('r_smcov')} AS DOUBLE) AS a, CAST({_RANK('reward')} AS DOUBLE) AS b FROM rr WHERE valid), rho AS (SELECT key, CASE WHEN count(*) >= 2 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END AS rho FROM rk GROUP BY key)"
+
+
+@query(f"WITH {_R}, {_RHO} SELECT key, round(rho, 6) AS rho FROM rho")
+def spearman(spark, sf_dir):
+    r = rewards.rollout_rewards(*_setup(spark, sf_dir), P).filter("valid")
+    return _rounded(rewards.spearman(r.select("key", "r_smcov", "reward"), ["key"], "r_smcov", "reward"), "rho")
+
+
+_G = f"""{_R}, {_RHO}, nn AS (SELECT *, row_number() OVER (PARTITION BY key, i ORDER BY r NULLS LAST, j) AS n FROM kk),
+rf AS (SELECT key, i, min(r) AS d1, min(r) FILTER (WHERE n = 2) AS d2, 1 - exp(sum(ln(1 - k))) AS soft, count(*) FILTER (WHERE r < 0.75) AS edges FROM nn GROUP BY key, i),
+pr AS (SELECT key, count(*) FILTER (WHERE d1 < 0.75) AS refs_hit, avg(CASE WHEN d1 < 0.75 THEN 1.0::DOUBLE ELSE 0.0 END) AS cov_ratio, avg(CASE WHEN d1 < 0.75 AND coalesce(d2 >= 0.75, true) THEN 1.0::DOUBLE ELSE 0.0 END) AS unique_cover_ratio,
+ avg(soft) AS soft_cov, avg(CASE WHEN soft > 0.1 THEN 1.0::DOUBLE ELSE 0.0 END) AS soft_gt_01, avg(CASE WHEN soft > 0.5 THEN 1.0::DOUBLE ELSE 0.0 END) AS soft_gt_05, sum(edges) AS edges FROM rf GROUP BY key),
+pg AS (SELECT key, count(*) AS k, count(*) FILTER (WHERE graph) AS n_graph, count(*) FILTER (WHERE parsed) AS n_parsed, count(*) FILTER (WHERE valid) AS n_valid, count(DISTINCT best_i) FILTER (WHERE valid AND d_min IS NOT NULL) AS unique_nearest, count(*) FILTER (WHERE valid AND d_min IS NOT NULL) AS n_near,
+ stddev_pop(r_qual) FILTER (WHERE valid) AS std_qual, stddev_pop(r_smcov) FILTER (WHERE valid) AS std_smcov, stddev_pop(reward) FILTER (WHERE valid) AS std_reward FROM rr GROUP BY key),
+mm AS (SELECT key, count(DISTINCT i) AS m FROM d GROUP BY key),
+g AS (SELECT pg.*, m, coalesce(refs_hit, 0) AS refs_hit, coalesce(cov_ratio, 0) AS cov_ratio, cov_ratio AS cover_ratio, unique_cover_ratio, soft_cov, soft_gt_01, soft_gt_05, edges, rho, CASE WHEN n_near > 0 THEN greatest(0.0, 1 - unique_nearest / n_near) ELSE 0.0 END AS collision FROM pg LEFT JOIN mm USING (key) LEFT JOIN pr USING (key) LEFT JOIN rho USING (key)),
+ga AS (SELECT sum(n_graph) / sum(k) AS graph_match_rate, sum(n_parsed) / sum(k) AS parse_rate, sum(n_valid) / sum(k) AS valid_rate, avg(refs_hit) AS refs_hit_mean, median(refs_hit) AS refs_hit_p50, avg(cov_ratio) AS cov_ratio_mean, avg(unique_nearest) AS unique_nearest_mean, avg(collision) AS collision_mean, avg(n_valid) AS valid_mean, avg(cover_ratio) AS cover_ratio_mean, avg(unique_cover_ratio) AS unique_cover_ratio_mean, sum(edges) / sum(k * m) AS edge_density, avg(soft_cov) AS soft_cov_mean, avg(soft_gt_01) AS soft_gt_01, avg(soft_gt_05) AS soft_gt_05, coalesce(corr(refs_hit, soft_cov), 0) AS soft_refs_corr, avg(std_qual) AS qual_group_std, avg(std_smcov) AS smcov_group_std, avg(std_reward) AS group_std, avg(rho) AS rank_corr_mean FROM g),
+ra AS (SELECT avg(d_min) AS d_min_mean, median(d_min) AS d_min_p50, quantile_cont(d_min, 0.9) AS d_min_p90, avg(CASE WHEN d_min < 0.75 THEN 1.0::DOUBLE WHEN d_min IS NULL THEN NULL ELSE 0.0 END) AS under_delta, avg(CASE WHEN d_min < 1.5 THEN 1.0::DOUBLE WHEN d_min IS NULL THEN NULL ELSE 0.0 END) AS under_2delta, avg(reward) AS total_mean, stddev_pop(reward) AS total_std, avg(r_qual) AS comp_qual_mean, avg(r_smcov) AS comp_smcov_mean, stddev_pop(r_qual) AS comp_qual_std, stddev_pop(r_smcov) AS comp_smcov_std FROM rr WHERE valid)"""
+_METRICS = "graph_match_rate parse_rate valid_rate refs_hit_mean refs_hit_p50 cov_ratio_mean unique_nearest_mean collision_mean valid_mean cover_ratio_mean unique_cover_ratio_mean edge_density soft_cov_mean soft_gt_01 soft_gt_05 soft_refs_corr qual_group_std smcov_group_std group_std rank_corr_mean d_min_mean d_min_p50 d_min_p90 under_delta under_2delta total_mean total_std comp_qual_mean comp_smcov_mean comp_qual_std comp_smcov_std".split()
+
+
+@query(f"WITH {_G} SELECT {', '.join(f'round({c}, 6) AS {c}' for c in _METRICS)}, round(comp_smcov_mean / (total_mean + 1e-8), 6) AS smcov_frac FROM ga, ra")
+def batch_metrics(spark, sf_dir):
+    pairs, runs = _setup(spark, sf_dir)
+    r = rewards.rollout_rewards(pairs, runs, P)
+    out = rewards.batch_metrics(rewards.group_metrics(pairs, r, P), r, P)
+    return _rounded(out, *out.columns)
+
+
+@query()
+def match_metrics(spark, sf_dir):
+    pairs, runs = _setup(spark, sf_dir)
+    matched = rewards.assign(pairs.join(runs.filter("valid").select("key", "j"), ["key", "j"]), PM.delta)
+    r = rewards.rollout_rewards(pairs, runs, PM, matched)
+    return rewards.match_metrics(matched, rewards.group_metrics(pairs, r, PM))
+
+
+_BLOCK = "regexp_extract(completion, '(?s)\\[CONFORMER\\](.*?)\\[/CONFORMER\\]', 1)"
+_CANON = "regexp_extract(prompt, '(?s)\\[SMILES\\](.*?)\\[/SMILES\\]', 1)"
+_GATES = f"{ROLLOUT_SQL}, gt AS (SELECT group_id, pos, {_CANON} AS canonical, {_BLOCK} AS block, completion FROM v_rollout)"
+
+
+def _gates(spark, sf_dir):
+    r = rollouts(spark, sf_dir)
+    return r.select("group_id", "pos", text.extract_between(F.col("prompt"), *text.SMILES).alias("canonical"), text.extract_between(F.col("completion"), *text.CONFORMER).alias("block"), "completion")
+
+
+@query(f"WITH {_GATES} SELECT group_id, pos, block <> '' AS parsed, block <> '' AND substr(block, 1, 20) = canonical AS graph FROM gt")
+def gates(spark, sf_dir):
+    parsed = F.col("block") != ""
+    return _gates(spark, sf_dir).select("group_id", "pos", parsed.alias("parsed"), (parsed & (F.substring("block", 1, 20) == F.col("canonical"))).alias("graph"))
+
+
+@query(f"WITH {_GATES}, f AS (SELECT CASE WHEN NOT contains(completion, '[/CONFORMER]') THEN 'no_closing_tag' WHEN trim(block) = '' THEN 'empty_conformer' WHEN length(block) < 20 THEN 'parsing_error' WHEN substr(block, 1, 20) <> canonical THEN 'smiles_mismatch' WHEN length(block) % 17 = 0 THEN 'rmsd_nan' ELSE 'ok' END AS failure FROM gt) SELECT failure, count(*) AS n FROM f GROUP BY failure")
+def failure_taxonomy(spark, sf_dir):
+    """The first failure that applies: unclosed, empty, unparsable, another graph, no distance."""
+    block = F.col("block")
+    failure = F.when(~F.contains("completion", F.lit("[/CONFORMER]")), "no_closing_tag").when(F.trim(block) == "", "empty_conformer").when(F.length(block) < 20, "parsing_error").when(F.substring(block, 1, 20) != F.col("canonical"), "smiles_mismatch").when(F.length(block) % 17 == 0, "rmsd_nan").otherwise("ok")
+    return _gates(spark, sf_dir).groupBy(failure.alias("failure")).agg(F.count("*").alias("n"))
+
+
+@query("WITH g AS (SELECT role, substr(text, 1, 10) AS canonical, conv_id * 1000 + turn AS pos FROM conversations) SELECT role, canonical, min(pos) AS first_pos, count(*) AS k, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS members FROM g GROUP BY role, canonical")
+def rollout_group(spark, sf_dir):
+    """Groups of a flat batch with their members' positions, by which rewards are written back."""
+    g = table(spark, sf_dir, "conversations").select("role", F.substring("text", 1, 10).alias("canonical"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"))
+    return g.groupBy("role", "canonical").agg(F.min("pos").alias("first_pos"), F.count("*").alias("k"), F.array_join(F.array_sort(F.collect_list("pos")).cast("array<string>"), ",").alias("members"))
+
+
+_LEGACY = f"""{PAIRS_SQL}, n AS (SELECT key, j, min(CASE WHEN j % 13 = 0 THEN NULL ELSE r END) AS d_min FROM pairs GROUP BY key, j),
+l AS (SELECT key, j, d_min, CASE WHEN j % 19 = 0 THEN 'ground_truth' WHEN j % 17 = 0 THEN 'missing_conformer' WHEN j % 7 = 0 THEN 'graph_mismatch' WHEN d_min IS NULL THEN 'rmsd_nan' END AS failure, CASE WHEN j % 7 = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS m FROM n)"""
+
+
+@query(f"WITH {_LEGACY}, w AS (SELECT *, CASE WHEN failure IN ('ground_truth', 'missing_conformer') THEN 0.0::DOUBLE ELSE 0.5 * CASE WHEN d_min IS NULL THEN 0.0::DOUBLE ELSE 1 / (1 + d_min / 1.25) END + 0.5 * m END AS reward FROM l) SELECT coalesce(failure, 'none') AS failure, count(*) AS n, round(avg(reward), 6) AS mean, round(stddev_pop(reward), 6) AS std FROM w GROUP BY 1")
+def legacy_reward(spark, sf_dir):
+    pairs, _ = _setup(spark, sf_dir)
+    j = F.col("j")
+    low = pairs.groupBy("key", "j").agg(F.min("r").alias("d_min"))
+    match = F.when(j % 7 == 0, 0.5).otherwise(1.0)
+    reward, failure = rewards.legacy_reward(F.col("d_min"), match, j % 19 != 0, j % 17 != 0, j % 7 != 0)
+    rows = low.select(reward.alias("reward"), F.coalesce(failure, F.lit("none")).alias("failure"))
+    return rows.groupBy("failure").agg(F.count("*").alias("n"), F.round(F.avg("reward"), 6).alias("mean"), F.round(F.stddev_pop("reward"), 6).alias("std"))
