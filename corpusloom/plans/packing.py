@@ -1 +1,96 @@
-"""Queries."""
+"""Queries over packed samples."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import packing as op
+from .registry import query
+from .views import CORPUS_SQL, corpus
+
+SEQ = 2048
+_UNITS = f"{CORPUS_SQL}, u AS (SELECT conf, '[SMILES]' || canonical || '[/SMILES][CONFORMER]' || embedded || '[/CONFORMER]' AS unit FROM v_mol WHERE length(canonical) > 0 AND length(embedded) >= 16), n AS (SELECT conf, unit, least(length(unit), {SEQ - 1}) AS n_tokens FROM u)"
+
+
+def _units(spark, sf_dir):
+    m = corpus(spark, sf_dir)
+    m = m.filter(text.unit_validity(F.col("canonical"), F.col("embedded")))  # the cheap test first
+    return m.select("conf", text.build_unit(F.col("canonical"), F.col("embedded")).alias("unit"))
+
+
+def _sizes(spark, sf_dir):
+    return _units(spark, sf_dir).select("conf", F.least(F.length("unit"), F.lit(SEQ - 1)).cast("long").alias("n_tokens"))
+
+
+@query(f"WITH {_UNITS} SELECT conf, CAST(n_tokens AS INT) AS n_tokens, CAST(list_sum(list_transform(range(1, n_tokens + 1), lambda i: ord(substr(unit, i, 1)))) AS BIGINT) AS code_sum FROM n")
+def unit_tokens(spark, sf_dir):
+    t = op.truncated(op.char_tokens(F.col("unit")), SEQ)
+    return _units(spark, sf_dir).select("conf", t.alias("t")).select("conf", F.size("t").alias("n_tokens"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x).alias("code_sum"))
+
+
+_TOK = "list_transform(range(1, least(length(canonical), 12 + conf % 8) + 1), lambda i: ord(substr(canonical, i, 1)))"
+
+
+@query(f"WITH {CORPUS_SQL}, t AS (SELECT conf, {_TOK} AS t FROM v_mol), s AS (SELECT conf, len(t) AS n, list_concat(t, list_transform(range(0, 16 - len(t)), lambda i: 0)) AS s FROM (SELECT conf, t[1:15] AS t FROM t)) SELECT conf, array_to_string(s, ' ') AS sample, array_to_string(list_transform(range(1, 17), lambda i: CASE WHEN i >= n + 1 OR i = 16 THEN -100 ELSE s[i + 1] END), ' ') AS labels FROM s")
+def label_shift(spark, sf_dir):
+    """Samples of 16 with labels: a unit, its separator and padding."""
+    m = corpus(spark, sf_dir)
+    t = op.truncated(op.char_tokens(F.substring("canonical", F.lit(1), (F.lit(12) + F.col("conf") % 8).cast("int"))), 16)
+    s = m.select("conf", t.alias("t")).select("conf", F.size("t").alias("n"), op.finalize(F.col("t"), 16, 0).alias("s"))
+    show = lambda a: F.array_join(a.cast("array<string>"), " ")
+    return s.select("conf", show(F.col("s")).alias("sample"), show(op.labels(F.col("s"), F.col("n") + 1)).alias("labels"))
+
+
+_LAID = f"{_UNITS}, l AS (SELECT conf, n_tokens, sum(n_tokens) OVER (ORDER BY conf) AS stop FROM n), c AS (SELECT conf, n_tokens, stop - n_tokens AS start, stop, unnest(range(CAST((stop - n_tokens) // {SEQ + 1} AS BIGINT), CAST((stop - 1) // {SEQ + 1} + 1 AS BIGINT))) AS block FROM l)"
+_PIECES = f"{_LAID}, p AS (SELECT block, conf, CAST(greatest(start, block * {SEQ + 1}) - start AS BIGINT) AS \"from\", CAST(least(stop, (block + 1) * {SEQ + 1}) - start AS BIGINT) AS \"to\" FROM c)"
+
+
+@query(f'WITH {_PIECES} SELECT block, conf, "from", "to" FROM p')
+def pack_chunk(spark, sf_dir):
+    return op.pack_chunks(_sizes(spark, sf_dir), ["conf"], SEQ)
+
+
+@query(f'WITH {_PIECES}, b AS (SELECT block, count(*) AS items, sum("to" - "from") AS used FROM p GROUP BY block) SELECT count(*) AS samples, CAST(sum(items) AS BIGINT) AS items, CAST(sum(used) AS BIGINT) AS tokens, CAST(count(*) * {SEQ + 1} - sum(used) AS BIGINT) AS padding, round(sum(used) / (count(*) * {SEQ + 1}), 6) AS utilization FROM b')
+def token_accounting(spark, sf_dir):
+    p = op.pack_chunks(_sizes(spark, sf_dir), ["conf"], SEQ)
+    bins = p.groupBy("block").agg(F.collect_list("conf").alias("units"), F.sum(F.col("to") - F.col("from")).alias("used"))
+    return op.accounts(bins, SEQ + 1)
+
+
+@query(f"WITH {_UNITS}, s AS (SELECT count(*) AS sampled, count(*) FILTER (WHERE length(embedded) >= 400) AS valid, CAST(sum(CASE WHEN length(embedded) >= 400 THEN least(length(embedded), {SEQ - 1}) + 1 END) AS BIGINT) AS size FROM v_mol WHERE conf % 10 = 0), a AS (SELECT count(*) AS lines FROM v_mol), e AS (SELECT valid / sampled AS valid_ratio, CAST(floor(lines * (valid / sampled)) AS BIGINT) AS valid_lines, {SEQ} / (size / valid) AS per_sample FROM s, a) SELECT round(valid_ratio, 6) AS valid_ratio, valid_lines, CAST(floor(valid_lines / per_sample) AS BIGINT) AS samples, CAST(ceil(floor(valid_lines / per_sample) / 48) AS BIGINT) AS batches, CAST(floor(valid_lines / per_sample) * {SEQ} AS BIGINT) AS tokens FROM e")
+def token_extrapolation(spark, sf_dir):
+    """From every tenth line to all lines: an estimate is the feature here."""
+    m = corpus(spark, sf_dir)
+    n = F.length("embedded")
+    s = m.filter("conf % 10 = 0").agg(F.count("*").alias("sampled"), F.count_if(n >= 400).alias("valid"), F.sum(F.when(n >= 400, F.least(n, F.lit(SEQ - 1)) + 1)).alias("size")).first()
+    out = op.extrapolate(s["sampled"], s["valid"], m.count(), SEQ / (s["size"] / s["valid"]), 48, SEQ)
+    return spark.createDataFrame([(round(out["valid_ratio"], 6), out["valid_lines"], out["samples"], out["batches"], out["tokens"])], "valid_ratio double, valid_lines long, samples long, batches long, tokens long")
+
+
+@query()
+def pack_bestfit(spark, sf_dir):
+    return op.pack_best_fit(_sizes(spark, sf_dir), "conf", "conf", SEQ, shards=16).withColumn("padding", F.lit(SEQ) - F.col("used"))
+
+
+@query(f"WITH {_UNITS} SELECT count(*) AS units, CAST(sum(n_tokens + 1) AS BIGINT) AS tokens, CAST(sum(conf) AS BIGINT) AS id_sum FROM n")
+def pack_conservation(spark, sf_dir):
+    """Units and tokens after packing; the SQL counts those before."""
+    bins = op.pack_best_fit(_sizes(spark, sf_dir), "conf", "conf", SEQ, shards=16)
+    return bins.agg(F.sum(F.size("units")).alias("units"), F.sum("used").alias("tokens"), F.sum(F.aggregate("units", F.lit(0).cast("long"), lambda a, x: a + x)).alias("id_sum"))
+
+
+@query()
+def stream_pack(spark, sf_dir):
+    """The same units packed by a stateful stream that is read to its end (tests: none lost, none twice)."""
+    from ..streaming.pack import pack_stream
+
+    return pack_stream(_sizes(spark, sf_dir).select(F.col("conf").alias("unit"), "n_tokens"), SEQ, shards=8)
+
+
+@query("SELECT time_bucket(INTERVAL 1 day, ts) AS day, event_type, count(*) AS n, round(avg(CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS rate FROM events GROUP BY 1, 2")
+def stream_rates(spark, sf_dir):
+    """Daily rates over a watermarked stream, read to its end: what the batch query gives."""
+    from ..streaming.rates import daily_rates
+
+    return daily_rates(spark, f"{sf_dir}/events.parquet")

@@ -1 +1,51 @@
-"""Queries."""
+"""Queries over run statistics, schedules and grids."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import runs as op
+from ..session import table
+from .registry import query
+
+_K = "CAST(json_extract(props, '$.k') AS BIGINT)"
+
+
+@query(f"""WITH p AS (SELECT user_id % 8 AS pid, event_type, count(*) AS processed, count(*) FILTER (WHERE value >= 20) AS successful, count(*) FILTER (WHERE value < 20) AS failed, count(*) FILTER (WHERE value >= 20) AS rmsd_count, avg(value) FILTER (WHERE value >= 20) AS rmsd_mean, count({_K}) AS score_count, avg({_K}) AS score_mean FROM events GROUP BY 1, 2)
+SELECT event_type, CAST(sum(processed) AS BIGINT) AS processed, CAST(sum(successful) AS BIGINT) AS successful, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(rmsd_count) AS BIGINT) AS rmsd_count, CAST(sum(score_count) AS BIGINT) AS score_count,
+round(coalesce(sum(rmsd_mean * rmsd_count) / sum(rmsd_count), 0), 6) AS rmsd_mean, round(coalesce(sum(score_mean * score_count) / sum(score_count), 0), 6) AS score_mean, round(sum(successful) / sum(processed), 6) AS success_rate, round(sum(failed) / sum(processed), 6) AS failure_rate FROM p GROUP BY event_type""")
+def stats_merge(spark, sf_dir):
+    """Statistics of eight processes, merged by kind."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    ok = F.col("value") >= 20
+    e = table(spark, sf_dir, "events").withColumn("k", k)
+    parts = e.groupBy(F.pmod("user_id", F.lit(8)).alias("pid"), "event_type").agg(F.count("*").alias("processed"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"), F.count_if(ok).alias("rmsd_count"), F.avg(F.when(ok, F.col("value"))).alias("rmsd_mean"), F.count("k").alias("score_count"), F.avg("k").alias("score_mean"))
+    return op.merge(parts, ["event_type"])
+
+
+@query("""WITH s AS (SELECT unnest(range(0, 11001, 50)) AS step), t AS (SELECT unnest([1250, 2500, 5000, 10000]) AS t), n AS (SELECT step, min(t) AS t FROM s LEFT JOIN t ON t >= step GROUP BY step),
+b AS (SELECT step, t, greatest(t - greatest(1, CAST(floor(t * 0.1) AS INT)), 100) AS b FROM n)
+SELECT CAST(step AS INT) AS step, round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE WHEN t IS NULL THEN 0.0::DOUBLE WHEN step > b THEN 1.0::DOUBLE - (step - b)::DOUBLE / (t - b) ELSE 1.0::DOUBLE END, 6) AS lr FROM b""")
+def lr_schedule(spark, sf_dir):
+    s = op.Schedule(100, (1250, 2500, 5000, 10000))
+    steps = spark.range(0, 11001, 50).select(F.col("id").cast("int").alias("step"))
+    return steps.select("step", F.round(s.rate(F.col("step")), 6).alias("lr"))
+
+
+@query("SELECT CAST(step // 500 AS BIGINT) AS period, CAST(min(step) AS BIGINT) AS validated_at FROM (SELECT unnest(range(0, 11001, 50)) AS step) GROUP BY 1")
+def cadence(spark, sf_dir):
+    """The first step of every 500: when validation is due on dense steps."""
+    return spark.range(0, 11001, 50).groupBy(F.floor(F.col("id") / 500).alias("period")).agg(F.min("id").alias("validated_at"))
+
+
+@query("SELECT lr, CAST(batch AS INT) AS batch, CAST(150000 * 48 / batch AS INT) AS steps FROM (SELECT unnest([0.0001::DOUBLE, 0.0002::DOUBLE, 0.0004::DOUBLE]) AS lr), (SELECT unnest([24, 48, 96]) AS batch)")
+def param_grid(spark, sf_dir):
+    lr = spark.createDataFrame([(1e-4,), (2e-4,), (4e-4,)], "lr double")
+    batch = spark.createDataFrame([(24, 300000), (48, 150000), (96, 75000)], "batch int, steps int")
+    return lr.crossJoin(batch)  # a grid of constants
+
+
+@query("WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), p AS (SELECT n / sum(n) OVER () AS p FROM c) SELECT round(exp(-sum(p * ln(p + 1e-10))), 6) AS perplexity, round(100.0 * count(*) / 16, 6)::DOUBLE AS utilization FROM p")
+def perplexity(spark, sf_dir):
+    out = op.perplexity(table(spark, sf_dir, "embeddings"), "label", 16)
+    return out.select(F.round("perplexity", 6).alias("perplexity"), F.round("utilization", 6).alias("utilization"))
