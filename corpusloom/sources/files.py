@@ -63,7 +63,7 @@ def read_prompts(spark: SparkSession, path: str, most: int = 150) -> DataFrame:
 
 def read_token_prompts(spark: SparkSession, path: str, n: int) -> DataFrame:
     """(key, ids) of the first ``n`` keys of a JSON object of lists; values that aren't lists of whole numbers are empty."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "raw"))
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "raw"))
     ids = F.coalesce(F.from_json("raw", "array<int>"), F.array().cast("array<int>"))
     return raw.select("key", F.when(F.exists(ids, lambda x: x.isNull()), F.array().cast("array<int>")).otherwise(ids).alias("ids")).orderBy("key").limit(n)
 
@@ -87,7 +87,7 @@ def read_sdf(spark: SparkSession, path: str) -> DataFrame:
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     """(file, n_atoms, comment, atoms) of XYZ files, one structure each; exponents written as ``*^`` are read too."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("l"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("l"))
     n = F.trim(F.try_element_at("l", F.lit(1))).try_cast("int")
     cells = lambda line: F.split(F.trim(F.replace(line, F.lit("*^"), F.lit("e"))), r"\s+")
     atom = lambda line: F.struct(F.try_element_at(cells(line), F.lit(1)).alias("sym"), *(F.try_element_at(cells(line), F.lit(k + 2)).try_cast("double").alias(c) for k, c in enumerate("xyz")))
@@ -106,7 +106,7 @@ def write_sdf(df: DataFrame, path: str) -> None:
 
 def read_cif_atoms(spark: SparkSession, path: str) -> DataFrame:
     """(file, label, sym, x, y, z): the atom-site loop of CIF files, fractional coordinates, uncertainties in brackets dropped."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", r"(?s)loop_\s*((?:\s*_atom_site_(?!aniso)\w+[ \t]*\r?\n)+)(.*?)(?=\r?\n\s*(?:loop_|_|#|data_|\s*$))", 0).alias("loop"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", r"(?s)loop_\s*((?:\s*_atom_site_(?!aniso)\w+[ \t]*\r?\n)+)(.*?)(?=\r?\n\s*(?:loop_|_|#|data_|\s*$))", 0).alias("loop"))
     names = F.regexp_extract_all("loop", F.lit(r"_atom_site_(\w+)"), F.lit(1))
     rows = F.filter(F.split(F.regexp_replace("loop", r"(?s)^loop_.*_atom_site_\w+[ \t]*\r?\n", ""), r"\r?\n"), lambda s: F.trim(s) != "")
     r = raw.select("file", names.alias("names"), F.explode(rows).alias("row")).withColumn("cells", F.split(F.trim("row"), r"\s+"))
