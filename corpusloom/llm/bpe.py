@@ -81,8 +81,9 @@ def _stitches(chunks: DataFrame, pattern: str, chunk_chars: int, overlap: int) -
             heads, tails = [], []
             for k, n, chunk in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), _texts(batch.column(3))):
                 base, end = k * chunk_chars, len(chunk) - (UNSURE if k + 1 < n else 0)
-                starts = [s for s in pre_token_starts(chunk, pattern) if s <= end]
-                heads.append([base + s for s in starts if 0 < s <= overlap - UNSURE] if k else [])
+                # behind white space a cut would change what the pattern sees ahead of it
+                starts = [s for s in pre_token_starts(chunk, pattern) if 0 < s <= end and not chunk[s - 1].isspace()]
+                heads.append([base + s for s in starts if s <= overlap - UNSURE] if k else [])
                 tails.append([base + s for s in starts if s > chunk_chars])
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(heads, longs), pa.array(tails, longs)], ["rid", "k", "n", "head", "tail"])
