@@ -22,7 +22,8 @@ def split_huge(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFra
     n = F.coalesce(F.octet_length("text"), F.lit(0))
     short, huge = docs.filter(n <= chunk_bytes), docs.filter(n > chunk_bytes)
     size = F.octet_length("text")
-    raw = huge.select(F.monotonically_increasing_id().alias("rid"), "id", size.cast("long").alias("n_bytes"), F.col("text").cast("binary").alias("raw"), F.explode(F.sequence(F.lit(0), F.expr(f"cast((octet_length(text) - 1) div {chunk_bytes} as int)"))).alias("k"))
+    tagged = huge.select(F.monotonically_increasing_id().alias("rid"), "id", "text")  # before the explode, which other columns come after
+    raw = tagged.select("rid", "id", size.cast("long").alias("n_bytes"), F.col("text").cast("binary").alias("raw"), F.explode(F.sequence(F.lit(0), F.expr(f"cast((octet_length(text) - 1) div {chunk_bytes} as int)"))).alias("k"))
     chunk = F.substring(F.col("raw"), F.col("k") * chunk_bytes + 1, F.lit(chunk_bytes))
     return short, staged(raw.select("rid", "id", "k", "n_bytes", chunk.alias("chunk")), "chunks")
 

@@ -133,7 +133,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     differ = staged(_collisions(docs, slim, groups, id_col, text_col), "collisions")
     if not differ.isEmpty():  # texts of one fingerprint that differ are told apart by their digests as well
         differ = differ.withColumn("hit", F.lit(True))
-        slim = slim.join(differ, key, "left").withColumn("apart", F.when("hit", F.col("sha256")).otherwise("")).drop("hit")
+        slim = slim.join(differ, key, "left").withColumn("apart", F.when(F.col("hit"), F.col("sha256")).otherwise("")).drop("hit")
         key = [*key, "apart"]
         groups = grouped(*key)
     rows = slim.join(groups, key).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
