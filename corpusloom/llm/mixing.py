@@ -17,6 +17,8 @@ from .common import staged, word_count
 BLOCK = 64
 BLOCKS_LEAST = 1 << 17
 SHARD_BLOCKS = 1024
+#: Blocks that a shard is cut into at least, if it has so many words.
+LEAST_BLOCKS = 64
 
 
 def block_tokens(total: int) -> int:
@@ -109,10 +111,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = staged(placed.select("id", "source", "shard", "row", "size", "source_size", "target", "start", "stop"), "placed")
 
     shards = placed.groupBy("source", "shard").agg(F.max("stop").alias("words")).filter("words > 0")
-    shards = shards.join(quota.select(F.col("source").alias("s"), "blocks"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    of_source = quota.select(F.col("source").alias("s"), "blocks", "target", "source_size")
+    shards = shards.join(of_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     shards = highest_quotients(shards, ["source"], "words", F.col("blocks"), ["shard"], "quota")
-    # a shard's blocks are equal to a word; quotas above their number take every block again
-    shards = shards.withColumn("n", F.ceil(F.col("words") / block).cast("long")).withColumn("quota", F.least("quota", F.col("n") * int(cap)))
+    # a shard's own blocks are equal to a word, small shards have finer ones; its quota's words become so many
+    # of them, scaled so that a source's quotas make up its target. More than there are take blocks again.
+    wanted = F.col("target") * F.when(F.col("blocks") > 0, F.col("quota") / F.col("blocks")).otherwise(F.col("words") / F.col("source_size"))
+    shards = shards.withColumn("n", F.least("words", F.greatest(F.ceil(F.col("words") / block), F.lit(LEAST_BLOCKS))).cast("long"))
+    shards = shards.withColumn("quota", F.least(F.round(wanted * F.col("n") / F.col("words")).cast("long"), F.col("n") * int(cap)))
     numbered = shards.withColumn("b", F.explode(F.expr("sequence(0L, n - 1)")))
     draw = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "source", "shard", "b"), "b")
     times = F.expr("quota div n") + (F.row_number().over(draw) <= F.expr("quota % n")).cast("long")
@@ -134,6 +140,7 @@ def remix(docs: DataFrame, seed: int = 11, **how) -> DataFrame:
     A document taken twice comes twice; one of which nothing is taken goes."""
     taken = mix(docs, seed=seed, **how).filter("taken > 0")
     u = F.pmod(F.xxhash64(F.lit(seed + 3), "id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    copies = taken.select("id", F.floor(F.col("taken") / F.col("size") + u).cast("int").alias("_copies")).filter("_copies > 0").groupBy("id").agg(F.max("_copies").alias("_copies"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["id"])).drop("id")
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    times = F.floor(F.col("taken") / F.col("size") + u).cast("int")
+    copies = taken.select(F.col("id").alias("_mix_id"), times.alias("_mix_n")).filter("_mix_n > 0").groupBy("_mix_id").agg(F.max("_mix_n").alias("_mix_n"))
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_mix_id"]))
+    return joined.withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*docs.columns)
