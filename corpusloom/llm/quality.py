@@ -80,8 +80,8 @@ class Model:
         return self.bias + np.add.reduceat(self.w[index] * value, starts) + pairs, sums
 
 
-def fit_rows(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS, factors: int = FACTORS, epochs: int = 12, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> Model:
-    """Adam on the logistic loss over (index, value, label) rows. Rows of one label only give that label's share as bias."""
+def fit_rows(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS, factors: int = FACTORS, epochs: int = 12, least_steps: int = 1_000, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> Model:
+    """Adam on the logistic loss over (index, value, label) rows, ``epochs`` times or more for few rows. Rows of one label only give that label's share as bias."""
     n = buckets + STATS
     positives = sum(y for _, _, y in rows)
     share = (positives + 1) / (len(rows) + 2)
@@ -93,7 +93,7 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCK
     params = [model.w, model.v]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps * 64 // len(rows)))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 64):
             some = [rows[i] for i in order[at : at + 64]]
