@@ -21,9 +21,9 @@ from .common import staged
 #: Rows that centroids and codebooks are fitted on at most, those with the smallest hashes of their ids.
 TRAIN_ROWS = 20_000
 #: Share of a sample's true neighbours that the probed lists must hold when the number of probes is set.
-PROBE_RECALL = 0.985
+PROBE_RECALL = 0.997
 BLOCK_ROWS = 4096
-SHORTLIST = 64
+SHORTLIST = 128
 CODES = 256
 
 
