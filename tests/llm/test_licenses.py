@@ -1,6 +1,5 @@
 from corpusloom.llm import licenses
 
-MIT = dict(reversed(licenses.KNOWN))["MIT"]
 BODY = licenses.KNOWN[0][1]
 
 
