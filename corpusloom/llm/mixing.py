@@ -3,7 +3,8 @@
 Targets come from weights by filling up to a cap. The mix has target/block_tokens blocks; sources get them
 by highest quotients target/(2k+1). Each source is dealt into shards of bounded size, its quota is
 apportioned to them the same way, and each shard takes its quota of blocks in seeded order. DataFrame
-functions only; nothing is grouped by source alone, so a source may hold any share of the rows.
+functions only. Documents, words and blocks are never grouped by source alone, so that a source may hold any
+share of them; a source's quota goes to trays of ``TRAY`` shards first, then from each tray to its shards.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from .common import staged, word_count
 BLOCK = 64
 BLOCKS_LEAST = 1 << 17
 SHARD_BLOCKS = 1024
+#: Shards of a tray: one window holds so many shards, or a source's trays (one for every 67 M words).
+TRAY = 1024
 #: Blocks that a shard is cut into at least, if it has so many words.
 LEAST_BLOCKS = 64
 
@@ -110,10 +113,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = dealt.withColumn("order", order).withColumn("shard", shard).withColumn("stop", end).withColumn("start", F.col("stop") - F.col("size")).withColumn("row", F.row_number().over(place))
     placed = staged(placed.select("id", "source", "shard", "row", "size", "source_size", "target", "start", "stop"), "placed")
 
-    shards = placed.groupBy("source", "shard").agg(F.max("stop").alias("words")).filter("words > 0")
+    shards = placed.groupBy("source", "shard").agg(F.max("stop").alias("words")).filter("words > 0").withColumn("tray", F.floor(F.col("shard") / TRAY))
     of_source = quota.select(F.col("source").alias("s"), "blocks", "target", "source_size")
-    shards = shards.join(of_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    shards = highest_quotients(shards, ["source"], "words", F.col("blocks"), ["shard"], "quota")
+    trays = shards.groupBy("source", "tray").agg(F.sum("words").alias("tray_words"))
+    trays = trays.join(of_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    trays = highest_quotients(trays, ["source"], "tray_words", F.col("blocks"), ["tray"], "tray_quota")
+    of_tray = trays.withColumnsRenamed({"source": "s", "tray": "t"}).drop("tray_words")
+    shards = shards.join(of_tray, F.col("source").eqNullSafe(F.col("s")) & (F.col("tray") == F.col("t"))).drop("s", "t")
+    shards = highest_quotients(shards, ["source", "tray"], "words", F.col("tray_quota"), ["shard"], "quota")
     # a shard's own blocks are equal to a word, small shards have finer ones; its quota's words become so many
     # of them, scaled so that a source's quotas make up its target. More than there are take blocks again.
     wanted = F.col("target") * F.when(F.col("blocks") > 0, F.col("quota") / F.col("blocks")).otherwise(F.col("words") / F.col("source_size"))

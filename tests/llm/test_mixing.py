@@ -66,8 +66,10 @@ def test_highest_quotients(spark, seats):
     assert got == won
 
 
-def test_large_blocks_split_over_shards(spark, docs_of, monkeypatch):
+@pytest.mark.parametrize("tray", [1, 3, 1024])
+def test_large_blocks_split_over_shards(spark, docs_of, monkeypatch, tray):
     monkeypatch.setattr(mixing, "SHARD_BLOCKS", 4)
+    monkeypatch.setattr(mixing, "TRAY", tray)
     monkeypatch.setattr(mixing, "block_tokens", lambda total: 16)
     rows = corpus(9)
     got = mixing.mix(docs_of(rows)).collect()
