@@ -125,8 +125,9 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, buckets: int = BUCKETS, factors: int = FACTORS) -> Model:
     """A model of ``labels.quality`` from at most ``max_train`` labelled documents that aren't held out.
 
-    Only this bounded sample's features reach the driver. An id labelled twice counts by its mean (0.5: 1);
-    null labels and ids are left out; without any label the score is 0.5 everywhere."""
+    Only this bounded sample's features reach the driver, one row for each id. An id labelled twice counts by its mean
+    (0.5: 1), one with several documents by the last of their features in order; null labels and ids are left out;
+    without any label the score is 0.5 everywhere."""
     known = labels.filter("doc_id is not null and quality is not null").filter(~held_out()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     known = staged(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train), "labels")
     rows = docs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(known), "doc_id").select("doc_id", "y", "n_chars", "text")
@@ -137,10 +138,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, buckets:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], ["doc_id", "y", "index", "value"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    got = rows.mapInArrow(run, f"doc_id {kind}, y int, index array<int>, value array<float>").toArrow()
+    found = rows.mapInArrow(run, f"doc_id {kind}, y int, index array<int>, value array<float>")
+    got = found.groupBy("doc_id").agg(F.max(F.struct("y", "index", "value")).alias("row")).select("doc_id", "row.*").toArrow()
     seen, order = [], np.argsort(got["doc_id"].to_numpy(), kind="stable")
     index, value, y = got["index"].combine_chunks(), got["value"].combine_chunks(), got["y"].to_pylist()
-    for i in order[: 2 * max_train]:
+    for i in order:
         seen.append((index[int(i)].values.to_numpy(), value[int(i)].values.to_numpy(), y[i]))
     return fit_rows(seen, buckets, factors)
 
