@@ -19,6 +19,8 @@ from .common import small_batches
 
 #: Characters of a leaf, at least.
 LEAF = 1_024
+#: Documents, and numbers in their trees, that are sent on at once.
+SEND_ROWS, SEND_NUMBERS = 256, 1 << 17
 
 
 def _boundary(text: str, at: int) -> bool:
@@ -143,27 +145,36 @@ def recount(built: DataFrame, edits: DataFrame, path: str, pattern: str) -> Data
         encode = tokenizer(path, pattern).encode_ordinary
         count = lambda s: len(encode(s))
         held: list[tuple[Counted, int]] = []
-        at, key = object(), None
+        done: list[tuple] = []
+        at, numbers = object(), 0
 
-        def out() -> pa.RecordBatch:
-            n = len(held)
-            return pa.RecordBatch.from_arrays(
-                [key.take(pa.array([0] * n)), *(pa.array(x, pa.int64()) for x in ([b for _, b in held], [d.tokens[1] for d, _ in held], [len(d.text) for d, _ in held], [d.encoded for d, _ in held])), *(pa.array(x, pa.list_(pa.int64())) for x in ([d.chars for d, _ in held], [d.tokens for d, _ in held]))],
-                ["id", "tokens_before", "tokens_after", "chars_after", "chars_encoded", "chars", "tokens"],
-            )
+        def close() -> int:
+            done.extend((at, before, d.tokens[1], len(d.text), d.encoded, d.chars, d.tokens) for d, before in held)
+            return sum(len(d.chars) + len(d.tokens) for d, _ in held)
+
+        def sent(id_type: pa.DataType) -> pa.RecordBatch:
+            types = [id_type, *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), types)], ["id", "tokens_before", "tokens_after", "chars_after", "chars_encoded", "chars", "tokens"])
 
         for batch in small_batches(batches, 128):
-            for i, row in enumerate(batch.to_pylist()):
-                if row["id"] != at:
-                    if held:
-                        yield out()
-                    held, at, key = [], row["id"], batch.column(0).slice(i, 1)
-                if row["step"] == 0:
-                    held.append((Counted(row["text"], row["chars"], row["tokens"]), row["tokens"][1]))
+            ids, kinds, ats, cuts = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
+            id_type = batch.schema.field(0).type
+            for i, key in enumerate(ids):
+                text = batch.column(5)[i].as_py()
+                if key != at:
+                    numbers += close()
+                    held, at = [], key
+                    if len(done) >= SEND_ROWS or numbers >= SEND_NUMBERS:
+                        yield sent(id_type)
+                        done, numbers = [], 0
+                if kinds[i] == 0:
+                    chars, tokens = (batch.column(k)[i].as_py() for k in (6, 7))
+                    held.append((Counted(text, chars, tokens), tokens[1]))
                 else:
                     for doc, _ in held:
-                        doc.edit(row["at"], row["removed"], row["text"], count)
-        if held:
-            yield out()
+                        doc.edit(ats[i], cuts[i], text, count)
+        close()
+        if done:
+            yield sent(id_type)
 
     return both.mapInArrow(run, f"id {kind}, tokens_before long, tokens_after long, chars_after long, chars_encoded long, chars {longs}, tokens {longs}")
