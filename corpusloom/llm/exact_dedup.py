@@ -23,6 +23,8 @@ BASE = 0x1B873593A5C3E1D7 % P
 LIMBS = 1 << 14
 #: Bytes compared at once when equal fingerprints are confirmed.
 COMPARE_BYTES = 1 << 16
+#: Chunks that are sent on at once for that.
+COMPARE_ROWS = 256
 #: So many ids of candidates are broadcast at most (8 bytes each); beyond that the join shuffles.
 BROADCAST_IDS = 250_000
 _LOW = np.uint64(0xFFFFFFFF)
@@ -102,13 +104,23 @@ def _collisions(docs: DataFrame, slim: DataFrame, groups: DataFrame, id_col: str
     rows = rows.join(ids, rows["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["fp", "n_bytes", "k", "chunk"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        out: list[tuple[int, int, int, bytes]] = []
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
+
         for batch in small_batches(batches, 64):
             for text in as_bytes(batch.column(0)):
                 text = text.lower()
-                fp, starts = chunk_hash(text), range(0, max(len(text), 1), COMPARE_BYTES)
-                for some in (starts[i : i + 256] for i in range(0, len(starts), 256)):
-                    n = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.array([fp] * n, pa.int64()), pa.array([len(text)] * n, pa.int64()), pa.array([s // COMPARE_BYTES for s in some], pa.int64()), pa.array([text[s : s + COMPARE_BYTES] for s in some], pa.binary())], ["fp", "n_bytes", "k", "chunk"])
+                fp = chunk_hash(text)
+                for k in range(max(-(-len(text) // COMPARE_BYTES), 1)):
+                    out.append((fp, len(text), k, text[k * COMPARE_BYTES : (k + 1) * COMPARE_BYTES]))
+                    if len(out) >= COMPARE_ROWS:
+                        yield sent()
+                        out = []
+        if out:
+            yield sent()
 
     chunks = rows.mapInArrow(cut, "fp long, n_bytes long, k long, chunk binary")
     # equal chunks fold on the map side: a group of any size sends one row a task and chunk
