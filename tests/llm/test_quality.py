@@ -63,3 +63,10 @@ def test_pairs_by_the_sum_of_squares():
     index, value = np.array([1, 5, 9, 20]), rng.standard_normal(4)
     want = 0.3 + sum(m.w[i] * x for i, x in zip(index, value)) + sum(m.v[index[a]] @ m.v[index[b]] * value[a] * value[b] for a in range(4) for b in range(a))
     assert m.logits(index, value, np.array([0]))[0][0] == pytest.approx(want)
+
+
+def test_repeated_ids_count_once(spark, docs_of):
+    docs, labels = corpus(300)
+    df = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once, often = quality.fit(docs_of(docs), df), quality.fit(docs_of(docs + [docs[0]] * 500), df)
+    assert once.bias == often.bias and (once.w == often.w).all() and (once.v == often.v).all()
