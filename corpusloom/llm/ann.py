@@ -2,8 +2,8 @@
 
 The model (coarse centroids, codebooks) is fitted on a bounded sample and broadcast; every row is indexed.
 Equal vectors are indexed once with their smallest ids, all that a top-k with ties to smaller ids can
-return. Lists are dealt in blocks of bounded size; each block scores the queries that probe its list by
-table look-ups and reranks its shortlist with the original vectors.
+return. Lists are dealt in blocks of bounded size and the queries that probe a list in slices of bounded
+size; each block scores each slice by table look-ups and reranks its shortlist with the original vectors.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from .common import staged
 TRAIN_ROWS = 20_000
 #: Share of a sample's true neighbours that the probed lists must hold when the number of probes is set.
 PROBE_RECALL = 0.997
-BLOCK_ROWS = 4096
+#: Rows of a list's block, and queries that meet it in one task, about.
+BLOCK_ROWS = 1 << 15
+ASK_ROWS = 1 << 15
 SHORTLIST = 128
 CODES = 256
 
@@ -146,10 +148,6 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["v", "ids", "list", "code"])
 
     indexed = staged(classes.mapInArrow(index, f"v {vector}, ids array<long>, list int, code binary"), "index")
-    blocks = indexed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    blocks = F.broadcast(blocks)  # a row for each of the model's lists, fewer than train_rows / 16
-    members = indexed.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("blocks")).cast("int")).select("list", "block", "v", "ids", "code")
-
     queries = rows.filter(F.col("vec_id") % query_every == 0)
     asked = staged(queries.groupBy("v").agg(F.count("*").alias("_n")).select("v", F.monotonically_increasing_id().alias("q")), "queries")
 
@@ -162,8 +160,14 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str =
                 again = pa.array(np.repeat(np.arange(len(lists)), lists.shape[1]))
                 yield pa.RecordBatch.from_arrays([some.column(0).take(again), some.column(1).take(again), pa.array(lists.ravel().astype(np.int32))], ["v", "q", "list"])
 
-    probes = asked.select("v", "q").mapInArrow(probe, f"v {vector}, q long, list int").join(blocks, "list")
-    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", "q", F.col("v").alias("qv"))
+    probes = asked.select("v", "q").mapInArrow(probe, f"v {vector}, q long, list int")
+    blocks = indexed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    slices = probes.groupBy("list").agg(F.ceil(F.count("*") / ASK_ROWS).cast("int").alias("slices"))
+    grid = F.broadcast(staged(blocks.join(slices, "list"), "grid"))  # a row for each of the model's lists, fewer than train_rows / 16
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    members = indexed.join(grid, "list").withColumn("block", dealt(F.element_at("ids", 1), "blocks")).withColumn("slice", each("slices")).select("list", "block", "slice", "v", "ids", "code")
+    probes = probes.join(grid, "list").withColumn("slice", dealt(F.col("q"), "slices")).withColumn("block", each("blocks")).select("list", "block", "slice", "q", F.col("v").alias("qv"))
 
     def meet(held: pa.Table, asking: pa.Table) -> pa.Table:
         empty = pa.table({"q": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -205,7 +209,7 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str =
         q, x, s = zip(*out)
         return pa.table({"q": pa.array(q, pa.int64()), "vec_id": pa.array(x, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    found = members.groupBy("list", "block").cogroup(probes.groupBy("list", "block")).applyInArrow(meet, "q long, vec_id long, score double")
+    found = members.groupBy("list", "block", "slice").cogroup(probes.groupBy("list", "block", "slice")).applyInArrow(meet, "q long, vec_id long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = found.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1).drop("_r")
     ids_of = queries.join(asked, "v").select(F.col("vec_id").alias("query_id"), "q")

@@ -61,6 +61,7 @@ def test_recall(spark):
 
 def test_blocks_and_short_lists(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(ann, "ASK_ROWS", 3)
     rows = special()
     got = {(r["query_id"], r["vec_id"]) for r in ann.search(table(spark, rows), query_every=10, k=5, recall=1.0, shortlist=10).collect()}
     want = {(q, i) for q, _, i, _ in brute(rows, 10, 5)}
