@@ -20,6 +20,8 @@ from .common import as_bytes, small_batches, staged
 
 MAX_BITS = 3
 SEED = 42
+#: Rows of a grid cell that are compared as one; larger cells are dealt into slices that meet in pairs.
+CELL_ROWS = 1 << 16
 #: Pairs compared at once in one task (bytes of scratch memory: about 24 times as many).
 PAIRS_AT_ONCE = 2_000_000
 #: Bytes of text hashed at once; longer texts are walked in such steps.
@@ -148,11 +150,12 @@ def _links_in_cells(cell: np.ndarray, fp: np.ndarray, home: np.ndarray, max_bits
     return nodes[out], nodes[label[out]]
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, segment_bits: int = 4) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, segment_bits: int = 2) -> DataFrame:
     """Links (u, v) between the distinct fingerprints ``fp`` within ``max_bits``, enough to span each component.
 
     ``segment_bits`` (1, 2, 4 or 8) sets the grid's resolution: narrower segments give more, smaller cells.
-    Any width gives the same components."""
+    Any width gives the same components. A cell of more than ``CELL_ROWS`` rows is dealt into slices by
+    fingerprint; every two slices meet in a task of their own, so no task holds a whole large cell."""
     if max_bits > MAX_BITS:
         raise ValueError("the half with distance 1 or less exists for 3 bits or fewer")
 
@@ -186,6 +189,12 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, segment_bits: int = 4)
     spark = distinct.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     points = distinct.select("fp").mapInArrow(embed, "cell long, fp long, home boolean")
+    large = staged(points.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).alias("slices")).filter("slices > 1"), "large-cells")
+    # a digest names each pair of slices; where two collide their rows are compared as well, which finds only true links
+    own = F.pmod(F.xxhash64("fp"), F.col("slices"))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda other: F.xxhash64("cell", F.least(own, other), F.greatest(own, other)))
+    cells = F.explode(F.when(F.col("slices").isNull(), F.array("cell")).otherwise(met)).alias("cell")
+    points = points.join(large, "cell", "left").select(cells, "fp", "home")
     dealt = points.repartition(parts, "cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(join, "u long, v long").distinct()
 
@@ -221,7 +230,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS, segment_bits: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS, segment_bits: int = 2) -> DataFrame:
     """One row per document: (id, fp, component_id), component_id the smallest id reachable over links.
 
     Fingerprints link at ``max_bits`` differing bits or fewer. Nulls: a null or wordless text has

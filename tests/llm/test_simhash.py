@@ -60,7 +60,9 @@ def test_like_brute_force(spark, docs_of, segment_bits):
     assert sorted(str((r["id"], r["fp"] % (1 << 64), r["component_id"])) for r in got) == want
 
 
-def test_links_span_dense_and_chained_fingerprints(spark):
+@pytest.mark.parametrize("cell_rows", [1 << 16, 7])
+def test_links_span_dense_and_chained_fingerprints(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(simhash, "CELL_ROWS", cell_rows)
     rng = random.Random(5)
     base = rng.getrandbits(64)
     fps = {base} | {base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(400)}
@@ -74,8 +76,8 @@ def test_links_span_dense_and_chained_fingerprints(spark):
     want = brute_components(items)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    edges = simhash.links(df)
-    assert edges.count() <= 40 * len(fps)
+    edges = simhash.links(df, segment_bits=4 if cell_rows == 7 else 2)
+    assert edges.count() <= 60 * len(fps)
     roots = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in simhash.components(edges).collect()}
     groups = {}
     for (f, _), c in zip(items, want):
