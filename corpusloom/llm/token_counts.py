@@ -131,15 +131,17 @@ def recount(built: DataFrame, edits: DataFrame, path: str, pattern: str) -> Data
 
     ``edits`` has (id, seq, at, removed, added): at character ``at`` (kept within the text), ``removed``
     characters go and ``added`` comes. They apply in order of seq (then of the other columns); null numbers
-    count as 0 and a null ``added`` as empty. Edits of unknown documents are ignored, those of a null id
-    apply to documents without id; documents of one id all get its edits. A task streams a document and then
-    its edits, however many, holding one document's text and trees."""
+    count as 0 and a null ``added`` as empty. Edits of unknown documents and of a null id are ignored, so a
+    document without id keeps its text; such documents are dealt out by their texts, however many they are.
+    Documents of one id all get its edits. A task streams a document and then its edits, however many,
+    holding the texts and trees of one id."""
     kind = dict(built.dtypes)["id"]
     longs = "array<long>"
     texts = built.select("id", F.lit(0).alias("step"), F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("removed"), "text", "chars", "tokens")
     number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
-    steps = edits.select(F.col("id").cast(kind), F.lit(1).alias("step"), number("seq"), number("at"), number("removed"), F.coalesce("added", F.lit("")).alias("text"), F.lit(None).cast(longs).alias("chars"), F.lit(None).cast(longs).alias("tokens"))
-    both = texts.unionByName(steps).repartition("id").sortWithinPartitions("id", "step", "seq", "at", "removed", "text")
+    steps = edits.filter("id is not null").select(F.col("id").cast(kind), F.lit(1).alias("step"), number("seq"), number("at"), number("removed"), F.coalesce("added", F.lit("")).alias("text"), F.lit(None).cast(longs).alias("chars"), F.lit(None).cast(longs).alias("tokens"))
+    spread = F.when(F.col("id").isNull(), F.xxhash64("text"))
+    both = texts.unionByName(steps).repartition("id", spread).sortWithinPartitions("id", "step", "seq", "at", "removed", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path, pattern).encode_ordinary
@@ -161,7 +163,7 @@ def recount(built: DataFrame, edits: DataFrame, path: str, pattern: str) -> Data
             id_type = batch.schema.field(0).type
             for i, key in enumerate(ids):
                 text = batch.column(5)[i].as_py()
-                if key != at:
+                if key is None or key != at:
                     numbers += close()
                     held, at = [], key
                     if len(done) >= SEND_ROWS or numbers >= SEND_NUMBERS:

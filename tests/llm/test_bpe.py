@@ -45,14 +45,14 @@ def test_empty(spark, docs_of):
 @pytest.mark.parametrize("leaf", [1, 20, 1024])
 def test_edited_counts(spark, docs_of, leaf):
     rng = random.Random(leaf)
-    rows = [(d, t) for d, t in enumerate(texts())] + [(3, "the same id again"), (None, "no id"), (70, "plain words only, " * 40)]
+    rows = [(d, t) for d, t in enumerate(texts())] + [(3, "the same id again"), (None, "no id"), (None, "no id"), (None, "none either"), (70, "plain words only, " * 40)]
     edits, now = [], [t or "" for _, t in rows]
     for d in [None, *range(len(rows))]:
         for seq in range(rng.randint(0, 5)):
             at, cut, add = rng.randint(-3, 500), rng.choice([0, 1, 5, 60]), rng.choice(["", " ", "x", " new words", "'s", "\n", "日"])
             edits.append((d, seq, at, cut, add if rng.random() < 0.9 else None))
             for i, (e, _) in enumerate(rows):
-                if e == d:
+                if e == d and d is not None:
                     t, a = now[i], min(max(at, 0), len(now[i]))
                     now[i] = t[:a] + (edits[-1][4] or "") + t[a + cut :]
     edits.append((9999, 0, 0, 0, "nobody"))
