@@ -143,12 +143,12 @@ def filename_sanitize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.safe_filename(F.col("url")).alias("file"))
 
 
-_AB = "substr(text, 1, 20) AS a, substr(text, 2 - (conv_id % 2)::INT, 20) AS b"
+_AB = "text AS a, substr(text, 2 - (conv_id % 2)::INT) AS b"
 
 
 @query(f"WITH p AS (SELECT conv_id, turn, {_AB} FROM conversations) SELECT conv_id, turn, round(CASE WHEN a = b THEN 1.0::DOUBLE WHEN length(a) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, i, 1) = substr(b, i, 1)))::DOUBLE / length(a) END, 6) AS score FROM p")
 def match_reward(spark, sf_dir):
-    p = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 20).alias("a"), F.substring("text", F.lit(2) - (F.col("conv_id") % 2).cast("int"), F.lit(20)).alias("b"))
+    p = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("a"), F.substr("text", F.lit(2) - (F.col("conv_id") % 2).cast("int")).alias("b"))
     return p.select("conv_id", "turn", F.round(text.match_score(F.col("a"), F.col("b")), 6).alias("score"))
 
 

@@ -130,9 +130,9 @@ def corrections_lookup(spark, sf_dir):
     return j.select("doc_id", F.nullif(F.trim(raw), F.lit("")).alias("corrected"))
 
 
-@query("SELECT canonical, arg_min(doc_id, doc_id) AS doc_id FROM (SELECT substr(text, 1, 40) AS canonical, doc_id FROM documents) GROUP BY canonical")
+@query("SELECT canonical, arg_min(doc_id, doc_id) AS doc_id FROM (SELECT text AS canonical, doc_id FROM documents) GROUP BY canonical")
 def first_wins(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.substring("text", 1, 40).alias("canonical"), "doc_id", F.col("doc_id").alias("line"))
+    d = table(spark, sf_dir, "documents").select(F.col("text").alias("canonical"), "doc_id", F.col("doc_id").alias("line"))
     return op.first_wins(d, "canonical", "doc_id", "line")
 
 
