@@ -8,6 +8,7 @@ share fingerprint and length are compared byte for byte, chunk for chunk, before
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,6 +154,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, **how) -> DataFrame:
-    """The documents that stay, with all their columns: one of each group of equal texts."""
-    kept = exact_groups(docs, **how).filter("kept").select("id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi").dropDuplicates(["doc_id"])
+    """The documents that stay, with all their columns: one of each group of equal texts.
+
+    Rows that share a doc_id, or have none, are told apart by their texts."""
+    kept = exact_groups(docs, **how).filter("kept").select(F.col("id").alias("_kept_id"), F.col("sha256").alias("_kept_sha"))
+    lower = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    marked = docs.withColumn("_sha", F.sha2(lower.cast("binary"), 256))
+    same = marked["doc_id"].eqNullSafe(kept["_kept_id"]) & (marked["_sha"] == kept["_kept_sha"])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, small_batches, staged
@@ -62,16 +62,21 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(bits.view("<i8")[0])
 
 
+def _mark(text_col: str) -> Column:
+    """A digest that tells apart the texts of rows that share an id, or have none."""
+    return F.xxhash64(F.coalesce(text_col, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp) for each row; null and wordless texts get fingerprint 0. Other columns are not read."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """(id, fp, mark) for each row; null and wordless texts get fingerprint 0. Other columns are not read."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _mark(text_col).alias("mark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             fps = [fingerprint(text, shingle) for text in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], ["id", "fp", "mark"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp long")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp long, mark long")
 
 
 def _cells(fps: np.ndarray, segment_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,25 +235,34 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, segment_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Staged (id, fp, mark) of each row, and (fp, root, first) of each fingerprint: first is the row with the smallest id on it, nulls last."""
+    fps = staged(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("first")
+    distinct = staged(fps.groupBy("fp").agg(first), "distinct")
+    roots = components(links(distinct, max_bits, segment_bits)).withColumnRenamed("node", "fp")
+    return fps, staged(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS, segment_bits: int = 2) -> DataFrame:
     """One row per document: (id, fp, component_id), component_id the smallest id reachable over links.
 
     Fingerprints link at ``max_bits`` differing bits or fewer. Nulls: a null or wordless text has
     fingerprint 0 and links like any other; a null id takes part, but never names a component unless all
     ids of it are null. Repeated rows come back as often as they came. Ties: none, the smallest id is unique."""
-    fps = staged(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    distinct = staged(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(distinct, max_bits, segment_bits)).withColumnRenamed("node", "fp")
-    classes = staged(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
-    named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(classes.join(named, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents with one of each near-duplicate group left, the smallest doc_id. All columns stay.
-
-    Rows that repeat the kept doc_id are dropped but one; a document without doc_id stays only if its
-    whole group has none."""
-    classes = near_duplicates(docs, **how).select("component_id").distinct()
-    kept = docs.join(classes, docs["doc_id"].eqNullSafe(classes["component_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    fps, classes = _classes(docs, id_col, text_col, shingle, max_bits, segment_bits)
+    named = classes.groupBy("root").agg(F.min("first").alias("first"))
+    named = classes.select("fp", "root").join(named, "root").select("fp", F.col("first.id").alias("component_id"))
+    return fps.join(named, "fp").select("id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, segment_bits: int = 2) -> DataFrame:
+    """The documents with one of each near-duplicate group left, that with the smallest doc_id. All columns stay.
+
+    Of rows that share that doc_id within a group one stays. A row without doc_id stays only if no row of its
+    group has one, and then a single one for each such group."""
+    _, classes = _classes(docs, "doc_id", "text", shingle, max_bits, segment_bits)
+    kept = classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_kept_id"), F.col("first.mark").alias("_kept_mark")).distinct()
+    marked = docs.withColumn("_keep_mark", _mark("text"))
+    same = marked["doc_id"].eqNullSafe(kept["_kept_id"]) & (marked["_keep_mark"] == kept["_kept_mark"])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_keep_mark"]).drop("_keep_mark")

@@ -95,5 +95,11 @@ def test_drop_copies(spark, docs_of):
     assert sorted(str((r["doc_id"], lower(r["text"]))) for r in kept.collect()) == sorted(str((eval(x)[0], lower(t))) for x, t in {x: t for x in brute(ROWS) if eval(x)[3] for d, t in ROWS if d == eval(x)[0] and hashlib.sha256(lower(t).encode()).hexdigest() == eval(x)[4]}.items())
 
 
+def test_rows_that_share_or_lack_ids(spark, docs_of):
+    rows = [(None, "a"), (None, "b"), (None, "A"), (5, "c"), (5, "d"), (5, "D"), (6, "É"), (7, "é"), (None, None)]
+    kept = sorted(str((r["doc_id"], lower(r["text"]))) for r in op.drop_copies(docs_of(rows)).collect())
+    assert kept == sorted(str(x) for x in [(None, "a"), (None, "b"), (5, "c"), (5, "d"), (6, "É"), (7, "é"), (None, "")])
+
+
 def test_empty(spark, docs_of):
     assert op.exact_groups(docs_of(ROWS).filter("doc_id < 0")).count() == 0

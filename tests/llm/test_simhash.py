@@ -98,6 +98,9 @@ def test_keep_one(spark, docs_of):
     kept = simhash.keep_one(docs_of(rows))
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 7, 9] and kept.columns == docs_of(rows).columns
 
+    rows = [(None, "one text of many words here"), (None, "quite another thing was said"), (None, "one text of many words here"), (5, "and a third kind of text"), (5, "no line like this stands elsewhere")]
+    assert sorted(str((r["doc_id"], r["text"])) for r in simhash.keep_one(docs_of(rows)).collect()) == sorted(str(r) for r in set(rows))
+
 
 def test_empty(spark, docs_of):
     none = docs_of([(1, "x")]).filter("doc_id < 0")
