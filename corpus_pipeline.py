@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, exact_dedup, mixing, quality, simhash
+from corpusloom.llm import bpe, exact_dedup, mixing, overlap, quality
 from corpusloom.llm.common import shared_dir
 from corpusloom.llm.queries import vocabulary
 from corpusloom.session import ship
@@ -31,9 +31,9 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays."""
     ship(spark)
-    return simhash.keep_one(docs).select(*COLUMNS)
+    return overlap.keep_one(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
