@@ -96,7 +96,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     (a whole number) times its size. Null texts have size 0 and give nothing; null sources are a source of
     their own, last in order; a null id takes part like any other. Repeated rows are documents of their own.
     Ties in quotients go to the first source or shard, in seeded order. An empty table gives an empty result."""
-    slim = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    return _mixed(docs, id_col, text_col, source_col, weights, share, cap, seed, F.lit(0).cast("long")).drop("mark")
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, cap: float, seed: int, mark: Column) -> DataFrame:
+    """The rows of ``mix`` with ``mark``, a value of each document that is carried along."""
+    slim = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), mark.alias("mark")), "sizes")
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     quota = staged(targets(sources, weights, share, cap), "targets")
     total, wanted = quota.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
@@ -108,10 +113,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = slim.join(quota.select("source", "source_size", "target", "shards"), same).drop(quota["source"])
     order = F.xxhash64(F.lit(seed), "id", "size")
     shard = F.pmod(F.xxhash64(F.lit(seed + 1), "id", "size"), F.greatest("shards", F.lit(1)))
-    place = Window.partitionBy("source", "shard").orderBy("order", "id", "size")
+    place = Window.partitionBy("source", "shard").orderBy("order", "id", "size", "mark")
     end = F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, 0))
     placed = dealt.withColumn("order", order).withColumn("shard", shard).withColumn("stop", end).withColumn("start", F.col("stop") - F.col("size")).withColumn("row", F.row_number().over(place))
-    placed = staged(placed.select("id", "source", "shard", "row", "size", "source_size", "target", "start", "stop"), "placed")
+    placed = staged(placed.select("id", "source", "mark", "shard", "row", "size", "source_size", "target", "start", "stop"), "placed")
 
     shards = placed.groupBy("source", "shard").agg(F.max("stop").alias("words")).filter("words > 0").withColumn("tray", F.floor(F.col("shard") / TRAY))
     of_source = quota.select(F.col("source").alias("s"), "blocks", "target", "source_size")
@@ -137,17 +142,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     c = chosen.withColumnRenamed("b", "c").hint("merge")  # rows grow in the explode, unseen by size estimates: never broadcast
     met = touched.join(c, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")) & (F.col("b") == F.col("c")), "left")
     overlap = F.coalesce((F.least("stop", "b_stop") - F.greatest("start", "b_start")) * F.col("times"), F.lit(0))
-    out = met.groupBy("id", "source", "shard", "row", "size", "source_size", "target").agg(F.sum(overlap).cast("long").alias("taken"))
-    return out.select("id", "source", "size", "source_size", "target", "taken")
+    out = met.groupBy("id", "source", "mark", "shard", "row", "size", "source_size", "target").agg(F.sum(overlap).cast("long").alias("taken"))
+    return out.select("id", "source", "mark", "size", "source_size", "target", "taken")
 
 
-def remix(docs: DataFrame, seed: int = 11, **how) -> DataFrame:
+def remix(docs: DataFrame, seed: int = 11, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mixed documents, all columns kept: each stays taken/size times, the fraction drawn by a seeded hash.
 
-    A document taken twice comes twice; one of which nothing is taken goes."""
-    taken = mix(docs, seed=seed, **how).filter("taken > 0")
-    u = F.pmod(F.xxhash64(F.lit(seed + 3), "id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    times = F.floor(F.col("taken") / F.col("size") + u).cast("int")
-    copies = taken.select(F.col("id").alias("_mix_id"), times.alias("_mix_n")).filter("_mix_n > 0").groupBy("_mix_id").agg(F.max("_mix_n").alias("_mix_n"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_mix_id"]))
-    return joined.withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*docs.columns)
+    A document taken twice comes twice; one of which nothing is taken goes. Rows that share a doc_id, or have
+    none, are told apart by source and text; rows equal in all three get what is taken of them together, dealt
+    out evenly."""
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    key = ["_mix_id", "_mix_source", "_mix_mark"]
+    taken = _mixed(docs, "doc_id", "text", "source", weights, share, cap, seed, mark)
+    named = taken.select(F.col("id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("mark").alias("_mix_mark"), "size", "taken")
+    u = F.pmod(F.xxhash64(F.lit(seed + 3), *key), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    rows = named.groupBy(*key).agg(F.count("*").alias("_mix_rows"), F.sum("taken").alias("taken"), F.max("size").alias("size")).filter("taken > 0")
+    copies = staged(rows.select(*key, "_mix_rows", F.floor(F.col("taken") / F.col("size") + u).alias("_mix_n")).filter("_mix_n > 0"), "copies")
+    marked = docs.withColumn("_mix_text", mark)
+
+    def joined(some: DataFrame) -> DataFrame:
+        same = marked["doc_id"].eqNullSafe(some["_mix_id"]) & marked["source"].eqNullSafe(some["_mix_source"]) & (marked["_mix_text"] == some["_mix_mark"])
+        return marked.join(some, same)
+
+    once = joined(copies.filter("_mix_rows = 1"))
+    # only equal rows meet in a window
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns)))
+    more = joined(copies.filter("_mix_rows > 1")).withColumn("_mix_place", place)
+    share_of = F.expr("_mix_n div _mix_rows + if(_mix_place <= _mix_n % _mix_rows, 1, 0)")
+    both = once.unionByName(more.withColumn("_mix_n", share_of).filter("_mix_n > 0").drop("_mix_place"))
+    return both.withColumn("_mix_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_n")))).select(*docs.columns)

@@ -91,6 +91,23 @@ def test_remix(spark, docs_of):
     assert set(counts.values()) <= {1, 2} and mixing.remix(docs).count() == sum(counts.values())
 
 
+def test_remix_meets_targets_with_shared_and_null_ids(spark, docs_of):
+    rng = random.Random(4)
+    texts = [" ".join("w%d" % rng.randrange(99) for _ in range(rng.randint(1, 40))) for _ in range(900)]
+    rows = [(rng.choice([None, 7, d]), t, rng.choice(["a", "a", "a", "b", "c", None])) for d, t in enumerate(texts)]
+    rows += [(None, "the same row again and again", "b")] * 30 + [(8, "one more row", "c")] * 9
+    sizes, got = defaultdict(int), defaultdict(int)
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    counts = defaultdict(int)
+    for r in mixing.remix(docs_of(rows)).collect():
+        got[r["source"]] += len(r["text"].split())
+        counts[r["doc_id"], r["text"], r["source"]] += 1
+    for s, t in brute_targets(sizes).items():
+        assert abs(got[s] - t) <= 0.08 * t, (s, got[s], t)
+    assert set(counts) <= set(rows) and all(n <= 2 * rows.count(k) for k, n in counts.items())
+
+
 def test_empty(spark, docs_of):
     docs = docs_of([(1, "x")])
     assert mixing.mix(docs.filter("doc_id < 0")).count() == 0
