@@ -55,6 +55,13 @@ def test_account_numbers_scores_and_redaction(spark, docs_of):
     assert pii.find(docs_of([(1, "bob@x.org")])).first()["spans"][0]["score"] == 0.9
 
 
+def test_domain_that_begins_with_a_hyphen(spark, docs_of):
+    data = [(1, "a@-b.c"), (2, "x@-.y"), (3, "a@.b")]
+    got = pii.report(docs_of(data)).collect()
+    assert sorted(str((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"])) for r in got) == sorted(str((d, *brute(t))) for d, t in data)
+    assert sum(r["n_email"] for r in got) == 2
+
+
 def test_no_python_in_the_plan(spark, docs_of):
     plan = pii.report(docs_of([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
