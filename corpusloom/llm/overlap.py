@@ -24,6 +24,8 @@ BANDS, ROWS = 32, 5
 AT_ONCE = 1024
 #: Bytes of shingle sets that a bucket compares as one; larger buckets are dealt into slices that meet in pairs.
 SLICE_BYTES = 4 << 20
+#: So many marks of candidates are broadcast at most (8 bytes each); beyond that the join shuffles the texts.
+BROADCAST_MARKS = 250_000
 _draw = np.random.Generator(np.random.PCG64(SEED))
 _TIMES = _draw.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
 _PLUS = _draw.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
@@ -116,7 +118,9 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) ->
     buckets = staged(buckets.groupBy("n", "same1", "same2").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
     members = staged(rows.join(buckets, "bucket", "left_semi"), "members")
     texts = docs.select(_mark("text").alias("mark"), "text")
-    wanted = texts.join(members.select("mark").distinct(), "mark", "left_semi")
+    marks = staged(members.select("mark").distinct(), "candidates")
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_MARKS else marks
+    wanted = texts.join(marks, "mark", "left_semi")
     sets = staged(wanted.mapInArrow(to_sets, "mark long, hashes binary").dropDuplicates(["mark"]), "sets")
     sizes = sets.select("mark", F.length("hashes").cast("long").alias("bytes"))
     slices = F.least(F.ceil(F.sum("bytes") / SLICE_BYTES), F.count("*")).alias("slices")
