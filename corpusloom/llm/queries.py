@@ -48,7 +48,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(_read(spark, sf_dir, "documents")).drop("scores")
+    return pii.report(_read(spark, sf_dir, "documents"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,12 +107,14 @@ WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256, {_LOWER} AS t FROM do
 g AS (SELECT *, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM g"""
 
+_ACCOUNTS = "|".join(rf"{country}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, countries in pii.IBAN_LENGTHS.items() for country in countries)
 _PII_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
     "card": r"[0-9](?:[ -]?[0-9])+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
+    "iban": rf"\b(?:{_ACCOUNTS})\b",
+    "secret": r"\b(?:[0-9A-Fa-f]{64}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32}|AKIA[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36})\b",
 }
 _D = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_D}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({_D}), i, 1) AS INT) ELSE (CAST(substr(reverse({_D}), i, 1) AS INT) * 2) % 10 + (CAST(substr(reverse({_D}), i, 1) AS INT) // 5) END)) % 10 = 0"
@@ -124,14 +126,18 @@ _PII_OK = {
     "card": f"length({_D}) BETWEEN 14 AND 19 AND {_LUHN}",
     "phone": f"length({_D}) BETWEEN 10 AND 15",
     "iban": _MOD97,
+    "secret": "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')",
 }
 
 
 def _pii_sql() -> str:
     parts = []
     for rank, (kind, pattern) in enumerate(_PII_PATTERNS.items()):
-        parts.append(f"""SELECT rid, {rank} AS rank, '{kind}' AS kind, m, start FROM (
-  SELECT rid, unnest(found) AS m, unnest(list_transform(range(1, len(found) + 1), lambda i:
+        plain, near = pii.SCORES[kind]
+        around = f"translate(around, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        score = f"CASE WHEN regexp_matches({around}, '{pii.CONTEXT[kind]}') THEN '{near}' ELSE '{plain}' END"
+        parts.append(f"""SELECT rid, {rank} AS rank, '{kind}' AS kind, m, start, {score} AS score FROM (
+  SELECT rid, unnest(found) AS m, unnest(list_transform(range(1, len(found) + 1), lambda i: right(parts[i], {pii.NEAR}) || chr(10) || left(parts[i + 1], {pii.NEAR}))) AS around, unnest(list_transform(range(1, len(found) + 1), lambda i:
          list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0))) AS start
   FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS found, regexp_split_to_array(t, '{pattern}') AS parts FROM d WHERE regexp_matches(t, '{pattern}'))
 ) WHERE {_PII_OK[kind]}""")
@@ -141,8 +147,8 @@ def _pii_sql() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 s AS ({found}),
-j AS (SELECT rid, {counts}, string_agg({item}, ',' ORDER BY start, rank) FILTER (WHERE rank < 4) AS base, string_agg({item}, ',' ORDER BY start, rank) AS spans FROM s GROUP BY rid)
-SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+j AS (SELECT rid, {counts}, string_agg({item}, ',' ORDER BY start, rank) FILTER (WHERE rank < 4) AS base, string_agg({item}, ',' ORDER BY start, rank) AS spans, string_agg(score, ',' ORDER BY start, rank) AS scores FROM s GROUP BY rid)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM d LEFT JOIN j USING (rid)"""
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -55,6 +56,64 @@ def test_account_numbers_scores_and_redaction(spark, docs_of):
     assert pii.find(docs_of([(1, "bob@x.org")])).first()["spans"][0]["score"] == 0.9
 
 
+def accounts(text):
+    """Account numbers by the definition: a word that begins with a country and two digits, as long as that country's numbers."""
+    lengths = {c: n for n, countries in pii.IBAN_LENGTHS.items() for c in countries}
+    out, at = [], 0
+    while at < len(text):
+        n, stop, held = lengths.get(text[at : at + 2]), at, ""
+        if n and not (at and re.match("[A-Za-z0-9_]", text[at - 1])) and re.match("[0-9]{2}", text[at + 2 : at + 4]):
+            while len(held) < n and stop < len(text):
+                gap = len(held) >= 4 and text[stop] == " "
+                if not re.match("[A-Z0-9]", text[stop + gap : stop + gap + 1]):
+                    break
+                held, stop = held + text[stop + gap], stop + gap + 1
+            if len(held) == n and not re.match("[A-Za-z0-9_]", text[stop : stop + 1]):
+                if int("".join(str(int(c, 36)) for c in held[4:] + held[:4])) % 97 == 1:
+                    out.append((at, stop))
+                at = stop
+                continue
+        at += 1
+    return out
+
+
+def test_account_numbers_by_the_definition(spark, docs_of):
+    rng = random.Random(3)
+    bits = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "FR1420041010050500013M02606", "NO9386011117947", "XX12 3456 7890 1234", " ", " ", "A", "OK", "9", "_", "x", "GB", "32", "\n"]
+    texts = ["IBAN DE89370400440532013000 OK", "IBAN: GB82 WEST 1234 5698 7654 32 AND more", "DE89 3704 0044 0532 0130 00 DE89 3704 0044 0532 0130 00"]
+    texts += ["".join(rng.choices(bits, k=rng.randint(1, 12))) for _ in range(400)]
+    found = {r["id"]: [(s["start"], s["stop"]) for s in r["spans"] if s["kind"] == "iban"] for r in pii.find(docs_of(list(enumerate(texts)))).collect()}
+    assert found == {i: accounts(t) for i, t in enumerate(texts)}
+    assert [len(found[i]) for i in range(3)] == [1, 1, 2]
+
+
+def test_secrets(spark, docs_of):
+    token = "027aea05eb92c454086e6575cd38d76a884acaff"
+    data = [(1, f'token = "{token}"'), (2, f"see {token}."), (3, "1" * 40), (4, "a" + token)]
+    got = {r["id"]: [(s["match"], s["score"]) for s in r["spans"] if s["kind"] == "secret"] for r in pii.find(docs_of(data)).collect()}
+    assert got == {1: [(token, 0.95)], 2: [(token, 0.5)], 3: [], 4: []}
+
+
+def test_redacts_overlapping_spans_whole(spark, docs_of):
+    data = [(1, "+378282246310005 é a@b.co,b@c.de"), (2, None), (3, "😀 nothing")]
+    got = {r["id"]: r["redacted"] for r in pii.redact(docs_of(data)).collect()}
+    assert got == {1: "[PHONE] é [EMAIL],[EMAIL]", 2: "", 3: "😀 nothing"}
+
+
+def test_time_in_proportion_to_the_matches(spark, docs_of):
+    def seconds(n):
+        text = " ".join(f"user{i}@host.org" for i in range(n))
+        docs = docs_of([(1, text)])
+        began = time.perf_counter()
+        assert pii.report(docs).first()["n_email"] == n
+        assert pii.redact(docs).first()["redacted"].count("[EMAIL]") == n
+        return time.perf_counter() - began
+
+    seconds(2_000)
+    few, many = seconds(10_000), seconds(100_000)
+    assert many < 20 * max(few, 0.5)
+
+
 def test_domain_that_begins_with_a_hyphen(spark, docs_of):
     data = [(1, "a@-b.c"), (2, "x@-.y"), (3, "a@.b")]
     got = pii.report(docs_of(data)).collect()
