@@ -68,11 +68,10 @@ def test_highest_quotients(spark, seats):
 
 @pytest.mark.parametrize("tray", [1, 3, 1024])
 def test_large_blocks_split_over_shards(spark, docs_of, monkeypatch, tray):
-    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 4)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 64)
     monkeypatch.setattr(mixing, "TRAY", tray)
-    monkeypatch.setattr(mixing, "block_tokens", lambda total: 16)
     rows = corpus(9)
-    got = mixing.mix(docs_of(rows)).collect()
+    got = mixing.mix(docs_of(rows), block=16).collect()
     taken = defaultdict(int)
     for r in got:
         assert 0 <= r["taken"] <= 2 * r["size"]
@@ -81,6 +80,41 @@ def test_large_blocks_split_over_shards(spark, docs_of, monkeypatch, tray):
     assert abs(taken["big"] - t["big"]) <= 0.02 * t["big"] + 16
 
 
+def test_taken_blocks_are_the_quotas(spark, docs_of, monkeypatch):
+    """By the words that documents give: a shard gives quota blocks, its last one short; a source's quota is what highest quotients give it."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 256)
+    rows, block = corpus(5), 16
+    docs = docs_of(rows)
+    _, wanted, shards = (x.collect() for x in mixing.plan(docs, block=block))
+    quotas, blocks = defaultdict(int), defaultdict(int)
+    for r in shards:
+        quotas[r["sid"]] += r["quota"]
+        blocks[r["sid"]] += r["n"]
+        assert 0 <= r["quota"] <= 2 * r["n"] and r["n"] == -(-r["words"] // block)
+    words = {r["sid"]: r["source_size"] for r in wanted}
+    votes = {r["sid"]: Fraction(r["target"]) * blocks[r["sid"]] / r["source_size"] for r in wanted if r["source_size"]}
+    won = dict.fromkeys(votes, 0)
+    for _ in range(round(sum(votes.values()))):
+        top = max((k for k in votes if won[k] < 2 * blocks[k]), key=lambda k: (votes[k] / (2 * won[k] + 1), -k))
+        won[top] += 1
+    assert quotas == won
+    taken = defaultdict(int)
+    for r in mixing.mix(docs, block=block).collect():
+        taken[r["source"]] += r["taken"]
+    for r in wanted:
+        short = sum(2 * (s["n"] * block - s["words"]) for s in shards if s["sid"] == r["sid"])
+        assert quotas[r["sid"]] * block - short <= taken[r["source"]] <= quotas[r["sid"]] * block and words[r["sid"]] * 2 >= taken[r["source"]]
+
+
+def test_equal_rows_are_listed_in_stretches(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "LISTED", 3)
+    rows = [(None, "one two three", "a")] * 20 + [(1, "", "a")] * 10 + [(2, "four five", "b")]
+    got = mixing.mix(docs_of(rows)).collect()
+    assert len(got) == len(rows) and sum(r["size"] for r in got) == 62 and {r["taken"] for r in got if not r["size"]} == {0}
+    t = {r["source"]: r["target"] for r in got}
+    assert abs(sum(r["taken"] for r in got if r["source"] == "a") - t["a"]) <= 4
+
+
 def test_remix(spark, docs_of):
     docs = docs_of([(d, "w " * (d % 40), "abc"[d % 3]) for d in range(300)])
     out = mixing.remix(docs)
