@@ -37,6 +37,19 @@ def test_encode_and_decode(spark, docs_of):
     assert {r["id"]: r["decoded"].decode() for r in bpe.decode(encoded, PATH, PATTERN).collect()} == {d: t or "" for d, t in rows}
 
 
+def test_goes_on_in_pieces_behind_a_run_without_boundaries(spark, docs_of):
+    """A run of letters over a border joins two chunks, no more; a text in which chunks can't agree stays one piece."""
+    words = "some plain words, not many of them. " * 400
+    text = words[:900] + "x" * 200 + words[: 13 * 1000 - 1100]
+    parts = bpe.encode_parts(docs_of([(1, text), (2, "y" * 5000)]), PATH, PATTERN, chunk_chars=1000, overlap=64)[1]
+    ids = {}
+    for r in parts.orderBy("id", "k").collect():
+        ids.setdefault(r["id"], []).append(r["ids"])
+    assert len(ids[1]) >= 11 and len(ids[2]) == 1
+    enc = bpe.tokenizer(PATH, PATTERN)
+    assert [sum(x, []) for x in (ids[1], ids[2])] == [enc.encode_ordinary(text), enc.encode_ordinary("y" * 5000)]
+
+
 def test_empty(spark, docs_of):
     none = docs_of([(1, "x")]).filter("doc_id < 0")
     assert bpe.digests(none, PATH, PATTERN).count() == 0 and bpe.encode(none, PATH, PATTERN).count() == 0
