@@ -2,8 +2,9 @@
 
 A document is cut into leaves at places where a pre-token surely begins: a letter, then a space and a
 letter. Leaves are encoded apart and their counts summed up a binary tree. An edit re-encodes the leaves
-that it touches, and neighbours as far as the places beside them are no longer sure boundaries; then the
-sums on the paths to the root are updated.
+that it touches, and neighbours as far as the places beside them are no longer sure boundaries; leaves that
+have grown to twice their size are cut again. Then the sums on the paths to the root are updated, or, where
+leaves were added, the sums of the tree. No leaf's text is copied that an edit doesn't touch.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _texts, tokenizer
+from .bpe import _texts, first_sure, tokenizer
 from .common import small_batches
 
 #: Characters of a leaf, at least.
@@ -23,19 +24,10 @@ LEAF = 1_024
 SEND_ROWS, SEND_NUMBERS = 256, 1 << 17
 
 
-def _boundary(text: str, at: int) -> bool:
-    """Whether a pre-token surely begins at ``at``, whatever stands further left or right."""
-    return 0 < at < len(text) - 1 and text[at] == " " and text[at - 1].isalpha() and text[at + 1].isalpha()
-
-
 def leaf_sizes(text: str, leaf: int = LEAF) -> list[int]:
     """Lengths of the leaves; a text without sure boundaries is one leaf."""
     cuts, at = [0], leaf
-    while at < len(text):
-        while (at := text.find(" ", at)) > 0 and not _boundary(text, at):
-            at += 1
-        if at < 0:
-            break
+    while at < len(text) and (at := first_sure(text, at)) > 0:
         cuts.append(at)
         at += leaf
     cuts.append(len(text))
@@ -74,35 +66,73 @@ def _leaf_at(chars: list[int], at: int) -> tuple[int, int]:
 
 
 class Counted:
-    """A document's text and trees of characters and tokens. ``encoded`` counts the characters encoded for edits."""
-
-    def __init__(self, text: str, chars: list[int], tokens: list[int]):
-        self.text, self.chars, self.tokens, self.encoded = text, chars, tokens, 0
+    """A document's leaves and trees of characters and tokens. ``encoded`` counts the characters encoded for edits."""
+
+    def __init__(self, text: str, chars: list[int], tokens: list[int], leaf: int = LEAF):
+        self.chars, self.tokens, self.leaf, self.encoded = chars, tokens, leaf, 0
+        self.texts, at = [], 0
+        for n in chars[len(chars) // 2 :]:
+            self.texts.append(text[at : at + n])
+            at += n
+
+    def _sure(self, left: int, right: int) -> bool:
+        """Whether a pre-token surely begins between leaf ``left`` and the non-empty leaf ``right``."""
+        while not self.texts[left]:
+            left -= 1
+        head = self.texts[right][:2]
+        return self.texts[left][-1].isalpha() and len(head) == 2 and head[0] == " " and head[1].isalpha()
 
     def edit(self, at: int, removed: int, added: str, count) -> None:
-        text, leaves = self.text, len(self.chars) // 2
-        at = min(max(at, 0), len(text))
-        end = min(at + max(removed, 0), len(text))
-        if not text:
+        texts, n = self.texts, self.chars[1]
+        at = min(max(at, 0), n)
+        end = min(at + max(removed, 0), n)
+        if not n:
             first, start, last, stop = 0, 0, 0, 0
         else:
             first, start = _leaf_at(self.chars, max(at - 1, 0))
-            last, begin = _leaf_at(self.chars, min(end, len(text) - 1))
-            stop = begin + self.chars[leaves + last]
-        new = text[:at] + added + text[end:]
-        moved = len(new) - len(text)
-        while start and not _boundary(new, start):  # to the left until a boundary is sure again
-            first, start = _leaf_at(self.chars, start - 1)
-        while stop < len(text) and not _boundary(new, stop + moved):
-            last, begin = _leaf_at(self.chars, stop)
-            stop = begin + self.chars[leaves + last]
-        part = new[start : stop + moved]
-        for leaf in range(first, last + 1):
-            _put(self.chars, leaf, len(part) if leaf == first else 0)
-            _put(self.tokens, leaf, count(part) if leaf == first and part else 0)
-        self.text = new
+            last, begin = _leaf_at(self.chars, min(end, n - 1))
+            stop = begin + len(texts[last])
+        part = "".join(texts[first : last + 1])
+        part = part[: at - start] + added + part[end - start :]
+        texts[first : last + 1] = [part, *[""] * (last - first)]
+        while start and (len(part) < 2 or not self._sure(first - 1, first)):  # to the left until a boundary is sure again
+            before, start = _leaf_at(self.chars, start - 1)
+            part = texts[before] + part
+            texts[before : first + 1] = [part, *[""] * (first - before)]
+            first = before
+        while stop < n:
+            last, _ = _leaf_at(self.chars, stop)
+            if part and self._sure(first, last):
+                last -= 1
+                break
+            part += texts[last]
+            stop += len(texts[last])
+            texts[first], texts[last] = part, ""
+        sizes = [len(part)] if len(part) <= 2 * self.leaf else leaf_sizes(part, self.leaf)
+        self._lay(first, last, part, sizes, count)
         self.encoded += len(part)
 
+    def _lay(self, first: int, last: int, part: str, sizes: list[int], count) -> None:
+        """Put a part's leaves in the place of leaves first to last."""
+        new, at = [], 0
+        for n in sizes:
+            new.append(part[at : at + n])
+            at += n
+        counts = [count(x) if x else 0 for x in new]
+        room = last - first + 1
+        if len(new) <= room:
+            spare = [0] * (room - len(new))
+            self.texts[first : last + 1] = new + [""] * len(spare)
+            for k, (n, m) in enumerate(zip(sizes + spare, counts + spare)):
+                _put(self.chars, first + k, n)
+                _put(self.tokens, first + k, m)
+            return
+        old = self.tokens[len(self.tokens) // 2 :]
+        rows = [*zip(self.texts[:first], old[:first]), *zip(new, counts), *zip(self.texts[last + 1 :], old[last + 1 :])]
+        rows = [r for r in rows if r[0]]
+        self.chars, self.tokens = _tree([len(x) for x, _ in rows]), _tree([m for _, m in rows])
+        self.texts = [x for x, _ in rows] + [""] * (len(self.chars) // 2 - len(rows))
+
 
 def build(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
     """(id, text, chars, tokens): each document with its trees; tokens[1] is its count. Null texts are empty."""
@@ -126,33 +156,30 @@ def build(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     return rows.mapInArrow(run, f"id {kind}, text string, chars array<long>, tokens array<long>")
 
 
-def recount(built: DataFrame, edits: DataFrame, path: str, pattern: str) -> DataFrame:
+def recount(built: DataFrame, edits: DataFrame, path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
     """(id, tokens_before, tokens_after, chars_after, chars_encoded, chars, tokens) of every document after its edits.
 
     ``edits`` has (id, seq, at, removed, added): at character ``at`` (kept within the text), ``removed``
     characters go and ``added`` comes. They apply in order of seq (then of the other columns); null numbers
     count as 0 and a null ``added`` as empty. Edits of unknown documents and of a null id are ignored, so a
-    document without id keeps its text; such documents are dealt out by their texts, however many they are.
-    Documents of one id all get its edits. A task streams a document and then its edits, however many,
-    holding the texts and trees of one id."""
+    document without id keeps its text; such documents are dealt out evenly, however many they are.
+    Documents of one id all get its edits. A task holds the edits of one id and streams its documents, however
+    many, one at a time."""
     kind = dict(built.dtypes)["id"]
     longs = "array<long>"
-    texts = built.select("id", F.lit(0).alias("step"), F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("removed"), "text", "chars", "tokens")
-    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
-    steps = edits.filter("id is not null").select(F.col("id").cast(kind), F.lit(1).alias("step"), number("seq"), number("at"), number("removed"), F.coalesce("added", F.lit("")).alias("text"), F.lit(None).cast(longs).alias("chars"), F.lit(None).cast(longs).alias("tokens"))
-    spread = F.when(F.col("id").isNull(), F.xxhash64("text"))
-    both = texts.unionByName(steps).repartition("id", spread).sortWithinPartitions("id", "step", "seq", "at", "removed", "text")
+    zero = F.lit(0).cast("long")
+    number = lambda c: F.coalesce(F.col(c).cast("long"), zero).alias(c)
+    steps = edits.filter("id is not null").select(F.col("id").cast(kind), F.lit(0).alias("step"), number("seq"), number("at"), number("removed"), F.coalesce("added", F.lit("")).alias("text"), F.lit(None).cast(longs).alias("chars"), F.lit(None).cast(longs).alias("tokens"), zero.alias("deal"))
+    deal = F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(zero)
+    texts = built.select("id", F.lit(1).alias("step"), zero.alias("seq"), zero.alias("at"), zero.alias("removed"), "text", "chars", "tokens", deal.alias("deal"))
+    both = steps.unionByName(texts).repartition("id", "deal").drop("deal").sortWithinPartitions("id", "step", "seq", "at", "removed", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path, pattern).encode_ordinary
         count = lambda s: len(encode(s))
-        held: list[tuple[Counted, int]] = []
+        held: list[tuple[int, int, str]] = []
         done: list[tuple] = []
-        at, numbers = object(), 0
-
-        def close() -> int:
-            done.extend((at, before, d.tokens[1], len(d.text), d.encoded, d.chars, d.tokens) for d, before in held)
-            return sum(len(d.chars) + len(d.tokens) for d, _ in held)
+        at, numbers = None, 0
 
         def sent(id_type: pa.DataType) -> pa.RecordBatch:
             types = [id_type, *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2]
@@ -162,20 +189,21 @@ def recount(built: DataFrame, edits: DataFrame, path: str, pattern: str) -> Data
             ids, kinds, ats, cuts = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
             id_type = batch.schema.field(0).type
             for i, key in enumerate(ids):
-                text = batch.column(5)[i].as_py()
-                if key is None or key != at:
-                    numbers += close()
+                if key != at:
                     held, at = [], key
-                    if len(done) >= SEND_ROWS or numbers >= SEND_NUMBERS:
-                        yield sent(id_type)
-                        done, numbers = [], 0
+                text = batch.column(5)[i].as_py()
                 if kinds[i] == 0:
-                    chars, tokens = (batch.column(k)[i].as_py() for k in (6, 7))
-                    held.append((Counted(text, chars, tokens), tokens[1]))
-                else:
-                    for doc, _ in held:
-                        doc.edit(ats[i], cuts[i], text, count)
-        close()
+                    held.append((ats[i], cuts[i], text))
+                    continue
+                chars, tokens = (batch.column(k)[i].as_py() for k in (6, 7))
+                doc, before = Counted(text, chars, tokens, leaf), tokens[1]
+                for edit in held:
+                    doc.edit(*edit, count)
+                done.append((key, before, doc.tokens[1], doc.chars[1], doc.encoded, doc.chars, doc.tokens))
+                numbers += 2 * len(doc.chars)
+                if len(done) >= SEND_ROWS or numbers >= SEND_NUMBERS:
+                    yield sent(id_type)
+                    done, numbers = [], 0
         if done:
             yield sent(id_type)
 

@@ -82,3 +82,22 @@ def test_edits_encode_little(spark, docs_of):
     edits = spark.createDataFrame([(1, k, 900 * k, 3, " changed") for k in range(10)], "id long, seq long, at long, removed long, added string")
     r = token_counts.recount(token_counts.build(docs, PATH, PATTERN), edits, PATH, PATTERN).first()
     assert r["chars_encoded"] < 10 * 2500 and r["tokens"][1] == r["tokens_after"]
+
+
+def test_many_edits_at_one_place_encode_little_each():
+    """800 appends: each re-encodes a leaf or two, however long the document has become; also in the middle, and of long texts."""
+    enc = bpe.tokenizer(PATH, PATTERN)
+    count = lambda x: len(enc.encode_ordinary(x))
+    for place in (lambda n: n, lambda n: n // 2):
+        doc, text = token_counts.Counted("", [0, 0], [0, 0]), ""
+        for k in range(800):
+            added, before, at = " and some more words appended %d" % k, doc.encoded, place(len(text))
+            doc.edit(at, 0, added, count)
+            text = text[:at] + added + text[at:]
+            assert doc.encoded - before <= 3000
+        assert "".join(doc.texts) == text and doc.tokens[1] == count(text) and doc.chars[1] == len(text)
+        assert max(map(len, doc.texts)) <= 2 * token_counts.LEAF + 40
+    doc.edit(0, 0, "a long passage of words " * 1000, count)
+    before = doc.encoded
+    doc.edit(12_000, 5, "!", count)
+    assert doc.encoded - before <= 3000 and doc.tokens[1] == count("".join(doc.texts))
