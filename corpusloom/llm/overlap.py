@@ -1,7 +1,9 @@
-"""Near copies by overlap: texts whose sets of five-word shingles have Jaccard similarity 0.8 or more.
+"""SimHash near copies beyond its few bits: texts whose sets of five-word shingles have Jaccard similarity 0.8 or more.
 
-MinHash bands propose candidates, the sets themselves decide. With 32 bands of 5 values a pair at similarity
-0.8 shares no band with probability 3e-6, a more similar pair with less.
+SimHash fingerprints of the shingles, joined on the grid of segment bit counts, propose candidates within 3
+bits. At similarity 0.8 two fingerprints differ in 10 of 64 bits on average and one pair in a hundred in more
+than 16, which no grid can enumerate, so MinHash bands propose the rest; the sets themselves decide. With 32
+bands of 5 values a pair at similarity 0.8 shares no band with probability 3e-6, a more similar pair with less.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, small_batches, staged
-from .simhash import SEED, _mark, _word_blocks, components
+from .simhash import SEED, _bit_counts, _mark, _packed, _word_blocks, components
+from .simhash import links as grid_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -48,17 +51,20 @@ def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.concatenate(list(shingles(text, size))))
 
 
-def bands(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """One hash for each band of a text's MinHash signature."""
+def sketch(text: bytes, size: int = SHINGLE) -> tuple[int, np.ndarray]:
+    """A text's SimHash fingerprint, and one hash for each band of its MinHash signature."""
     low = np.full(BANDS * ROWS, np.iinfo(np.uint32).max)
+    ones, n = np.zeros(64, dtype=np.int64), 0
     for block in shingles(text, size):
+        ones += _bit_counts(block)
+        n += len(block)
         block = (block ^ (block >> np.uint64(32))).astype(np.uint32)
         for at in range(0, len(block), AT_ONCE):
             values = block[at : at + AT_ONCE] * _TIMES
             values += _PLUS
             low = np.minimum(low, values.min(axis=1))
     rows = low.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)], dtype=np.uint64).view(np.int64)
+    return _packed(ones, n), np.array([xxhash.xxh64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)], dtype=np.uint64).view(np.int64)
 
 
 def _linked(marks: list[int], sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
@@ -76,6 +82,7 @@ def _linked(marks: list[int], sets: list[np.ndarray], similarity: float) -> Iter
                 both = int((large[at] == small).sum())
                 if both >= similarity * (len(s) + len(t) - both) - 1e-9:
                     yield marks[i], marks[j]
+                    joined, group = (joined, group) if len(joined) > len(group) else (group, joined)
                     joined.extend(group)
                     break
             else:
@@ -142,13 +149,17 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            found = [bands(text, shingle) for text in as_bytes(batch.column(1))]
+            fps, found = zip(*(sketch(text, shingle) for text in as_bytes(batch.column(1))))
             lists = pa.ListArray.from_arrays(pa.array(range(0, BANDS * len(found) + 1, BANDS), pa.int32()), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], ["id", "mark", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64()), lists], ["id", "mark", "fp", "bands"])
 
-    signed = rows.mapInArrow(sign, f"id {dict(rows.dtypes)['id']}, mark long, bands array<long>")
+    signed = rows.mapInArrow(sign, f"id {dict(rows.dtypes)['id']}, mark long, fp long, bands array<long>")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("first")
-    nodes = staged(signed.groupBy("mark").agg(first, F.any_value("bands").alias("bands")), "signatures")
+    nodes = staged(signed.groupBy("mark").agg(first, F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "signatures")
+    # fingerprints that the grid links, or that are equal, are one more bucket
+    near = components(grid_links(nodes.select("fp").distinct())).withColumnRenamed("node", "fp")
+    bucket = F.xxhash64(F.coalesce("root", "fp"), F.lit("simhash"))
+    nodes = staged(nodes.join(near, "fp", "left").select("mark", "first", F.concat("bands", F.array(bucket)).alias("bands")), "candidates-of")
     roots = components(links(docs, nodes, shingle, similarity)).withColumnRenamed("node", "mark")
     classes = nodes.select("mark", "first").join(roots, "mark", "left").select("first", F.coalesce("root", "mark").alias("root"))
     kept = classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_kept_id"), F.col("first.mark").alias("_kept_mark"))

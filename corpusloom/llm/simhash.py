@@ -39,9 +39,14 @@ def _word_blocks(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def _bit_counts(hashes: list[int]) -> np.ndarray:
-    h = np.array(hashes, dtype=np.uint64)
-    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+def _bit_counts(hashes: list[int] | np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.asarray(hashes, dtype=np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _packed(ones: np.ndarray, n: int) -> int:
+    """The bits that over half of n hashes set, as a signed integer."""
+    bits = np.packbits(2 * ones > n, bitorder="little") if n else np.zeros(8, dtype=np.uint8)
+    return int(bits.view("<i8")[0])
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -58,8 +63,7 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
         tail = words[-(shingle - 1) :] if shingle > 1 else []
     if not n and tail:
         ones, n = _bit_counts([digest(b" ".join(tail), SEED)]), 1
-    bits = np.packbits(2 * ones > n, bitorder="little") if n else np.zeros(8, dtype=np.uint8)
-    return int(bits.view("<i8")[0])
+    return _packed(ones, n)
 
 
 def _mark(text_col: str) -> Column:
@@ -219,10 +223,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # what is joined back to the rows it is made from is staged, so that a centre with many links is split between tasks
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # every link now points down (u > v): the small-star step hangs u and its lower neighbours under the lowest
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = staged(large, "large-star")
+        floor = staged(large.groupBy("u").agg(F.min("v").alias("m")), "floor")
         hung = large.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = hung.unionByName(floor.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         now = staged(small, "links")
@@ -251,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint 0 and links like any other; a null id takes part, but never names a component unless all
     ids of it are null. Repeated rows come back as often as they came. Ties: none, the smallest id is unique."""
     fps, classes = _classes(docs, id_col, text_col, shingle, max_bits, segment_bits)
-    named = classes.groupBy("root").agg(F.min("first").alias("first"))
+    named = staged(classes.groupBy("root").agg(F.min("first").alias("first")), "named")
     named = classes.select("fp", "root").join(named, "root").select("fp", F.col("first.id").alias("component_id"))
     return fps.join(named, "fp").select("id", "fp", "component_id")
 

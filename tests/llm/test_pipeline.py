@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from corpusloom.llm import bpe, queries
-from test_simhash import brute_components, brute_fingerprint
+from test_overlap import brute_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,9 +49,10 @@ def test_exact(stages):
 
 
 def test_near(stages):
+    """Five words and a similarity of 0.8, over all pairs."""
     before = rows(stages[2])
-    ids = brute_components([(r[0], brute_fingerprint(r[1])) for r in before])
-    assert sorted(rows(stages[3])) == sorted(r for r, c in zip(before, ids) if r[0] == c)
+    kept = {d for d, _ in brute_kept([(r[0], r[1]) for r in before])}
+    assert sorted(rows(stages[3])) == sorted(r for r in before if r[0] in kept) and len(kept) < len(before)
 
 
 def test_mix(stages):

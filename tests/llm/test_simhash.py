@@ -107,3 +107,23 @@ def test_empty(spark, docs_of):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
     with pytest.raises(ValueError):
         simhash.links(none, max_bits=4)
+
+
+def test_a_centre_of_many_links_is_split_between_tasks(spark):
+    """Under lowered thresholds a join of links with what is staged of them, as in a component's rounds, is a skew join."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        star = spark.range(1, 60_001).selectExpr("id as u", "cast(0 as long) as v")
+        roots = simhash.components(star)
+        assert roots.count() == 60_000 and roots.filter("root <> 0").count() == 0
+        both = simhash.staged(star.unionByName(star.selectExpr("v as u", "u as v")), "test-both")
+        low = simhash.staged(both.groupBy("u").agg({"v": "min"}).withColumnRenamed("min(v)", "m"), "test-low")
+        joined = both.filter("v > u").join(low, "u")
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
