@@ -47,6 +47,46 @@ def test_records_are_whole(spark, tmp_path):
         assert fields[b"WARC-Payload-Digest"].decode() == "sha256:" + hashlib.sha256(bytes(r["payload"])).hexdigest()
 
 
+def test_the_files_are_warc(spark, tmp_path):
+    """The bytes of the files, read without Spark: records one after the other, version lines within payloads included."""
+    import gzip
+
+    rows = [*PAGES, (20, "http://in", "<pre>WARC/1.1\r\nWARC-Type: response\r\n\r\nWARC/1.1\r\n</pre>" * 9), (21, "http://in2", "WARC/1.1\r\n" * 20)]
+    records = make(spark, tmp_path, rows)
+    seen = []
+    for file in (tmp_path / "w/warc").glob("*.gz"):
+        data = gzip.decompress(file.read_bytes())
+        while data:
+            assert data.startswith(b"WARC/1.1\r\n")
+            head, _, rest = data.partition(b"\r\n\r\n")
+            n = int(dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])[b"Content-Length"])
+            assert rest[n : n + 4] == b"\r\n\r\n"
+            seen.append(head + b"\r\n\r\n" + rest[: n + 4])
+            data = rest[n + 4 :]
+    assert sorted(seen) == sorted(bytes(r["record"]) for r in records.collect())
+    assert {bytes(r["payload"]) for r in records.collect()} >= {h.encode() for _, _, h in rows[-2:]}
+
+
+def test_a_file_cut_off_is_seen(spark, tmp_path):
+    import gzip
+
+    import pytest
+
+    make(spark, tmp_path)
+    file = max((tmp_path / "w/warc").glob("*.gz"), key=lambda f: f.stat().st_size)
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut/a.warc.gz").write_bytes(gzip.compress(gzip.decompress(file.read_bytes())[:-30]))
+    with pytest.raises(Exception, match="cut off"):
+        warc.parse_warc(spark, str(tmp_path / "cut")).collect()
+    (tmp_path / "cut/a.warc.gz").write_bytes(gzip.compress(gzip.decompress(file.read_bytes()) + b"more"))
+    with pytest.raises(Exception, match="not as long"):
+        warc.parse_warc(spark, str(tmp_path / "cut")).collect()
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain/a.warc").write_bytes(gzip.decompress(file.read_bytes()))
+    with pytest.raises(Exception, match="not gzipped"):
+        warc.parse_warc(spark, str(tmp_path / "plain")).collect()
+
+
 def test_damage_is_seen(spark, tmp_path):
     import pytest
     from pyspark.sql import functions as F
