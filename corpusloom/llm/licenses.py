@@ -1,99 +1,101 @@
 """Licence scan: texts brought to a canonical form and looked up among known licences by digest.
 
-DataFrame functions only.
+DataFrame functions only. A text goes through the rules once, its line breaks kept; the whole text and its
+lines are then cut from that. Lines whose canonical length no known text has are left out unhashed; the
+others, each once for a document, meet the known digests in a join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-_ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-_GPL_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
-
-This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
-
-You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
-_APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
-
-http://www.apache.org/licenses/LICENSE-2.0
-
-Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
-#: Known texts: whole short licences and the usual notices. (licence, text); callers may pass their own.
-KNOWN = (
-    ("MIT", _MIT_BODY),
-    ("MIT", "MIT License\n\n" + _MIT_BODY),
-    ("MIT", "The MIT License (MIT)\n\n" + _MIT_BODY),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_END),
-    ("ISC", "ISC License\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_END),
-    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_END),
-    ("Apache-2.0", _APACHE_NOTICE),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("GPL-3.0", _GPL_NOTICE),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Released under CC0 1.0."),
-)
-#: Spellings and words that count as the same, after lower-casing: (pattern, what stands for it).
+from .common import let, staged
+from .license_texts import KNOWN, LONG
+
+#: Words and spellings that count as the same once only letters, digits and single spaces are left: (pattern, what stands for it, a part that any match has).
 EQUIVALENT = (
-    (r"\b(sub)?licence", "$1license"),
-    (r"\bnon[ -]infringement\b", "noninfringement"),
-    (r"\bmerchantibility\b", "merchantability"),
-    (r"\bauthorisation\b", "authorization"),
-    (r"\borganisation\b", "organization"),
-    (r"\bcopyright (?:owner|owners|holder)\b", "copyright holders"),
-    (r"\bhttps://", "http://"),
-    (r"&", " and "),
+    (r"(^|[ \n])(sub)?licence", "$1$2license", "licence"),
+    (r"(^|[ \n])non infringement( |\n|$)", "$1noninfringement$2", "non infringement"),
+    (r"(^|[ \n])merchantibility( |\n|$)", "$1merchantability$2", "merchantibility"),
+    (r"(^|[ \n])authorisation( |\n|$)", "$1authorization$2", "authorisation"),
+    (r"(^|[ \n])organisation( |\n|$)", "$1organization$2", "organisation"),
+    (r"(^|[ \n])copyright (?:owner|owners|holder)( |\n|$)", "$1copyright holders$2", "copyright "),
+    (r"(^|[ \n])https ", "$1http ", "https "),
 )
 #: A line that only says whose the text is: it differs from copy to copy.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©)[^\n]*(?:\(c\)|©|\d{4}|<year>|\[year\]|\[yyyy\])[^\n]*$|^[^\p{L}\p{N}\n]*all rights reserved\.?[^\p{L}\p{N}\n]*$"
+#: One of these is in any such line.
+COPYRIGHT_HINTS = ("copyright", "(c)", "©", "all rights reserved")
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, copyright lines gone, equivalent spellings made one, punctuation and white space as single spaces."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "\r\n?", "\n")
-    out = F.regexp_replace(out, COPYRIGHT_LINE, " ")
-    for pattern, same in EQUIVALENT:
-        out = F.regexp_replace(out, pattern, same)
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+def _rule(pattern: str, same: str, part: str) -> Callable[[Column], Column]:
+    return lambda v: F.when(F.contains(v, F.lit(part)), F.regexp_replace(v, pattern, same)).otherwise(v)
+
+
+def _same(x: Column) -> Column:
+    for pattern, same, part in EQUIVALENT:
+        x = let(x, _rule(pattern, same, part))
+    return x
+
 
+def canonical_lines(text: Column) -> Column:
+    """Lower case, copyright lines gone, punctuation and white space as single spaces, equivalent spellings made one; line breaks stay."""
+    out = F.replace(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+    def owned(x: Column) -> Column:
+        hint = F.lit(False)
+        for part in COPYRIGHT_HINTS:
+            hint = hint | F.contains(x, F.lit(part))
+        return F.when(hint, F.regexp_replace(x, COPYRIGHT_LINE, " ")).otherwise(x)
+
+    out = let(out, owned)
+    out = F.replace(out, F.lit("&"), F.lit(" and "))
+    return _same(F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " "))
+
+
+def whole(lines: Column) -> Column:
+    """The canonical text of canonical lines: one line."""
+    return F.trim(_same(F.regexp_replace(lines, r"[ \n]+", " ")))
+
+
+def canonical(text: Column) -> Column:
+    return whole(canonical_lines(text))
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(digest, license) of the known texts; of two with one digest the smaller name stands."""
-    rows = spark.createDataFrame(list(known), "license string, body string")
-    return rows.groupBy(digest(F.col("body")).alias("digest")).agg(F.min("license").alias("license"))
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN, digests: tuple[tuple[str, str, int], ...] = LONG) -> DataFrame:
+    """(digest, license, size) of known texts, and of licences given by their digest and canonical length; of two with one digest the smaller name stands."""
+    rows = spark.createDataFrame(list(known), "license string, body string").select("license", canonical(F.col("body")).alias("body"))
+    rows = rows.select(F.sha2("body", 256).alias("digest"), "license", F.length("body").alias("size"))
+    if digests:
+        rows = rows.unionByName(spark.createDataFrame([(d, name, n) for name, d, n in digests], "digest string, license string, size int"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"), F.min("size").alias("size"))
 
 
-def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | tuple[tuple[str, str], ...] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (doc_id, digest, license, notices).
 
     ``license`` names the known licence that the entire text is, or is null; ``notices`` lists, sorted and
-    comma-joined, those that some entire line is (empty: none). Null and empty texts, and texts or lines
-    without a letter or digit, match nothing. Repeated rows and null ids come back as they are. The known
-    texts are a fixed list in the program, so their digests may be broadcast."""
+    comma-joined, those that some entire line is (empty: none). ``known`` is a table of (digest, license,
+    size) as ``known_digests`` gives, of any length, or (license, text) pairs; without it the library's own
+    list is taken. Null and empty texts, and texts or lines without a letter or digit, match nothing.
+    Repeated rows and null ids come back as they are."""
     spark = docs.sparkSession
-    table = known_digests(spark, known)
-    names = {r["digest"]: r["license"] for r in table.collect()}  # one row for each text of the list above
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = F.split(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "\r\n?", "\n"), "\n")
-    lookup = F.create_map(*(F.lit(x) for pair in names.items() for x in pair)) if names else F.create_map().cast("map<string,string>")
-    hits = F.transform(lines, lambda x: F.try_element_at(lookup, digest(x)))
-    notices = F.array_join(F.array_sort(F.array_distinct(F.filter(hits, lambda x: x.isNotNull()))), ",")
-    rows = rows.select("doc_id", digest(F.col("text")).alias("digest"), notices.alias("notices"))
-    return rows.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", "license", "notices")
+    if not isinstance(known, DataFrame):
+        known = known_digests(spark) if known is None else known_digests(spark, known, ())
+    known = staged(known.filter("size > 0").select("digest", "license", "size"), "licences")
+    sizes = {r["size"] for r in known.select("size").distinct().collect()}  # at most as many as the longest known text has characters
+    bits = F.lit(bytes(n in sizes for n in range(max(sizes, default=0) + 1)))
+    text = F.col("lines")
+    rows = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines"))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    fits = F.filter(lines, lambda x: F.substring(bits, F.length(x) + 1, F.lit(1)) == F.lit(b"\x01"))
+    rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.sha2(whole(text), 256).alias("digest"), F.transform(F.array_distinct(fits), lambda x: F.sha2(x, 256)).alias("lines"))
+    rows = staged(rows, "canonical")
+    said = rows.filter("size(lines) > 0").select("rid", F.explode("lines").alias("line"))
+    said = said.join(known.select(F.col("digest").alias("line"), F.col("license").alias("notice")), "line")
+    notices = said.groupBy("rid").agg(F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices"))
+    out = rows.drop("lines").join(notices, "rid", "left").join(known.select("digest", "license"), "digest", "left")
+    return out.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))

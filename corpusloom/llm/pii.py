@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: Characters of an account number by country, as registered.
 IBAN_LENGTHS = {
     15: ("NO",), 16: ("BE",), 18: ("DK", "FI", "FK", "FO", "GL", "NL", "SD"), 19: ("MK", "SI"), 20: ("AT", "BA", "EE", "KZ", "LT", "LU", "MN", "XK"),
@@ -55,20 +57,15 @@ SCORES = {"email": (0.9, 1.0), "ip": (0.6, 0.9), "card": (0.8, 1.0), "phone": (0
 _SPAN = "struct<start:int,rank:int,stop:int,match:string,kind:string,score:double,first_byte:int,last_byte:int>"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
-    """Each value added up with all before it, in doubling steps: ``values`` is a name bound by ``_let``."""
+    """Each value added up with all before it, in doubling steps: ``values`` is a name bound by ``let``."""
     steps = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda s: s < F.size(values))
     step = lambda a, s: F.transform(a, lambda v, i: F.when(i >= s, add(v, F.get(a, i - s))).otherwise(v))
     return F.aggregate(steps, values, step)
 
 
 def _sums(values: Column) -> Column:
-    return _let(values, lambda v: _running(v, lambda a, b: a + b))
+    return let(values, lambda v: _running(v, lambda a, b: a + b))
 
 
 def _lowered(x: Column) -> Column:
@@ -118,7 +115,7 @@ def _spans(kind: str, text: Column) -> Column:
     def of_matches(b: Column) -> Column:
         ends = _sums(F.transform(b["m"], lambda m, i: F.length(F.get(b["p"], i)) + F.length(m)))
         byte_ends = _sums(F.transform(b["m"], lambda m, i: F.octet_length(F.get(b["p"], i)) + F.octet_length(m)))
-        return _let(F.struct(b["m"].alias("m"), b["p"].alias("p"), ends.alias("e"), byte_ends.alias("b")), at_ends)
+        return let(F.struct(b["m"].alias("m"), b["p"].alias("p"), ends.alias("e"), byte_ends.alias("b")), at_ends)
 
     def at_ends(b: Column) -> Column:
         def span(m: Column, i: Column) -> Column:
@@ -130,7 +127,7 @@ def _spans(kind: str, text: Column) -> Column:
         return F.transform(b["m"], lambda m, i: F.when(_confirmed(kind, m), span(m, i)))
 
     found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
-    spans = F.filter(_let(found, of_matches), lambda s: s.isNotNull()).cast(f"array<{_SPAN}>")
+    spans = F.filter(let(found, of_matches), lambda s: s.isNotNull()).cast(f"array<{_SPAN}>")
     return F.when(text.rlike(HINTS[kind]), spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
@@ -165,12 +162,12 @@ def redact(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     def merged(b: Column) -> Column:
         """Runs of overlapping spans: a span whose start no earlier one reaches begins a run, the furthest end so far ends it."""
-        far = _let(F.transform(b["s"], lambda s: s["last_byte"]), lambda v: _running(v, lambda x, y: F.greatest(x, y)))
-        return _let(F.struct(b["s"].alias("s"), far.alias("far")), heads)
+        far = let(F.transform(b["s"], lambda s: s["last_byte"]), lambda v: _running(v, lambda x, y: F.greatest(x, y)))
+        return let(F.struct(b["s"].alias("s"), far.alias("far")), heads)
 
     def heads(b: Column) -> Column:
         index = F.transform(b["s"], lambda s, i: F.when((i == 0) | (s["first_byte"] >= F.get(b["far"], i - 1)), i))
-        return _let(F.struct(b["s"].alias("s"), b["far"].alias("far"), F.filter(index, lambda i: i.isNotNull()).alias("h")), runs)
+        return let(F.struct(b["s"].alias("s"), b["far"].alias("far"), F.filter(index, lambda i: i.isNotNull()).alias("h")), runs)
 
     def runs(b: Column) -> Column:
         end = lambda j: F.get(b["far"], F.coalesce(F.get(b["h"], j + 1), F.size(b["s"])) - 1)
@@ -183,6 +180,6 @@ def redact(docs: DataFrame, least: float = 0.5) -> DataFrame:
         said = F.transform(b["r"], lambda r, j: F.concat(piece(before(j), r["start"]), F.lit("["), F.upper(r["kind"]), F.lit("]")))
         return F.concat(F.array_join(said, ""), piece(before(F.size(b["r"])), F.octet_length(b["t"])))
 
-    merged_runs = _let(F.struct(F.col("spans").alias("s")), merged)
-    redacted = _let(F.struct(F.col("text").cast("binary").alias("t"), merged_runs.alias("r")), cut)
+    merged_runs = let(F.struct(F.col("spans").alias("s")), merged)
+    redacted = let(F.struct(F.col("text").cast("binary").alias("t"), merged_runs.alias("r")), cut)
     return found.select("id", redacted.alias("redacted"))

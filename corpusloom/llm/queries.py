@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, licenses, mixing, pii, quality, simhash, token_counts, warc
+from . import ann, bpe, exact_dedup, license_texts, licenses, mixing, pii, quality, simhash, token_counts, warc
 from .common import hex64, shared_dir
 
 #: The rank file of the tokenizer queries, of the installed public vocabularies.
@@ -157,15 +157,17 @@ def _license_sql() -> str:
 
     def canonical(x: str) -> str:
         out = f"regexp_replace(lower(coalesce({x}, '')), '\r\n?', '\n', 'g')"
-        out = f"regexp_replace({out}, {quote(licenses.COPYRIGHT_LINE)}, ' ', 'g')"
-        for pattern, same in licenses.EQUIVALENT:
-            same = same.replace("$1", "\\1")
+        out = f"replace(regexp_replace({out}, {quote(licenses.COPYRIGHT_LINE)}, ' ', 'g'), '&', ' and ')"
+        out = rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+        for pattern, same, _ in licenses.EQUIVALENT:
+            same = same.replace("$1", "\\1").replace("$2", "\\2")
             out = f"regexp_replace({out}, {quote(pattern)}, {quote(same)}, 'g')"
-        return rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+        return out
 
-    known = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in licenses.KNOWN)
+    known = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in license_texts.KNOWN)
+    long = ", ".join(f"('{digest}', '{name}')" for name, digest, _ in license_texts.LONG)
     return f"""
-WITH k AS (SELECT sha256({canonical('body')}) AS digest, min(license) AS license FROM (VALUES {known}) v(license, body) GROUP BY 1),
+WITH k AS (SELECT digest, min(license) AS license FROM (SELECT sha256({canonical('body')}) AS digest, license FROM (VALUES {known}) v(license, body) UNION ALL SELECT * FROM (VALUES {long}) w(digest, license)) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 l AS (SELECT rid, unnest(string_split(regexp_replace(coalesce(text, ''), '\r\n?', '\n', 'g'), '\n')) AS line FROM d),
 n AS (SELECT rid, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS notices FROM l JOIN k ON sha256({canonical('line')}) = k.digest GROUP BY rid)

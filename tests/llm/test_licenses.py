@@ -1,3 +1,7 @@
+from pathlib import Path
+
+import pytest
+
 from corpusloom.llm import licenses
 
 BODY = licenses.KNOWN[0][1]
@@ -26,3 +30,26 @@ def test_own_list_and_plan(spark, docs_of):
     assert [r["license"] for r in own.collect()] == ["b-own", "b-own"]
     assert "Python" not in own._jdf.queryExecution().executedPlan().toString()
     assert licenses.scan(docs_of([(1, "x")]).filter("doc_id < 0")).count() == 0
+
+
+def test_wrapped_lines_and_long_texts(spark, docs_of):
+    """Line breaks within a licence don't count, also within a phrase of several words; a text of many lines has its notices."""
+    bsd = next(t for n, t in licenses.KNOWN if n == "BSD-3-Clause")
+    wrapped = bsd.replace("copyright holder nor", "copyright\nowner nor").replace("source and", "source\r\nand")
+    long = "\n".join(["a line of no licence & more"] * 200_000 + ["SPDX-License-Identifier: Zlib"])
+    got = {r["doc_id"]: (r["license"], r["notices"]) for r in licenses.scan(docs_of([(1, wrapped), (2, long)])).collect()}
+    assert got == {1: ("BSD-3-Clause", ""), 2: (None, "Zlib")}
+
+
+def test_known_table_may_be_a_data_frame(spark, docs_of):
+    table = licenses.known_digests(spark, tuple((f"own-{k}", f"terms number {k}") for k in range(3000)))
+    got = {r["doc_id"]: (r["license"], r["notices"]) for r in licenses.scan(docs_of([(1, "Terms, number 7"), (2, "x\nterms number 2999\nTERMS NUMBER 11")]), table).collect()}
+    assert got == {1: ("own-7", "own-7"), 2: (None, "own-11,own-2999")}
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="no texts to compare with")
+def test_long_licences(spark, docs_of):
+    files = ["Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0"]
+    texts = [Path("/usr/share/common-licenses", f).read_text(errors="replace") for f in files]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs_of(list(enumerate(texts)))).collect()}
+    assert [got[k] for k in range(5)] == ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0"]
