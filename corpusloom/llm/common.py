@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..sources.staging import shared_dir, staged  # noqa: F401
+from ..sources.staging import drop, new_folder, remove, scope, staged  # noqa: F401
 
 #: A word is a run of characters other than ASCII white space (what ``bytes.split()`` splits on).
 WORD = r"[^\x20\x09-\x0D]+"

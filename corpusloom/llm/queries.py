@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, exact_dedup, license_texts, licenses, mixing, pii, quality, simhash, token_counts, warc
-from .common import hex64, shared_dir
+from .common import hex64, new_folder
 
 #: The rank file of the tokenizer queries, of the installed public vocabularies.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -59,9 +59,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_folder(spark, "warc")
     warc.write_archive(_read(spark, sf_dir, "pages"), path)
     return warc.summary(warc.read_archive(spark, path))
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches, staged
+from .common import as_bytes, drop, small_batches, staged
 
 MAX_BITS = 3
 SEED = 42
@@ -231,7 +231,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         floor = staged(large.groupBy("u").agg(F.min("v").alias("m")), "floor")
         hung = large.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = hung.unionByName(floor.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = staged(small, "links")
+        used, now = (now, low, large, floor), staged(small, "links")
+        drop(*used)
         after = mark(now)
         if after == before:
             break
