@@ -5,12 +5,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import bpe, exact_dedup, mixing, overlap, quality
-from corpusloom.llm.common import shared_dir
+from corpusloom.llm.common import new_folder, remove, scope
 from corpusloom.llm.queries import vocabulary
 from corpusloom.session import ship
 
@@ -31,7 +29,10 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id stays.
+
+    SimHash fingerprints of five-word shingles propose pairs on the grid, bands those beyond its 3 bits; a
+    similarity of 0.8 or more between the whole sets confirms them."""
     ship(spark)
     return overlap.keep_one(docs).select(*COLUMNS)
 
@@ -55,10 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written as Parquet to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order, each written as Parquet to the shared folder and read again by the next.
+
+    What a stage has staged, and what it has read, is removed once its result is written."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        read, path = path, new_folder(spark, f"pipeline-{name}")
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if read:
+            remove(spark, read)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
