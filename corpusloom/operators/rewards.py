@@ -46,6 +46,16 @@ def coverage_terms(pairs: DataFrame, p: Params) -> DataFrame:
     return d.withColumn("marginal", F.col("k") * others * depth).drop("_one", "_log")
 
 
+def gated(rollouts: DataFrame, check: Column | None = None) -> DataFrame:
+    """Rollouts (key, j, graph, parsed) with ``base``, ``check`` and ``valid``: both gates passed, then the check gate.
+
+    ``check`` is pass, fail or error for rollouts that pass both gates; other rollouts aren't checked, and without
+    a check none is (null), which leaves validity to the gates. A check that failed to run counts as not passed."""
+    base = rollouts.withColumn("base", F.col("graph") & F.col("parsed"))
+    state = F.lit(None).cast("string") if check is None else F.when(F.col("base"), F.coalesce(check, F.lit("error")))
+    return base.withColumn("check", state).withColumn("valid", F.col("base") & F.coalesce(F.col("check") == "pass", F.lit(True)))
+
+
 def rollout_rewards(pairs: DataFrame, rollouts: DataFrame, p: Params, matched: DataFrame | None = None) -> DataFrame:
     """(key, j, graph, parsed, valid, d_min, best_i, r_qual, r_smcov, r_match, reward) of every rollout.
 
@@ -102,16 +112,53 @@ def match_pairs(d: np.ndarray, delta: float) -> list[tuple[int, int]]:
     return [(i, j) for i, j in enumerate(assignment(cost)) if i < d.shape[0] and j < d.shape[1] and ok[i, j]]
 
 
+#: References or rollouts of one connected block that ``assign`` takes at most.
+LARGEST_BLOCK = 4096
+
+
+def _blocks(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A number for the connected block of each link between i and j."""
+    _, a = np.unique(i, return_inverse=True)
+    _, b = np.unique(j, return_inverse=True)
+    b = b + a.max() + 1
+    label = np.arange(b.max() + 1)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label[a]
+        label = new
+
+
 def assign(pairs: DataFrame, delta: float) -> DataFrame:
-    """(key, i, j, d) of each group's matched pairs. A group is one prompt's rollouts and references, tens of each."""
+    """(key, i, j, d) of each group's matched pairs. A group is one prompt's rollouts and references, tens of each.
+
+    Only pairs below ``delta`` are shuffled. Each connected block of them is solved apart, as a dense square; a
+    block of more than ``LARGEST_BLOCK`` references or rollouts stops the job (``mutual_nearest`` has no limit)."""
     ids = dict(pairs.dtypes)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        table = group.pivot(index="j", columns="i", values="r").sort_index().sort_index(axis=1)
-        found = match_pairs(table.to_numpy(dtype=float), delta)
-        return pd.DataFrame({"key": [group["key"].iloc[0]] * len(found), "i": [table.columns[b] for _, b in found], "j": [table.index[a] for a, _ in found], "d": [float(table.iat[a, b]) for a, b in found]})
+        rows = []
+        for _, block in group.groupby(_blocks(group["i"].to_numpy(), group["j"].to_numpy())):
+            table = block.pivot(index="j", columns="i", values="r").sort_index().sort_index(axis=1)
+            if max(table.shape) > LARGEST_BLOCK:
+                raise ValueError(f"a connected block of {table.shape} pairs is larger than {LARGEST_BLOCK}")
+            rows += [(table.columns[b], table.index[a], float(table.iat[a, b])) for a, b in match_pairs(table.to_numpy(dtype=float), delta)]
+        i, j, d = zip(*rows) if rows else ((), (), ())
+        return pd.DataFrame({"key": [group["key"].iloc[0]] * len(rows), "i": i, "j": j, "d": d})
+
+    return pairs.filter(F.col("r") < delta).groupBy("key").applyInPandas(one, f"key {ids['key']}, i {ids['i']}, j {ids['j']}, d double")
 
-    return pairs.groupBy("key").applyInPandas(one, f"key {ids['key']}, i {ids['i']}, j {ids['j']}, d double")
+
+def mutual_nearest(pairs: DataFrame, delta: float) -> DataFrame:
+    """(key, i, j, d): pairs below ``delta`` that are each other's nearest, ties to the smaller id: a matching for groups of any size."""
+    near = pairs.filter(F.col("r") < delta)
+    of_i = near.groupBy("key", "i").agg(F.min(F.struct("r", "j")).alias("n")).select("key", "i", F.col("n.j").alias("j"), F.col("n.r").alias("d"))
+    of_j = near.groupBy("key", "j").agg(F.min(F.struct("r", "i")).alias("n")).select("key", F.col("n.i").alias("i"), "j")
+    return of_i.join(of_j, ["key", "i", "j"])
 
 
 def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
@@ -127,58 +174,81 @@ def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*group).agg(F.when(F.count("*") >= 2, r).alias("rho"))
 
 
-def group_metrics(pairs: DataFrame, rewards: DataFrame, p: Params) -> DataFrame:
-    """One row for each group: counts of the gates, references hit, coverage, distinct nearest references, spreads."""
+def group_metrics(pairs: DataFrame, rewards: DataFrame, p: Params, matched: DataFrame | None = None) -> DataFrame:
+    """One row for each group: counts of gates and checks, references hit, coverage, distinct nearest references, matches, spreads.
+
+    ``rewards`` as from ``rollout_rewards`` over ``gated`` rollouts; ``pairs`` holds every reference of a group at least once."""
     valid = pairs.join(rewards.filter("valid").select("key", "j"), ["key", "j"]).withColumn("r", null_if_nan(F.col("r")))
-    w = Window.partitionBy("key", "i").orderBy(F.col("r").asc_nulls_last(), "j")
-    two = valid.withColumn("n", F.row_number().over(w))
     k = F.when(F.col("r").isNull(), 0.0).otherwise(sigmoid((p.delta - F.col("r")) / p.rho))
-    refs = two.groupBy("key", "i").agg(F.min("r").alias("d1"), F.min(F.when(F.col("n") == 2, F.col("r"))).alias("d2"), (1 - F.exp(F.sum(F.log(1 - k)))).alias("soft"), F.count_if(F.col("r") < p.delta).alias("edges"))
-    hit = F.coalesce(F.col("d1") < p.delta, F.lit(False))
-    alone = hit & F.coalesce(F.col("d2") >= p.delta, F.lit(True))
+    # the two nearest rollouts of a reference, the second by id where distances are equal
+    two = F.min(F.when(F.col("r").isNotNull(), F.struct("r", "j")))
+    refs = valid.groupBy("key", "i").agg(two.alias("first"), (1 - F.exp(F.sum(F.log(1 - k)))).alias("soft"), F.count_if(F.col("r") < p.delta).alias("edges"))
+    hit = F.coalesce(F.col("first.r") < p.delta, F.lit(False))
+    alone = hit & (F.col("edges") == 1)
     share = lambda c: F.avg(c.cast("double"))
     per_ref = refs.groupBy("key").agg(F.count_if(hit).alias("refs_hit"), share(hit).alias("cov_ratio"), share(alone).alias("unique_cover_ratio"), F.avg("soft").alias("soft_cov"), share(F.col("soft") > 0.1).alias("soft_gt_01"), share(F.col("soft") > 0.5).alias("soft_gt_05"), F.sum("edges").alias("edges"))
     ok = F.col("valid") & F.col("d_min").isNotNull()
     on = lambda c: F.when(F.col("valid"), F.col(c))
-    per = rewards.groupBy("key").agg(F.count("*").alias("k"), F.count_if("graph").alias("n_graph"), F.count_if("parsed").alias("n_parsed"), F.count_if("valid").alias("n_valid"), F.countDistinct(F.when(ok, F.col("best_i"))).alias("unique_nearest"), F.count_if(ok).alias("n_near"), F.stddev_pop(on("r_qual")).alias("std_qual"), F.stddev_pop(on("r_smcov")).alias("std_smcov"), F.stddev_pop(on("reward")).alias("std_reward"))
+    counts = [F.count("*").alias("k"), *(F.count_if(c).alias(f"n_{c}") for c in ("graph", "parsed", "base", "valid")), F.count("check").alias("n_checked"), F.count_if(F.col("check") == "pass").alias("n_passed"), F.count_if(F.col("check") == "error").alias("n_errors")]
+    spreads = [F.stddev_pop(on(c)).alias(f"std_{c.removeprefix('r_')}") for c in ("r_qual", "r_smcov", "r_match", "reward")]
+    per = rewards.groupBy("key").agg(*counts, F.countDistinct(F.when(ok, F.col("best_i"))).alias("unique_nearest"), F.count_if(ok).alias("n_near"), *spreads)
     m = pairs.groupBy("key").agg(F.countDistinct("i").alias("m"))
     rho = spearman(rewards.filter("valid").select("key", "r_smcov", "reward"), ["key"], "r_smcov", "reward")
     out = per.join(m, "key", "left").join(per_ref, "key", "left").join(rho, "key", "left")
+    if matched is not None:
+        out = out.join(matched.groupBy("key").agg(F.count("*").alias("n_matched")), "key", "left")
+    else:
+        out = out.withColumn("n_matched", F.lit(0).cast("long"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
     collision = F.when(F.col("n_near") > 0, F.greatest(F.lit(0.0), 1 - F.col("unique_nearest") / F.col("n_near"))).otherwise(0.0)
-    return out.withColumn("collision", collision).withColumn("refs_hit", F.coalesce("refs_hit", F.lit(0))).withColumn("cover_ratio", F.col("cov_ratio")).withColumn("cov_ratio", F.coalesce("cov_ratio", F.lit(0.0)))
+    out = out.withColumn("collision", collision).withColumns({c: zero(c) for c in ("refs_hit", "n_matched", "edges")})
+    out = out.withColumn("possible", F.least("n_valid", "refs_hit")).withColumn("efficiency", F.when(F.col("possible") == 0, 0.0).otherwise(F.col("n_matched") / F.col("possible")))
+    # the same ratios twice: means over groups that have a ratio, and over all groups
+    return out.withColumn("cover_ratio", F.col("cov_ratio")).withColumns({"cov_ratio": zero("cov_ratio"), "covered_ratio": zero("cov_ratio"), "unique_covered_ratio": zero("unique_cover_ratio")})
 
 
-def batch_metrics(groups: DataFrame, rewards: DataFrame, p: Params) -> DataFrame:
-    """The batch's metrics in one row: ratios over rollouts, means over groups, percentiles over pooled rollouts; 0 where nothing counts."""
+def batch_metrics(groups: DataFrame, rewards: DataFrame, p: Params, matched: DataFrame, between: DataFrame) -> DataFrame:
+    """The batch's 47 metrics in one row: ratios over rollouts, means over groups, percentiles over pooled rollouts; 0 where nothing counts.
+
+    ``matched`` (key, i, j, d) and ``between`` (r: distances between a group's valid rollouts) give percentiles
+    that are NaN where there are none."""
     z = lambda c: F.coalesce(c, F.lit(0.0))
+    nan = lambda c: F.coalesce(c, F.lit(float("nan")))
     ratio = lambda a, b: z(F.try_divide(F.sum(a), F.sum(b)))
     corr = F.try_divide(F.covar_pop("refs_hit", "soft_cov"), F.stddev_pop(F.when(F.col("soft_cov").isNotNull(), F.col("refs_hit"))) * F.stddev_pop("soft_cov"))
+    mean = lambda c, name: z(F.avg(c)).alias(name)
     g = groups.agg(
-        ratio("n_graph", "k").alias("graph_match_rate"), ratio("n_parsed", "k").alias("parse_rate"), ratio("n_valid", "k").alias("valid_rate"),
-        z(F.avg("refs_hit")).alias("refs_hit_mean"), z(F.median("refs_hit")).alias("refs_hit_p50"), z(F.avg("cov_ratio")).alias("cov_ratio_mean"),
-        z(F.avg("unique_nearest")).alias("unique_nearest_mean"), z(F.avg("collision")).alias("collision_mean"), z(F.avg("n_valid")).alias("valid_mean"),
-        z(F.avg("cover_ratio")).alias("cover_ratio_mean"), z(F.avg("unique_cover_ratio")).alias("unique_cover_ratio_mean"),
-        z(F.try_divide(F.sum("edges"), F.sum(F.col("k") * F.col("m")))).alias("edge_density"), z(F.avg("soft_cov")).alias("soft_cov_mean"),
-        z(F.avg("soft_gt_01")).alias("soft_gt_01"), z(F.avg("soft_gt_05")).alias("soft_gt_05"), z(corr).alias("soft_refs_corr"),
-        z(F.avg("std_qual")).alias("qual_group_std"), z(F.avg("std_smcov")).alias("smcov_group_std"), z(F.avg("std_reward")).alias("group_std"), z(F.avg("rho")).alias("rank_corr_mean"),
+        ratio("n_graph", "k").alias("graph_match_rate"), ratio("n_parsed", "k").alias("parse_rate"), ratio("n_base", "k").alias("base_valid_rate"), ratio("n_valid", "k").alias("final_valid_rate"),
+        ratio("n_checked", "n_base").alias("checked_rate"), ratio("n_passed", "n_checked").alias("check_pass_rate"), ratio("n_errors", "n_checked").alias("check_error_rate"),
+        mean("refs_hit", "refs_hit_mean"), z(F.median("refs_hit")).alias("refs_hit_p50"), mean("cov_ratio", "cov_ratio_mean"), mean("unique_nearest", "unique_nearest_mean"), mean("collision", "collision_mean"), mean("n_valid", "valid_mean"),
+        mean("cover_ratio", "cover_ratio_mean"), mean("unique_cover_ratio", "unique_cover_ratio_mean"), mean("covered_ratio", "covered_ratio_mean"), mean("unique_covered_ratio", "unique_covered_ratio_mean"),
+        mean("n_matched", "num_matched_mean"), mean("possible", "max_possible_mean"), mean("efficiency", "efficiency_mean"),
+        z(F.try_divide(F.sum("edges"), F.sum(F.col("k") * F.col("m")))).alias("edge_density"), mean("soft_cov", "soft_cov_mean"), mean("soft_gt_01", "soft_gt_01"), mean("soft_gt_05", "soft_gt_05"), z(corr).alias("soft_refs_corr"),
+        mean("std_qual", "qual_group_std"), mean("std_smcov", "smcov_group_std"), mean("std_match", "match_group_std"), mean("std_reward", "group_std"), mean("rho", "rank_corr_mean"),
     )
-    v = rewards.filter("valid")
-    d = F.col("d_min")
-    r = v.agg(
+    d, parts = F.col("d_min"), (("qual", p.w_quality), ("smcov", p.w_coverage), ("match", p.w_match))
+    r = rewards.filter("valid").agg(
         z(F.avg(d)).alias("d_min_mean"), z(F.median(d)).alias("d_min_p50"), z(F.percentile(d, 0.9)).alias("d_min_p90"),
         z(F.avg((d < p.delta).cast("double"))).alias("under_delta"), z(F.avg((d < 2 * p.delta).cast("double"))).alias("under_2delta"),
         z(F.avg("reward")).alias("total_mean"), z(F.stddev_pop("reward")).alias("total_std"),
-        z(F.avg(p.w_quality * F.col("r_qual"))).alias("comp_qual_mean"), z(F.avg(p.w_coverage * F.col("r_smcov"))).alias("comp_smcov_mean"),
-        z(F.stddev_pop(p.w_quality * F.col("r_qual"))).alias("comp_qual_std"), z(F.stddev_pop(p.w_coverage * F.col("r_smcov"))).alias("comp_smcov_std"),
+        *(z(F.avg(w * F.col(f"r_{c}"))).alias(f"comp_{c}_mean") for c, w in parts), *(z(F.stddev_pop(w * F.col(f"r_{c}"))).alias(f"comp_{c}_std") for c, w in parts),
     )
-    out = g.crossJoin(r)  # two single rows
+    far = matched.agg(nan(F.median("d")).alias("dist_p50"), nan(F.percentile("d", 0.9)).alias("dist_p90"))
+    out = g.crossJoin(r).crossJoin(far).crossJoin(between.agg(nan(F.median("r")).alias("pairwise_p50")))  # single rows
     return out.withColumn("smcov_frac", F.when(F.col("total_mean") == 0, 0.0).otherwise(F.col("comp_smcov_mean") / (F.col("total_mean") + 1e-8)))
 
 
+def counters(rewards: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rollouts and failures of a batch, in one row: no reference at all, another graph, unparsed, check not passed, no distance."""
+    known = pairs.select("key").distinct().withColumn("truth", F.lit(True))
+    r = rewards.join(known, "key", "left").withColumn("truth", F.coalesce("truth", F.lit(False)))
+    failed = lambda c: F.count_if(F.col("truth") & c)
+    return r.agg(F.count("*").alias("rollouts"), F.count_if(~F.col("truth")).alias("failed_ground_truth"), failed(~F.col("graph")).alias("failed_matching"), failed(F.col("graph") & ~F.col("parsed")).alias("failed_parsing"), failed(F.col("base") & ~F.col("valid")).alias("failed_checks"), failed(F.col("valid") & F.col("d_min").isNull()).alias("failed_distance"))
+
+
 def match_metrics(matched: DataFrame, groups: DataFrame) -> DataFrame:
     """Matched pairs: mean number, mean of the possible number, efficiency, percentiles of the distance (NaN if there are none)."""
-    n = groups.select("key", F.least("n_valid", "refs_hit").alias("possible")).join(matched.groupBy("key").agg(F.count("*").alias("n")), "key", "left").fillna(0, ["n"])
-    a = n.agg(F.avg("n").alias("num_matched_mean"), F.avg("possible").alias("max_possible_mean"), F.avg(F.when(F.col("possible") == 0, 0.0).otherwise(F.col("n") / F.col("possible"))).alias("efficiency_mean"))
+    a = groups.agg(F.avg("n_matched").alias("num_matched_mean"), F.avg("possible").alias("max_possible_mean"), F.avg("efficiency").alias("efficiency_mean"))
     nan = F.lit(float("nan"))
     return a.crossJoin(matched.agg(F.coalesce(F.median("d"), nan).alias("dist_p50"), F.coalesce(F.percentile("d", 0.9), nan).alias("dist_p90")))
 

@@ -8,32 +8,49 @@ from ..functions import text
 from ..functions.geometry import null_if_nan
 from ..operators import coverage, rewards
 from ..session import table
+from ..sources.staging import staged
 from .registry import query
-from .views import PAIRS_SQL, ROLLOUT_SQL, SCALE, rollouts, true_and_generated
+from .views import PAIRS_SQL, RMSD_SQL, ROLLOUT_SQL, SCALE, rollouts, true_and_generated
 
 P = rewards.Params(w_match=0.0)
 PM = rewards.Params()
 
 
 def _setup(spark, sf_dir):
-    """Pairs (every 13th rollout's distances are NaN) and rollouts with their gates."""
+    """Pairs (every 13th rollout's distances are NaN) and rollouts with their gates and check states."""
     true, gen = true_and_generated(spark, sf_dir)
     pairs = coverage.pair_distances(true, gen, SCALE)
     pairs = pairs.withColumn("r", null_if_nan(F.when(F.col("j") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("r"))))
-    runs = gen.select("key", F.col("conf_id").alias("j"), (F.col("conf_id") % 7 != 0).alias("graph"), (F.col("conf_id") % 11 != 0).alias("parsed"))
-    return pairs, runs.withColumn("valid", F.col("graph") & F.col("parsed"))
+    j = F.col("conf_id")
+    runs = gen.select("key", j.alias("j"), (j % 7 != 0).alias("graph"), (j % 11 != 0).alias("parsed"))
+    j = F.col("j")
+    return pairs, rewards.gated(runs, F.when(j % 17 == 0, "error").when(j % 5 == 0, "fail").otherwise("pass"))
+
+
+def _staged(spark, sf_dir):
+    """The same, each computed once."""
+    pairs, runs = _setup(spark, sf_dir)
+    return staged(pairs, "pairs"), staged(runs, "rollouts")
 
 
 _SIG = lambda x: f"(1 / (1 + exp(-({x}))))"
 _R = f"""{PAIRS_SQL}, d AS (SELECT key, i, j, CASE WHEN j % 13 = 0 THEN NULL ELSE r END AS r FROM pairs),
-ro AS (SELECT key, conf_id AS j, conf_id % 7 <> 0 AS graph, conf_id % 11 <> 0 AS parsed, conf_id % 7 <> 0 AND conf_id % 11 <> 0 AS valid FROM v_gen),
+ra0 AS (SELECT key, conf_id AS j, conf_id % 7 <> 0 AS graph, conf_id % 11 <> 0 AS parsed FROM v_gen),
+ro AS (SELECT *, graph AND parsed AS base, CASE WHEN graph AND parsed THEN CASE WHEN j % 17 = 0 THEN 'error' WHEN j % 5 = 0 THEN 'fail' ELSE 'pass' END END AS chk, graph AND parsed AND j % 17 <> 0 AND j % 5 <> 0 AS valid FROM ra0),
 dv AS (SELECT d.* FROM d JOIN ro USING (key, j) WHERE valid),
 kk AS (SELECT *, CASE WHEN r IS NULL THEN 0.0::DOUBLE ELSE {_SIG('(0.75 - r) / 0.75')} END AS k FROM dv),
 mg AS (SELECT *, k * exp(sum(ln(1 - k)) OVER (PARTITION BY key, i) - ln(1 - k)) * (1 + 0.2 * coalesce(greatest(0.0, least(1.0, 1 - r / 0.75)), 0.0)) AS marginal FROM kk),
 ea AS (SELECT key, j, min(r) AS d_min, arg_min(i, r) AS best_i, avg(marginal) AS cover FROM mg GROUP BY key, j),
-rw AS (SELECT key, j, graph, parsed, valid, d_min, best_i, CASE WHEN d_min IS NULL THEN 0.0::DOUBLE ELSE exp(-d_min / 0.25) END AS r_qual,
+rw AS (SELECT key, j, graph, parsed, base, chk, valid, d_min, best_i, CASE WHEN d_min IS NULL THEN 0.0::DOUBLE ELSE exp(-d_min / 0.25) END AS r_qual,
   CASE WHEN valid AND d_min IS NOT NULL THEN cover + 0.1 * {_SIG('(0.75 - d_min) / 0.75')} ELSE 0.0::DOUBLE END AS r_smcov FROM ro LEFT JOIN ea USING (key, j)),
-rr AS (SELECT *, CASE WHEN valid AND d_min IS NOT NULL THEN r_qual + r_smcov ELSE -1.0::DOUBLE END AS reward FROM rw)"""
+"""
+_MUTUAL = """bi AS (SELECT key, i, arg_min(j, struct_pack(r, j)) AS j, min(r) AS d FROM dv WHERE r < 0.75 GROUP BY key, i),
+bj AS (SELECT key, j, arg_min(i, struct_pack(r, i)) AS i FROM dv WHERE r < 0.75 GROUP BY key, j),
+mt AS (SELECT key, i, j, d FROM bi JOIN bj USING (key, i, j))"""
+_RM = f"""{_R}{_MUTUAL},
+rm AS (SELECT rw.*, coalesce(greatest(0.0, 1 - mt.d / 0.75), 0.0) AS r_match FROM rw LEFT JOIN mt USING (key, j)),
+rr AS (SELECT *, CASE WHEN valid AND d_min IS NOT NULL THEN r_qual + r_smcov + r_match ELSE -1.0::DOUBLE END AS reward FROM rm)"""
+_R = f"""{_R}rr AS (SELECT *, CASE WHEN valid AND d_min IS NOT NULL THEN r_qual + r_smcov ELSE -1.0::DOUBLE END AS reward FROM rw)"""
 
 
 def _rounded(df, *cols):
@@ -55,12 +72,19 @@ def combine_reward(spark, sf_dir):
     return _rounded(rewards.rollout_rewards(*_setup(spark, sf_dir), P).select("key", "j", "valid", F.coalesce("best_i", F.lit(-1)).alias("best_i"), "reward"), "reward")
 
 
-@query()
+@query(f"""WITH {_R}, el AS (SELECT * FROM dv WHERE r < 0.75) SELECT key, true AS one_to_one, true AS all_near, true AS none_left, true AS at_least_mutual FROM el GROUP BY key""")
 def assignment(spark, sf_dir):
-    """Rewards with the matching term; tests hold the matching against brute force."""
+    """What holds of a matching of each group: ids come once, distances are below delta, no two free ones could be paired, and no fewer pairs than mutual nearest ones.
+
+    Tests hold the number of pairs and their total distance against all matchings of small groups."""
     pairs, runs = _setup(spark, sf_dir)
-    matched = rewards.assign(pairs.join(runs.filter("valid").select("key", "j"), ["key", "j"]), PM.delta)
-    return _rounded(rewards.rollout_rewards(pairs, runs, PM, matched).select("key", "j", "r_match", "reward"), "r_match", "reward")
+    near = staged(pairs.join(runs.filter("valid").select("key", "j"), ["key", "j"]).filter(F.col("r") < PM.delta), "near")
+    matched = staged(rewards.assign(near, PM.delta), "matched")
+    per = matched.groupBy("key").agg(((F.countDistinct("i") == F.count("*")) & (F.countDistinct("j") == F.count("*"))).alias("one_to_one"), (F.max("d") < PM.delta).alias("all_near"), F.count("*").alias("n"))
+    free = near.join(matched.select("key", "i"), ["key", "i"], "left_anti").join(matched.select("key", "j"), ["key", "j"], "left_anti")
+    mutual = rewards.mutual_nearest(near, PM.delta).groupBy("key").agg(F.count("*").alias("least"))
+    out = per.join(mutual, "key").join(free.groupBy("key").agg(F.count("*").alias("left")), "key", "left")
+    return out.select("key", "one_to_one", "all_near", F.col("left").isNull().alias("none_left"), (F.col("n") >= F.col("least")).alias("at_least_mutual"))
 
 
 _RANK = lambda c: f"rank() OVER (PARTITION BY key ORDER BY round({c}, 9)) + (count(*) OVER (PARTITION BY key, round({c}, 9)) - 1) / 2.0"
@@ -73,33 +97,58 @@ def spearman(spark, sf_dir):
     return _rounded(rewards.spearman(r.select("key", "r_smcov", "reward"), ["key"], "r_smcov", "reward"), "rho")
 
 
-_G = f"""{_R}, {_RHO}, nn AS (SELECT *, row_number() OVER (PARTITION BY key, i ORDER BY r NULLS LAST, j) AS n FROM kk),
-rf AS (SELECT key, i, min(r) AS d1, min(r) FILTER (WHERE n = 2) AS d2, 1 - exp(sum(ln(1 - k))) AS soft, count(*) FILTER (WHERE r < 0.75) AS edges FROM nn GROUP BY key, i),
-pr AS (SELECT key, count(*) FILTER (WHERE d1 < 0.75) AS refs_hit, avg(CASE WHEN d1 < 0.75 THEN 1.0::DOUBLE ELSE 0.0 END) AS cov_ratio, avg(CASE WHEN d1 < 0.75 AND coalesce(d2 >= 0.75, true) THEN 1.0::DOUBLE ELSE 0.0 END) AS unique_cover_ratio,
+_G = f"""{_RM}, {_RHO},
+rf AS (SELECT key, i, min(r) AS d1, 1 - exp(sum(ln(1 - k))) AS soft, count(*) FILTER (WHERE r < 0.75) AS edges FROM kk GROUP BY key, i),
+pr AS (SELECT key, count(*) FILTER (WHERE d1 < 0.75) AS refs_hit, avg(CASE WHEN d1 < 0.75 THEN 1.0::DOUBLE ELSE 0.0 END) AS cov_ratio, avg(CASE WHEN edges = 1 THEN 1.0::DOUBLE ELSE 0.0 END) AS unique_cover_ratio,
  avg(soft) AS soft_cov, avg(CASE WHEN soft > 0.1 THEN 1.0::DOUBLE ELSE 0.0 END) AS soft_gt_01, avg(CASE WHEN soft > 0.5 THEN 1.0::DOUBLE ELSE 0.0 END) AS soft_gt_05, sum(edges) AS edges FROM rf GROUP BY key),
-pg AS (SELECT key, count(*) AS k, count(*) FILTER (WHERE graph) AS n_graph, count(*) FILTER (WHERE parsed) AS n_parsed, count(*) FILTER (WHERE valid) AS n_valid, count(DISTINCT best_i) FILTER (WHERE valid AND d_min IS NOT NULL) AS unique_nearest, count(*) FILTER (WHERE valid AND d_min IS NOT NULL) AS n_near,
- stddev_pop(r_qual) FILTER (WHERE valid) AS std_qual, stddev_pop(r_smcov) FILTER (WHERE valid) AS std_smcov, stddev_pop(reward) FILTER (WHERE valid) AS std_reward FROM rr GROUP BY key),
+pg AS (SELECT key, count(*) AS k, count(*) FILTER (WHERE graph) AS n_graph, count(*) FILTER (WHERE parsed) AS n_parsed, count(*) FILTER (WHERE base) AS n_base, count(*) FILTER (WHERE valid) AS n_valid, count(chk) AS n_checked, count(*) FILTER (WHERE chk = 'pass') AS n_passed, count(*) FILTER (WHERE chk = 'error') AS n_errors,
+ count(DISTINCT best_i) FILTER (WHERE valid AND d_min IS NOT NULL) AS unique_nearest, count(*) FILTER (WHERE valid AND d_min IS NOT NULL) AS n_near,
+ stddev_pop(r_qual) FILTER (WHERE valid) AS std_qual, stddev_pop(r_smcov) FILTER (WHERE valid) AS std_smcov, stddev_pop(r_match) FILTER (WHERE valid) AS std_match, stddev_pop(reward) FILTER (WHERE valid) AS std_reward FROM rr GROUP BY key),
 mm AS (SELECT key, count(DISTINCT i) AS m FROM d GROUP BY key),
-g AS (SELECT pg.*, m, coalesce(refs_hit, 0) AS refs_hit, coalesce(cov_ratio, 0) AS cov_ratio, cov_ratio AS cover_ratio, unique_cover_ratio, soft_cov, soft_gt_01, soft_gt_05, edges, rho, CASE WHEN n_near > 0 THEN greatest(0.0, 1 - unique_nearest / n_near) ELSE 0.0 END AS collision FROM pg LEFT JOIN mm USING (key) LEFT JOIN pr USING (key) LEFT JOIN rho USING (key)),
-ga AS (SELECT sum(n_graph) / sum(k) AS graph_match_rate, sum(n_parsed) / sum(k) AS parse_rate, sum(n_valid) / sum(k) AS valid_rate, avg(refs_hit) AS refs_hit_mean, median(refs_hit) AS refs_hit_p50, avg(cov_ratio) AS cov_ratio_mean, avg(unique_nearest) AS unique_nearest_mean, avg(collision) AS collision_mean, avg(n_valid) AS valid_mean, avg(cover_ratio) AS cover_ratio_mean, avg(unique_cover_ratio) AS unique_cover_ratio_mean, sum(edges) / sum(k * m) AS edge_density, avg(soft_cov) AS soft_cov_mean, avg(soft_gt_01) AS soft_gt_01, avg(soft_gt_05) AS soft_gt_05, coalesce(corr(refs_hit, soft_cov), 0) AS soft_refs_corr, avg(std_qual) AS qual_group_std, avg(std_smcov) AS smcov_group_std, avg(std_reward) AS group_std, avg(rho) AS rank_corr_mean FROM g),
-ra AS (SELECT avg(d_min) AS d_min_mean, median(d_min) AS d_min_p50, quantile_cont(d_min, 0.9) AS d_min_p90, avg(CASE WHEN d_min < 0.75 THEN 1.0::DOUBLE WHEN d_min IS NULL THEN NULL ELSE 0.0 END) AS under_delta, avg(CASE WHEN d_min < 1.5 THEN 1.0::DOUBLE WHEN d_min IS NULL THEN NULL ELSE 0.0 END) AS under_2delta, avg(reward) AS total_mean, stddev_pop(reward) AS total_std, avg(r_qual) AS comp_qual_mean, avg(r_smcov) AS comp_smcov_mean, stddev_pop(r_qual) AS comp_qual_std, stddev_pop(r_smcov) AS comp_smcov_std FROM rr WHERE valid)"""
-_METRICS = "graph_match_rate parse_rate valid_rate refs_hit_mean refs_hit_p50 cov_ratio_mean unique_nearest_mean collision_mean valid_mean cover_ratio_mean unique_cover_ratio_mean edge_density soft_cov_mean soft_gt_01 soft_gt_05 soft_refs_corr qual_group_std smcov_group_std group_std rank_corr_mean d_min_mean d_min_p50 d_min_p90 under_delta under_2delta total_mean total_std comp_qual_mean comp_smcov_mean comp_qual_std comp_smcov_std".split()
-
-
-@query(f"WITH {_G} SELECT {', '.join(f'round({c}, 6) AS {c}' for c in _METRICS)}, round(comp_smcov_mean / (total_mean + 1e-8), 6) AS smcov_frac FROM ga, ra")
+mn AS (SELECT key, count(*) AS n_matched FROM mt GROUP BY key),
+g AS (SELECT pg.*, m, coalesce(refs_hit, 0) AS refs_hit, coalesce(cov_ratio, 0) AS cov_ratio, cov_ratio AS cover_ratio, unique_cover_ratio, soft_cov, soft_gt_01, soft_gt_05, coalesce(edges, 0) AS edges, rho, coalesce(n_matched, 0) AS n_matched, least(n_valid, coalesce(refs_hit, 0)) AS possible,
+ CASE WHEN n_near > 0 THEN greatest(0.0, 1 - unique_nearest / n_near) ELSE 0.0 END AS collision FROM pg LEFT JOIN mm USING (key) LEFT JOIN pr USING (key) LEFT JOIN rho USING (key) LEFT JOIN mn USING (key)),
+ga AS (SELECT sum(n_graph) / sum(k) AS graph_match_rate, sum(n_parsed) / sum(k) AS parse_rate, sum(n_base) / sum(k) AS base_valid_rate, sum(n_valid) / sum(k) AS final_valid_rate, sum(n_checked) / sum(n_base) AS checked_rate, sum(n_passed) / sum(n_checked) AS check_pass_rate, sum(n_errors) / sum(n_checked) AS check_error_rate,
+ avg(refs_hit) AS refs_hit_mean, median(refs_hit) AS refs_hit_p50, avg(cov_ratio) AS cov_ratio_mean, avg(unique_nearest) AS unique_nearest_mean, avg(collision) AS collision_mean, avg(n_valid) AS valid_mean, avg(cover_ratio) AS cover_ratio_mean, avg(unique_cover_ratio) AS unique_cover_ratio_mean, avg(coalesce(cover_ratio, 0)) AS covered_ratio_mean, avg(coalesce(unique_cover_ratio, 0)) AS unique_covered_ratio_mean,
+ avg(n_matched) AS num_matched_mean, avg(possible) AS max_possible_mean, avg(CASE WHEN possible = 0 THEN 0.0::DOUBLE ELSE n_matched / possible END) AS efficiency_mean,
+ sum(edges) / sum(k * m) AS edge_density, avg(soft_cov) AS soft_cov_mean, avg(soft_gt_01) AS soft_gt_01, avg(soft_gt_05) AS soft_gt_05, coalesce(corr(refs_hit, soft_cov), 0) AS soft_refs_corr, avg(std_qual) AS qual_group_std, avg(std_smcov) AS smcov_group_std, avg(std_match) AS match_group_std, avg(std_reward) AS group_std, avg(rho) AS rank_corr_mean FROM g),
+ra AS (SELECT avg(d_min) AS d_min_mean, median(d_min) AS d_min_p50, quantile_cont(d_min, 0.9) AS d_min_p90, avg(CASE WHEN d_min < 0.75 THEN 1.0::DOUBLE WHEN d_min IS NULL THEN NULL ELSE 0.0 END) AS under_delta, avg(CASE WHEN d_min < 1.5 THEN 1.0::DOUBLE WHEN d_min IS NULL THEN NULL ELSE 0.0 END) AS under_2delta, avg(reward) AS total_mean, stddev_pop(reward) AS total_std,
+ avg(r_qual) AS comp_qual_mean, avg(r_smcov) AS comp_smcov_mean, avg(r_match) AS comp_match_mean, stddev_pop(r_qual) AS comp_qual_std, stddev_pop(r_smcov) AS comp_smcov_std, stddev_pop(r_match) AS comp_match_std FROM rr WHERE valid),
+md AS (SELECT coalesce(median(d), 'nan'::DOUBLE) AS dist_p50, coalesce(quantile_cont(d, 0.9), 'nan'::DOUBLE) AS dist_p90 FROM mt),
+vg AS (SELECT v.* FROM v_gen v JOIN ro ON v.key = ro.key AND v.conf_id = ro.j WHERE ro.valid),
+bt AS (SELECT median({SCALE} * {RMSD_SQL}) AS pairwise_p50 FROM vg a JOIN vg b ON a.key = b.key AND a.conf_id < b.conf_id)"""
+_METRICS = "graph_match_rate parse_rate base_valid_rate final_valid_rate checked_rate check_pass_rate check_error_rate refs_hit_mean refs_hit_p50 cov_ratio_mean unique_nearest_mean collision_mean valid_mean cover_ratio_mean unique_cover_ratio_mean covered_ratio_mean unique_covered_ratio_mean num_matched_mean max_possible_mean efficiency_mean edge_density soft_cov_mean soft_gt_01 soft_gt_05 soft_refs_corr qual_group_std smcov_group_std match_group_std group_std rank_corr_mean d_min_mean d_min_p50 d_min_p90 under_delta under_2delta total_mean total_std comp_qual_mean comp_smcov_mean comp_match_mean comp_qual_std comp_smcov_std comp_match_std dist_p50 dist_p90 pairwise_p50".split()
+
+
+def _scored(spark, sf_dir):
+    """Pairs, rollouts, matched pairs and rewards, each computed once. Mutual nearest pairs are the matching, which SQL can say."""
+    pairs, runs = _staged(spark, sf_dir)
+    matched = staged(rewards.mutual_nearest(pairs.join(runs.filter("valid").select("key", "j"), ["key", "j"]), PM.delta), "matched")
+    return pairs, runs, matched, staged(rewards.rollout_rewards(pairs, runs, PM, matched), "rewards")
+
+
+@query(f"WITH {_G} SELECT {', '.join(f'round({c}, 6) AS {c}' for c in _METRICS)}, round(comp_smcov_mean / (total_mean + 1e-8), 6) AS smcov_frac FROM ga, ra, md, bt")
 def batch_metrics(spark, sf_dir):
-    pairs, runs = _setup(spark, sf_dir)
-    r = rewards.rollout_rewards(pairs, runs, P)
-    out = rewards.batch_metrics(rewards.group_metrics(pairs, r, P), r, P)
+    """All 47 metrics; the distances between rollouts are those of all pairs of a group."""
+    pairs, runs, matched, r = _scored(spark, sf_dir)
+    gen = true_and_generated(spark, sf_dir)[1].join(runs.filter("valid").select("key", F.col("j").alias("conf_id")), ["key", "conf_id"])
+    between = coverage.pair_distances(gen, gen, SCALE).filter("i < j")
+    groups = staged(rewards.group_metrics(pairs, r, PM, matched), "groups")
+    out = rewards.batch_metrics(groups, r, PM, matched, between)
     return _rounded(out, *out.columns)
 
 
-@query()
+@query(f"WITH {_G} SELECT round(num_matched_mean, 6) AS num_matched_mean, round(max_possible_mean, 6) AS max_possible_mean, round(efficiency_mean, 6) AS efficiency_mean, round(dist_p50, 6) AS dist_p50, round(dist_p90, 6) AS dist_p90 FROM ga, md")
 def match_metrics(spark, sf_dir):
+    pairs, _, matched, r = _scored(spark, sf_dir)
+    out = rewards.match_metrics(matched, rewards.group_metrics(pairs, r, PM, matched))
+    return _rounded(out, *out.columns)
+
+
+@query(f"WITH {_R} SELECT count(*) AS rollouts, count(*) FILTER (WHERE NOT t) AS failed_ground_truth, count(*) FILTER (WHERE t AND NOT graph) AS failed_matching, count(*) FILTER (WHERE t AND graph AND NOT parsed) AS failed_parsing, count(*) FILTER (WHERE t AND base AND NOT valid) AS failed_checks, count(*) FILTER (WHERE t AND valid AND d_min IS NULL) AS failed_distance FROM (SELECT *, key IN (SELECT key FROM d) AS t FROM rr)")
+def reward_counters(spark, sf_dir):
     pairs, runs = _setup(spark, sf_dir)
-    matched = rewards.assign(pairs.join(runs.filter("valid").select("key", "j"), ["key", "j"]), PM.delta)
-    r = rewards.rollout_rewards(pairs, runs, PM, matched)
-    return rewards.match_metrics(matched, rewards.group_metrics(pairs, r, PM))
+    return rewards.counters(rewards.rollout_rewards(pairs, runs, P), pairs)
 
 
 _BLOCK = "regexp_extract(completion, '(?s)\\[CONFORMER\\](.*?)\\[/CONFORMER\\]', 1)"
