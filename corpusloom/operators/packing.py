@@ -13,6 +13,8 @@ from ..sources.staging import staged
 
 IGNORE = -100
 LOOKAHEAD = 100
+#: Tokens of a shard, about: one is packed in a second or two.
+SHARD_TOKENS = 1 << 20
 
 
 def char_tokens(text: Column) -> Column:
@@ -107,10 +109,15 @@ class BestFit:
             yield self.close()
 
 
+def shards_for(units: DataFrame) -> int:
+    """How many shards units (with n_tokens) are dealt into: by their tokens alone, so that bins don't depend on the cluster."""
+    return max(1, -(-(units.agg(F.sum("n_tokens")).first()[0] or 0) // SHARD_TOKENS))
+
+
 def pack_best_fit(units: DataFrame, unit: str, order: str, seq_len: int, shards: int, lookahead: int = LOOKAHEAD) -> DataFrame:
     """(shard, bin, units, used): units (with n_tokens) packed into samples of seq_len, each unit followed by a separator.
 
-    Shards are packed apart, so their number is the parallelism and should grow with the input. A task
+    Shards are packed apart, so their number is the parallelism and should grow with the input (``shards_for``). A task
     streams a shard's units in order and holds ``lookahead`` of them and one bin."""
     dealt = units.select(F.pmod(F.xxhash64(unit), F.lit(shards)).cast("int").alias("shard"), F.col(order).alias("o"), F.col(unit).cast("long").alias("unit"), (F.col("n_tokens") + 1).cast("long").alias("size"))
 
@@ -138,9 +145,9 @@ def pack_best_fit(units: DataFrame, unit: str, order: str, seq_len: int, shards:
 
 
 def accounts(bins: DataFrame, seq_len: int) -> DataFrame:
-    """Samples, items, tokens, padding and utilisation of (units, used) bins."""
+    """Samples, items, tokens, padding and utilisation of (items, used) bins."""
     total = F.count("*") * seq_len
-    return bins.agg(F.count("*").alias("samples"), F.sum(F.size("units")).alias("items"), F.sum("used").alias("tokens"), (total - F.sum("used")).alias("padding"), F.round(F.sum("used") / total, 6).alias("utilization"))
+    return bins.agg(F.count("*").alias("samples"), F.sum("items").alias("items"), F.sum("used").alias("tokens"), (total - F.sum("used")).alias("padding"), F.round(F.sum("used") / total, 6).alias("utilization"))
 
 
 def extrapolate(sampled: int, valid: int, lines: int, per_sample: float, batch: int, seq_len: int) -> dict[str, float]:

@@ -11,14 +11,14 @@ from ..session import table
 from .registry import query
 from .views import CORPUS_SQL, corpus
 
-_REASON = "CASE WHEN contains(canonical, ',') THEN 'dotted' WHEN length(embedded) < 400 THEN 'short' END"
+_REASON = "CASE WHEN regexp_matches(canonical, '[.][a-z]') THEN 'dotted' WHEN length(embedded) < 400 THEN 'short' END"
 _SPLIT = "CASE WHEN conf % 10 <= 7 THEN 'train' WHEN conf % 10 = 8 THEN 'valid' ELSE 'test' END"
 _TAGGED = f"{CORPUS_SQL}, t AS (SELECT *, {_REASON} AS reason, {_SPLIT} AS split FROM v_mol)"
 
 
 def _tagged(spark, sf_dir):
     m = corpus(spark, sf_dir)
-    reason = F.when(F.contains("canonical", F.lit(",")), "dotted").when(F.length("embedded") < 400, "short")
+    reason = F.when(F.col("canonical").rlike("[.][a-z]"), "dotted").when(F.length("embedded") < 400, "short")
     return m.withColumn("reason", reason).withColumn("split", op.split_of(F.col("conf")))
 
 
@@ -28,9 +28,10 @@ def filter_topn_per_group(spark, sf_dir):
     return op.first_per_group(_tagged(spark, sf_dir).filter("reason is null").select("geom", "conf"), ["geom"], ["conf"], 5)
 
 
-@query(f"WITH {CORPUS_SQL} SELECT geom, conf FROM v_mol WHERE lower(substr(embedded, 1, 40)) = lower(canonical) AND lang = 'en'")
+@query(f"WITH {CORPUS_SQL} SELECT geom, conf FROM v_mol WHERE lower(embedded) = canonical AND lang = 'en'")
 def clean_filter(spark, sf_dir):
-    return corpus(spark, sf_dir).filter((F.lower(F.substring("embedded", 1, 40)) == F.lower("canonical")) & (F.col("lang") == "en")).select("geom", "conf")
+    """Rows whose text is stored in canonical form, but for case."""
+    return corpus(spark, sf_dir).filter((F.lower("embedded") == F.col("canonical")) & (F.col("lang") == "en")).select("geom", "conf")
 
 
 @query("WITH p AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) SELECT conv_id, turn, coalesce(regexp_replace(text, '[@/\\\\ ]', '', 'g') = regexp_replace(nxt, '[@/\\\\ ]', '', 'g'), false) AS same FROM p")
@@ -77,9 +78,9 @@ def prompt_filter(spark, sf_dir):
     return table(spark, sf_dir, "conversations").filter(F.length(F.trim("text")) > 0).select("conv_id", "turn", p.alias("prompt")).filter(F.length("prompt") <= 150)
 
 
-@query(f"WITH {CORPUS_SQL} SELECT conf, length(canonical) > 0 AND length(embedded) >= 16 AND length(canonical) + length(embedded) <= 2000 AS valid FROM v_mol")
+@query(f"WITH {CORPUS_SQL} SELECT conf, length(canonical) > 0 AND length(embedded) >= 16 AND length(canonical) + length(embedded) <= 4000 AS valid FROM v_mol")
 def unit_validity(spark, sf_dir):
-    return corpus(spark, sf_dir).select("conf", text.unit_validity(F.col("canonical"), F.col("embedded"), 16, 2000).alias("valid"))
+    return corpus(spark, sf_dir).select("conf", text.unit_validity(F.col("canonical"), F.col("embedded"), 16, 4000).alias("valid"))
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5('17:0:' || doc_id) LIMIT 100")

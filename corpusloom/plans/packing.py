@@ -10,7 +10,8 @@ from .registry import query
 from .views import CORPUS_SQL, corpus
 
 SEQ = 2048
-_UNITS = f"{CORPUS_SQL}, u AS (SELECT conf, '[SMILES]' || canonical || '[/SMILES][CONFORMER]' || embedded || '[/CONFORMER]' AS unit FROM v_mol WHERE length(canonical) > 0 AND length(embedded) >= 16), n AS (SELECT conf, unit, least(length(unit), {SEQ - 1}) AS n_tokens FROM u)"
+#: whole: all tokens of a unit; n_tokens: those that fit a sample with a separator
+_UNITS = f"{CORPUS_SQL}, u AS (SELECT conf, '[SMILES]' || canonical || '[/SMILES][CONFORMER]' || embedded || '[/CONFORMER]' AS unit FROM v_mol WHERE length(canonical) > 0 AND length(embedded) >= 16), n AS (SELECT conf, unit, length(unit) AS whole, least(length(unit), {SEQ - 1}) AS n_tokens FROM u)"
 
 
 def _units(spark, sf_dir):
@@ -20,41 +21,43 @@ def _units(spark, sf_dir):
 
 
 def _sizes(spark, sf_dir):
+    """Units cut to fit a sample, as best-fit packing reads them."""
     return _units(spark, sf_dir).select("conf", F.least(F.length("unit"), F.lit(SEQ - 1)).cast("long").alias("n_tokens"))
 
 
-@query(f"WITH {_UNITS} SELECT conf, CAST(n_tokens AS INT) AS n_tokens, CAST(list_sum(list_transform(range(1, n_tokens + 1), lambda i: ord(substr(unit, i, 1)))) AS BIGINT) AS code_sum FROM n")
+def _whole(spark, sf_dir):
+    """Units in full: chunk packing carries what a block can't hold on to the next."""
+    return _units(spark, sf_dir).select("conf", F.length("unit").cast("long").alias("n_tokens"))
+
+
+@query(f"WITH {_UNITS} SELECT conf, CAST(n_tokens AS INT) AS n_tokens, CAST(list_sum(list_transform(string_split(left(unit, {SEQ - 1}), ''), lambda c: ord(c))) AS BIGINT) AS code_sum FROM n")
 def unit_tokens(spark, sf_dir):
     t = op.truncated(op.char_tokens(F.col("unit")), SEQ)
     return _units(spark, sf_dir).select("conf", t.alias("t")).select("conf", F.size("t").alias("n_tokens"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x).alias("code_sum"))
 
 
-_TOK = "list_transform(range(1, least(length(canonical), 12 + conf % 8) + 1), lambda i: ord(substr(canonical, i, 1)))"
-
-
-@query(f"WITH {CORPUS_SQL}, t AS (SELECT conf, {_TOK} AS t FROM v_mol), s AS (SELECT conf, len(t) AS n, list_concat(t, list_transform(range(0, 16 - len(t)), lambda i: 0)) AS s FROM (SELECT conf, t[1:15] AS t FROM t)) SELECT conf, array_to_string(s, ' ') AS sample, array_to_string(list_transform(range(1, 17), lambda i: CASE WHEN i >= n + 1 OR i = 16 THEN -100 ELSE s[i + 1] END), ' ') AS labels FROM s")
+@query(f"WITH {_UNITS}, t AS (SELECT conf, list_transform(string_split(left(unit, {SEQ - 1}), ''), lambda c: ord(c)) AS t FROM n), s AS (SELECT conf, len(t) AS n, list_concat(t, list_transform(range(0, {SEQ} - len(t)), lambda i: 0)) AS s FROM t) SELECT conf, n, md5(array_to_string(s, ' ')) AS sample, md5(array_to_string(list_transform(range(1, {SEQ + 1}), lambda i: CASE WHEN i >= n + 1 OR i = {SEQ} THEN -100 ELSE s[i + 1] END), ' ')) AS labels FROM s")
 def label_shift(spark, sf_dir):
-    """Samples of 16 with labels: a unit, its separator and padding."""
-    m = corpus(spark, sf_dir)
-    t = op.truncated(op.char_tokens(F.substring("canonical", F.lit(1), (F.lit(12) + F.col("conf") % 8).cast("int"))), 16)
-    s = m.select("conf", t.alias("t")).select("conf", F.size("t").alias("n"), op.finalize(F.col("t"), 16, 0).alias("s"))
-    show = lambda a: F.array_join(a.cast("array<string>"), " ")
-    return s.select("conf", show(F.col("s")).alias("sample"), show(op.labels(F.col("s"), F.col("n") + 1)).alias("labels"))
+    """Samples with labels: a unit, its separator and padding; digests of both."""
+    t = op.truncated(op.char_tokens(F.col("unit")), SEQ)
+    s = _units(spark, sf_dir).select("conf", t.alias("t")).select("conf", F.size("t").alias("n"), op.finalize(F.col("t"), SEQ, 0).alias("s"))
+    digest = lambda a: F.md5(F.array_join(a.cast("array<string>"), " "))
+    return s.select("conf", F.col("n").cast("long").alias("n"), digest(F.col("s")).alias("sample"), digest(op.labels(F.col("s"), F.col("n") + 1)).alias("labels"))
 
 
-_LAID = f"{_UNITS}, l AS (SELECT conf, n_tokens, sum(n_tokens) OVER (ORDER BY conf) AS stop FROM n), c AS (SELECT conf, n_tokens, stop - n_tokens AS start, stop, unnest(range(CAST((stop - n_tokens) // {SEQ + 1} AS BIGINT), CAST((stop - 1) // {SEQ + 1} + 1 AS BIGINT))) AS block FROM l)"
+_LAID = f"{_UNITS}, l AS (SELECT conf, whole, sum(whole) OVER (ORDER BY conf) AS stop FROM n), c AS (SELECT conf, stop - whole AS start, stop, unnest(range(CAST((stop - whole) // {SEQ + 1} AS BIGINT), CAST((stop - 1) // {SEQ + 1} + 1 AS BIGINT))) AS block FROM l)"
 _PIECES = f"{_LAID}, p AS (SELECT block, conf, CAST(greatest(start, block * {SEQ + 1}) - start AS BIGINT) AS \"from\", CAST(least(stop, (block + 1) * {SEQ + 1}) - start AS BIGINT) AS \"to\" FROM c)"
 
 
 @query(f'WITH {_PIECES} SELECT block, conf, "from", "to" FROM p')
 def pack_chunk(spark, sf_dir):
-    return op.pack_chunks(_sizes(spark, sf_dir), ["conf"], SEQ)
+    return op.pack_chunks(_whole(spark, sf_dir), ["conf"], SEQ)
 
 
 @query(f'WITH {_PIECES}, b AS (SELECT block, count(*) AS items, sum("to" - "from") AS used FROM p GROUP BY block) SELECT count(*) AS samples, CAST(sum(items) AS BIGINT) AS items, CAST(sum(used) AS BIGINT) AS tokens, CAST(count(*) * {SEQ + 1} - sum(used) AS BIGINT) AS padding, round(sum(used) / (count(*) * {SEQ + 1}), 6) AS utilization FROM b')
 def token_accounting(spark, sf_dir):
-    p = op.pack_chunks(_sizes(spark, sf_dir), ["conf"], SEQ)
-    bins = p.groupBy("block").agg(F.collect_list("conf").alias("units"), F.sum(F.col("to") - F.col("from")).alias("used"))
+    p = op.pack_chunks(_whole(spark, sf_dir), ["conf"], SEQ)
+    bins = p.groupBy("block").agg(F.count("*").alias("items"), F.sum(F.col("to") - F.col("from")).alias("used"))
     return op.accounts(bins, SEQ + 1)
 
 
@@ -68,24 +71,33 @@ def token_extrapolation(spark, sf_dir):
     return spark.createDataFrame([(round(out["valid_ratio"], 6), out["valid_lines"], out["samples"], out["batches"], out["tokens"])], "valid_ratio double, valid_lines long, samples long, batches long, tokens long")
 
 
-@query()
+def _each(bins):
+    """Packed units, and whether their bin holds no more than a sample."""
+    return bins.select(F.explode("units").alias("unit"), (F.col("used") <= SEQ).alias("fits"))
+
+
+@query(f"WITH {_UNITS} SELECT conf AS unit, true AS fits FROM n")
 def pack_bestfit(spark, sf_dir):
-    return op.pack_best_fit(_sizes(spark, sf_dir), "conf", "conf", SEQ, shards=16).withColumn("padding", F.lit(SEQ) - F.col("used"))
+    """Every unit is in one bin, and no bin is overfull; tests hold the choice of units by hand."""
+    sizes = _sizes(spark, sf_dir)
+    return _each(op.pack_best_fit(sizes, "conf", "conf", SEQ, shards=op.shards_for(sizes)))
 
 
 @query(f"WITH {_UNITS} SELECT count(*) AS units, CAST(sum(n_tokens + 1) AS BIGINT) AS tokens, CAST(sum(conf) AS BIGINT) AS id_sum FROM n")
 def pack_conservation(spark, sf_dir):
     """Units and tokens after packing; the SQL counts those before."""
-    bins = op.pack_best_fit(_sizes(spark, sf_dir), "conf", "conf", SEQ, shards=16)
+    sizes = _sizes(spark, sf_dir)
+    bins = op.pack_best_fit(sizes, "conf", "conf", SEQ, shards=op.shards_for(sizes))
     return bins.agg(F.sum(F.size("units")).alias("units"), F.sum("used").alias("tokens"), F.sum(F.aggregate("units", F.lit(0).cast("long"), lambda a, x: a + x)).alias("id_sum"))
 
 
-@query()
+@query(f"WITH {_UNITS} SELECT conf AS unit, true AS fits FROM n")
 def stream_pack(spark, sf_dir):
-    """The same units packed by a stateful stream that is read to its end (tests: none lost, none twice)."""
+    """The same units packed by a stateful stream that is read to its end: none lost, none twice, no bin overfull."""
     from ..streaming.pack import pack_stream
 
-    return pack_stream(_sizes(spark, sf_dir).select(F.col("conf").alias("unit"), "n_tokens"), SEQ, shards=8)
+    sizes = _sizes(spark, sf_dir)
+    return _each(pack_stream(sizes.select(F.col("conf").alias("unit"), "n_tokens"), SEQ, shards=op.shards_for(sizes)))
 
 
 @query("SELECT time_bucket(INTERVAL 1 day, ts) AS day, event_type, count(*) AS n, round(avg(CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS rate FROM events GROUP BY 1, 2")

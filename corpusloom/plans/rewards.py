@@ -161,24 +161,24 @@ def _gates(spark, sf_dir):
     return r.select("group_id", "pos", text.extract_between(F.col("prompt"), *text.SMILES).alias("canonical"), text.extract_between(F.col("completion"), *text.CONFORMER).alias("block"), "completion")
 
 
-@query(f"WITH {_GATES} SELECT group_id, pos, block <> '' AS parsed, block <> '' AND substr(block, 1, 20) = canonical AS graph FROM gt")
+@query(f"WITH {_GATES} SELECT group_id, pos, block <> '' AS parsed, block <> '' AND block = canonical AS graph FROM gt")
 def gates(spark, sf_dir):
     parsed = F.col("block") != ""
-    return _gates(spark, sf_dir).select("group_id", "pos", parsed.alias("parsed"), (parsed & (F.substring("block", 1, 20) == F.col("canonical"))).alias("graph"))
+    return _gates(spark, sf_dir).select("group_id", "pos", parsed.alias("parsed"), (parsed & (F.col("block") == F.col("canonical"))).alias("graph"))
 
 
-@query(f"WITH {_GATES}, f AS (SELECT CASE WHEN NOT contains(completion, '[/CONFORMER]') THEN 'no_closing_tag' WHEN trim(block) = '' THEN 'empty_conformer' WHEN length(block) < 20 THEN 'parsing_error' WHEN substr(block, 1, 20) <> canonical THEN 'smiles_mismatch' WHEN length(block) % 17 = 0 THEN 'rmsd_nan' ELSE 'ok' END AS failure FROM gt) SELECT failure, count(*) AS n FROM f GROUP BY failure")
+@query(f"WITH {_GATES}, f AS (SELECT CASE WHEN NOT contains(completion, '[/CONFORMER]') THEN 'no_closing_tag' WHEN trim(block) = '' THEN 'empty_conformer' WHEN length(block) < 20 THEN 'parsing_error' WHEN block <> canonical THEN 'smiles_mismatch' WHEN length(block) % 17 = 0 THEN 'rmsd_nan' ELSE 'ok' END AS failure FROM gt) SELECT failure, count(*) AS n FROM f GROUP BY failure")
 def failure_taxonomy(spark, sf_dir):
     """The first failure that applies: unclosed, empty, unparsable, another graph, no distance."""
     block = F.col("block")
-    failure = F.when(~F.contains("completion", F.lit("[/CONFORMER]")), "no_closing_tag").when(F.trim(block) == "", "empty_conformer").when(F.length(block) < 20, "parsing_error").when(F.substring(block, 1, 20) != F.col("canonical"), "smiles_mismatch").when(F.length(block) % 17 == 0, "rmsd_nan").otherwise("ok")
+    failure = F.when(~F.contains("completion", F.lit("[/CONFORMER]")), "no_closing_tag").when(F.trim(block) == "", "empty_conformer").when(F.length(block) < 20, "parsing_error").when(block != F.col("canonical"), "smiles_mismatch").when(F.length(block) % 17 == 0, "rmsd_nan").otherwise("ok")
     return _gates(spark, sf_dir).groupBy(failure.alias("failure")).agg(F.count("*").alias("n"))
 
 
-@query("WITH g AS (SELECT role, substr(text, 1, 10) AS canonical, conv_id * 1000 + turn AS pos FROM conversations) SELECT role, canonical, min(pos) AS first_pos, count(*) AS k, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS members FROM g GROUP BY role, canonical")
+@query("WITH g AS (SELECT role, lower(text) AS canonical, conv_id * 1000 + turn AS pos FROM conversations) SELECT role, canonical, min(pos) AS first_pos, count(*) AS k, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS members FROM g GROUP BY role, canonical")
 def rollout_group(spark, sf_dir):
     """Groups of a flat batch with their members' positions, by which rewards are written back."""
-    g = table(spark, sf_dir, "conversations").select("role", F.substring("text", 1, 10).alias("canonical"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"))
+    g = table(spark, sf_dir, "conversations").select("role", F.lower("text").alias("canonical"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"))
     return g.groupBy("role", "canonical").agg(F.min("pos").alias("first_pos"), F.count("*").alias("k"), F.array_join(F.array_sort(F.collect_list("pos")).cast("array<string>"), ",").alias("members"))
 
 

@@ -61,23 +61,30 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.select("conf_id", built.alias("atoms")).select("conf_id", one.alias("enriched"))
 
 
+#: ASCII white space, as a run; both engines read it the same way.
+_BLANKS = "[ \\t\\r\\n]+"
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(geom, conf, canonical, embedded, lang): whole texts, and the same in lower case with single spaces."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("source").alias("geom"), F.col("doc_id").alias("conf"), F.substring("text", 1, 40).alias("canonical"), F.col("text").alias("embedded"), "lang")
+    canonical = F.trim(F.regexp_replace(F.lower("text"), _BLANKS, " "))
+    return docs.select(F.col("source").alias("geom"), F.col("doc_id").alias("conf"), canonical.alias("canonical"), F.col("text").alias("embedded"), "lang")
 
 
-CORPUS_SQL = "v_mol AS (SELECT source AS geom, doc_id AS conf, substr(text, 1, 40) AS canonical, text AS embedded, lang FROM documents)"
+CORPUS_SQL = f"v_mol AS (SELECT source AS geom, doc_id AS conf, trim(regexp_replace(lower(text), '{_BLANKS}', ' ', 'g')) AS canonical, text AS embedded, lang FROM documents)"
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(group_id, pos, prompt, completion): conversations as generations, unclosed ones for role system."""
+    """(group_id, pos, prompt, completion): conversations as generations: unclosed for role system, as prompted for assistant, without vowels for others."""
     c = table(spark, sf_dir, "conversations")
-    text = F.when(F.col("role") == "system", F.concat(F.lit("[CONFORMER]"), "text")).when(F.col("role") == "assistant", F.concat(F.lit("[CONFORMER]"), "text", F.lit("[/CONFORMER]"))).otherwise(F.concat(F.lit("[CONFORMER]"), F.substring("text", 1, 20), F.lit("[/CONFORMER]")))
-    return c.select(F.col("conv_id").alias("group_id"), F.col("turn").alias("pos"), F.concat(F.lit("[SMILES]"), F.substring("text", 1, 20), F.lit("[/SMILES]")).alias("prompt"), text.alias("completion"))
+    block = F.when(F.col("role") == "assistant", F.trim("text")).otherwise(F.trim(F.regexp_replace("text", "[aeiou]", "")))
+    text = F.when(F.col("role") == "system", F.concat(F.lit("[CONFORMER]"), "text")).otherwise(F.concat(F.lit("[CONFORMER]"), block, F.lit("[/CONFORMER]")))
+    return c.select(F.col("conv_id").alias("group_id"), F.col("turn").alias("pos"), F.concat(F.lit("[SMILES]"), F.trim("text"), F.lit("[/SMILES]")).alias("prompt"), text.alias("completion"))
 
 
-ROLLOUT_SQL = """v_rollout AS (SELECT conv_id AS group_id, turn AS pos, '[SMILES]' || substr(text, 1, 20) || '[/SMILES]' AS prompt,
-  CASE WHEN role = 'system' THEN '[CONFORMER]' || text WHEN role = 'assistant' THEN '[CONFORMER]' || text || '[/CONFORMER]' ELSE '[CONFORMER]' || substr(text, 1, 20) || '[/CONFORMER]' END AS completion FROM conversations)"""
+ROLLOUT_SQL = """v_rollout AS (SELECT conv_id AS group_id, turn AS pos, '[SMILES]' || trim(text) || '[/SMILES]' AS prompt,
+  CASE WHEN role = 'system' THEN '[CONFORMER]' || text WHEN role = 'assistant' THEN '[CONFORMER]' || trim(text) || '[/CONFORMER]' ELSE '[CONFORMER]' || trim(regexp_replace(text, '[aeiou]', '', 'g')) || '[/CONFORMER]' END AS completion FROM conversations)"""
 
 
 def check_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
