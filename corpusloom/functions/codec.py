@@ -104,6 +104,13 @@ def bin_center(i: Column, low: float, width: float) -> Column:
     return F.lit(low) + (i - 0.5) * F.lit(width)
 
 
+def bin_draw(i: Column, low: float, width: float, seed: int, *of: Column) -> Column:
+    """A seeded place within bin ``i``, even over its width: the same for the same values ``of`` (a row's key, say)."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(c.cast("string") for c in of)))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return F.lit(low) + (i - 1 + u) * F.lit(width)
+
+
 def encode_binned(indices: Column, n_bins: int) -> Column:
     """Indices as zero-padded numbers of three digits or more, comma-joined in angle brackets."""
     width = max(3, len(str(n_bins)))

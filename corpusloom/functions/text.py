@@ -53,8 +53,8 @@ def safe_filename(name: Column, most: int = 250, suffix: str = ".pickle") -> Col
 
 def match_score(prompt: Column, answer: Column) -> Column:
     """1 if equal, else the share of the prompt's characters that the answer has in place; an empty prompt gives 0 unless equal."""
-    n = F.least(F.length(prompt), F.length(answer))
-    same = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), F.lit(0), lambda a, i: a + F.when(F.substring(prompt, i, F.lit(1)) == F.substring(answer, i, F.lit(1)), 1).otherwise(0))
+    chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    same = F.size(F.filter(F.zip_with(chars(prompt), chars(answer), lambda x, y: x == y), lambda met: met))
     return F.when(prompt == answer, 1.0).otherwise(F.coalesce(F.try_divide(same.cast("double"), F.length(prompt)), F.lit(0.0)))
 
 

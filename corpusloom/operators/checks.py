@@ -37,3 +37,15 @@ def gate(checks: list[str], mode: str) -> tuple[Column, list[str]]:
     """Whether a row passes the first checks that a mode asks for; unknown modes ask for none."""
     used = checks[: {"basic": 1, "geometry": 2, "full": len(checks)}.get(mode, 0)]
     return (passed(used) if used else F.lit(True)), used
+
+
+def means(df: DataFrame, checks: list[str]) -> DataFrame:
+    """One row: mean share of checks that pass (``avg``) and share of rows that pass all (``bool``) of a batch."""
+    return df.agg(F.round(F.avg(fraction(checks)), 6).alias("avg"), F.round(F.avg(passed(checks).cast("double")), 6).alias("bool"))
+
+
+def pass_vector(df: DataFrame, expected: DataFrame, key: str, pos: str, checks: list[str]) -> DataFrame:
+    """(key, pos, passed) for positions 0 to n - 1 of every key in ``expected`` (key, n): rows beyond are cut off, missing ones have not passed."""
+    places = expected.filter("n > 0").select(key, F.explode(F.expr("sequence(0L, n - 1)")).alias(pos))
+    rows = df.select(key, F.col(pos).cast("long").alias(pos), passed(checks).alias("passed"))
+    return places.join(rows, [key, pos], "left").select(key, pos, F.coalesce("passed", F.lit(False)).alias("passed"))

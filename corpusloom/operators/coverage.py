@@ -19,11 +19,11 @@ def pair_distances(true: DataFrame, gen: DataFrame, scale: float = 1.0) -> DataF
 
 
 def minima(pairs: DataFrame) -> DataFrame:
-    """(key, side, id, m): nearest distance of every true (side R) and generated (side P) member; NaN counts as missing, and a member with no distance has null m.
+    """(key, side, id, m, far, total, n): nearest distance of every true (side R) and generated (side P) member; NaN counts as missing, and a member with no distance has null m.
 
-    One pass over the pairs: each goes to both of its members, and minima fold before the shuffle."""
+    Furthest distance, sum and number of distances come along. One pass over the pairs: each goes to both of its members, and minima fold before the shuffle."""
     both = F.explode(F.array(F.struct(F.lit("R").alias("side"), F.col("i").alias("id")), F.struct(F.lit("P").alias("side"), F.col("j").alias("id"))))
-    return pairs.select("key", null_if_nan(F.col("r")).alias("r"), both.alias("m")).groupBy("key", "m.side", "m.id").agg(F.min("r").alias("m"))
+    return pairs.select("key", null_if_nan(F.col("r")).alias("r"), both.alias("m")).groupBy("key", "m.side", "m.id").agg(F.min("r").alias("m"), F.max("r").alias("far"), F.sum("r").alias("total"), F.count("r").alias("n"))
 
 
 def matching(low: DataFrame) -> DataFrame:

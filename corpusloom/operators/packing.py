@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -156,3 +156,44 @@ def extrapolate(sampled: int, valid: int, lines: int, per_sample: float, batch:
     valid_lines = int(lines * ratio)
     samples = int(valid_lines / per_sample) if per_sample else 0
     return {"valid_ratio": ratio, "valid_lines": valid_lines, "samples": samples, "batches": -(-samples // batch), "tokens": samples * seq_len}
+
+
+def check_bytes(sample: DataFrame, whole: DataFrame) -> DataFrame:
+    """One row: bytes that a sample of lines (``lines``, ``n_bytes``) leads to expect of the whole, what there are, and the difference, also in percent; null where nothing counts."""
+    s = sample.agg(F.sum("lines").alias("_sl"), F.sum("n_bytes").alias("_sb"))
+    w = whole.agg(F.sum("lines").alias("_wl"), F.sum("n_bytes").alias("_wb"))
+    expected = F.nullif(F.col("_sb"), F.lit(0)) * (F.nullif(F.col("_wl"), F.lit(0)) / F.nullif(F.col("_sl"), F.lit(0)))
+    out = s.crossJoin(w).select(expected.alias("expected_bytes"), F.nullif("_wb", F.lit(0)).cast("double").alias("actual_bytes"))  # two single rows
+    return out.withColumn("difference", F.abs(F.col("expected_bytes") - F.col("actual_bytes"))).withColumn("difference_pct", 100 * F.col("difference") / F.col("actual_bytes"))
+
+
+def special_token(ids: Mapping[str, int], named: int | None = None, fallbacks: Sequence[str | None] = ()) -> int | None:
+    """A special token's id: the one named, else that of the first fallback text that the vocabulary has."""
+    if named is not None:
+        return int(named)
+    return next((ids[t] for t in fallbacks if t and ids.get(t, -1) >= 0), None)
+
+
+def separator(ids: Mapping[str, int], token: str = "<|endoftext|>") -> int:
+    """The id that separates units and pads samples: one token for both, which must be there."""
+    found = special_token(ids, fallbacks=(token,))
+    if found is None:
+        raise ValueError(f"the vocabulary has no {token}")
+    return found
+
+
+def sampled(values: Column, n: int, seed: int) -> Column:
+    """At most ``n`` of an array's values, drawn by a seeded digest without replacement; the array itself if it is short enough, empty if ``n`` is 0 or less."""
+    drawn = F.array_sort(F.transform(values, lambda x, i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), i.cast("string"), x.cast("string"))).alias("k"), x.alias("x"))))
+    return F.when(F.size(values) <= n, values).otherwise(F.transform(F.slice(drawn, 1, max(n, 0)), lambda s: s["x"]))
+
+
+def combined_seed(*candidates: object) -> int:
+    """One 64-bit seed of all candidates that are whole numbers (or say one): each multiplies what came before and is added."""
+    seed = 0
+    for value in candidates:
+        try:
+            seed = (seed * 6364136223846793005 + int(value)) % (1 << 64)
+        except (TypeError, ValueError):
+            continue
+    return seed

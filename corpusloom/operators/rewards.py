@@ -5,6 +5,7 @@ Distances come in long form, (key, i, j, r): reference i, rollout j; null r for
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,8 @@ class Params:
     w_precision: float = 0.1
     w_depth: float = 0.2
     floor: float = -1.0
+    #: a rollout without any distance is no longer valid (it gets the floor in any case)
+    hard_distance: bool = False
 
 
 def quality(d_min: Column, p: Params) -> Column:
@@ -73,7 +76,8 @@ def rollout_rewards(pairs: DataFrame, rollouts: DataFrame, p: Params, matched: D
     # a term without weight is not computed into the sum at all
     parts = [w * F.col(c) for w, c in ((p.w_quality, "r_qual"), (p.w_coverage, "r_smcov"), (p.w_match, "r_match")) if w]
     total = sum(parts[1:], parts[0]) if parts else F.lit(0.0)
-    return out.withColumn("reward", F.when(ok, total).otherwise(F.lit(p.floor))).drop("cover", "d")
+    out = out.withColumn("reward", F.when(ok, total).otherwise(F.lit(p.floor))).drop("cover", "d")
+    return out.withColumn("valid", ok) if p.hard_distance else out
 
 
 def assignment(cost: np.ndarray) -> np.ndarray:
@@ -259,3 +263,27 @@ def legacy_reward(d_min: Column, text_match: Column, truth: Column, generated: C
     reward = (w_rmsd * F.when(d_min.isNotNull(), 1 / (1 + d_min / scale)).otherwise(0.0) + w_match * text_match) / total
     failure = F.when(~truth, "ground_truth").when(~generated, "missing_conformer").when(~same_graph, "graph_mismatch").when(d_min.isNull(), "rmsd_nan")
     return F.when(failure.isin("ground_truth", "missing_conformer"), 0.0).otherwise(reward), failure
+
+
+def _legacy(pairs: DataFrame, rollouts: DataFrame, p: Params) -> DataFrame:
+    """(key, j, reward) by the legacy rule: same graph counts as the text match, unparsed rollouts as missing."""
+    low = pairs.groupBy("key", "j").agg(F.min(null_if_nan(F.col("r"))).alias("d_min"))
+    known = pairs.select("key").distinct().withColumn("truth", F.lit(True))
+    r = rollouts.join(low, ["key", "j"], "left").join(known, "key", "left")
+    reward, failure = legacy_reward(F.col("d_min"), F.col("graph").cast("double"), F.coalesce("truth", F.lit(False)), F.col("parsed"), F.col("graph"))
+    return r.select("key", "j", reward.alias("reward"), failure.alias("failure"))
+
+
+def _v3(pairs: DataFrame, rollouts: DataFrame, p: Params) -> DataFrame:
+    matched = assign(pairs.join(rollouts.filter("valid").select("key", "j"), ["key", "j"]), p.delta) if p.w_match else None
+    return rollout_rewards(pairs, rollouts, p, matched)
+
+
+#: Rewards of (pairs, gated rollouts, parameters) by the name of a strategy; more may be added.
+STRATEGIES: dict[str, Callable[[DataFrame, DataFrame, Params], DataFrame]] = {"v3": _v3, "legacy": _legacy}
+
+
+def strategy(name: str) -> Callable[[DataFrame, DataFrame, Params], DataFrame]:
+    if name not in STRATEGIES:
+        raise ValueError(f"no reward strategy {name!r}; there are {sorted(STRATEGIES)}")
+    return STRATEGIES[name]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import checks as op
@@ -39,3 +40,19 @@ def check_gate(spark, sf_dir):
     gates = F.array(*(F.struct(F.lit(m).alias("mode"), op.gate(CHECKS, m)[0].alias("ok")) for m in ("off", "basic", "geometry", "full")))
     rows = check_matrix(spark, sf_dir).select(F.inline(gates))
     return rows.groupBy("mode").agg(F.count("*").alias("checked"), F.count_if("ok").alias("passed"))
+
+
+@query(f"WITH {CHECK_SQL} SELECT round(avg(({_SUM}) / 4.0::DOUBLE), 6) AS avg, round(avg({_PASS}), 6) AS bool FROM v_check")
+def check_means(spark, sf_dir):
+    return op.means(check_matrix(spark, sf_dir), CHECKS)
+
+
+_POSED = f"{CHECK_SQL}, p AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY conf) - 1 AS pos, {_SUM} = 4 AS ok FROM v_check), e AS (SELECT key, count(*) + CASE WHEN length(key) % 2 = 0 THEN 3 ELSE -3 END AS n FROM v_check GROUP BY key)"
+
+
+@query(f"WITH {_POSED}, s AS (SELECT key, unnest(range(0, n)) AS pos FROM e) SELECT key, pos, coalesce(ok, false) AS passed FROM s LEFT JOIN p USING (key, pos)")
+def pass_vector(spark, sf_dir):
+    """Vectors of an expected length: three positions more than there are rows for some keys, three fewer for others."""
+    m = check_matrix(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy("conf")) - 1)
+    expected = m.groupBy("key").agg((F.count("*") + F.when(F.length("key") % 2 == 0, 3).otherwise(-3)).alias("n"))
+    return op.pass_vector(m, expected, "key", "pos", CHECKS)

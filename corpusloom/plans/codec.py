@@ -88,6 +88,12 @@ def bin_center(spark, sf_dir):
     return b.groupBy("bin").agg(F.count("*").alias("n")).select("bin", "n", F.round(codec.bin_center(F.col("bin"), LOW, WIDTH), 6).alias("center"))
 
 
+@query(f"WITH {ATOMS_SQL}, b AS (SELECT conf_id, pos, {_BIN} AS bin, CAST('0x' || substr(md5('9:' || conf_id || ':' || pos), 1, 8) AS BIGINT) / 4294967296::DOUBLE AS u FROM v_atoms) SELECT conf_id, CAST(pos AS INT) AS pos, round({LOW}::DOUBLE + (bin - 1 + u) * {WIDTH}::DOUBLE, 6) AS drawn FROM b")
+def bin_draw(spark, sf_dir):
+    b = atoms(spark, sf_dir).select("conf_id", "pos", codec.bin_index(F.col("x"), codec.bin_edges(LOW, HIGH, WIDTH)).alias("bin"))
+    return b.select("conf_id", "pos", F.round(codec.bin_draw(F.col("bin"), LOW, WIDTH, 9, F.col("conf_id"), F.col("pos")), 6).alias("drawn"))
+
+
 _GRID = lambda c: f"lpad(CAST(greatest(0, least(20, CAST(floor(({c} + 0.5) / 0.05) AS INT) + 1)) AS VARCHAR), 3, '0')"
 
 

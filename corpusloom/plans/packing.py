@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import packing as op
+from ..session import table
 from .registry import query
 from .views import CORPUS_SQL, corpus
 
@@ -106,3 +107,18 @@ def stream_rates(spark, sf_dir):
     from ..streaming.rates import daily_rates
 
     return daily_rates(spark, f"{sf_dir}/events.parquet")
+
+
+@query("WITH l AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS b FROM documents), s AS (SELECT sum(b) AS sb, count(*) AS sl FROM l WHERE doc_id % 10 = 0), w AS (SELECT sum(b) AS wb, count(*) AS wl FROM l), e AS (SELECT sb * (wl / sl) AS expected, CAST(wb AS DOUBLE) AS actual FROM s, w) SELECT round(expected, 6) AS expected_bytes, actual AS actual_bytes, round(abs(expected - actual), 6) AS difference, round(100 * abs(expected - actual) / actual, 6) AS difference_pct FROM e")
+def byte_check(spark, sf_dir):
+    """Bytes that every tenth line leads to expect, against all: an estimate is the feature here."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("lines"), (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("n_bytes"))
+    out = op.check_bytes(lines.filter("doc_id % 10 = 0"), lines)
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+@query("WITH v AS (SELECT label AS key, list(vec_id ORDER BY vec_id) AS v FROM embeddings GROUP BY label), d AS (SELECT key, v, list_sort(list_transform(v, lambda x, i: {'k': md5('5:' || (i - 1) || ':' || x), 'x': x})) AS s FROM v) SELECT key, len(v) AS n, array_to_string(CASE WHEN len(v) <= 20 THEN v ELSE list_transform(s[1:20], lambda e: e.x) END, ',') AS drawn FROM d")
+def array_sample(spark, sf_dir):
+    """Twenty of each key's ids: sampling is the feature here."""
+    v = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("key")).agg(F.array_sort(F.collect_list("vec_id")).alias("v"))
+    return v.select("key", F.size("v").cast("long").alias("n"), F.array_join(op.sampled(F.col("v"), 20, 5).cast("array<string>"), ",").alias("drawn"))

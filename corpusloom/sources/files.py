@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import chunk, global_index, shuffle_key
-from .staging import staged
+from .staging import _file_system, staged
 
 ROW = "canonical_smiles string, embedded_smiles string, geom_id string, _bad string"
 
 
+def expand_paths(spark: SparkSession, *paths: str, suffix: str = ".jsonl") -> list[str]:
+    """The files that paths stand for, sorted, each once: globs matched, folders searched through for ``suffix``, files kept. None at all is an error."""
+    found: set[str] = set()
+    for path in paths:
+        system, where = _file_system(spark, path)
+        for status in system.globStatus(where) or []:
+            if not status.isDirectory():
+                found.add(status.getPath().toString())
+                continue
+            files = system.listFiles(status.getPath(), True)
+            while files.hasNext():
+                name = files.next().getPath().toString()
+                if name.endswith(suffix):
+                    found.add(name)
+    if not found:
+        raise FileNotFoundError(f"no files at {', '.join(paths) or 'no paths'}")
+    return sorted(found)
+
+
 def read_jsonl(spark: SparkSession, *paths: str) -> DataFrame:
     """Corpus rows of files, globs or folders (searched through, ``*.jsonl`` only), fields trimmed, missing ones "". ``_bad`` holds lines that don't parse."""
-    files, folders = [p for p in paths if p.endswith((".jsonl", ".json")) or any(c in p for c in "*?[")], []
-    folders = [p for p in paths if p not in files]
-    parts = []
-    if files:
-        parts.append(spark.read.schema(ROW).option("columnNameOfCorruptRecord", "_bad").json(files))
-    if folders:
-        parts.append(spark.read.schema(ROW).option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(folders))
-    if not parts:
+    if not paths:
         raise ValueError("no paths given")
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    rows = spark.read.schema(ROW).option("columnNameOfCorruptRecord", "_bad").json(expand_paths(spark, *paths))
     clean = lambda c: F.trim(F.coalesce(c, F.lit(""))).alias(c)
     return rows.select(clean("canonical_smiles"), clean("embedded_smiles"), "geom_id", "_bad")
 
@@ -69,29 +84,91 @@ def read_token_prompts(spark: SparkSession, path: str, n: int) -> DataFrame:
 
 
 def read_sdf(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, name, n_atoms, atoms, props) of each record of SDF files (V2000); atoms array<struct<sym, x, y, z>>.
-
-    Records are split at their end marks by the reader, so a file of any size is read in parallel. A record
-    whose counts line doesn't parse has null atoms."""
-    raw = spark.read.option("lineSep", "$$$$").text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"^\r?\n", "").alias("value")).filter(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
+    """(file, pos, name, n_atoms, atoms, bonds, props) of each record of SDF files (V2000), ``pos`` counting a file's records from 0.
+
+    atoms array<struct<sym, x, y, z>>, bonds array<struct<a, b, order>>. Records are split at their end marks
+    by the reader, so a file of any size is read in parallel: a record's place is that in its split plus the
+    records of earlier splits. A record whose counts line doesn't parse has null atoms and bonds."""
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block")]
+    raw = spark.read.option("lineSep", "$$$$").text(path).select(*meta, F.monotonically_increasing_id().alias("_row"), F.regexp_replace("value", r"^\r?\n", "").alias("value"))
+    raw = raw.filter(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
     lines = F.split("value", r"\r?\n")
-    n = F.try_to_number(F.trim(F.substring(F.try_element_at(lines, F.lit(4)), 1, 3)), F.lit("999")).cast("int")
     part = lambda a, i: F.try_element_at(a, F.lit(i))
+    count = lambda at: F.try_to_number(F.trim(F.substring(part(lines, 4), at, 3)), F.lit("999")).cast("int")
+    n, m = count(1), F.coalesce(count(4), F.lit(0))
     cells = lambda line: F.split(F.trim(line), r"\s+")
     atom = lambda line: F.struct(part(cells(line), 4).alias("sym"), *(part(cells(line), k + 1).try_cast("double").alias(c) for k, c in enumerate("xyz")))
+    number = lambda line, at: F.trim(F.substring(line, at, 3)).try_cast("int")
+    bond = lambda line: F.struct(*(number(line, at).alias(c) for c, at in (("a", 1), ("b", 4), ("order", 7))))
     atoms = F.when(n.isNotNull(), F.transform(F.slice(lines, F.lit(5), n), atom))
+    bonds = F.when(n.isNotNull(), F.transform(F.slice(lines, n + 5, m), bond))
     found = F.regexp_extract_all("value", F.lit(r"> *<([^>]+)>[^\n]*\n([^\r\n]*)"), F.lit(0))
     entries = F.transform(found, lambda e: F.struct(F.regexp_extract(e, r"> *<([^>]+)>", 1).alias("key"), F.regexp_extract(e, r"> *<[^>]+>[^\n]*\n([^\r\n]*)", 1).alias("value")))
-    return raw.select("file", F.trim(part(lines, 1)).alias("name"), n.alias("n_atoms"), atoms.alias("atoms"), F.map_from_entries(F.array_distinct(entries)).alias("props"))
+    rows = raw.select("file", "_block", "_row", F.trim(part(lines, 1)).alias("name"), n.alias("n_atoms"), atoms.alias("atoms"), bonds.alias("bonds"), F.map_from_entries(F.array_distinct(entries)).alias("props"))
+    # one row a split
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = raw.groupBy("file", "_block").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy("file", "_block").orderBy("_row")) - 1
+    return rows.withColumn("_at", within).join(splits, ["file", "_block"]).select("file", (F.col("_before") + F.col("_at")).alias("pos"), "name", "n_atoms", "atoms", "bonds", "props")
+
+
+def largest_degree(bonds: Column) -> Column:
+    """The most bonds that one atom of a structure has; 0 without bonds."""
+    ends = F.concat(F.transform(bonds, lambda x: x["a"]), F.transform(bonds, lambda x: x["b"]))
+    return F.coalesce(F.array_max(F.transform(F.array_distinct(ends), lambda e: F.size(F.filter(ends, lambda x: x == e)))), F.lit(0))
+
+
+def with_index(structures: DataFrame, *order: str, key: str = "name") -> DataFrame:
+    """Structures with their number over all files, and it and the name as properties ``mol_index`` and ``mol_id``."""
+    numbered = global_index(structures, *order, out="mol_index")
+    more = F.create_map(F.lit("mol_index"), F.col("mol_index").cast("string"), F.lit("mol_id"), F.coalesce(F.col(key), F.lit("")))
+    kept = F.map_filter(F.coalesce("props", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("mol_index", "mol_id"))
+    return numbered.withColumn("props", F.map_concat(kept, more))
+
+
+def checked_reload(written: DataFrame, read: DataFrame, key: str, value: str) -> DataFrame:
+    """The rows read, once each key is known to have the value that was written; a missing, extra or changed one stops the job."""
+    w, r = written.select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.lit(1).alias("_w")), read.withColumn("_r", F.lit(1))
+    both = r.join(w, F.col(key).eqNullSafe(F.col("_k")), "full")
+    ok = (F.col("_w") == 1) & (F.col("_r") == 1) & F.col(value).eqNullSafe(F.col("_v"))
+    fail = F.raise_error(F.concat(F.lit("not as written: "), F.coalesce(F.col(key).cast("string"), F.col("_k").cast("string"), F.lit("null"))))
+    return both.filter(F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(fail.cast("boolean"))).select(*read.columns)
 
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n_atoms, comment, atoms) of XYZ files, one structure each; exponents written as ``*^`` are read too."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("l"))
-    n = F.trim(F.try_element_at("l", F.lit(1))).try_cast("int")
-    cells = lambda line: F.split(F.trim(F.replace(line, F.lit("*^"), F.lit("e"))), r"\s+")
-    atom = lambda line: F.struct(F.try_element_at(cells(line), F.lit(1)).alias("sym"), *(F.try_element_at(cells(line), F.lit(k + 2)).try_cast("double").alias(c) for k, c in enumerate("xyz")))
-    return raw.select("file", n.alias("n_atoms"), F.try_element_at("l", F.lit(2)).alias("comment"), F.when(n.isNotNull(), F.transform(F.slice("l", F.lit(3), n), atom)).alias("atoms"))
+    """(file, frame, n_atoms, comment, atoms) of XYZ files, a row for each structure in a file; exponents written as ``*^`` are read too.
+
+    Where a structure's first line is no number, that row has no atoms and the file ends there."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+
+    def structures(text: str) -> Iterator[tuple]:
+        lines, at, frame = text.splitlines(), 0, 0
+        while at < len(lines) and (lines[at].strip() or not frame):
+            n = int(lines[at]) if lines[at].strip().isdigit() else None
+            cells = [line.replace("*^", "e").split() for line in lines[at + 2 : at + 2 + (n or 0)]]
+            atoms = [{"sym": c[0] if c else None, **{k: _number(c, i + 1) for i, k in enumerate("xyz")}} for c in cells]
+            yield frame, n, lines[at + 1] if at + 1 < len(lines) else None, None if n is None else atoms
+            if n is None:
+                return
+            at, frame = at + 2 + n, frame + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("sym", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64())]))
+        for batch in batches:
+            for file, text in zip(*(column.to_pylist() for column in batch.columns)):
+                rows = list(structures(text))
+                for some in (rows[k : k + 1024] for k in range(0, len(rows), 1024)):
+                    frame, n, comment, atoms = zip(*some)
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(some)), pa.array(frame, pa.int32()), pa.array(n, pa.int32()), pa.array(comment, pa.string()), pa.array(atoms, kind)], ["file", "frame", "n_atoms", "comment", "atoms"])
+
+    return raw.mapInArrow(run, "file string, frame int, n_atoms int, comment string, atoms array<struct<sym:string,x:double,y:double,z:double>>")
+
+
+def _number(cells: list[str], at: int) -> float | None:
+    try:
+        return float(cells[at])
+    except (IndexError, ValueError):
+        return None
 
 
 def write_sdf(df: DataFrame, path: str) -> None:
