@@ -1,6 +1,8 @@
 """Approximate nearest neighbours by cosine: inverted lists, product-quantised residuals, exact reranking.
 
-The model (coarse centroids, codebooks) is fitted on a bounded sample and broadcast; every row is indexed.
+The model (coarse centroids, codebooks) is fitted on a bounded sample and broadcast; every row is indexed. A
+list belongs to a centroid and, in tables with more rows than the sample can give centroids for, to one of the
+second level as well, which is shared by all centroids: the number of lists grows with the root of the rows.
 Equal vectors are indexed once with their smallest ids, all that a top-k with ties to smaller ids can
 return. Lists are dealt in blocks of bounded size and the queries that probe a list in slices of bounded
 size; each block scores each slice by table look-ups and reranks its shortlist with the original vectors.
@@ -33,17 +35,24 @@ CODES = 256
 class Model:
     dim: int
     centroids: np.ndarray
+    second: np.ndarray  # centroids of what is left of a vector after the first; list = first * len(second) + second
     books: np.ndarray  # subspace x code x 2
-    probes: int
+    probes: int  # first-level centroids
+    lists: int  # lists of those
 
     def padded(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, 2 * len(self.books) - x.shape[1])))
 
+    def centres(self, lists: np.ndarray) -> np.ndarray:
+        return self.centroids[lists // len(self.second)] + self.second[lists % len(self.second)]
+
     def assign(self, unit: np.ndarray) -> np.ndarray:
-        return np.argmax(unit @ self.centroids.T - 0.5 * (self.centroids**2).sum(axis=1), axis=1)
+        first = np.argmax(unit @ self.centroids.T - 0.5 * (self.centroids**2).sum(axis=1), axis=1)
+        left = unit - self.centroids[first]
+        return first * len(self.second) + np.argmax(left @ self.second.T - 0.5 * (self.second**2).sum(axis=1), axis=1)
 
     def encode(self, unit: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        rest = self.padded(unit - self.centroids[lists]).reshape(len(unit), -1, 2)
+        rest = self.padded(unit - self.centres(lists)).reshape(len(unit), -1, 2)
         codes = np.empty(rest.shape[:2], dtype=np.uint8)
         for j, book in enumerate(self.books):
             codes[:, j] = np.argmin((book**2).sum(axis=1) - 2 * rest[:, j] @ book.T, axis=1)
@@ -53,9 +62,28 @@ class Model:
         """query x subspace x code: inner products of the query with the codes; a query stays exact, only rows are quantised."""
         return np.einsum("qjd,jcd->qjc", self.padded(queries).reshape(len(queries), -1, 2), self.books)
 
-    def probed(self, queries: np.ndarray) -> np.ndarray:
+    def nearness(self, query: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """How near a query is to each list of some first-level centroids: first x second."""
+        c = self.centroids[first]
+        of_first = c @ query - 0.5 * (c**2).sum(axis=1)
+        return of_first[:, None] + (self.second @ query - 0.5 * (self.second**2).sum(axis=1))[None, :] - c @ self.second.T
+
+    def probed(self, queries: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """The lists that each query asks, nearest first; further ones too as long as they hold fewer than ``least`` ids together."""
         near = queries @ self.centroids.T - 0.5 * (self.centroids**2).sum(axis=1)
-        return np.argsort(-near, axis=1, kind="stable")[:, : self.probes]
+        order = np.argsort(-near, axis=1, kind="stable")
+        out = []
+        for query, first in zip(queries, order):
+            for some, n in ((first[: self.probes], self.lists), (first, None)):
+                found = self.nearness(query, some).ravel()
+                ranked = np.argsort(-found, kind="stable")
+                lists = (some[:, None] * len(self.second) + np.arange(len(self.second))[None, :]).ravel()[ranked]
+                held = np.cumsum(sizes[lists])
+                if n is not None and held[min(n, len(held)) - 1] >= least:
+                    break
+                n = int(np.searchsorted(held, least)) + 1
+            out.append(lists[:n])
+        return out
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -82,9 +110,12 @@ def fit_arrays(x: np.ndarray, n_rows: int, k: int, recall: float = PROBE_RECALL,
     unit = units(x)
     n_lists = int(np.clip(np.sqrt(n_rows) / 2, 1, max(1, len(unit) // 16)))
     centroids = _kmeans(unit, n_lists, 8, rng)
-    model = Model(x.shape[1], centroids, np.zeros((-(-x.shape[1] // 2), 1, 2)), len(centroids))
+    first = np.argmax(unit @ centroids.T - 0.5 * (centroids**2).sum(axis=1), axis=1)
+    n_second = int(np.clip(np.sqrt(n_rows) / 2 / len(centroids), 1, max(1, len(unit) // 16)))
+    second = _kmeans(unit - centroids[first], n_second, 8, rng) if n_second > 1 else np.zeros((1, x.shape[1]))
+    model = Model(x.shape[1], centroids, second, np.zeros((-(-x.shape[1] // 2), 1, 2)), len(centroids), len(centroids) * len(second))
     own = model.assign(unit)
-    rest = model.padded(unit - centroids[own]).reshape(len(unit), -1, 2)
+    rest = model.padded(unit - model.centres(own)).reshape(len(unit), -1, 2)
     books = []
     for j in range(rest.shape[1]):
         book = _kmeans(rest[:, j], CODES, 5, rng)
@@ -92,10 +123,22 @@ def fit_arrays(x: np.ndarray, n_rows: int, k: int, recall: float = PROBE_RECALL,
     model.books = np.stack(books)
     trial = unit[rng.choice(len(unit), min(len(unit), 400), replace=False)]
     near = np.argsort(-(trial @ unit.T), axis=1)[:, 1 : k + 1]
-    place = np.argsort(np.argsort(-(trial @ centroids.T - 0.5 * (centroids**2).sum(axis=1)), axis=1), axis=1)
-    ranks = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
-    if len(ranks):
-        model.probes = int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
+    order = np.argsort(-(trial @ centroids.T - 0.5 * (centroids**2).sum(axis=1)), axis=1)
+    place = np.argsort(order, axis=1)
+
+    def enough(ranks: np.ndarray) -> int:
+        """How many of the nearest hold ``recall`` of the neighbours whose ranks these are."""
+        ranks = np.sort(ranks)
+        return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
+
+    if near.size:
+        model.probes = enough(np.take_along_axis(place, first[near], axis=1).ravel())
+        ranks = []
+        for query, some, at, lists in zip(trial, order[:, : model.probes], place, own[near]):
+            found = model.nearness(query, some)
+            held = lists[at[lists // len(second)] < model.probes]
+            ranks += [int((found > found[at[i // len(second)], i % len(second)]).sum()) for i in held]
+        model.lists = enough(np.array(ranks)) if ranks else model.probes * len(second)
     return model
 
 
@@ -151,19 +194,30 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str =
     queries = rows.filter(F.col("vec_id") % query_every == 0)
     asked = staged(queries.groupBy("v").agg(F.count("*").alias("_n")).select("v", F.monotonically_increasing_id().alias("q")), "queries")
 
+    held = indexed.groupBy("list").agg(F.sum(F.size("ids")).alias("n_ids"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    # ids that come with several vectors could count more than once: they don't count at all
+    several = staged(rows.groupBy("vec_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("vec_id").alias("id")), "several")
+    over = indexed.select("list", F.explode("ids").alias("id")).join(several, "id").groupBy("list").agg(F.count("*").alias("n_over"))
+    held = held.join(over, "list", "left").withColumn("n_ids", F.col("n_ids") - F.coalesce("n_over", F.lit(0))).drop("n_over")
+    held = staged(held, "lists")
+    # a row for each of the model's lists: half the root of the table's rows, and never more than (train_rows / 16) squared
+    counts = held.select("list", "n_ids").toArrow()
+    sizes = np.zeros(len(model.centroids) * len(model.second), dtype=np.int64)
+    sizes[counts["list"].to_numpy()] = counts["n_ids"].to_numpy()
+    sizes_of = spark.sparkContext.broadcast(sizes)
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                lists = own.probed(units(_matrix(some.column(0), dim)))
-                again = pa.array(np.repeat(np.arange(len(lists)), lists.shape[1]))
-                yield pa.RecordBatch.from_arrays([some.column(0).take(again), some.column(1).take(again), pa.array(lists.ravel().astype(np.int32))], ["v", "q", "list"])
+                lists = own.probed(units(_matrix(some.column(0), dim)), sizes_of.value, k + 1)
+                again = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+                yield pa.RecordBatch.from_arrays([some.column(0).take(again), some.column(1).take(again), pa.array(np.concatenate(lists).astype(np.int32))], ["v", "q", "list"])
 
     probes = asked.select("v", "q").mapInArrow(probe, f"v {vector}, q long, list int")
-    blocks = indexed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     slices = probes.groupBy("list").agg(F.ceil(F.count("*") / ASK_ROWS).cast("int").alias("slices"))
-    grid = F.broadcast(staged(blocks.join(slices, "list"), "grid"))  # a row for each of the model's lists, fewer than train_rows / 16
+    grid = F.broadcast(staged(held.select("list", "blocks").join(slices, "list"), "grid"))  # a row for each of the model's lists
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     members = indexed.join(grid, "list").withColumn("block", dealt(F.element_at("ids", 1), "blocks")).withColumn("slice", each("slices")).select("list", "block", "slice", "v", "ids", "code")
@@ -180,7 +234,7 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str =
         v = _matrix(held["v"].combine_chunks(), dim)[order]
         codes = np.frombuffer(b"".join(held["code"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[order]
         lengths_of = np.sqrt((v**2).sum(axis=1))
-        centre = own.centroids[held["list"][0].as_py()]
+        centre = own.centres(np.array([held["list"][0].as_py()]))[0]
         qs, qv = asking["q"].to_pylist(), _matrix(asking["qv"].combine_chunks(), dim)
         out: list[tuple[int, int, float]] = []
         for at in range(0, len(qs), 256):
@@ -198,18 +252,19 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str =
                 else:
                     pick = np.arange(len(ids))
                 exact = (v[pick] * query).sum(axis=1) / (lengths_of[pick] * np.sqrt((query**2).sum()))
-                found = 0
+                found: set[int] = set()
                 for i in np.lexsort((pick, -exact)):
-                    if found > k:
+                    if len(found) > k:
                         break
                     out += [(q, x, float(exact[i])) for x in ids[pick[i]]]
-                    found += len(ids[pick[i]])
+                    found.update(ids[pick[i]])
         if not out:
             return empty
         q, x, s = zip(*out)
         return pa.table({"q": pa.array(q, pa.int64()), "vec_id": pa.array(x, pa.int64()), "score": pa.array(s, pa.float64())})
 
     found = members.groupBy("list", "block", "slice").cogroup(probes.groupBy("list", "block", "slice")).applyInArrow(meet, "q long, vec_id long, score double")
+    found = found.groupBy("q", "vec_id").agg(F.max("score").alias("score"))  # an id with several vectors takes one place
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = found.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1).drop("_r")
     ids_of = queries.join(asked, "v").select(F.col("vec_id").alias("query_id"), "q")

@@ -66,3 +66,40 @@ def test_blocks_and_short_lists(spark, monkeypatch):
     got = {(r["query_id"], r["vec_id"]) for r in ann.search(table(spark, rows), query_every=10, k=5, recall=1.0, shortlist=10).collect()}
     want = {(q, i) for q, _, i, _ in brute(rows, 10, 5)}
     assert len(got & want) / len(want) >= 0.9
+
+
+def test_second_level(monkeypatch):
+    """Many more rows than the sample can give centroids for: lists are as many as for a table of that size, and hold the neighbours."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((60, 16))[rng.integers(0, 60, 40_000)] + 0.4 * rng.standard_normal((40_000, 16))
+    model = ann.fit_arrays(x[:1600], 40_000 * 400, 5)
+    unit = ann.units(x)
+    own = model.assign(unit)
+    assert len(model.centroids) == 100 and len(model.second) == 20
+    assert np.allclose(((unit - model.centres(own)) ** 2).sum(axis=1), [((u[None, :] - model.centroids[c // 20] - model.second) ** 2).sum(axis=1).min() for u, c in zip(unit, own)])
+    sizes = np.bincount(own, minlength=2000)
+    queries = unit[::400]
+    probed = model.probed(queries, sizes, 12)
+    near = np.argsort(-(queries @ unit.T), axis=1)[:, 1:6]
+    held = [len(set(own[n]) & set(p)) and np.isin(own[n], p).mean() for n, p in zip(near, probed)]
+    assert np.mean(held) >= 0.95 and np.mean([sizes[p].sum() for p in probed]) < 0.3 * len(x)
+
+
+def test_second_level_search(spark, monkeypatch):
+    fit = ann.fit_arrays
+    monkeypatch.setattr(ann, "fit_arrays", lambda x, n, k, recall: fit(x, n * 5000, k, recall))
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], list(r["embedding"])) for r in df.collect()]
+    got = {(r["query_id"], r["vec_id"]) for r in ann.search(df).collect()}
+    want = {(q, i) for q, _, i, _ in brute(rows, 50, 5)}
+    assert len(got & want) / len(want) >= 0.9
+
+
+def test_outliers_and_ids_with_several_vectors(spark):
+    """Queries alone in their lists go on to others; an id that comes with many vectors takes one place."""
+    rng = np.random.default_rng(6)
+    rows = [(100 + i, [1.0, 0.0, 0.001 * i]) for i in range(60)] + [(0, [-1.0, 0.1, 0.0]), (10, [0.0, -1.0, 0.3]), (7, [0.0, -1.0, 0.31])]
+    rows += [(7, [0.0, -1.0, 0.3 + 0.0001 * i]) for i in range(9)] + [(8, [0.1, -1.0, float(x)]) for x in rng.random(3)]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(table(spark, rows), query_every=10, k=5).collect())
+    want = [x[:3] for x in brute(rows, 10, 5)]
+    assert [g[:2] for g in got] == [w[:2] for w in want] and len(set(got) & set(want)) >= 0.9 * len(want)
