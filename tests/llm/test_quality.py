@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -70,3 +72,46 @@ def test_repeated_ids_count_once(spark, docs_of):
     df = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     once, often = quality.fit(docs_of(docs), df), quality.fit(docs_of(docs + [docs[0]] * 500), df)
     assert once.bias == often.bias and (once.w == often.w).all() and (once.v == often.v).all()
+
+
+def plain_score(text, n_chars, model):
+    """A text's score from the definitions of its features, pair by pair."""
+    data = (text or "").encode()
+    words = Counter(data.lower().split())
+    x = {}
+    for word, n in words.items():
+        h = zlib.crc32(word)
+        x[h % model.buckets] = x.get(h % model.buckets, 0) + (1 + math.log(n)) * (1 if h >= 1 << 31 else -1)
+    norm = max(math.sqrt(sum(v * v for v in x.values())), 1e-6)
+    x = {i: v / norm for i, v in x.items()}
+    n, n_words = len(data), sum(words.values())
+    kind = lambda low, high: sum(low <= b <= high for b in data)
+    upper, letters = kind(65, 90), kind(65, 90) + kind(97, 122) + kind(128, 255)
+    space, digits, lines, some = sum(b in b" \t\n\v\f\r" for b in data), kind(48, 57), data.count(b"\n") + 1, max(n, 1)
+    length = sum(len(w) * c for w, c in words.items()) / max(n_words, 1)
+    stats = [1, math.log1p(n) / 10, math.log1p(n_words) / 8, min(length, 30) / 10, upper / max(letters, 1), 4 * digits / some, 4 * (n - letters - space - digits) / some, 2 * kind(128, 255) / some, 2 * space / some]
+    stats += [len(words) / max(n_words, 1), 2 * max(words.values(), default=0) / max(n_words, 1), math.log1p(lines) / 5, min(n_words / lines, 100) / 50]
+    stats += [min(20 * data.count(c.encode()) / some, 3) for c in "!|#$."] + [math.log1p(max(n_chars or 0, 0)) / 10, float(n == 0)]
+    x.update({model.buckets + k: v for k, v in enumerate(stats)})
+    items = list(x.items())
+    z = model.bias + sum(float(model.w[i]) * v for i, v in items)
+    z += sum(float(model.v[a] @ model.v[b]) * u * v for k, (a, u) in enumerate(items) for b, v in items[:k])
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_by_the_definition(spark, docs_of):
+    docs, labels = corpus(200)
+    model = quality.fit(docs_of(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    texts = [None, "", " \n", "One", "Été 12% | $5.\n# the the The", *(t for _, t in docs[:15])]
+    rows = list(enumerate(texts))
+    got = {r["id"]: r["score"] for r in quality.score(docs_of(rows), model).collect()}
+    for d, t in rows:
+        assert got[d] == pytest.approx(plain_score(t, len(t or ""), model), abs=1e-4)
+
+
+def test_very_long_text(spark, docs_of):
+    docs, labels = corpus(200)
+    model = quality.fit(docs_of(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    good = " ".join("word%d" % (k % 200) for k in range(600_000))
+    got = {r["id"]: r["score"] for r in quality.score(docs_of([(1, good), (2, good.upper().replace(" ", "!! "))]), model).collect()}
+    assert got[1] > got[2]
