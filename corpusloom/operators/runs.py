@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUMS = ("processed", "successful", "failed")
@@ -69,6 +69,12 @@ def perplexity(df: DataFrame, code: str, n_codes: int) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).agg(F.exp(-F.sum(p * F.log(p + 1e-10))).alias("perplexity"), (100.0 * F.count("*") / n_codes).alias("utilization"))  # the total is one row
 
 
+def grid(spark: SparkSession, rates: list[float], batches: list[int], steps: dict[int, int]) -> DataFrame:
+    """(lr, batch, steps): every rate with every batch size, and the steps of that size; a size without steps raises KeyError."""
+    rows = [(rate, batch, steps[batch]) for rate in dict.fromkeys(rates) for batch in dict.fromkeys(batches)]
+    return spark.createDataFrame(rows, "lr double, batch int, steps int")
+
+
 def flops_per_token(layers: int, hidden: int, vocabulary: int) -> int:
     return 24 * layers * hidden * hidden + 4 * hidden * vocabulary
 

@@ -40,9 +40,7 @@ def cadence(spark, sf_dir):
 
 @query("SELECT lr, CAST(batch AS INT) AS batch, CAST(150000 * 48 / batch AS INT) AS steps FROM (SELECT unnest([0.0001::DOUBLE, 0.0002::DOUBLE, 0.0004::DOUBLE]) AS lr), (SELECT unnest([24, 48, 96]) AS batch)")
 def param_grid(spark, sf_dir):
-    lr = spark.createDataFrame([(1e-4,), (2e-4,), (4e-4,)], "lr double")
-    batch = spark.createDataFrame([(24, 300000), (48, 150000), (96, 75000)], "batch int, steps int")
-    return lr.crossJoin(batch)  # a grid of constants
+    return op.grid(spark, [1e-4, 2e-4, 4e-4], [24, 48, 96], {24: 300_000, 48: 150_000, 96: 75_000, 192: 37_500})
 
 
 @query("WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), p AS (SELECT n / sum(n) OVER () AS p FROM c) SELECT round(exp(-sum(p * ln(p + 1e-10))), 6) AS perplexity, round(100.0 * count(*) / 16, 6)::DOUBLE AS utilization FROM p")

@@ -177,3 +177,10 @@ def test_text_helpers(spark):
 def test_use_of_the_machine():
     flops = runs.flops_per_token(2, 8, 100)
     assert flops == 24 * 2 * 64 + 4 * 8 * 100 and runs.utilization(10.0, flops, 2.0 * flops) == 5.0 and runs.utilization(1.0, flops, 0.0) == 0.0
+
+
+def test_grid(spark):
+    got = [tuple(r) for r in runs.grid(spark, [0.1, 0.2, 0.1], [8, 4], {4: 20, 8: 10}).collect()]
+    assert sorted(got) == [(0.1, 4, 20), (0.1, 8, 10), (0.2, 4, 20), (0.2, 8, 10)]
+    with pytest.raises(KeyError):
+        runs.grid(spark, [0.1], [3], {4: 20})
