@@ -186,9 +186,14 @@ def remix(docs: DataFrame, seed: int = 11, weights: tuple[float, ...] = (3, 1, 2
         same = marked["doc_id"].eqNullSafe(some["_mix_id"]) & marked["source"].eqNullSafe(some["_mix_source"]) & (marked["_mix_mark_of"] == some["_mix_mark"])
         return marked.join(some, same)
 
-    once = joined(copies.filter("_mix_rows = 1"))
+    def listed(rows: DataFrame) -> DataFrame:
+        return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_n"))).alias("_mix_i")).select(*docs.columns)
+
+    once, equal = joined(copies.filter("_mix_rows = 1")), copies.filter("_mix_rows > 1")
+    if equal.isEmpty():
+        return listed(once)
     # equal rows are numbered within the parts of a staged table, then over them: no window holds them all
-    more = staged(joined(copies.filter("_mix_rows > 1")).withColumn("_mix_part", F.spark_partition_id()), "equal-rows")
+    more = staged(joined(equal).withColumn("_mix_part", F.spark_partition_id()), "equal-rows")
     parts = more.groupBy(*key, "_mix_part").agg(F.count("*").alias("_mix_part_rows"))
     earlier = F.coalesce(F.sum("_mix_part_rows").over(Window.partitionBy(*key).orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select(*(F.col(c).alias(f"{c}_p") for c in [*key, "_mix_part"]), earlier.alias("_mix_earlier"))
@@ -198,5 +203,4 @@ def remix(docs: DataFrame, seed: int = 11, weights: tuple[float, ...] = (3, 1, 2
     place = F.row_number().over(Window.partitionBy(*key, "_mix_part").orderBy("_mix_mark_of")) + F.col("_mix_earlier")
     share_of = F.expr("_mix_n div _mix_rows + if(_mix_place <= _mix_n % _mix_rows, 1, 0)")
     more = more.join(parts, on).withColumn("_mix_place", place).withColumn("_mix_n", share_of).filter("_mix_n > 0")
-    both = once.select(*docs.columns, "_mix_n").unionByName(more.select(*docs.columns, "_mix_n"))
-    return both.withColumn("_mix_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_n")))).select(*docs.columns)
+    return listed(once.select(*docs.columns, "_mix_n").unionByName(more.select(*docs.columns, "_mix_n")))
