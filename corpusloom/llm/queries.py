@@ -80,7 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     edits = docs.select("doc_id").distinct().select(F.col("doc_id").alias("id"), F.inline(steps))
     path, pattern = vocabulary()
-    counted = token_counts.recount(token_counts.build(docs, path, pattern), edits, path, pattern)
+    counted = token_counts.recount(token_counts.build(docs, path, pattern), edits, path, pattern, ids=docs.select("doc_id"))
     return counted.select(F.col("id").alias("doc_id"), "tokens_before", "tokens_after", "chars_after", "chars_encoded")
 
 

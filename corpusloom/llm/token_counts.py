@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _texts, first_sure, tokenizer
-from .common import small_batches
+from .common import small_batches, staged
 
 #: Characters of a leaf, at least.
 LEAF = 1_024
 #: Documents, and numbers in their trees, that are sent on at once.
 SEND_ROWS, SEND_NUMBERS = 256, 1 << 17
+#: Documents of one id that a task recounts, about, where the ids are counted beforehand.
+COPIES = 1_024
 
 
 def leaf_sizes(text: str, leaf: int = LEAF) -> list[int]:
@@ -156,7 +158,7 @@ def build(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     return rows.mapInArrow(run, f"id {kind}, text string, chars array<long>, tokens array<long>")
 
 
-def recount(built: DataFrame, edits: DataFrame, path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
+def recount(built: DataFrame, edits: DataFrame, path: str, pattern: str, leaf: int = LEAF, ids: DataFrame | None = None) -> DataFrame:
     """(id, tokens_before, tokens_after, chars_after, chars_encoded, chars, tokens) of every document after its edits.
 
     ``edits`` has (id, seq, at, removed, added): at character ``at`` (kept within the text), ``removed``
@@ -164,15 +166,23 @@ def recount(built: DataFrame, edits: DataFrame, path: str, pattern: str, leaf: i
     count as 0 and a null ``added`` as empty. Edits of unknown documents and of a null id are ignored, so a
     document without id keeps its text; such documents are dealt out evenly, however many they are.
     Documents of one id all get its edits. A task holds the edits of one id and streams its documents, however
-    many, one at a time."""
+    many, one at a time; with ``ids`` (the documents' id column, counted beforehand) those of an id that more than
+    ``COPIES`` have are dealt out to several tasks, each of which gets the edits."""
     kind = dict(built.dtypes)["id"]
     longs = "array<long>"
     zero = F.lit(0).cast("long")
     number = lambda c: F.coalesce(F.col(c).cast("long"), zero).alias(c)
     steps = edits.filter("id is not null").select(F.col("id").cast(kind), F.lit(0).alias("step"), number("seq"), number("at"), number("removed"), F.coalesce("added", F.lit("")).alias("text"), F.lit(None).cast(longs).alias("chars"), F.lit(None).cast(longs).alias("tokens"), zero.alias("deal"))
-    deal = F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(zero)
+    if ids is not None:
+        often = ids.select(F.col(ids.columns[0]).cast(kind).alias("id")).groupBy("id").agg(F.ceil(F.count("*") / COPIES).alias("parts"))
+        often = staged(often.filter("id is not null and parts > 1"), "often")
+        steps = steps.join(often, "id", "left").withColumn("deal", F.explode(F.expr("sequence(0L, coalesce(parts, 1) - 1)"))).drop("parts")
+        built = built.join(often, "id", "left")
+    else:
+        built = built.withColumn("parts", F.lit(1).cast("long"))
+    deal = F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1).cast("long"))))
     texts = built.select("id", F.lit(1).alias("step"), zero.alias("seq"), zero.alias("at"), zero.alias("removed"), "text", "chars", "tokens", deal.alias("deal"))
-    both = steps.unionByName(texts).repartition("id", "deal").drop("deal").sortWithinPartitions("id", "step", "seq", "at", "removed", "text")
+    both = steps.unionByName(texts).repartition("id", "deal").sortWithinPartitions("id", "deal", "step", "seq", "at", "removed", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path, pattern).encode_ordinary
@@ -186,11 +196,11 @@ def recount(built: DataFrame, edits: DataFrame, path: str, pattern: str, leaf: i
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), types)], ["id", "tokens_before", "tokens_after", "chars_after", "chars_encoded", "chars", "tokens"])
 
         for batch in small_batches(batches, 128):
-            ids, kinds, ats, cuts = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
+            ids, kinds, ats, cuts, deals = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 8))
             id_type = batch.schema.field(0).type
             for i, key in enumerate(ids):
-                if key != at:
-                    held, at = [], key
+                if (key, deals[i]) != at:
+                    held, at = [], (key, deals[i])
                 text = batch.column(5)[i].as_py()
                 if kinds[i] == 0:
                     held.append((ats[i], cuts[i], text))

@@ -56,9 +56,10 @@ def test_empty(spark, docs_of):
 
 
 @pytest.mark.parametrize("leaf", [1, 20, 1024])
-def test_edited_counts(spark, docs_of, leaf):
+def test_edited_counts(spark, docs_of, leaf, monkeypatch):
+    monkeypatch.setattr(token_counts, "COPIES", 2)
     rng = random.Random(leaf)
-    rows = [(d, t) for d, t in enumerate(texts())] + [(3, "the same id again"), (None, "no id"), (None, "no id"), (None, "none either"), (70, "plain words only, " * 40)]
+    rows = [(d, t) for d, t in enumerate(texts())] + [(3, "the same id again"), (None, "no id"), (None, "no id"), (None, "none either"), (70, "plain words only, " * 40), *((71, f"copy {k % 3} of a document") for k in range(9))]
     edits, now = [], [t or "" for _, t in rows]
     for d in [None, *range(len(rows))]:
         for seq in range(rng.randint(0, 5)):
@@ -72,7 +73,7 @@ def test_edited_counts(spark, docs_of, leaf):
     df = spark.createDataFrame(edits, "id long, seq long, at long, removed long, added string")
     built = token_counts.build(docs_of(rows), PATH, PATTERN, leaf=leaf)
     enc = bpe.tokenizer(PATH, PATTERN)
-    got = token_counts.recount(built, df, PATH, PATTERN).collect()
+    got = token_counts.recount(built, df, PATH, PATTERN, leaf, docs_of(rows).select("doc_id") if leaf != 20 else None).collect()
     want = sorted(str((d, len(enc.encode_ordinary(t or "")), len(enc.encode_ordinary(n)), len(n))) for (d, t), n in zip(rows, now))
     assert sorted(str((r["id"], r["tokens_before"], r["tokens_after"], r["chars_after"])) for r in got) == want
 
