@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, license_texts, licenses, mixing, pii, quality, simhash, token_counts, warc
+from . import ann, bpe, conversations, exact_dedup, license_texts, licenses, mixing, pii, quality, simhash, token_counts, toxicity, vector_codes, warc
 from .common import hex64, new_folder
 
 #: The rank file of the tokenizer queries, of the installed public vocabularies.
@@ -84,8 +84,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "tokens_before", "tokens_after", "chars_after", "chars_encoded")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(_read(spark, sf_dir, "conversations")).withColumnRenamed("id", "conv_id")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_ann, op3_mixing, op4_licenses, op5_bpe, op6_pii, op7_quality, op8_warc, op9_exact_dedup, op10_token_counts)
+    f.__name__: f for f in (op1_simhash, op2_ann, op3_mixing, op4_licenses, op5_bpe, op6_pii, op7_quality, op8_warc, op9_exact_dedup, op10_token_counts, op11_vector_codes, op12_conversations, op13_toxicity)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
