@@ -14,6 +14,7 @@ import re
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,8 @@ _BY_SHAPE: dict[tuple[int, str], list[str]] = {}
 for _word in _KIND:
     _BY_SHAPE.setdefault((len(_word), _word[0]), []).append(_word)
 _EDGES = ".,;:?!\"'()[]{}<>-–—…*#%&$|/\\~`^_=+«»¿¡"
+#: Signs that stand for letters also at the start of a word.
+_LEADING = frozenset("$!|+@€0123456789")
 _STRETCHED = re.compile(r"(.)\1{2,}")
 _SPACED = re.compile(r"(?<!\S)(?:\w[ ._-]){2,}\w(?!\S)")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -103,38 +106,58 @@ class Learned:
 
     def weigh(self, bare: str) -> tuple[float, float]:
         """What a word weighs by itself, and by the longest stem it begins with."""
-        for n in reversed(STEMS):
-            if len(bare) > n and bare[:n] in self.stems:
-                return self.words.get(bare, 0.0), self.stems[bare[:n]]
-        return self.words.get(bare, 0.0), 0.0
+        stem = 0.0
+        for n in STEMS:
+            if len(bare) > n and (w := self.stems.get(bare[:n])):
+                stem = w
+        return self.words.get(bare, 0.0), stem
 
 
 NOTHING = Learned({}, {})
 
 
 class Reader:
-    """What a word is, remembered while there is room."""
+    """What a word is, remembered while there is room; None for one that nothing is to be said of."""
 
-    def __init__(self, learned: Learned = NOTHING, room: int = 1 << 16):
+    def __init__(self, learned: Learned = NOTHING, room: int = 1 << 17):
         self.learned, self.room, self.known = learned, room, {}
+        self.heads = {stem[: STEMS[0]] for stem in learned.stems}
 
-    def __call__(self, token: str) -> tuple:
-        """(bare, kind, spelt otherwise, capitals, second person, mixed, inner marks, masked, stretched, weight, weight of the stem)"""
-        got = self.known.get(token)
-        if got is None:
-            bare = token.strip(_EDGES)
-            has_letter = any(map(str.isalpha, bare))
-            plain = bare.isalpha()
-            low = bare.lower()
-            kind, other = find(token.lower())
-            got = (low, kind, other, len(bare) > 2 and bare.isupper(), low in SECOND_PERSON, not plain and has_letter and any(map(str.isdigit, bare)), not plain and has_letter and not bare.isalnum(),
-                   not plain and has_letter and "*" in bare[1:-1], bare[:1].isalpha() and bool(_STRETCHED.search(bare)), *self.learned.weigh(low))
+    def __call__(self, token: str) -> tuple | None:
+        got = self.known.get(token, self)
+        if got is self:
+            got = self.look(token)
             if len(self.known) >= self.room:
                 self.known.clear()
             if len(token) <= _LONGEST:
                 self.known[token] = got
         return got
 
+    def look(self, token: str) -> tuple | None:
+        """(bare, kind, spelt otherwise, capitals, second person, mixed, inner marks, masked, stretched, weight, weight of the stem)"""
+        bare = token if token.isalpha() else token.strip(_EDGES)
+        low, plain, run = bare.lower(), bare.isalpha(), _STRETCHED.search(bare)
+        upper = len(bare) > 2 and bare.isupper()
+        if plain and not run and token[0] not in _LEADING and not upper and low not in _KIND and low not in SECOND_PERSON:
+            if low not in self.learned.words and low[: STEMS[0]] not in self.heads:
+                return None
+            word, stem = self.learned.weigh(low)
+            return (low, -1, False, False, False, False, False, False, False, word, stem) if word or stem else None
+        has_letter = plain or any(map(str.isalpha, bare))
+        kind, other = find(token.lower())
+        return (low, kind, other, upper, low in SECOND_PERSON, not plain and has_letter and any(map(str.isdigit, bare)), not plain and has_letter and not bare.isalnum(),
+                not plain and has_letter and "*" in bare[1:-1], bool(run) and bare[0].isalpha(), *self.learned.weigh(low))
+
+
+@cache
+def _classes() -> np.ndarray:
+    """What a character is, by code point: 1 letter, 2 capital, 3 digit, 4 white space, else 0; beyond the first plane all are 0."""
+    out = np.zeros((1 << 16) + 1, np.uint8)
+    for code in range(1 << 16):
+        c = chr(code)
+        out[code] = (2 if c.isupper() else 1) if c.isalpha() else 3 if c.isdigit() else 4 if c.isspace() else 0
+    return out
+
 
 def blocks(text: str, size: int = _BLOCK) -> Iterator[str]:
     """A text in blocks that end between words."""
@@ -158,8 +181,14 @@ def features(text: str, read: Reader | None = None, block: int = _BLOCK) -> np.n
     for part in blocks(text, block):
         tokens = _WORD.findall(part)
         marks = {}
+        known = read.known
         for token, k in Counter(tokens).items():
-            bare, kind, other, upper, address, is_mixed, is_inner, is_masked, is_stretched, word, stem = read(token)
+            found = known.get(token, read)
+            if found is read:
+                found = read(token)
+            if found is None:
+                continue
+            bare, kind, other, upper, address, is_mixed, is_inner, is_masked, is_stretched, word, stem = found
             words_capital += k * upper
             mixed += k * is_mixed
             inner += k * is_inner
@@ -208,18 +237,15 @@ def features(text: str, read: Reader | None = None, block: int = _BLOCK) -> np.n
                 hidden += 1
                 different.add(word)
         n += len(tokens)
-        count = Counter(part)
-        for c, k in count.items():
-            chars += k
-            if c.isalpha():
-                letters += k
-                capitals += k * c.isupper()
-            elif c.isdigit():
-                digits += k
-            elif c.isspace():
-                spaces += k
-        exclaimed += count["!"]
-        asked += count["?"]
+        codes = np.minimum(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32), 1 << 16)
+        kinds = np.bincount(_classes()[codes], minlength=5)
+        chars += len(part)
+        letters += int(kinds[1] + kinds[2])
+        capitals += int(kinds[2])
+        digits += int(kinds[3])
+        spaces += int(kinds[4])
+        exclaimed += part.count("!")
+        asked += part.count("?")
         runs += sum(1 for _ in _MARKS.finditer(part))
     total, some, of = sum(hits), max(n, 1), max(chars, 1)
     other = chars - letters - digits - spaces
