@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from . import batches, checks, codec, corpus, coverage, packing, rewards, runs  # noqa: F401
+    from . import batches, checks, codec, corpus, coverage, graphs, packing, rewards, runs  # noqa: F401

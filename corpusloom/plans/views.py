@@ -30,6 +30,25 @@ RMSD_SQL = "sqrt(list_sum(list_transform(list_zip(a.xyz, b.xyz), lambda p: (p[1]
 PAIRS_SQL = f"{SETS_SQL}, pairs AS (SELECT a.key, a.conf_id AS i, b.conf_id AS j, {SCALE} * {RMSD_SQL} AS r FROM v_true a JOIN v_gen b ON a.key = b.key)"
 
 
+def superposed_sql(source: str, n: int, keep: str) -> str:
+    """``keep`` and r of a source with n points each in a and b: their RMSD after the best rotation and shift.
+
+    The largest root of the quaternion matrix's characteristic polynomial, whose coefficients are invariants of the covariance, by Newton's steps from above."""
+    axes = range(3)
+    mean = ", ".join(f"list_sum(list_transform(range({n}), lambda p: {x}[3 * p + {k + 1}])) / {n} AS {x}{k}" for x in "ab" for k in axes)
+    at = lambda x, k: f"({x}[3 * p + {k + 1}] - {x}{k})"
+    over = lambda e: f"list_sum(list_transform(range({n}), lambda p: {e}))"
+    m = ", ".join(f"{over(f'{at('a', k)} * {at('b', j)}')} AS m{k}{j}" for k in axes for j in axes)
+    g = " + ".join(over(f"{at(x, k)} * {at(x, k)}") for x in "ab" for k in axes)
+    squares = " + ".join(f"m{k}{j} * m{k}{j}" for k in axes for j in axes)
+    det = "m00 * (m11 * m22 - m12 * m21) - m01 * (m10 * m22 - m12 * m20) + m02 * (m10 * m21 - m11 * m20)"
+    gram = " + ".join(f"pow({' + '.join(f'm{i}{k} * m{i}{j}' for i in axes)}, 2)" for k in axes for j in axes)
+    slope = "(4 * l * l * l + 2 * c2 * l + c1)"
+    root = f"list_reduce(list_prepend(g / 2, list_transform(range(100), lambda x: CAST(x AS DOUBLE))), lambda l, x: CASE WHEN {slope} = 0 THEN l ELSE l - (l * l * l * l + c2 * l * l + c1 * l + c0) / {slope} END)"
+    return f"""SELECT {keep}, sqrt(greatest(0, (g - 2 * {root}) / {n})) AS r FROM (SELECT {keep}, g, -2 * ({squares}) AS c2, -8 * ({det}) AS c1, 2 * ({gram}) - pow({squares}, 2) AS c0
+FROM (SELECT {keep}, {m}, {g} AS g FROM (SELECT {keep}, a, b, {mean} FROM ({source}))))"""
+
+
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conf_id, pos, sym, x, y, z), one row for each point."""
     symbols = F.array(*map(F.lit, SYMBOLS))
