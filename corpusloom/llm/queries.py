@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import ann, bpe, conversations, exact_dedup, license_texts, licenses, mixing, pii, quality, simhash, token_counts, toxicity, vector_codes, warc
 from .common import hex64, new_folder
+from .oracles import conversations_sql, vector_codes_sql
 
 #: The rank file of the tokenizer queries, of the installed public vocabularies.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -188,4 +189,4 @@ SELECT doc_id, sha256({canonical('text')}) AS digest, k.license, coalesce(notice
 FROM d LEFT JOIN n USING (rid) LEFT JOIN k ON sha256({canonical('text')}) = k.digest"""
 
 
-ORACLES = {"op4_licenses": _license_sql(), "op6_pii": _pii_sql(), "op8_warc": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLES = {"op4_licenses": _license_sql(), "op6_pii": _pii_sql(), "op8_warc": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op11_vector_codes": vector_codes_sql(), "op12_conversations": conversations_sql()}

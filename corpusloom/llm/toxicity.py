@@ -82,7 +82,7 @@ def find(token: str) -> tuple[int, bool]:
     bare = token.strip(_EDGES)
     if bare in _KIND:
         return _KIND[bare], False
-    if not bare or len(token) > _LONGEST or bare.isalpha() and not _STRETCHED.search(bare):
+    if not bare or len(token) > _LONGEST or bare.isalpha() and token[0] not in _LEADING and not _STRETCHED.search(bare):
         return -1, False
     if "*" in bare[1:] and bare[0].isalpha():
         shape = re.compile("".join("." if c == "*" else re.escape(c) for c in bare))
@@ -90,7 +90,7 @@ def find(token: str) -> tuple[int, bool]:
         for word in _BY_SHAPE.get((len(bare), bare[0]), ()) if 2 * letters >= len(bare) else ():
             if shape.fullmatch(word):
                 return _KIND[word], True
-    plain = "".join(c for c in token.strip(".,;:?\"'()[]{}<>-#%&*").translate(LEET) if c.isalpha())
+    plain = "".join(c for c in token.strip(".,;:?\"'()[]{}<>-#%&*").rstrip("!").translate(LEET) if c.isalpha())
     for way in (plain, _STRETCHED.sub(r"\1", plain), _STRETCHED.sub(r"\1\1", plain)):
         if way in _KIND:
             return _KIND[way], True
