@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import drop, new_folder, remove, scope, staged  # noqa: F401
@@ -13,6 +13,9 @@ from ..sources.staging import drop, new_folder, remove, scope, staged  # noqa: F
 #: A word is a run of characters other than ASCII white space (what ``bytes.split()`` splits on).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: So many repetitions of a row are listed in one stretch.
+LISTED = 1 << 16
+
 
 def word_count(text: Column) -> Column:
     """Number of words of a text; a null text has none."""
@@ -42,3 +45,13 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def listed(rows: DataFrame, times: str, out: str, *keys: str, stretch: int = LISTED) -> DataFrame:
+    """Each row as often as ``times`` says, numbered from 0 in ``out``. Rows are read twice: staged ones, best.
+
+    Those that repeat more than ``stretch`` times are dealt out by their keys and stretches, so that no array and no task holds them all."""
+    few = rows.filter(F.col(times) <= stretch).withColumn(out, F.explode(F.expr(f"sequence(0L, {times} - 1)")))
+    often = rows.filter(F.col(times) > stretch).withColumn("_part", F.explode(F.expr(f"sequence(0L, ({times} - 1) div {stretch})")))
+    dealt = often.repartition(*keys, "_part")
+    return few.unionByName(dealt.withColumn(out, F.explode(F.expr(f"sequence(_part * {stretch}, least({times}, (_part + 1) * {stretch}) - 1)"))).drop("_part"))

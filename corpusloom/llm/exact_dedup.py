@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import CHUNK_BYTES, split_huge, streamed_sha256
-from .common import as_bytes, small_batches, staged
+from .common import LISTED, as_bytes, listed, small_batches, staged
 
 P = (1 << 61) - 1
 BASE = 0x1B873593A5C3E1D7 % P
@@ -63,8 +63,9 @@ def chunk_hash(data: bytes, before: int = 0) -> int:
     return before
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(id, fp, n_bytes, sha256) for each row, of the text with A-Z lower-cased; null counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, fp, n_bytes, sha256) for each row, of the text with A-Z lower-cased; null counts as empty. Also the staged fingerprints
+    (rid, id, fp, n_bytes, sha256) of huge texts, and their staged chunks."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
     short, chunks = split_huge(rows, chunk_bytes)
@@ -93,48 +94,67 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = chunks.select("rid", "k", "n_bytes", "chunk").repartition("rid", "k").mapInArrow(shifted, "rid long, part long")
     joined = parts.groupBy("rid").agg((F.sum(F.col("part").cast("decimal(38,0)")) % F.lit(P).cast("decimal(20,0)")).cast("long").alias("fp"))
     heads = chunks.filter("k = 0").select("rid", "id", "n_bytes")
-    long = heads.join(joined, "rid").join(streamed_sha256(chunks), "rid").select("id", "fp", "n_bytes", "sha256")
-    return done.unionByName(long)
+    long = staged(heads.join(joined, "rid").join(streamed_sha256(chunks), "rid").select("rid", "id", "fp", "n_bytes", "sha256"), "long")
+    return done.unionByName(long.drop("rid")), long, chunks
 
 
-def _collisions(docs: DataFrame, slim: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(fp, n_bytes) of groups whose texts differ in some chunk."""
-    ids = staged(slim.join(groups.filter("group_size > 1"), ["fp", "n_bytes"], "left_semi").select("id").distinct(), "candidates")
+def _collisions(docs: DataFrame, slim: DataFrame, groups: DataFrame, long: DataFrame, chunks: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
+    """(fp, n_bytes) of groups whose texts differ in some piece; huge texts are compared by their staged chunks."""
+    several = groups.filter("group_size > 1").select("fp", "n_bytes")
+    ids = staged(slim.filter(F.col("n_bytes") <= chunk_bytes).join(several, ["fp", "n_bytes"], "left_semi").select("id").distinct(), "candidates")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= chunk_bytes)
     rows = rows.join(ids, rows["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
+    pieces = max(-(-chunk_bytes // COMPARE_BYTES), 1)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(found: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["fp", "n_bytes", "k", "chunk"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         out: list[tuple[int, int, int, bytes]] = []
+        for row in found:
+            out.append(row)
+            if len(out) >= COMPARE_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
 
-        def sent() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
+    def cut(text: bytes) -> Iterator[tuple[int, bytes]]:
+        for k in range(max(-(-len(text) // COMPARE_BYTES), 1)):
+            yield k, text[k * COMPARE_BYTES : (k + 1) * COMPARE_BYTES]
 
-        for batch in small_batches(batches, 64):
-            for text in as_bytes(batch.column(0)):
-                text = text.lower()
-                fp = chunk_hash(text)
-                for k in range(max(-(-len(text) // COMPARE_BYTES), 1)):
-                    out.append((fp, len(text), k, text[k * COMPARE_BYTES : (k + 1) * COMPARE_BYTES]))
-                    if len(out) >= COMPARE_ROWS:
-                        yield sent()
-                        out = []
-        if out:
-            yield sent()
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[int, int, int, bytes]]:
+            for batch in small_batches(batches, 64):
+                for text in map(bytes.lower, as_bytes(batch.column(0))):
+                    fp = chunk_hash(text)
+                    yield from ((fp, len(text), k, piece) for k, piece in cut(text))
+
+        return send(found())
+
+    def huge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[int, int, int, bytes]]:
+            for batch in small_batches(batches, 4):
+                for fp, n, at, chunk in zip(*(batch.column(i).to_pylist() for i in range(3)), as_bytes(batch.column(3))):
+                    yield from ((fp, n, at * pieces + k, piece) for k, piece in cut(chunk.lower()))
+
+        return send(found())
 
-    chunks = rows.mapInArrow(cut, "fp long, n_bytes long, k long, chunk binary")
+    schema = "fp long, n_bytes long, k long, chunk binary"
+    common = staged(long.join(several, ["fp", "n_bytes"], "left_semi").select("rid", "fp", "n_bytes"), "common")
+    own = chunks.select("rid", "k", "chunk").join(common, "rid").select("fp", "n_bytes", F.col("k").cast("long"), "chunk")
+    chunks = rows.mapInArrow(short, schema).unionByName(own.mapInArrow(huge, schema))
     # equal chunks fold on the map side: a group of any size sends one row a task and chunk
     return chunks.groupBy("fp", "n_bytes", "k").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).filter("a <> b").select("fp", "n_bytes").distinct()
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, stretch: int = LISTED) -> DataFrame:
     """One row per document: (id, keep_id, group_size, kept, sha256), sha256 that of the normalised text.
 
     Equal texts are those identical after lower-casing A-Z; the largest id of a group stays. Null texts are
     empty texts. A null id is smaller than any other. Where rows repeat with the id that stays, one of them
-    is kept. Very long texts are hashed in chunks over many tasks."""
-    prints = fingerprints(docs, id_col, text_col, chunk_bytes)
+    is kept; rows that repeat more than ``stretch`` times are listed by several tasks. Very long texts are hashed and
+    compared in chunks over many tasks."""
+    prints, long, chunks = fingerprints(docs, id_col, text_col, chunk_bytes)
     slim = staged(prints.groupBy("id", "fp", "n_bytes", "sha256").agg(F.count("*").alias("n")), "fingerprints")
 
     def grouped(*key: str) -> DataFrame:
@@ -143,14 +163,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     key = ["fp", "n_bytes"]
     groups = grouped(*key)
-    differ = staged(_collisions(docs, slim, groups, id_col, text_col), "collisions")
+    differ = staged(_collisions(docs, slim, groups, long, chunks, id_col, text_col, chunk_bytes), "collisions")
     if not differ.isEmpty():  # texts of one fingerprint that differ are told apart by their digests as well
         differ = differ.withColumn("hit", F.lit(True))
         slim = slim.join(differ, key, "left").withColumn("apart", F.when(F.col("hit"), F.col("sha256")).otherwise("")).drop("hit")
         key = [*key, "apart"]
         groups = grouped(*key)
-    rows = slim.join(groups, key).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    return rows.select("id", "keep_id", "group_size", ((F.col("i") == 1) & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), "sha256")
+    rows = listed(slim, "n", "i", "id", *key, stretch=stretch).join(groups, key)
+    return rows.select("id", "keep_id", "group_size", ((F.col("i") == 0) & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), "sha256")
 
 
 def drop_copies(docs: DataFrame, **how) -> DataFrame:

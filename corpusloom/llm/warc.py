@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, staged
+from .common import LISTED, as_bytes, listed, staged
 
 #: Smaller payloads are always written as responses of their own.
 LEAST_REVISIT = 100
@@ -21,18 +21,18 @@ LEAST_REVISIT = 100
 VERSION = "WARC/1.1\r\n"
 
 
-def _records(pages: DataFrame, date: str, least_revisit: int) -> DataFrame:
+def _records(pages: DataFrame, date: str, least_revisit: int, stretch: int) -> DataFrame:
     """(page, record_id, digest, header, http, small, fetched) of each page: all of its record but a payload to be fetched.
 
     Payloads below ``least_revisit`` bytes go along as ``small``; ``fetched`` records need theirs."""
     n = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
     digest = F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256)
     uri = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", "")
-    slim = staged(pages.select("page_id", uri.alias("uri"), n.alias("n"), digest.alias("digest"), F.when(n < least_revisit, F.col("html")).alias("small")), "pages")
-    rows = slim.groupBy("page_id", "uri", "n", "digest").agg(F.count("*").alias("times"), F.any_value("small").alias("small"))
+    slim = pages.select("page_id", uri.alias("uri"), n.alias("n"), digest.alias("digest"), F.when(n < least_revisit, F.col("html")).alias("small"))
+    rows = staged(slim.groupBy("page_id", "uri", "n", "digest").agg(F.count("*").alias("times"), F.any_value("small").alias("small")), "pages")
     # staged, so that the pages of a very common payload are split between tasks as they meet it
-    first = staged(slim.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "uri")).alias("first")), "first")
-    rows = rows.join(first, "digest").withColumn("i", F.explode(F.expr("sequence(1L, times)")))
+    first = staged(rows.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "uri")).alias("first")), "first")
+    rows = listed(rows, "times", "i", "digest", "page_id", "uri", stretch=stretch).withColumn("i", F.col("i") + 1).join(first, "digest")
     owner = (F.col("i") == 1) & F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("uri") == F.col("first.uri"))
 
     def record_id(page, uri, i):
@@ -62,14 +62,14 @@ def _records(pages: DataFrame, date: str, least_revisit: int) -> DataFrame:
     return rows.select(page, "record_id", "digest", header.alias("header"), "http", F.when(F.col("response"), F.coalesce("small", F.lit(""))).otherwise("").alias("small"), "fetched")
 
 
-def write_warc(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", least_revisit: int = LEAST_REVISIT) -> None:
+def write_warc(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", least_revisit: int = LEAST_REVISIT, stretch: int = LISTED) -> None:
     """Write the records of (page_id, url, html) as gzipped WARC files under ``path``.
 
     Of equal payloads of ``least_revisit`` bytes or more, the page with the smallest page_id (then url) is
     the response, the others revisit it; smaller ones are all responses. Null html is an empty payload, a null
     url an empty URI, a null page_id larger than any other; of repeated rows one is the response. Line breaks
-    are taken out of URIs. Other columns are ignored."""
-    records = staged(_records(pages, date, least_revisit), "records")
+    are taken out of URIs. Rows that repeat more than ``stretch`` times are listed by several tasks. Other columns are ignored."""
+    records = staged(_records(pages, date, least_revisit, stretch), "records")
     large = pages.filter(F.octet_length("html") >= least_revisit)
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page")  # not null: the join's partitioning then serves the next step
     bodies = large.select(page, F.sha2(F.col("html").cast("binary"), 256).alias("digest"), "html")

@@ -103,3 +103,17 @@ def test_rows_that_share_or_lack_ids(spark, docs_of):
 
 def test_empty(spark, docs_of):
     assert op.exact_groups(docs_of(ROWS).filter("doc_id < 0")).count() == 0
+
+
+def test_repeated_rows_in_stretches_and_huge_copies(spark, docs_of):
+    rows = [(None, "same")] * 11 + [(4, "same")] * 7 + [(9, "X" * 300 + "a")] * 5 + [(8, "x" * 300 + "A"), (7, "x" * 300 + "b"), (7, None)]
+    got = op.exact_groups(docs_of(rows), chunk_bytes=64, stretch=3).collect()
+    assert sorted(str((r["id"], r["keep_id"], r["group_size"], r["kept"], r["sha256"])) for r in got) == brute(rows)
+
+
+def test_huge_texts_of_one_fingerprint_are_told_apart(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(op, "COMPARE_BYTES", 4)
+    s, t = (x.decode() for x in collision())
+    rows = [(1, s), (2, t), (3, s.upper()), (4, t), (5, "plain")]
+    got = op.exact_groups(docs_of(rows), chunk_bytes=4).collect()
+    assert sorted(str((r["id"], r["keep_id"], r["group_size"], r["kept"], r["sha256"])) for r in got) == brute(rows)

@@ -103,3 +103,14 @@ def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archive(df, str(tmp_path / "e"))
     assert warc.summary(warc.read_archive(spark, str(tmp_path / "e"))).count() == 0
+
+
+def test_repeated_rows_in_stretches(spark, tmp_path):
+    rows = [(3, "http://r", BIG)] * 10 + [(4, "http://s", "small")] * 8 + [(5, "http://r", BIG)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_warc(df, str(tmp_path / "w/warc"), stretch=3)
+    warc.store(spark, str(tmp_path / "w/warc"), str(tmp_path / "w"))
+    records = warc.read_archive(spark, str(tmp_path / "w"))
+    assert len({r["record_id"] for r in records.collect()}) == len(rows)
+    got = [(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.summary(records).collect()]
+    assert sorted(got, key=str) == sorted([(3, "response", None)] + [(3, "revisit", 3)] * 9 + [(4, "response", None)] * 8 + [(5, "revisit", 3)], key=str)
