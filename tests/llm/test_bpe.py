@@ -86,19 +86,80 @@ def test_edits_encode_little(spark, docs_of):
 
 
 def test_many_edits_at_one_place_encode_little_each():
-    """800 appends: each re-encodes a leaf or two, however long the document has become; also in the middle, and of long texts."""
+    """800 appends, settled one by one: each re-encodes a leaf or two, however long the document has become; also in the middle, and of long texts."""
     enc = bpe.tokenizer(PATH, PATTERN)
     count = lambda x: len(enc.encode_ordinary(x))
     for place in (lambda n: n, lambda n: n // 2):
         doc, text = token_counts.Counted("", [0, 0], [0, 0]), ""
         for k in range(800):
             added, before, at = " and some more words appended %d" % k, doc.encoded, place(len(text))
-            doc.edit(at, 0, added, count)
+            doc.edit(at, 0, added)
+            doc.settle(PATTERN, count)
             text = text[:at] + added + text[at:]
-            assert doc.encoded - before <= 3000
+            assert doc.encoded - before <= 4096
         assert "".join(doc.texts) == text and doc.tokens[1] == count(text) and doc.chars[1] == len(text)
         assert max(map(len, doc.texts)) <= 2 * token_counts.LEAF + 40
-    doc.edit(0, 0, "a long passage of words " * 1000, count)
+    doc.edit(0, 0, "a long passage of words " * 1000)
+    doc.settle(PATTERN, count)
     before = doc.encoded
-    doc.edit(12_000, 5, "!", count)
-    assert doc.encoded - before <= 3000 and doc.tokens[1] == count("".join(doc.texts))
+    doc.edit(12_000, 5, "!")
+    doc.settle(PATTERN, count)
+    assert doc.encoded - before <= 4096 and doc.tokens[1] == count("".join(doc.texts))
+
+
+def unspaced():
+    rng = random.Random(9)
+    pick = lambda chars, n: "".join(rng.choices(chars, k=n))
+    return {
+        "chinese": "".join(pick([chr(c) for c in range(0x4E00, 0x5E00)], rng.randint(5, 30)) + rng.choice("，。！") for _ in range(11_000)),
+        "code": "\n".join(f"    x{k}[{k % 7}]+=f(y{k * 3},'a{k}');if(z!={k}){{++n;}}" for k in range(4_500)),
+        "table": "\n".join(",".join(str(rng.randrange(10**6)) for _ in range(8)) for _ in range(4_000)),
+        "base64": "\n".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 76) for _ in range(2_700)),
+    }
+
+
+@pytest.mark.parametrize("kind", ["chinese", "code", "table", "base64"])
+def test_texts_without_spaces_between_letters_have_leaves(kind):
+    enc = bpe.tokenizer(PATH, PATTERN)
+    count = lambda x: len(enc.encode_ordinary(x))
+    text = unspaced()[kind]
+    sizes = token_counts.leaf_sizes(text, PATTERN)
+    assert sum(sizes) == len(text) > 180_000 and len(sizes) >= 100
+    at, counts = 0, []
+    for n in sizes:
+        counts.append(count(text[at : at + n]))
+        at += n
+    assert sum(counts) == count(text)
+    doc = token_counts.Counted(text, token_counts._tree(sizes), token_counts._tree(counts))
+    rng = random.Random(1)
+    for k in range(20):
+        at, before = rng.randrange(len(text)), doc.encoded
+        cut, add = (0, rng.choice(["q", "9", "\n", " ", "的"])) if k % 2 else (1, "")
+        doc.edit(at, cut, add)
+        doc.settle(PATTERN, count)
+        text = text[:at] + add + text[at + cut :]
+        assert doc.encoded - before <= 4096 and doc.tokens[1] == count(text)
+    assert "".join(doc.texts) == text
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_edits_settled_together_against_counting_anew(seed):
+    enc = bpe.tokenizer(PATH, PATTERN)
+    count = lambda x: len(enc.encode_ordinary(x))
+    rng = random.Random(seed)
+    parts = ["word ", "don't", " 1234567", "\n\n", "   ", "的话", "'", "'re", "!!", "\t \n ", "ÀB", "_x", "\r\n", "a"]
+    text = "".join(rng.choices(parts, k=rng.randint(0, 400)))
+    leaf = rng.choice([1, 4, 16, 60])
+    sizes = token_counts.leaf_sizes(text, PATTERN, leaf)
+    ends = [sum(sizes[: k + 1]) for k in range(len(sizes))]
+    doc = token_counts.Counted(text, token_counts._tree(sizes), token_counts._tree([count(text[b - n : b]) for n, b in zip(sizes, ends)]), leaf)
+    assert doc.tokens[1] == count(text)
+    for _ in range(30):
+        for _ in range(rng.randint(0, 4)):
+            at, cut, add = rng.randint(0, len(text) + 2), rng.choice([0, 0, 1, 3, 40]), "".join(rng.choices(parts, k=rng.choice([0, 1, 1, 2, 30])))
+            doc.edit(at, cut, add)
+            at = min(at, len(text))
+            text = text[:at] + add + text[at + cut :]
+        doc.settle(PATTERN, count)
+        assert "".join(doc.texts) == text and (doc.chars[1], doc.tokens[1]) == (len(text), count(text))
+        assert not any(doc.marks)
