@@ -8,12 +8,14 @@ bands of 5 values a pair at similarity 0.8 shares no band with probability 3e-6,
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, small_batches, staged
@@ -25,7 +27,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 #: Shingles that go through all hash functions at once.
 AT_ONCE = 1024
-#: Bytes of shingle sets that a bucket compares as one; larger buckets are dealt into slices that meet in pairs.
+#: Bytes of shingle sets that a task compares as one; larger buckets are dealt into cells.
 SLICE_BYTES = 4 << 20
 #: So many marks of candidates are broadcast at most (8 bytes each); beyond that the join shuffles the texts.
 BROADCAST_MARKS = 250_000
@@ -67,34 +69,91 @@ def sketch(text: bytes, size: int = SHINGLE) -> tuple[int, np.ndarray]:
     return _packed(ones, n), np.array([xxhash.xxh64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)], dtype=np.uint64).view(np.int64)
 
 
+def prefix(size: int, similarity: float) -> tuple[int, int]:
+    """Of a set's shingles, rarest first: how many must hold one that it shares with a similar set no larger than it, and with one no smaller."""
+    return size - math.ceil(similarity * size - 1e-9) + 1, size - math.ceil(2 * similarity / (1 + similarity) * size - 1e-9) + 1
+
+
 def _linked(marks: list[int], sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links among a bucket's texts: a text is compared with a group until one of it links."""
-    groups: list[list[int]] = []
-    for i, s in enumerate(sets):
-        joined, apart = [i], []
-        for group in groups:
-            for j in group:
-                t = sets[j]
-                if min(len(s), len(t)) < similarity * max(len(s), len(t)) - 1e-9:
+    """A spanning forest of the links among a cell's texts.
+
+    Sets meet, the smaller first, where their rarest shingles do: a set's own shingles are its rarest, so that texts of one
+    template don't meet by what they all share. Sets already in one group aren't compared."""
+    flat, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(flat), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(flat))
+    ends = np.cumsum([len(s) for s in sets])
+    rows = [np.sort(x) for x in np.split(rank[inverse], ends[:-1])]
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    index: dict[int, dict[int, list[tuple[int, int, int]]]] = {}
+    for i in sorted(range(len(sets)), key=lambda k: len(rows[k])):
+        own, size, seen = rows[i], len(rows[i]), set()
+        probe, kept = prefix(size, similarity)
+        for at, h in enumerate(own[:probe].tolist()):
+            for group, entries in index.get(h, {}).items():
+                if find(group) == find(i):
                     continue
-                small, large = (s, t) if len(s) <= len(t) else (t, s)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                if both >= similarity * (len(s) + len(t) - both) - 1e-9:
-                    yield marks[i], marks[j]
-                    joined, group = (joined, group) if len(joined) > len(group) else (group, joined)
-                    joined.extend(group)
-                    break
-            else:
-                apart.append(group)
-        groups = [*apart, joined]
+                for other_size, j, place in entries[bisect_left(entries, (similarity * size - 1e-9,)) :]:
+                    if j in seen:
+                        continue
+                    seen.add(j)
+                    if min(size - at, other_size - place) < similarity / (1 + similarity) * (size + other_size) - 1e-9:
+                        continue  # not enough is left of either behind the first shingle that they share
+                    other = rows[j]
+                    both = int((own[np.minimum(np.searchsorted(own, other), size - 1)] == other).sum())
+                    if both >= similarity * (size + other_size - both) - 1e-9:
+                        yield marks[i], marks[j]
+                        root[find(i)] = find(j)
+                        break
+        for place, h in enumerate(own[:kept].tolist()):
+            index.setdefault(h, {}).setdefault(find(i), []).append((size, i, place))
+
+
+def _hash_rows(members: DataFrame) -> DataFrame:
+    """(bucket, mark, hash) of members with their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 64):
+            sets = [np.frombuffer(x, dtype=np.int64) for x in as_bytes(batch.column(2))]
+            again = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(again)), batch.column(1).take(pa.array(again)), pa.array(np.concatenate(sets) if sets else [], pa.int64())], ["bucket", "mark", "hash"])
+
+    return members.select("bucket", "mark", "hashes").mapInArrow(run, "bucket long, mark long, hash long")
+
+
+def _cells(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(cell, mark): large buckets (bucket, mark) in cells of sets that meet in one of their rarest shingles, smaller with larger."""
+    rows = staged(_hash_rows(members.join(sets, "mark")), "hashes")
+    often = staged(rows.groupBy("bucket", "hash").agg(F.count("*").alias("often")), "often")
+    ordered = rows.join(often, ["bucket", "hash"]).groupBy("bucket", "mark").agg(F.sort_array(F.collect_list(F.struct("often", "hash"))).alias("h"))
+    size = F.size("h")
+    probe, kept = size - F.ceil(size * similarity - 1e-9) + 1, size - F.ceil(size * (2 * similarity / (1 + similarity)) - 1e-9) + 1
+    some = ordered.select("bucket", "mark", kept.alias("kept"), F.posexplode(F.slice("h", F.lit(1), probe.cast("int")))).filter("col.often > 1")
+    some = staged(some.select(F.xxhash64("bucket", "col.hash").alias("cell"), "mark", (F.col("pos") < F.col("kept")).alias("indexed")), "prefixes")
+    return _different(some, F.max("indexed").alias("met")).select("cell", "mark")
+
+
+def _different(rows: DataFrame, *more: Column) -> DataFrame:
+    """Rows (cell, mark) of cells with two members or more; of cells with the same members one. ``met``, if asked for, must hold."""
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "mark")).alias(f"same{k}") for k in (1, 2)]
+    cells = rows.groupBy("cell").agg(F.count("*").alias("n"), *same, *(more or [F.lit(True).alias("met")])).filter("n > 1 and met")
+    cells = staged(cells.groupBy("n", "same1", "same2").agg(F.min("cell").alias("cell")).select("cell"), "cells")
+    return staged(rows.join(cells, "cell", "left_semi"), "members")
 
 
 def links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (u, v) between the marks of similar texts, enough to span each component.
 
-    Buckets with the same texts in them are compared once. A bucket with more than ``SLICE_BYTES`` of sets is
-    dealt into slices by mark; every two slices meet in a task of their own."""
+    Buckets with the same texts in them are compared once. A bucket with more than ``SLICE_BYTES`` of sets is dealt into
+    cells by its sets' rarest shingles, as a task does within a smaller one. Cells that are still as large, mostly of
+    copies, are dealt into slices by mark; every two slices meet in a task of their own."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -105,7 +164,7 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) ->
         cell, marks, sets = None, [], []
 
         def found() -> Iterator[pa.RecordBatch]:
-            out = list(_linked(marks, sets, similarity))
+            out = list(_linked(marks, sets, similarity)) if len(marks) > 1 else []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["u", "v"])
 
@@ -119,23 +178,27 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) ->
         yield from found()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.select("mark", F.explode("bands").alias("bucket"))
-    same = [F.bit_xor(F.xxhash64(F.lit(k), "mark")).alias(f"same{k}") for k in (1, 2)]
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), *same).filter("n > 1")
-    buckets = staged(buckets.groupBy("n", "same1", "same2").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
-    members = staged(rows.join(buckets, "bucket", "left_semi"), "members")
+    members = _different(nodes.select("mark", F.explode("bands").alias("cell")))
     texts = docs.select(_mark("text").alias("mark"), "text")
     marks = staged(members.select("mark").distinct(), "candidates")
     marks = F.broadcast(marks) if marks.count() <= BROADCAST_MARKS else marks
     wanted = texts.join(marks, "mark", "left_semi")
     sets = staged(wanted.mapInArrow(to_sets, "mark long, hashes binary").dropDuplicates(["mark"]), "sets")
     sizes = sets.select("mark", F.length("hashes").cast("long").alias("bytes"))
-    slices = F.least(F.ceil(F.sum("bytes") / SLICE_BYTES), F.count("*")).alias("slices")
-    large = staged(members.join(sizes, "mark").groupBy("bucket").agg(slices).filter("slices > 1"), "large-buckets")
+
+    def large(cells: DataFrame) -> DataFrame:
+        slices = F.least(F.ceil(F.sum("bytes") / SLICE_BYTES), F.count("*")).alias("slices")
+        return staged(cells.join(sizes, "mark").groupBy("cell").agg(slices).filter("slices > 1"), "large-cells")
+
+    buckets = large(members)
+    if not buckets.isEmpty():
+        dealt = _cells(members.join(buckets, "cell", "left_semi").select(F.col("cell").alias("bucket"), "mark"), sets, similarity)
+        members = members.join(buckets, "cell", "left_anti").select("cell", "mark").unionByName(dealt)
+        buckets = large(dealt)
     own = F.pmod(F.xxhash64("mark"), F.col("slices"))
-    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda other: F.xxhash64("bucket", F.least(own, other), F.greatest(own, other)))
-    cells = F.explode(F.when(F.col("slices").isNull(), F.array("bucket")).otherwise(met)).alias("cell")
-    cells = members.join(large, "bucket", "left").select(cells, "mark").join(sets, "mark").select("cell", "mark", "hashes")
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda other: F.xxhash64("cell", F.least(own, other), F.greatest(own, other)))
+    cells = F.explode(F.when(F.col("slices").isNull(), F.array("cell")).otherwise(met)).alias("cell")
+    cells = members.join(buckets, "cell", "left").select(cells, "mark").join(sets, "mark").select("cell", "mark", "hashes")
     dealt = cells.repartition(parts, "cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(compare, "u long, v long").distinct()
 

@@ -67,3 +67,57 @@ def test_stage_drops_copies_beyond_three_bits(spark, docs_of):
         copy[at] = "changed"
     rows = [(1, " ".join(text)), (2, " ".join(copy)), (3, "something else that stands on its own")]
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near(spark, docs_of(rows), "").collect()) == [1, 3]
+
+
+def templated(n, shared=74, own=40, seed=3):
+    """Texts of one template: they share most words and no two are similar."""
+    rng = random.Random(seed)
+    common = ["t%d" % k for k in range(shared)]
+    return [" ".join(common + ["o%d" % rng.randrange(10**9) for _ in range(own)]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("slice_bytes", [4 << 20, 20_000])
+def test_a_bucket_of_templated_texts_without_links(spark, docs_of, monkeypatch, slice_bytes):
+    monkeypatch.setattr(overlap, "SLICE_BYTES", slice_bytes)
+    rows = list(enumerate(templated(150) + templated(40, 74, 2, 4)))
+    assert sorted(r["doc_id"] for r in overlap.keep_one(docs_of(rows)).collect()) == [d for d, _ in brute_kept(rows)]
+
+
+def test_templated_sets_are_not_all_compared(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    common = rng.integers(0, 1 << 60, 85).astype(np.uint64)
+    for n in (500, 2000):
+        sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 60, own).astype(np.uint64)])) for own in rng.integers(25, 40, n)]
+        calls = []
+        found = np.searchsorted
+        monkeypatch.setattr(np, "searchsorted", lambda *a, **b: calls.append(1) or found(*a, **b))
+        assert list(overlap._linked(list(range(n)), sets, 0.8)) == [] and len(calls) <= n
+        monkeypatch.undo()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_links_span_the_components_of_all_pairs(seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    base = [rng.integers(0, 3000, rng.integers(1, 80)) for _ in range(12)]
+    sets = []
+    for b in base:
+        for _ in range(12):
+            keep = rng.random(len(b)) > rng.choice([0, 0.05, 0.15])
+            sets.append(np.unique(np.concatenate([b[keep], rng.integers(0, 3000, rng.integers(1, 4))])).astype(np.uint64))
+
+    def components(pairs):
+        root = list(range(len(sets)))
+        for u, v in pairs:
+            a, b = root[u], root[v]
+            root = [a if x == b else x for x in root]
+        return root
+
+    similar = [(i, j) for i, j in combinations(range(len(sets)), 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9]
+    found = list(overlap._linked(list(range(len(sets))), sets, 0.8))
+    assert set(map(tuple, map(sorted, found))) <= set(similar)
+    same = lambda roots: {frozenset(k for k, r in enumerate(roots) if r == x) for x in roots}
+    assert same(components(found)) == same(components(similar))
