@@ -172,17 +172,20 @@ def _number(cells: list[str], at: int) -> float | None:
 
 
 def write_sdf(df: DataFrame, path: str) -> None:
-    """SDF text of (name, atoms, props): coordinates to four decimals, bonds left out, properties as data items."""
+    """SDF text of (name, atoms, props) and, where there is such a column, bonds: coordinates to four decimals, properties as data items."""
     pad = lambda x, n: F.lpad(x, n, " ")
     line = lambda a: F.concat(*(pad(F.format_string("%.4f", a[c]), 10) for c in "xyz"), F.lit(" "), F.rpad(a["sym"], 3, " "), F.lit(" 0  0  0  0  0  0  0  0  0  0  0  0"))
-    counts = F.concat(pad(F.size("atoms").cast("string"), 3), F.lit("  0  0  0  0  0  0  0  0  0999 V2000"))
+    link = lambda x: F.concat(*(pad(x[c].cast("string"), 3) for c in ("a", "b", "order")), F.lit("  0\n"))
+    bonds = F.coalesce("bonds", F.array()) if "bonds" in df.columns else F.array()
+    links = F.array_join(F.transform(bonds, link), "") if "bonds" in df.columns else F.lit("")
+    counts = F.concat(pad(F.size("atoms").cast("string"), 3), pad(F.size(bonds).cast("string"), 3), F.lit("  0  0  0  0  0  0  0  0999 V2000"))
     props = F.array_join(F.transform(F.map_entries("props"), lambda e: F.concat(F.lit(">  <"), e["key"], F.lit(">\n"), e["value"], F.lit("\n\n"))), "")
-    body = F.concat(F.coalesce("name", F.lit("")), F.lit("\n\n\n"), counts, F.lit("\n"), F.array_join(F.transform("atoms", line), "\n"), F.lit("\nM  END\n"), F.coalesce(props, F.lit("")), F.lit("$$$$"))
+    body = F.concat(F.coalesce("name", F.lit("")), F.lit("\n\n\n"), counts, F.lit("\n"), F.array_join(F.transform("atoms", line), "\n"), F.lit("\n"), links, F.lit("M  END\n"), F.coalesce(props, F.lit("")), F.lit("$$$$"))
     df.select(body.alias("value")).write.mode("overwrite").text(path)
 
 
 def read_cif_atoms(spark: SparkSession, path: str) -> DataFrame:
-    """(file, label, sym, x, y, z): the atom-site loop of CIF files, fractional coordinates, uncertainties in brackets dropped."""
+    """(file, label, sym, x, y, z): the first plain atom-site loop of CIF files, fractional coordinates, uncertainties in brackets dropped. ``cif.read_cif`` reads all of a file."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", r"(?s)loop_\s*((?:\s*_atom_site_(?!aniso)\w+[ \t]*\r?\n)+)(.*?)(?=\r?\n\s*(?:loop_|_|#|data_|\s*$))", 0).alias("loop"))
     names = F.regexp_extract_all("loop", F.lit(r"_atom_site_(\w+)"), F.lit(1))
     rows = F.filter(F.split(F.regexp_replace("loop", r"(?s)^loop_.*_atom_site_\w+[ \t]*\r?\n", ""), r"\r?\n"), lambda s: F.trim(s) != "")
