@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.staging import shared_dir
+from ..sources.staging import new_folder
 
 
 def windowed_rates(events: DataFrame, window: str = "1 day", late: str = "2 days", above: float = 50) -> DataFrame:
@@ -24,10 +22,10 @@ def daily_rates(spark: SparkSession, path: str) -> DataFrame:
     # a path is watched as a folder: its one file is picked out by name
     folder, _, name = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    out = f"{shared_dir(spark)}/rates-{uuid.uuid4().hex}"
+    out, state = new_folder(spark, "rates"), new_folder(spark, "rates-state")
 
     def keep(df: DataFrame, _: int) -> None:
         df.write.mode("overwrite").parquet(out)
 
-    windowed_rates(stream).writeStream.outputMode("complete").option("checkpointLocation", f"{out}-state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    windowed_rates(stream).writeStream.outputMode("complete").option("checkpointLocation", state).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
