@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 
 def first_per_group(df: DataFrame, group: list[str], order: list[Column | str], n: int | None) -> DataFrame:
     """The first ``n`` rows of each group; 0 and None mean all. The limit acts before the shuffle as well."""
@@ -15,8 +17,11 @@ def first_per_group(df: DataFrame, group: list[str], order: list[Column | str],
 
 
 def first_wins(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """(key, value) of the row that comes first for each key; folds before the shuffle."""
-    return df.groupBy(key).agg(F.min(F.struct(order, value)).alias("_f")).select(key, F.col(f"_f.{value}").alias(value))
+    """(key, value) of the row that comes first for each key; folds before the shuffle, by the key's digest where keys are texts."""
+    if dict(df.dtypes)[key] != "string":
+        return df.groupBy(key).agg(F.min(F.struct(order, value)).alias("_f")).select(key, F.col(f"_f.{value}").alias(value))
+    first = df.groupBy(F.sha2(key, 256).alias("_d")).agg(F.min(F.struct(order, value)).alias("_f"), F.first(key).alias(key))
+    return first.select(key, F.col(f"_f.{value}").alias(value))
 
 
 def stable_mode(df: DataFrame, group: list[str], value: str, order: str) -> DataFrame:
@@ -43,13 +48,21 @@ def split_of(index: Column) -> Column:
 def split_report(df: DataFrame, by: list[str], total: bool = False) -> DataFrame:
     """Counts before and after filtering, averages, success rate and failures by split; with ``total`` also over all (split null).
 
-    df: (split, geom, canonical, reason), reason null for rows that are kept."""
-    groups = df.rollup(*by) if total else df.groupBy(*by)
+    df: (split, geom, canonical, reason), reason null for rows that are kept. Rows of one split, group and text fold first, texts as
+    digests: what the distinct counts, and the sums over all splits, then read is slim."""
     kept = F.col("reason").isNull()
-    out = groups.agg(
-        F.count("*").alias("rows_in"), F.count_if(kept).alias("rows_out"),
+    text = F.when(kept, F.md5("canonical")).alias("_text")
+    slim = df.select(*by, "geom", "reason", text).groupBy(*by, "geom", "reason", "_text").agg(F.count("*").alias("_n"))
+    if total:
+        slim = staged(slim, "report")
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0))
+    counts = [
+        F.sum("_n").alias("rows_in"), n(kept).alias("rows_out"),
         F.countDistinct("geom").alias("groups_in"), F.countDistinct(F.when(kept, F.col("geom"))).alias("groups_out"),
-        F.count_if(F.col("reason") == "dotted").alias("dotted"), F.count_if(F.col("reason") == "short").alias("short"),
-        F.countDistinct(F.when(kept, F.col("canonical"))).alias("distinct_canonical"),
-    )
+        n(F.col("reason") == "dotted").alias("dotted"), n(F.col("reason") == "short").alias("short"),
+        F.countDistinct("_text").alias("distinct_canonical"),
+    ]
+    out = slim.groupBy(*by).agg(*counts)
+    if total:
+        out = out.unionByName(slim.agg(*counts).select(*(F.lit(None).cast(t).alias(c) for c, t in slim.dtypes if c in by), "*"))
     return out.withColumn("success_rate", F.round(F.col("groups_out") / F.greatest(F.col("groups_in"), F.lit(1)), 6)).withColumn("average", F.round(F.col("rows_out") / F.greatest(F.col("groups_out"), F.lit(1)), 6))

@@ -54,16 +54,30 @@ def running_total(df: DataFrame, order: list[str], value: str) -> DataFrame:
     return dealt.join(F.broadcast(offsets), "_part").withColumn("stop", F.col("_offset") + within).withColumn("start", F.col("stop") - F.col(value)).drop("_part", "_offset")
 
 
-def pack_chunks(units: DataFrame, order: list[str], seq_len: int) -> DataFrame:
+def pack_chunks(units: DataFrame, order: list[str], seq_len: int, drop_last: bool = False) -> DataFrame:
     """(block, *order, from, to): units laid end to end and cut into blocks of seq_len + 1 tokens; ``from`` and ``to`` within the unit.
 
-    The last block may be short; a sample is its first seq_len tokens, the labels its last."""
+    The last block may be short, or is left out with ``drop_last``; a sample is its first seq_len tokens, the labels its last."""
     size = seq_len + 1
     laid = running_total(units, order, "n_tokens").filter("n_tokens > 0")
+    if drop_last:
+        whole = staged(laid.agg(F.floor(F.coalesce(F.max("stop"), F.lit(0)) / size).alias("_blocks")), "blocks").first()["_blocks"]
+        laid = laid.filter(F.col("start") < whole * size).withColumn("stop", F.least("stop", F.lit(whole * size)))
     cut = laid.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("stop") - 1) / size))))
     return cut.select("block", *order, (F.greatest("start", F.col("block") * size) - F.col("start")).alias("from"), (F.least("stop", (F.col("block") + 1) * size) - F.col("start")).alias("to"))
 
 
+def chunk_pairs(units: DataFrame, order: list[str], tokens: str, seq_len: int) -> DataFrame:
+    """(block, x, y): the inputs and next tokens of every full block of seq_len + 1 tokens; what is left at the end is dropped.
+
+    A unit's tokens go to the blocks that hold some of them, a slice to each."""
+    rows = staged(units.select(*order, tokens, F.size(tokens).cast("long").alias("n_tokens")).filter("n_tokens > 0"), "tokens")
+    pieces = pack_chunks(rows.select(*order, "n_tokens"), order, seq_len, drop_last=True)
+    cut = pieces.join(rows, order).select("block", *order, F.slice(tokens, (F.col("from") + 1).cast("int"), (F.col("to") - F.col("from")).cast("int")).alias("_t"))
+    whole = cut.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(*order, "_t"))).alias("_p")).select("block", F.flatten(F.col("_p._t")).alias("_b"))
+    return whole.select("block", F.slice("_b", 1, seq_len).alias("x"), F.slice("_b", 2, seq_len).alias("y"))
+
+
 class BestFit:
     """Bins of ``capacity`` tokens: of the first ``lookahead`` waiting units the one that leaves least room goes in, the first of equals."""
 
@@ -114,12 +128,15 @@ def shards_for(units: DataFrame) -> int:
     return max(1, -(-(units.agg(F.sum("n_tokens")).first()[0] or 0) // SHARD_TOKENS))
 
 
-def pack_best_fit(units: DataFrame, unit: str, order: str, seq_len: int, shards: int, lookahead: int = LOOKAHEAD) -> DataFrame:
+def pack_best_fit(units: DataFrame, unit: str, order: str, seq_len: int, shards: int, lookahead: int = LOOKAHEAD, by: Column | None = None) -> DataFrame:
     """(shard, bin, units, used): units (with n_tokens) packed into samples of seq_len, each unit followed by a separator.
 
+    ``by`` says the shard of a unit, otherwise a hash of it does.
+
     Shards are packed apart, so their number is the parallelism and should grow with the input (``shards_for``). A task
     streams a shard's units in order and holds ``lookahead`` of them and one bin."""
-    dealt = units.select(F.pmod(F.xxhash64(unit), F.lit(shards)).cast("int").alias("shard"), F.col(order).alias("o"), F.col(unit).cast("long").alias("unit"), (F.col("n_tokens") + 1).cast("long").alias("size"))
+    own = F.pmod(F.xxhash64(unit), F.lit(shards)) if by is None else by
+    dealt = units.select(own.cast("int").alias("shard"), F.col(order).alias("o"), F.col(unit).cast("long").alias("unit"), (F.col("n_tokens") + 1).cast("long").alias("size"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, packer = None, None

@@ -31,20 +31,19 @@ class Schedule:
     decay_steps: int | None = None
 
     def __post_init__(self):
+        """Targets rise and may repeat or lie within the warm-up; where both lengths of a decay are given the steps count."""
         if self.warmup < 0:
             raise ValueError("warmup must not be negative")
         if not self.targets:
             raise ValueError("a schedule needs targets")
-        if list(self.targets) != sorted(set(self.targets)):
-            raise ValueError("targets must grow strictly")
-        if self.targets[0] <= self.warmup:
-            raise ValueError("the first target must come after the warm-up")
+        if list(self.targets) != sorted(self.targets) or self.targets[0] <= 0:
+            raise ValueError("targets must be positive and rise")
         if self.high <= 0 or self.low < 0 or self.low > self.high:
             raise ValueError("rates must satisfy 0 <= low <= high, high > 0")
-        if (self.decay_fraction is None) == (self.decay_steps is None):
+        if self.decay_fraction is None and self.decay_steps is None:
             raise ValueError("give decay_fraction or decay_steps")
-        if self.decay_fraction is not None and not 0 < self.decay_fraction <= 1:
-            raise ValueError("decay_fraction must be in (0, 1]")
+        if self.decay_fraction is not None and not 0 <= self.decay_fraction <= 1:
+            raise ValueError("decay_fraction must be in [0, 1]")
         if self.decay_steps is not None and self.decay_steps < 1:
             raise ValueError("decay_steps must be positive")
 
@@ -75,6 +74,16 @@ def grid(spark: SparkSession, rates: list[float], batches: list[int], steps: dic
     return spark.createDataFrame(rows, "lr double, batch int, steps int")
 
 
+def grid_of(values: DataFrame, axes: list[str], steps: Column) -> DataFrame:
+    """(*axes, steps): every combination of the values that the columns ``axes`` have, nulls aside, each once, with the steps that ``steps`` says of it.
+
+    The distinct values of an axis are few, as a grid's are; they meet as arrays of one row."""
+    one = values.agg(*(F.array_sort(F.collect_set(a)).alias(a) for a in axes))
+    for a in axes:
+        one = one.withColumn(a, F.explode(a))
+    return one.withColumn("steps", steps)
+
+
 def flops_per_token(layers: int, hidden: int, vocabulary: int) -> int:
     return 24 * layers * hidden * hidden + 4 * hidden * vocabulary
 

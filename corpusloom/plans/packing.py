@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import packing as op
 from ..session import table
+from ..sources.staging import staged
 from .registry import query
 from .views import CORPUS_SQL, corpus
 
@@ -21,14 +22,16 @@ def _units(spark, sf_dir):
     return m.select("conf", text.build_unit(F.col("canonical"), F.col("embedded")).alias("unit"))
 
 
-def _sizes(spark, sf_dir):
-    """Units cut to fit a sample, as best-fit packing reads them."""
-    return _units(spark, sf_dir).select("conf", F.least(F.length("unit"), F.lit(SEQ - 1)).cast("long").alias("n_tokens"))
+def _whole(spark, sf_dir):
+    """Units in full, as chunk packing reads them: (conf, n_tokens), staged, so that texts are read and put into canonical form once."""
+    marks = F.length(text.build_unit(F.lit(""), F.lit("")))
+    lengths = staged(corpus(spark, sf_dir).select("conf", F.length("canonical").alias("a"), F.length("embedded").alias("b")), "lengths")
+    return lengths.filter("a > 0 and b >= 16").select("conf", (F.col("a") + F.col("b") + marks).cast("long").alias("n_tokens"))
 
 
-def _whole(spark, sf_dir):
-    """Units in full: chunk packing carries what a block can't hold on to the next."""
-    return _units(spark, sf_dir).select("conf", F.length("unit").cast("long").alias("n_tokens"))
+def _sizes(spark, sf_dir):
+    """Units cut to fit a sample, as best-fit packing reads them."""
+    return _whole(spark, sf_dir).withColumn("n_tokens", F.least("n_tokens", F.lit(SEQ - 1).cast("long")))
 
 
 @query(f"WITH {_UNITS} SELECT conf, CAST(n_tokens AS INT) AS n_tokens, CAST(list_sum(list_transform(string_split(left(unit, {SEQ - 1}), ''), lambda c: ord(c))) AS BIGINT) AS code_sum FROM n")
@@ -73,15 +76,28 @@ def token_extrapolation(spark, sf_dir):
 
 
 def _each(bins):
-    """Packed units, and whether their bin holds no more than a sample."""
-    return bins.select(F.explode("units").alias("unit"), (F.col("used") <= SEQ).alias("fits"))
+    """Packed units with their shard and bin."""
+    return bins.select(F.explode("units").alias("unit"), F.col("shard").cast("long").alias("shard"), "bin", "used")
 
 
-@query(f"WITH {_UNITS} SELECT conf AS unit, true AS fits FROM n")
+#: Best fit step by step: of the first units of a shard's line that fit the open bin the one that leaves least room, the first of equals; where none fits the bin is closed.
+_FIT = f"""WITH RECURSIVE {_UNITS}, k AS (SELECT greatest(1, CAST(ceil(sum(n_tokens) / {op.SHARD_TOKENS}) AS BIGINT)) AS shards FROM n),
+q AS MATERIALIZED (SELECT conf % shards AS shard, conf AS unit, n_tokens + 1 AS size, row_number() OVER (PARTITION BY conf % shards ORDER BY conf) AS i FROM n, k),
+r AS (SELECT shard, list({{'i': i, 'unit': unit, 'size': size}} ORDER BY i) FILTER (WHERE i <= {op.LOOKAHEAD}) AS line, CAST({op.LOOKAHEAD + 1} AS BIGINT) AS nxt, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS bin, CAST(NULL AS BIGINT) AS unit, CAST(NULL AS BIGINT) AS at FROM q GROUP BY shard
+UNION ALL
+SELECT s.shard, CASE WHEN best IS NULL THEN line WHEN q.i IS NULL THEN list_filter(line, lambda w: w.i <> best.i) ELSE list_append(list_filter(line, lambda w: w.i <> best.i), {{'i': q.i, 'unit': q.unit, 'size': q.size}}) END,
+  CASE WHEN best IS NULL THEN nxt ELSE nxt + 1 END, CASE WHEN best IS NULL THEN 0 ELSE used + best.size END, CASE WHEN best IS NULL THEN bin + 1 ELSE bin END, best.unit, s.bin
+FROM (SELECT *, list_sort(list_transform(list_filter(line, lambda w: w.size <= {SEQ} - used), lambda w: {{'room': {SEQ} - used - w.size, 'i': w.i, 'unit': w.unit, 'size': w.size}}))[1] AS best FROM r WHERE len(line) > 0) s LEFT JOIN q ON q.shard = s.shard AND q.i = s.nxt),
+"""
+_BINS = f"{_FIT} b AS (SELECT r.shard, r.at AS bin, r.unit, q.size FROM r JOIN q ON q.shard = r.shard AND q.unit = r.unit) SELECT unit, shard, bin, CAST(sum(size) OVER (PARTITION BY shard, bin) AS BIGINT) AS used FROM b"
+
+
+@query(_BINS)
 def pack_bestfit(spark, sf_dir):
-    """Every unit is in one bin, and no bin is overfull; tests hold the choice of units by hand."""
+    """The bin of every unit: shards by unit number, units in order."""
     sizes = _sizes(spark, sf_dir)
-    return _each(op.pack_best_fit(sizes, "conf", "conf", SEQ, shards=op.shards_for(sizes)))
+    shards = op.shards_for(sizes)
+    return _each(op.pack_best_fit(sizes, "conf", "conf", SEQ, shards, by=F.pmod("conf", F.lit(shards))))
 
 
 @query(f"WITH {_UNITS} SELECT count(*) AS units, CAST(sum(n_tokens + 1) AS BIGINT) AS tokens, CAST(sum(conf) AS BIGINT) AS id_sum FROM n")
@@ -92,13 +108,25 @@ def pack_conservation(spark, sf_dir):
     return bins.agg(F.sum(F.size("units")).alias("units"), F.sum("used").alias("tokens"), F.sum(F.aggregate("units", F.lit(0).cast("long"), lambda a, x: a + x)).alias("id_sum"))
 
 
-@query(f"WITH {_UNITS} SELECT conf AS unit, true AS fits FROM n")
+@query(_BINS)
 def stream_pack(spark, sf_dir):
-    """The same units packed by a stateful stream that is read to its end: none lost, none twice, no bin overfull."""
+    """The same bins from a stateful stream that is read to its end."""
     from ..streaming.pack import pack_stream
 
     sizes = _sizes(spark, sf_dir)
-    return _each(pack_stream(sizes.select(F.col("conf").alias("unit"), "n_tokens"), SEQ, shards=op.shards_for(sizes)))
+    shards = op.shards_for(sizes)
+    return _each(pack_stream(sizes.select(F.col("conf").alias("unit"), "n_tokens"), SEQ, shards, by=F.pmod("unit", F.lit(shards))))
+
+
+_BLOCKS = f"""{_PIECES}, x AS (SELECT block, string_split(string_agg(substr(unit, "from" + 1, "to" - "from"), '' ORDER BY p.conf), '') AS c FROM p JOIN n ON n.conf = p.conf GROUP BY block HAVING sum("to" - "from") = {SEQ + 1}), w AS (SELECT block, list_transform(c, lambda v: ord(v)) AS w FROM x)"""
+
+
+@query(f"WITH {_BLOCKS} SELECT block, md5(array_to_string(w[1:{SEQ}], ' ')) AS x, md5(array_to_string(w[2:{SEQ + 1}], ' ')) AS y FROM w")
+def chunk_pairs(spark, sf_dir):
+    """Digests of the inputs and next tokens of every full block; the tokens at the end that fill none are dropped."""
+    units = _units(spark, sf_dir).select("conf", op.char_tokens(F.col("unit")).alias("t"))
+    digest = lambda a: F.md5(F.array_join(F.col(a).cast("array<string>"), " ")).alias(a)
+    return op.chunk_pairs(units, ["conf"], "t", SEQ).select("block", digest("x"), digest("y"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 day, ts) AS day, event_type, count(*) AS n, round(avg(CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS rate FROM events GROUP BY 1, 2")

@@ -23,24 +23,28 @@ def stats_merge(spark, sf_dir):
     return op.merge(parts, ["event_type"])
 
 
-@query("""WITH s AS (SELECT unnest(range(0, 11001, 50)) AS step), t AS (SELECT unnest([1250, 2500, 5000, 10000]) AS t), n AS (SELECT step, min(t) AS t FROM s LEFT JOIN t ON t >= step GROUP BY step),
-b AS (SELECT step, t, greatest(t - greatest(1, CAST(floor(t * 0.1) AS INT)), 100) AS b FROM n)
-SELECT CAST(step AS INT) AS step, round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE WHEN t IS NULL THEN 0.0::DOUBLE WHEN step > b THEN 1.0::DOUBLE - (step - b)::DOUBLE / (t - b) ELSE 1.0::DOUBLE END, 6) AS lr FROM b""")
+@query("""WITH s AS (SELECT event_id, event_id % 11000 AS step FROM events), t AS (SELECT unnest([1250, 2500, 5000, 10000]) AS t), n AS (SELECT event_id, step, min(t) AS t FROM s LEFT JOIN t ON t >= step GROUP BY event_id, step),
+b AS (SELECT event_id, step, t, greatest(t - greatest(1, CAST(floor(t * 0.1) AS INT)), 100) AS b FROM n)
+SELECT event_id, step, round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE WHEN t IS NULL THEN 0.0::DOUBLE WHEN step > b THEN 1.0::DOUBLE - (step - b)::DOUBLE / (t - b) ELSE 1.0::DOUBLE END, 6) AS lr FROM b""")
 def lr_schedule(spark, sf_dir):
+    """The rate of each logged event, whose number stands for its step in a run of 11,000."""
     s = op.Schedule(100, (1250, 2500, 5000, 10000))
-    steps = spark.range(0, 11001, 50).select(F.col("id").cast("int").alias("step"))
-    return steps.select("step", F.round(s.rate(F.col("step")), 6).alias("lr"))
+    steps = table(spark, sf_dir, "events").select("event_id", F.pmod("event_id", F.lit(11_000)).alias("step"))
+    return steps.select("event_id", "step", F.round(s.rate(F.col("step")), 6).alias("lr"))
 
 
-@query("SELECT CAST(step // 500 AS BIGINT) AS period, CAST(min(step) AS BIGINT) AS validated_at FROM (SELECT unnest(range(0, 11001, 50)) AS step) GROUP BY 1")
+@query("SELECT event_type, CAST(event_id // 500 AS BIGINT) AS period, min(event_id) AS validated_at, count(*) AS events FROM events GROUP BY 1, 2")
 def cadence(spark, sf_dir):
-    """The first step of every 500: when validation is due on dense steps."""
-    return spark.range(0, 11001, 50).groupBy(F.floor(F.col("id") / 500).alias("period")).agg(F.min("id").alias("validated_at"))
+    """The first event of each kind in every 500 steps: when validation is due."""
+    e = table(spark, sf_dir, "events").select("event_type", "event_id")
+    return e.groupBy("event_type", F.floor(F.col("event_id") / 500).alias("period")).agg(F.min("event_id").alias("validated_at"), F.count("*").alias("events"))
 
 
-@query("SELECT lr, CAST(batch AS INT) AS batch, CAST(150000 * 48 / batch AS INT) AS steps FROM (SELECT unnest([0.0001::DOUBLE, 0.0002::DOUBLE, 0.0004::DOUBLE]) AS lr), (SELECT unnest([24, 48, 96]) AS batch)")
+@query("WITH r AS (SELECT DISTINCT l_discount AS rate FROM lineitem), b AS (SELECT DISTINCT l_linenumber * 24 AS batch FROM lineitem) SELECT rate, batch, CAST(150000 * 48 // batch AS BIGINT) AS steps FROM r, b WHERE rate IS NOT NULL AND batch IS NOT NULL")
 def param_grid(spark, sf_dir):
-    return op.grid(spark, [1e-4, 2e-4, 4e-4], [24, 48, 96], {24: 300_000, 48: 150_000, 96: 75_000, 192: 37_500})
+    """Every rate that occurs with every batch size that does, and the steps that see as many samples."""
+    axes = table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("rate"), (F.col("l_linenumber") * 24).alias("batch"))
+    return op.grid_of(axes, ["rate", "batch"], F.expr("cast(150000 * 48 div batch as bigint)"))
 
 
 @query("WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), p AS (SELECT n / sum(n) OVER () AS p FROM c) SELECT round(exp(-sum(p * ln(p + 1e-10))), 6) AS perplexity, round(100.0 * count(*) / 16, 6)::DOUBLE AS utilization FROM p")

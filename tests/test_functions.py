@@ -86,12 +86,21 @@ def test_schedule(spark, step, want):
     assert one(spark, s.rate(F.col("x")), x=step) == pytest.approx(want)
 
 
-@pytest.mark.parametrize("bad", [dict(warmup=-1, targets=(5,)), dict(warmup=0, targets=()), dict(warmup=0, targets=(5, 5)), dict(warmup=9, targets=(5,)), dict(warmup=0, targets=(5,), low=2.0), dict(warmup=0, targets=(5,), decay_steps=3), dict(warmup=0, targets=(5,), decay_fraction=1.5)])
+@pytest.mark.parametrize("bad", [dict(warmup=-1, targets=(5,)), dict(warmup=0, targets=()), dict(warmup=0, targets=(5, 3)), dict(warmup=0, targets=(0,)), dict(warmup=0, targets=(5,), low=2.0), dict(warmup=0, targets=(5,), decay_steps=0), dict(warmup=0, targets=(5,), decay_fraction=None), dict(warmup=0, targets=(5,), decay_fraction=1.5)])
 def test_schedule_errors(bad):
     with pytest.raises(ValueError):
         runs.Schedule(**bad)
 
 
+def test_schedules_that_are_taken(spark):
+    """Repeated targets, a first one within the warm-up, no share to decay, both lengths (the steps count)."""
+    rate = lambda s, x: one(spark, s.rate(F.col("x")), x=x)
+    assert [rate(runs.Schedule(0, (5, 5), decay_steps=2), x) for x in (3, 4, 5, 6)] == [1.0, 0.5, 0.0, 0.0]
+    assert rate(runs.Schedule(9, (5, 20), decay_steps=2), 4) == pytest.approx(4 / 9) and rate(runs.Schedule(9, (5, 20), decay_steps=2), 12) == 1.0
+    assert [rate(runs.Schedule(0, (10,), decay_fraction=0.0), x) for x in (9, 10)] == [1.0, 0.0]
+    assert rate(runs.Schedule(0, (100,), decay_fraction=0.5, decay_steps=10), 80) == 1.0
+
+
 def test_matching_golden_and_brute_force():
     from itertools import permutations
 
