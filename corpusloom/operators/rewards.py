@@ -9,11 +9,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import null_if_nan, sigmoid
+from . import matching
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def gated(rollouts: DataFrame, check: Column | None = None) -> DataFrame:
 def rollout_rewards(pairs: DataFrame, rollouts: DataFrame, p: Params, matched: DataFrame | None = None) -> DataFrame:
     """(key, j, graph, parsed, valid, d_min, best_i, r_qual, r_smcov, r_match, reward) of every rollout.
 
-    Rollouts that fail a gate, and those without any distance, get the floor. ``matched``: (key, j, d) from ``assign``."""
+    Rollouts that fail a gate, and those without any distance, get the floor. ``matched``: (key, j, d) from ``matching.assign``."""
     terms = coverage_terms(pairs.join(rollouts.filter("valid").select("key", "j"), ["key", "j"]), p)
     each = terms.groupBy("key", "j").agg(F.min("r").alias("d_min"), F.min(F.when(F.col("r").isNotNull(), F.struct("r", "i"))).alias("_b"), F.avg("marginal").alias("cover"))
     out = rollouts.join(each, ["key", "j"], "left").withColumn("best_i", F.col("_b.i")).drop("_b")
@@ -116,47 +116,6 @@ def match_pairs(d: np.ndarray, delta: float) -> list[tuple[int, int]]:
     return [(i, j) for i, j in enumerate(assignment(cost)) if i < d.shape[0] and j < d.shape[1] and ok[i, j]]
 
 
-#: References or rollouts of one connected block that ``assign`` takes at most.
-LARGEST_BLOCK = 4096
-
-
-def _blocks(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """A number for the connected block of each link between i and j."""
-    _, a = np.unique(i, return_inverse=True)
-    _, b = np.unique(j, return_inverse=True)
-    b = b + a.max() + 1
-    label = np.arange(b.max() + 1)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label[a]
-        label = new
-
-
-def assign(pairs: DataFrame, delta: float) -> DataFrame:
-    """(key, i, j, d) of each group's matched pairs. A group is one prompt's rollouts and references, tens of each.
-
-    Only pairs below ``delta`` are shuffled. Each connected block of them is solved apart, as a dense square; a
-    block of more than ``LARGEST_BLOCK`` references or rollouts stops the job (``mutual_nearest`` has no limit)."""
-    ids = dict(pairs.dtypes)
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, block in group.groupby(_blocks(group["i"].to_numpy(), group["j"].to_numpy())):
-            table = block.pivot(index="j", columns="i", values="r").sort_index().sort_index(axis=1)
-            if max(table.shape) > LARGEST_BLOCK:
-                raise ValueError(f"a connected block of {table.shape} pairs is larger than {LARGEST_BLOCK}")
-            rows += [(table.columns[b], table.index[a], float(table.iat[a, b])) for a, b in match_pairs(table.to_numpy(dtype=float), delta)]
-        i, j, d = zip(*rows) if rows else ((), (), ())
-        return pd.DataFrame({"key": [group["key"].iloc[0]] * len(rows), "i": i, "j": j, "d": d})
-
-    return pairs.filter(F.col("r") < delta).groupBy("key").applyInPandas(one, f"key {ids['key']}, i {ids['i']}, j {ids['j']}, d double")
-
-
 def mutual_nearest(pairs: DataFrame, delta: float) -> DataFrame:
     """(key, i, j, d): pairs below ``delta`` that are each other's nearest, ties to the smaller id: a matching for groups of any size."""
     near = pairs.filter(F.col("r") < delta)
@@ -275,7 +234,7 @@ def _legacy(pairs: DataFrame, rollouts: DataFrame, p: Params) -> DataFrame:
 
 
 def _v3(pairs: DataFrame, rollouts: DataFrame, p: Params) -> DataFrame:
-    matched = assign(pairs.join(rollouts.filter("valid").select("key", "j"), ["key", "j"]), p.delta) if p.w_match else None
+    matched = matching.assign(pairs.join(rollouts.filter("valid").select("key", "j"), ["key", "j"]), p.delta) if p.w_match else None
     return rollout_rewards(pairs, rollouts, p, matched)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.geometry import null_if_nan
-from ..operators import coverage, rewards
+from ..operators import coverage, matching, rewards
 from ..session import table
 from ..sources.staging import staged
 from .registry import query
@@ -72,19 +72,24 @@ def combine_reward(spark, sf_dir):
     return _rounded(rewards.rollout_rewards(*_setup(spark, sf_dir), P).select("key", "j", "valid", F.coalesce("best_i", F.lit(-1)).alias("best_i"), "reward"), "reward")
 
 
-@query(f"""WITH {_R}, el AS (SELECT * FROM dv WHERE r < 0.75) SELECT key, true AS one_to_one, true AS all_near, true AS none_left, true AS at_least_mutual FROM el GROUP BY key""")
-def assignment(spark, sf_dir):
-    """What holds of a matching of each group: ids come once, distances are below delta, no two free ones could be paired, and no fewer pairs than mutual nearest ones.
+#: Consecutive numbers within which references and rollouts of a key are matched.
+PART = 32
+
 
-    Tests hold the number of pairs and their total distance against all matchings of small groups."""
+@query(f"""WITH RECURSIVE {_R}, el AS (SELECT key, i // {PART} AS part, i, j, r FROM dv WHERE r < 0.75 AND i // {PART} = j // {PART}),
+li AS (SELECT key, part, i, row_number() OVER (PARTITION BY key, part ORDER BY i) AS n FROM (SELECT DISTINCT key, part, i FROM el)),
+op AS (SELECT key, part, n, i, j, r FROM el JOIN li USING (key, part, i) UNION ALL SELECT key, part, n, i, NULL, 0 FROM li),
+m AS (SELECT DISTINCT key, part, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS js, CAST([] AS STRUCT(i BIGINT, j BIGINT, r DOUBLE)[]) AS ps, CAST(0 AS DOUBLE) AS total FROM li
+  UNION ALL SELECT key, part, op.n, CASE WHEN op.j IS NULL THEN js ELSE list_append(js, op.j) END, CASE WHEN op.j IS NULL THEN ps ELSE list_append(ps, {{'i': op.i, 'j': op.j, 'r': op.r}}) END, total + op.r FROM m JOIN op USING (key, part) WHERE op.n = m.n + 1 AND (op.j IS NULL OR NOT list_contains(js, op.j))),
+b AS (SELECT key, part, ps, row_number() OVER (PARTITION BY key, part ORDER BY len(js) DESC, total) AS o FROM m JOIN (SELECT key, part, max(n) AS last FROM li GROUP BY key, part) USING (key, part) WHERE n = last)
+SELECT key, part, p.i AS i, p.j AS j, round(p.r, 6) AS d FROM (SELECT key, part, unnest(ps) AS p FROM b WHERE o = 1)""")
+def assignment(spark, sf_dir):
+    """The matched pairs of each key's references and rollouts with numbers in one stretch: in SQL, the best of all matchings."""
     pairs, runs = _setup(spark, sf_dir)
-    near = staged(pairs.join(runs.filter("valid").select("key", "j"), ["key", "j"]).filter(F.col("r") < PM.delta), "near")
-    matched = staged(rewards.assign(near, PM.delta), "matched")
-    per = matched.groupBy("key").agg(((F.countDistinct("i") == F.count("*")) & (F.countDistinct("j") == F.count("*"))).alias("one_to_one"), (F.max("d") < PM.delta).alias("all_near"), F.count("*").alias("n"))
-    free = near.join(matched.select("key", "i"), ["key", "i"], "left_anti").join(matched.select("key", "j"), ["key", "j"], "left_anti")
-    mutual = rewards.mutual_nearest(near, PM.delta).groupBy("key").agg(F.count("*").alias("least"))
-    out = per.join(mutual, "key").join(free.groupBy("key").agg(F.count("*").alias("left")), "key", "left")
-    return out.select("key", "one_to_one", "all_near", F.col("left").isNull().alias("none_left"), (F.col("n") >= F.col("least")).alias("at_least_mutual"))
+    near = pairs.join(runs.filter("valid").select("key", "j"), ["key", "j"])
+    part = lambda c: F.floor(F.col(c) / PART)
+    near = near.filter(part("i") == part("j")).select(F.struct("key", part("i").alias("part")).alias("key"), "i", "j", "r")
+    return matching.assign(near, PM.delta).select("key.key", "key.part", "i", "j", F.round("d", 6).alias("d"))
 
 
 _RANK = lambda c: f"rank() OVER (PARTITION BY key ORDER BY round({c}, 9)) + (count(*) OVER (PARTITION BY key, round({c}, 9)) - 1) / 2.0"

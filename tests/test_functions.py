@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import codec, geometry, text
-from corpusloom.operators import catalog, packing, rewards, runs
+from corpusloom.operators import catalog, matching, packing, rewards, runs
 
 
 def one(spark, column, **values):
@@ -122,7 +122,7 @@ def test_reward_golden(spark):
     d = [[0.2, 0.5], [0.6, 0.4], [0.95, 0.9]]
     pairs = spark.createDataFrame([("g", i, j, d[j][i]) for j in range(3) for i in range(2)], "key string, i long, j long, r double")
     runs_ = spark.createDataFrame([("g", j, True, True, True) for j in range(3)], "key string, j long, graph boolean, parsed boolean, valid boolean")
-    out = rewards.rollout_rewards(pairs, runs_, rewards.Params(), rewards.assign(pairs, 0.75)).orderBy("j").collect()
+    out = rewards.rollout_rewards(pairs, runs_, rewards.Params(), matching.assign(pairs, 0.75)).orderBy("j").collect()
     assert [r["reward"] for r in out] == pytest.approx([1.41478837, 0.85966790, 0.14022715], abs=1e-6)
 
 

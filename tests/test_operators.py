@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import catalog, checks, coverage, packing, reports, rewards, runs
+from corpusloom.operators import catalog, checks, components, coverage, matching, packing, reports, rewards, runs
 from corpusloom.sources import files
 
 
@@ -101,9 +101,40 @@ def test_strategies(spark):
 
 def test_matching_by_blocks(spark, monkeypatch):
     pairs = spark.createDataFrame([("g", i, j, 0.1 + 0.1 * abs(i - j)) for i in range(6) for j in range(6) if i // 3 == j // 3], "key string, i long, j long, r double")
-    assert sorted((r["i"], r["j"]) for r in rewards.assign(pairs, 0.75).collect()) == [(k, k) for k in range(6)]
+    assert sorted((r["i"], r["j"]) for r in matching.assign(pairs, 0.75).collect()) == [(k, k) for k in range(6)]
     assert sorted((r["i"], r["j"]) for r in rewards.mutual_nearest(pairs, 0.75).collect()) == [(k, k) for k in range(6)]
-    assert rewards.assign(pairs, 0.05).count() == 0
+    assert matching.assign(pairs, 0.05).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_sparse_matching_like_the_dense_one(seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    d = rng.random((rng.integers(1, 12), rng.integers(1, 12)))
+    delta = rng.choice([0.15, 0.4, 0.8, 2.0])
+    rows, columns = np.nonzero(d < delta)
+    found = [(int(rows[k]), int(columns[k])) for k in matching.match_links(rows.tolist(), columns.tolist(), d[rows, columns].tolist())]
+    want = rewards.match_pairs(d, delta)
+    assert len(found) == len(want) == len({r for r, _ in found}) == len({c for _, c in found})
+    assert sum(d[x] for x in found) == pytest.approx(sum(d[x] for x in want))
+
+
+def test_a_block_of_twenty_thousand(spark):
+    """A chain of rollouts each near three references: one connected block; the cheapest way gives each its own."""
+    n = 20_000
+    j = spark.range(n).select(F.col("id").alias("j"), F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("d"))
+    pairs = j.select(F.lit("k").alias("key"), (F.col("j") + F.col("d")).alias("i"), "j", F.when(F.col("d") == 0, 0.2).otherwise(0.3).alias("r")).filter(f"i between 0 and {n - 1}")
+    got = matching.assign(pairs.unionByName(pairs.limit(5)), 0.75)
+    assert got.count() == n and got.filter("i = j").count() == n
+    none = spark.createDataFrame([("a", None, 1, 0.1), ("a", 1, 1, None)], "key string, i long, j long, r double")
+    assert matching.assign(none, 0.75).count() == 0
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(0, 30) if k % 10] + [(100, k) for k in range(101, 120)] + [(5, 5)], "u long, v long")
+    got = {r["node"]: r["root"] for r in components.components(links).collect()}
+    assert all(got[k] == k // 10 * 10 + 1 for k in range(2, 30) if k % 10 > 1) and all(got[k] == 100 for k in range(101, 120)) and 1 not in got
 
 
 def test_reports_are_written(spark, tmp_path):
