@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from .text import truncate_fixed
 
-#: Symbols that are written without brackets.
-ORGANIC = ("B", "C", "N", "O", "P", "S", "F", "Cl", "Br", "I", "b", "c", "n", "o", "p", "s")
+# The elements' symbols of two letters, by period.
+TWO_LETTERS = (
+    "He Li Be Ne Na Mg Al Si Cl Ar Ca Sc Ti Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te Xe "
+    "Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa Np Pu Am Cm Bk Cf Es Fm Md No Lr Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og"
+).split()
+#: Fixed value: symbols that are written without brackets, and hydrogen counts on carbon, within brackets.
 _ORGANIC = r"\[(?:([Cc])H\d*|(Cl|Br|[BCNOPSFIbcnops]))\]"
 #: Tokens of plain strings: bracket atoms, two-digit ring numbers, bonds, branches, dots, digits, elements, aromatics.
 PLAIN = r"\[[^\]]+\]|%\d{2,}|[=#:/\\-]|[()]|\.|\d|Cl|Br|[BCNOPSFIH]|[cnopsb]"
 #: Tokens of enriched strings: atoms carry coordinates.
 ENRICHED = r"\[[^\]]+\]<[^>]*>|%\d{2,}|[=#:/\\-]|[()]|\d|\."
-NUMBER = r"[-+]?(?:\d+\.\d*|\.\d+|\d+)(?:[eE][-+]?\d+)?"
+#: Fixed value: a decimal number.
+NUMBER = r"[-+]?(\d+(\.\d*)?|\.\d+)([eE][-+]?\d+)?"
 
 
 def strip_text(s: Column) -> Column:
@@ -34,6 +39,58 @@ def tokenize_plain(s: Column) -> Column:
     return F.when(F.length(F.array_join(found, "")) == F.length(s), kinds)
 
 
+#: Pieces of plain strings that an element may begin: a capital and up to two small letters, or whatever PLAIN has.
+_STEERED = r"\[[^\]]+\]|%\d{2,}|[=#:/\\-]|[()]|\.|\d|[A-Z][a-z]{0,2}|[a-z]"
+
+
+def tokenize_steered(s: Column, expected: Column | None = None) -> Column:
+    """array<struct<type, text>> of a plain string whose letters may split in several ways: ``Sc`` as scandium or as S and c, ``Cn``, ``Co`` likewise.
+
+    ``expected`` has the symbols of all atoms in order, bracket atoms included; the split that spells them is taken, and
+    there is none (null) if they can't be spelt. A capital letter begins one atom and a small one behind it ends that or is an aromatic atom, so that each place has one split
+    that its own atom allows. Without ``expected`` the longest symbol that there is wins. Null if some character belongs to no token."""
+    found = _tokens(s, _STEERED)
+    two = F.array(*map(F.lit, TWO_LETTERS))
+    token = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    none = F.array().cast("array<struct<type:string,text:string>>")
+
+    def step(state: Column, piece: Column) -> Column:
+        at, out = state["at"], state["out"]
+        head = F.substring(piece, 1, 2)
+        wanted = F.try_element_at(expected, at + 1) if expected is not None else None
+        whole = (F.length(head) == 2) & F.array_contains(two, head) & (F.lit(True) if wanted is None else F.coalesce(wanted == head, F.lit(False)))
+        first = F.when(whole, head).otherwise(F.substring(piece, 1, 1))
+        rest = F.filter(F.split(F.substring(piece, F.length(first) + 1, F.lit(3)), ""), lambda c: c != "")
+        letters = F.concat(F.array(first), rest)
+        atoms = F.when(piece.startswith("["), F.array(piece)).when(piece.rlike("^[A-Za-z]"), letters)
+        new = F.when(atoms.isNull(), F.array(token("nonatom", piece))).otherwise(F.transform(atoms, lambda a: token("atom", a)))
+        return F.struct((at + F.coalesce(F.size(atoms), F.lit(0))).alias("at"), F.concat(out, new).alias("out"))
+
+    end = F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda state, piece: step(state, piece))["out"]
+    plain = rf"^([A-Z]|[bcnops]|{'|'.join(TWO_LETTERS)}|\[.*\])$"
+    atoms = F.filter(end, lambda t: t["type"] == "atom")
+    ok = (F.length(F.array_join(found, "")) == F.length(s)) & F.forall(atoms, lambda t: t["text"].rlike(plain))
+    if expected is not None:
+        same = lambda t, w: (t["text"] == w) | (t["text"].startswith("[") & F.contains(t["text"], w))
+        ok = ok & (F.size(atoms) == F.size(expected)) & F.forall(F.zip_with(atoms, expected, lambda t, w: F.coalesce(same(t, w), F.lit(False))), lambda x: x)
+    return F.when(ok, end)
+
+
+def annotate(s: Column, coords: Column, expected: Column | None = None, places: int = 4) -> Column:
+    """A plain string with its atoms' coordinates (array<array<double>>, in order) behind them, every atom in brackets; null if the string doesn't parse or has not as many atoms."""
+    tokens = tokenize_steered(s, expected)
+    numbers = lambda p: F.concat(F.lit("<"), F.array_join(F.transform(p, lambda v: truncate_fixed(v, places)), ","), F.lit(">"))
+    bracket = lambda t: F.when(t.startswith("["), t).otherwise(F.concat(F.lit("["), t, F.lit("]")))
+
+    def step(state: Column, t: Column) -> Column:
+        atom = t["type"] == "atom"
+        text = F.when(atom, F.concat(bracket(t["text"]), numbers(F.element_at(coords, state["at"] + 1)))).otherwise(t["text"])
+        return F.struct((state["at"] + atom.cast("int")).alias("at"), F.concat(state["out"], text).alias("out"))
+
+    fits = F.size(F.filter(tokens, lambda t: t["type"] == "atom")) == F.size(coords)
+    return F.when(fits, F.aggregate(tokens, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)["out"])
+
+
 def parse_coords(token: Column) -> Column:
     """The three numbers of an atom token as doubles, each the last number of its part; null if there aren't three."""
     parts = F.split(F.regexp_extract(token, "<([^>]*)>", 1), ",")
@@ -54,6 +111,11 @@ def normalize_descriptor(d: Column) -> Column:
     return F.regexp_replace(d, r"^\[([Cc])H\d*\]$", "[$1]")
 
 
+def expected_token(sym: Column, aromatic: Column) -> Column:
+    """How an atom is written without brackets: its symbol, in small letters if it is aromatic."""
+    return F.when(aromatic, F.lower(sym)).otherwise(sym)
+
+
 def format_descriptor(sym: Column, hydrogens: Column, charge: Column) -> Column:
     """[symbol, hydrogens, charge] as in [NH2+]; ones are left out."""
     h = F.when(hydrogens == 0, "").when(hydrogens == 1, "H").otherwise(F.concat(F.lit("H"), hydrogens.cast("string")))
@@ -69,10 +131,11 @@ def encode_enriched(atoms: Column, places: int = 4) -> Column:
 
 
 def decode_enriched(s: Column) -> Column:
-    """struct<plain, coords>: the plain string and the coordinates in order; null if the string doesn't parse."""
+    """struct<plain, coords>: the plain string and the coordinates in order; null if the string doesn't parse, or says atoms of another number than there are coordinates."""
     tokens = tokenize_enriched(s)
     coords = F.transform(F.filter(tokens, lambda t: t["coords"].isNotNull()), lambda t: t["coords"])
-    return F.when(tokens.isNotNull(), F.struct(strip_text(s).alias("plain"), coords.alias("coords")))
+    atoms = F.size(F.filter(tokens, lambda t: t["type"] == "atom_with_coords"))
+    return F.when(tokens.isNotNull() & (atoms == F.size(coords)), F.struct(strip_text(s).alias("plain"), coords.alias("coords")))
 
 
 def decode_loose(s: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import codec, text
 from ..session import table
 from .registry import query
-from .views import ATOMS_SQL, ENRICHED_SQL, atoms, enriched, trunc_sql
+from .views import ATOMS_SQL, CONF_SQL, ENRICHED_SQL, atoms, conformers, enriched, trunc_sql
 
 LOW, HIGH, WIDTH = -0.5, 0.5, 0.05
 _LIST = lambda pattern: f"regexp_extract_all(enriched, '{pattern}')"
@@ -52,6 +52,38 @@ def tokenize_enriched(spark, sf_dir):
     return t.select("conf_id", F.col("t").isNotNull().alias("parsed"), F.coalesce(F.size("t"), F.lit(0)).alias("n_tokens"))
 
 
+#: Atoms whose letters run into one another: Sc or S and c, Co or C and o, Cn or C and n.
+AMBIGUOUS = ("C", "o", "Sc", "S", "c", "Co", "n", "Cn")
+_CHOSEN = f"list_transform(xyz[1:12], lambda v: (['{"', '".join(AMBIGUOUS)}'])[CAST(floor(abs(v) * 1000) AS BIGINT) % {len(AMBIGUOUS)} + 1])"
+
+
+def _ambiguous(spark, sf_dir):
+    symbols = F.array(*map(F.lit, AMBIGUOUS))
+    chosen = F.transform(F.slice("xyz", 1, 12), lambda v: F.element_at(symbols, (F.floor(F.abs(v) * 1000) % len(AMBIGUOUS) + 1).cast("int")))
+    return conformers(spark, sf_dir).select("conf_id", "xyz", chosen.alias("atoms"))
+
+
+@query(f"WITH {CONF_SQL} SELECT conf_id, array_to_string({_CHOSEN}, '') AS text, array_to_string({_CHOSEN}, ' ') AS tokens FROM v_conf")
+def tokenize_steered(spark, sf_dir):
+    """Strings of atoms whose letters could be split in other ways, split as the list of atoms says."""
+    rows = _ambiguous(spark, sf_dir).withColumn("text", F.array_join("atoms", ""))
+    return rows.select("conf_id", "text", F.array_join(codec.tokenize_steered(F.col("text"), F.col("atoms"))["text"], " ").alias("tokens"))
+
+
+_POINT = " || ',' || ".join(trunc_sql(f"xyz[3 * i + {c}]") for c in (1, 2, 3))
+
+
+@query(f"""WITH {CONF_SQL}, a AS (SELECT conf_id, xyz, {_CHOSEN} AS s FROM v_conf), e AS (SELECT conf_id, unnest(range(0, 12)) AS i, s, xyz FROM a)
+SELECT conf_id, CASE WHEN conf_id % 6 <> 0 THEN string_agg('[' || s[i + 1] || ']<' || {_POINT} || '>', '' ORDER BY i) END AS enriched FROM e GROUP BY conf_id""")
+def annotate_text(spark, sf_dir):
+    """Plain strings with their atoms' coordinates; every sixth has one atom less than coordinates and none comes out."""
+    rows = _ambiguous(spark, sf_dir)
+    points = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.slice("xyz", k * 3 + 1, 3))
+    atoms_ = F.when(F.col("conf_id") % 6 == 0, F.slice("atoms", 1, 11)).otherwise(F.col("atoms"))
+    rows = rows.select("conf_id", points.alias("points"), atoms_.alias("atoms")).withColumn("text", F.array_join("atoms", ""))
+    return rows.select("conf_id", codec.annotate(F.col("text"), F.col("points"), F.col("atoms")).alias("enriched"))
+
+
 _COORDS = "list_transform(string_split(regexp_extract(tok, '<([^>]*)>', 1), ','), lambda p: CAST(p AS DOUBLE))"
 
 
