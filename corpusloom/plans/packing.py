@@ -115,7 +115,7 @@ def stream_pack(spark, sf_dir):
 
     sizes = _sizes(spark, sf_dir)
     shards = op.shards_for(sizes)
-    return _each(pack_stream(sizes.select(F.col("conf").alias("unit"), "n_tokens"), SEQ, shards, by=F.pmod("unit", F.lit(shards))))
+    return _each(pack_stream(sizes.select(F.col("conf").alias("unit"), "n_tokens"), SEQ, shards, files=2, by=F.pmod("unit", F.lit(shards))))
 
 
 _BLOCKS = f"""{_PIECES}, x AS (SELECT block, string_split(string_agg(substr(unit, "from" + 1, "to" - "from"), '' ORDER BY p.conf), '') AS c FROM p JOIN n ON n.conf = p.conf GROUP BY block HAVING sum("to" - "from") = {SEQ + 1}), w AS (SELECT block, list_transform(c, lambda v: ord(v)) AS w FROM x)"""

@@ -25,7 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark application."""
+    """Send this package to the Python workers, once for each Spark application.
+
+    Workers that Spark runs beside the driver, for streams and their sources, find it by their path."""
+    import os
     import tempfile
     import zipfile
     from pathlib import Path
@@ -39,4 +42,5 @@ def ship(spark: SparkSession) -> None:
         for file in sorted(top.rglob("*.py")):
             out.write(file, file.relative_to(top.parent))
     context.addPyFile(str(path))
+    context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [context.environment.get("PYTHONPATH"), str(path)]))
     context._corpusloom_shipped = True
