@@ -1,8 +1,9 @@
 """Licence scan: texts brought to a canonical form and looked up among known licences by digest.
 
-DataFrame functions only. A text goes through the rules once, its line breaks kept; the whole text and its
-lines are then cut from that. Lines whose canonical length no known text has are left out unhashed; the
-others, each once for a document, meet the known digests in a join.
+DataFrame functions only. A text goes through the rules once, its line breaks kept; the whole text, its
+lines and its stretches are then cut from that. Lines whose canonical length no known text has are left out
+unhashed. A stretch begins with the first words of a known text, wherever that is wrapped or commented out, and has as
+many words. Lines and stretches, each once for a document, meet the known digests in a join.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©)[^\n]*(?:\(c\)|
 #: One of these is in any such line.
 COPYRIGHT_HINTS = ("copyright", "(c)", "©", "all rights reserved")
 
+#: Words that a stretch begins with, and those that a known text has at least to be looked for within others.
+ANCHOR_WORDS, LEAST_WORDS = 6, 12
+
 
 def _rule(pattern: str, same: str, part: str) -> Callable[[Column], Column]:
     return lambda v: F.when(F.contains(v, F.lit(part)), F.regexp_replace(v, pattern, same)).otherwise(v)
@@ -74,16 +78,38 @@ def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOW
     return rows.groupBy("digest").agg(F.min("license").alias("license"), F.min("size").alias("size"))
 
 
+def anchors(spark: SparkSession, known: tuple[tuple[str, str], ...]) -> list[tuple[str, list[int]]]:
+    """The first words of known texts that are long enough, with the numbers of words of those that begin so. For a list of licences: all of it reaches the driver."""
+    body = spark.createDataFrame(list(known), "license string, body string").select(canonical(F.col("body")).alias("body"))
+    words = body.select(F.split("body", " ").alias("w")).filter(F.size("w") >= LEAST_WORDS)
+    first = words.groupBy(F.array_join(F.slice("w", 1, ANCHOR_WORDS), " ").alias("anchor")).agg(F.sort_array(F.collect_set(F.size("w"))).alias("sizes"))
+    return [(r["anchor"], r["sizes"]) for r in first.orderBy("anchor").collect()]
+
+
+def _stretches(text: Column, begins: list[tuple[str, list[int]]]) -> Column:
+    """Digests of the stretches of a canonical text that begin like a known one and are as long; they may overlap."""
+    none = F.array().cast("array<string>")
+    found = []
+    for anchor, sizes in begins:
+        # looked ahead only, so that a stretch within another is found too; anchors have letters, digits and spaces alone
+        each = [F.regexp_extract_all(text, F.lit(rf"(?<![^ ])(?=({anchor}(?: [^ ]+){{{n - ANCHOR_WORDS}}})(?![^ ]))"), F.lit(1)) for n in sizes]
+        found.append(F.when(F.contains(text, F.lit(anchor)), F.transform(F.flatten(F.array(*each)), lambda x: F.sha2(x, 256))).otherwise(none))
+    return F.array_distinct(F.flatten(F.array(*found))) if found else none
+
+
 def scan(docs: DataFrame, known: DataFrame | tuple[tuple[str, str], ...] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: (doc_id, digest, license, notices).
+    """One row per document: (doc_id, digest, license, notices, contained).
 
     ``license`` names the known licence that the entire text is, or is null; ``notices`` lists, sorted and
-    comma-joined, those that some entire line is (empty: none). ``known`` is a table of (digest, license,
-    size) as ``known_digests`` gives, of any length, or (license, text) pairs; without it the library's own
+    comma-joined, those that some entire line is (empty: none), and ``contained`` those of ``LEAST_WORDS`` words or more that some stretch of
+    the text is, line breaks, comment signs and copyright lines aside. ``known`` is a table of (digest, license,
+    size) as ``known_digests`` gives, of any length, for which no stretches are looked for, or (license, text) pairs; without it the library's own
     list is taken. Null and empty texts, and texts or lines without a letter or digit, match nothing.
     Repeated rows and null ids come back as they are."""
     spark = docs.sparkSession
+    begins: list[tuple[str, list[int]]] = []
     if not isinstance(known, DataFrame):
+        begins = anchors(spark, KNOWN if known is None else known)
         known = known_digests(spark) if known is None else known_digests(spark, known, ())
     known = staged(known.filter("size > 0").select("digest", "license", "size"), "licences")
     sizes = {r["size"] for r in known.select("size").distinct().collect()}  # at most as many as the longest known text has characters
@@ -92,10 +118,13 @@ def scan(docs: DataFrame, known: DataFrame | tuple[tuple[str, str], ...] | None
     rows = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines"))
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     fits = F.filter(lines, lambda x: F.substring(bits, F.length(x) + 1, F.lit(1)) == F.lit(b"\x01"))
-    rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.sha2(whole(text), 256).alias("digest"), F.transform(F.array_distinct(fits), lambda x: F.sha2(x, 256)).alias("lines"))
-    rows = staged(rows, "canonical")
-    said = rows.filter("size(lines) > 0").select("rid", F.explode("lines").alias("line"))
-    said = said.join(known.select(F.col("digest").alias("line"), F.col("license").alias("notice")), "line")
-    notices = said.groupBy("rid").agg(F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices"))
-    out = rows.drop("lines").join(notices, "rid", "left").join(known.select("digest", "license"), "digest", "left")
-    return out.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
+    of_whole = let(whole(text), lambda w: F.struct(F.sha2(w, 256).alias("digest"), _stretches(w, begins).alias("stretches")))
+    rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", of_whole.alias("of"), F.transform(F.array_distinct(fits), lambda x: F.sha2(x, 256)).alias("lines"))
+    rows = staged(rows.select("rid", "doc_id", "of.digest", "of.stretches", "lines"), "canonical")
+    part = lambda c: F.transform(c, lambda x: F.struct(F.lit(c).alias("part"), x.alias("said")))
+    said = rows.filter("size(lines) + size(stretches) > 0").select("rid", F.inline(F.concat(part("lines"), part("stretches"))))
+    said = said.join(known.select(F.col("digest").alias("said"), F.col("license").alias("notice")), "said")
+    named = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(F.col("part") == c, F.col("notice")))), ",")
+    notices = said.groupBy("rid").agg(named("lines").alias("notices"), named("stretches").alias("contained"))
+    out = rows.drop("lines", "stretches").join(notices, "rid", "left").join(known.select("digest", "license"), "digest", "left")
+    return out.select("doc_id", "digest", "license", *(F.coalesce(c, F.lit("")).alias(c) for c in ("notices", "contained")))

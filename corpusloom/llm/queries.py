@@ -184,9 +184,14 @@ def _license_sql() -> str:
 WITH k AS (SELECT digest, min(license) AS license FROM (SELECT sha256({canonical('body')}) AS digest, license FROM (VALUES {known}) v(license, body) UNION ALL SELECT * FROM (VALUES {long}) w(digest, license)) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 l AS (SELECT rid, unnest(string_split(regexp_replace(coalesce(text, ''), '\r\n?', '\n', 'g'), '\n')) AS line FROM d),
-n AS (SELECT rid, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS notices FROM l JOIN k ON sha256({canonical('line')}) = k.digest GROUP BY rid)
-SELECT doc_id, sha256({canonical('text')}) AS digest, k.license, coalesce(notices, '') AS notices
-FROM d LEFT JOIN n USING (rid) LEFT JOIN k ON sha256({canonical('text')}) = k.digest"""
+n AS (SELECT rid, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS notices FROM l JOIN k ON sha256({canonical('line')}) = k.digest GROUP BY rid),
+b AS (SELECT DISTINCT array_to_string(w[1:{licenses.ANCHOR_WORDS}], ' ') AS anchor, len(w) AS words FROM (SELECT string_split({canonical('body')}, ' ') AS w FROM (VALUES {known}) v(license, body)) WHERE len(w) >= {licenses.LEAST_WORDS}),
+c AS MATERIALIZED (SELECT rid, doc_id, {canonical('text')} AS c FROM d),
+p AS (SELECT rid, anchor, words, string_split(' ' || c || ' ', ' ' || anchor || ' ') AS parts FROM c JOIN b ON contains(' ' || c || ' ', ' ' || anchor || ' ')),
+o AS (SELECT rid, words, string_split(trim(list_reduce(list_prepend('', parts[i + 1:]), lambda x, y: x || ' ' || anchor || ' ' || y)), ' ')[1:words] AS w FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM p)),
+s AS (SELECT rid, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS contained FROM o JOIN k ON sha256(array_to_string(w, ' ')) = k.digest WHERE len(w) = words GROUP BY rid)
+SELECT doc_id, sha256(c) AS digest, k.license, coalesce(notices, '') AS notices, coalesce(contained, '') AS contained
+FROM c LEFT JOIN n USING (rid) LEFT JOIN s USING (rid) LEFT JOIN k ON sha256(c) = k.digest"""
 
 
 ORACLES = {"op4_licenses": _license_sql(), "op6_pii": _pii_sql(), "op8_warc": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op11_vector_codes": vector_codes_sql(), "op12_conversations": conversations_sql()}

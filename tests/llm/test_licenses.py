@@ -47,6 +47,23 @@ def test_known_table_may_be_a_data_frame(spark, docs_of):
     assert got == {1: ("own-7", "own-7"), 2: (None, "own-11,own-2999")}
 
 
+def test_stretches_within_other_texts(spark, docs_of):
+    """Wrapped at 60 columns behind comment signs, program text around them; twice; one within another; cut short."""
+    import textwrap
+
+    text = lambda name, words: next(t for n, t in licenses.KNOWN if n == name and len(t.split()) > words)
+    apache, bsd = text("Apache-2.0", 40), text("BSD-3-Clause", 40)
+    sign = lambda t, c: "\n".join(f"{c} {line}" for part in t.split("\n") for line in textwrap.wrap(part, 60) or [""])
+    head = "#!/usr/bin/env python\n# Copyright 2019 The Authors. All Rights Reserved.\n#\n"
+    rows = {
+        1: head + sign(apache, "#") + "\n\nimport os\nprint('x')\n", 2: "/*\n * Copyright (c) 2020, X\n *\n" + sign(bsd, " *") + "\n */\nint main() { return 0; }", 3: sign(apache, "//") + "\nx\n" + sign(apache, "#") + "\n" + sign(BODY, "--"),
+        4: head + sign(" ".join(apache.split()[:-1]), "#") + "\n", 5: "Licensed under the Apache License, Version 2.0 (the\n" + apache, 6: "see licensed under the apache license, version 2.0", 7: None, 8: "x" + apache,
+    }
+    got = {r["doc_id"]: (r["license"], r["contained"]) for r in licenses.scan(docs_of(list(rows.items()))).collect()}
+    assert got[1] == (None, "Apache-2.0") and got[2] == (None, "BSD-3-Clause") and got[3] == (None, "Apache-2.0,MIT") and got[5] == (None, "Apache-2.0")
+    assert [got[k] for k in (4, 6, 7, 8)] == [(None, "")] * 4
+
+
 @pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="no texts to compare with")
 def test_long_licences(spark, docs_of):
     files = ["Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0"]
