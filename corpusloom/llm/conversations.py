@@ -52,8 +52,12 @@ def damaged(rows: DataFrame, id_col: str, turn_col: str, role_col: str, text_col
     hit = F.crc32(F.concat(space(id_col), F.lit(":"), space(turn_col)).cast("binary")) % 20
     role, text = space(role_col), space(text_col)
     text = F.when(hit == 1, "").when(hit == 2, F.translate(text, ".!?", "")).otherwise(text)
-    out = rows.filter(hit != 0).select(F.col(id_col).alias("conv"), F.col(turn_col).alias("turn"), F.when(hit == 4, "user").otherwise(role).alias("role"), text.alias("text"), F.when(hit == 3, 2).otherwise(1).cast("long").alias("n"))
-    return out.groupBy("conv", "turn", "role", "text").agg(F.sum("n").alias("n"))
+    return rows.filter(hit != 0).select(F.col(id_col).alias("conv"), F.col(turn_col).alias("turn"), F.when(hit == 4, "user").otherwise(role).alias("role"), text.alias("text"), F.when(hit == 3, 2).otherwise(1).cast("long").alias("n"))
+
+
+def _key() -> Column:
+    """One text for each different (conv, turn, role, digest), nulls told apart."""
+    return F.sha2(F.to_json(F.struct("conv", "turn", "role", "digest")), 256)
 
 
 def _initial(role: Column) -> Column:
@@ -65,7 +69,8 @@ def _initial(role: Column) -> Column:
 def _symbols(rows: DataFrame) -> DataFrame:
     """Slim rows (conv, turn, role, digest, n, symbols): the signature's letters of a row and its copies."""
     last = F.substring(F.rtrim("text", F.lit(" \t\n\x0b\x0c\r")), -1, 1)
-    slim = rows.select("conv", "turn", "role", "digest", "n", F.when(last == "", 1).when(last.isin(".", "!", "?"), 0).otherwise(3).alias("fault"))
+    fault = F.when(last == "", 1).when(last.isin(".", "!", "?"), 0).otherwise(3).alias("fault")
+    slim = rows.select("conv", "turn", "role", "digest", fault, "n").groupBy("conv", "turn", "role", "digest", "fault").agg(F.sum("n").alias("n"))
     slim = staged(slim, "slim")
     first = F.min(F.struct(F.col("turn").isNotNull().alias("some"), "turn")).alias("first")
     firsts = staged(slim.filter("fault <> 1").groupBy("conv", "role", "digest").agg(first), "firsts")
@@ -283,11 +288,11 @@ def _hashed(pieces: DataFrame) -> DataFrame:
 
 
 def repair(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Answers and texts of folded rows (conv, turn, role, text, n).
+    """Answers and texts of rows (conv, turn, role, text, n), which are read twice: for all but their texts, then for these.
 
     The first table has a row for each conversation: (conv, gaps, blank, duplicate, truncated, illegal, cost, audit). The
     second has the SHA-256 of what the edits give: (conv, sha256), of ``role:text`` lines."""
-    rows = staged(rows.withColumn("digest", F.sha2("text", 256)), "rows")
+    rows = rows.withColumn("digest", F.sha2("text", 256))
     laid = running_total(_symbols(rows), ["conv", "turn", "role", "digest"], "n")
     laid = staged(laid.select("conv", "turn", "role", "digest", "n", "symbols", "start"), "laid")
     begins = staged(laid.groupBy("conv").agg(F.min("start").alias("begin")), "begins").withColumnRenamed("conv", "of")
@@ -301,12 +306,10 @@ def repair(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     answered = staged(signed.join(staged(repairs(signed), "repairs"), "signature"), "answers")
     gaps = by_turn.withColumnRenamed("conv", "of")
     answers = answered.join(gaps, F.col("conv").eqNullSafe(F.col("of"))).select("conv", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
-    keys = ("conv", "turn", "role", "digest")
-    own = placed.select(*(F.col(c).alias(f"_{c}") for c in keys), "block", "start")
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    texts = _laid_out(rows.join(own, same).select("conv", "block", "start", "role", "text", "n"), _edits_of_blocks(answered))
+    # equal rows meet once, by a key that the join's side is dealt by already
+    once = rows.select(_key().alias("k"), "role", "text").dropDuplicates(["k"])
+    own = placed.select(_key().alias("k"), "conv", "block", "start", "n")
+    texts = _laid_out(once.join(own, "k").select("conv", "block", "start", "role", "text", "n"), _edits_of_blocks(answered))
     texts = staged(texts, "texts")
     hashes = texts.filter("sha256 is not null").select("conv", "sha256").unionByName(_hashed(texts.filter("piece is not null")))
     return answers, hashes
