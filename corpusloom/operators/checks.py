@@ -33,9 +33,14 @@ def pass_rates_macro(df: DataFrame, key: str, checks: list[str]) -> DataFrame:
     return per_key.agg(*(F.round(F.avg(c), 6).alias(c) for c in checks), F.round(100 * F.avg("_pass"), 6).alias("pass_percentage"), F.count("*").alias("n_keys"))
 
 
-def gate(checks: list[str], mode: str) -> tuple[Column, list[str]]:
-    """Whether a row passes the first checks that a mode asks for; unknown modes ask for none."""
-    used = checks[: {"basic": 1, "geometry": 2, "full": len(checks)}.get(mode, 0)]
+#: Modules of checks that a mode asks for; ``full`` asks for all of them.
+STAGES = {"basic": 4, "geometry": 5}
+
+
+def gate(modules: list[str] | list[list[str]], mode: str, stages: dict[str, int] = STAGES) -> tuple[Column, list[str]]:
+    """Whether a row passes the checks of the first modules that a mode asks for, and these; unknown modes ask for none. A module is one check or a list."""
+    first = modules[: len(modules) if mode == "full" else stages.get(mode, 0)]
+    used = [c for m in first for c in ([m] if isinstance(m, str) else m)]
     return (passed(used) if used else F.lit(True)), used
 
 

@@ -66,3 +66,16 @@ def split_report(df: DataFrame, by: list[str], total: bool = False) -> DataFrame
     if total:
         out = out.unionByName(slim.agg(*counts).select(*(F.lit(None).cast(t).alias(c) for c, t in slim.dtypes if c in by), "*"))
     return out.withColumn("success_rate", F.round(F.col("groups_out") / F.greatest(F.col("groups_in"), F.lit(1)), 6)).withColumn("average", F.round(F.col("rows_out") / F.greatest(F.col("groups_out"), F.lit(1)), 6))
+
+
+def failure_report(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows and groups before and after filtering, groups whose kept rows say several graphs, and how often each reason drops a row, as a map, by split.
+
+    df: (split, geom, graph, reason), reason null for rows that are kept, graph a key that equal graphs share."""
+    kept = F.col("reason").isNull()
+    slim = df.withColumn("_g", F.when(kept, F.md5("graph"))).groupBy(*by, "geom", "reason").agg(F.count("*").alias("_n"), F.min("_g").alias("_a"), F.max("_g").alias("_b"))
+    slim = staged(slim, "failures")
+    groups = slim.groupBy(*by, "geom").agg(F.sum("_n").alias("_in"), F.sum(F.when(kept, F.col("_n")).otherwise(0)).alias("_out"), F.coalesce(F.max(F.when(kept, F.col("_a") < F.col("_b"))), F.lit(False)).alias("_several"))
+    out = groups.groupBy(*by).agg(F.sum("_in").alias("rows_in"), F.sum("_out").alias("rows_out"), F.count("*").alias("groups_in"), F.count_if(F.col("_out") > 0).alias("groups_out"), F.count_if("_several").alias("several_graphs"))
+    reasons = slim.filter(~kept).groupBy(*by, "reason").agg(F.sum("_n").alias("_n")).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "_n")))).alias("failures"))
+    return out.join(reasons, by, "left").withColumn("failures", F.coalesce("failures", F.create_map().cast("map<string,bigint>")))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import graphs
-from ..operators import coverage
+from ..operators import corpus, coverage, structures
+from ..operators.corpus import split_of
+from ..sources.files import largest_degree
+from ..sources.staging import staged
 from .registry import query
-from .views import CONF_SQL, SETS_SQL, conformers, superposed_sql, true_and_generated
+from .views import ATOMS_SQL, CONF_SQL, SETS_SQL, atoms, conformers, superposed_sql, true_and_generated
 
 #: Atoms of a made-up structure; components below and above these bounds are N and O, others C.
 ATOMS, LOW, HIGH = 5, -0.05, 0.05
@@ -72,3 +75,49 @@ def symmetric_coverage(spark, sf_dir):
     pairs = a.join(b, "key").select("key", "i", "j", graphs.symmetric_rmsd("a", bonds, "b", bonds).alias("r"))
     out = coverage.covmat(coverage.minima(pairs), 0.15)
     return out.select("key", *(F.round(c, 6).alias(c) for c in ("cov_r", "cov_p", "mat_r", "mat_p")))
+
+
+#: Points as places in Angstrom, and the elements of the views' symbols.
+SPREAD = 9.0
+ELEMENTS = {"C": "C", "N": "N", "O": "O", "c": "C", "NH2+": "N", "cH": "C", "Cl": "Cl", "C@H": "C"}
+_CASE = lambda values, of: f"CASE {of} {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in values.items())} END"
+_MOST = {e: structures.AT_MOST[e] for e in set(ELEMENTS.values())}
+_BONDS = f"""{ATOMS_SQL}, pt AS (SELECT conf_id, pos, {_CASE(ELEMENTS, 'sym')} AS e, x * {SPREAD}::DOUBLE AS x, y * {SPREAD}::DOUBLE AS y, z * {SPREAD}::DOUBLE AS z FROM v_atoms),
+pr AS (SELECT a.conf_id, a.pos AS a, b.pos AS b, a.e AS ea, b.e AS eb, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM pt a JOIN pt b ON a.conf_id = b.conf_id AND a.pos < b.pos),
+nr AS (SELECT * FROM pr WHERE d > {structures.LEAST} AND d < {_CASE({e: structures.RADII[e] for e in _MOST}, 'ea')} + {_CASE({e: structures.RADII[e] for e in _MOST}, 'eb')} + {structures.SLACK}),
+en AS (SELECT conf_id, a, b, d, a AS me, b AS far, {_CASE(_MOST, 'ea')} AS most FROM nr UNION ALL SELECT conf_id, a, b, d, b, a, {_CASE(_MOST, 'eb')} FROM nr),
+bd AS (SELECT conf_id, a, b, any_value(d) AS d FROM (SELECT *, row_number() OVER (PARTITION BY conf_id, me ORDER BY d, far) AS k FROM en) WHERE k <= most GROUP BY conf_id, a, b HAVING count(*) = 2)"""
+
+
+def _placed(spark, sf_dir):
+    elements = F.create_map(*(F.lit(x) for item in ELEMENTS.items() for x in item))
+    return atoms(spark, sf_dir).select("conf_id", "pos", elements[F.col("sym")].alias("sym"), *((F.col(c) * SPREAD).alias(c) for c in "xyz"))
+
+
+@query(f"WITH {_BONDS} SELECT conf_id, CAST(a + 1 AS INT) AS a, CAST(b + 1 AS INT) AS b, round(d, 6) AS length FROM bd")
+def perceived_bonds(spark, sf_dir):
+    """Bonds by distance among each member's points taken as atoms."""
+    found = structures.contacts(_placed(spark, sf_dir), "conf_id")
+    return found.select("conf_id", "a", "b", F.round("length", 6).alias("length"))
+
+
+_KEYS = f"{_STRINGS}, gk AS (SELECT conf_id, CASE WHEN ring THEN 'r' || list_min(list_concat({_ROUND}, list_transform({_ROUND}, lambda t: reverse(t)))) ELSE 'c' || least(array_to_string(s, ''), reverse(array_to_string(s, ''))) END AS graph FROM v_s)"
+_DEGREES = f"dg AS (SELECT conf_id, max(n) AS degree FROM (SELECT conf_id, me, count(*) AS n FROM (SELECT conf_id, a AS me FROM bd UNION ALL SELECT conf_id, b FROM bd) GROUP BY conf_id, me) GROUP BY conf_id)"
+
+
+@query(f"""WITH {_BONDS}, {_KEYS}, {_DEGREES}, t AS (SELECT CASE WHEN conf_id % 10 <= 7 THEN 'train' WHEN conf_id % 10 = 8 THEN 'valid' ELSE 'test' END AS split, key AS geom, graph, CASE WHEN degree > 3 THEN 'large_degree' WHEN graph LIKE 'cO%' THEN 'oxygen_first' END AS reason FROM v_conf JOIN gk USING (conf_id) LEFT JOIN dg USING (conf_id)),
+g AS (SELECT split, geom, count(*) AS i, count(*) FILTER (WHERE reason IS NULL) AS o, count(DISTINCT graph) FILTER (WHERE reason IS NULL) > 1 AS several FROM t GROUP BY split, geom),
+f AS (SELECT split, string_agg(reason || ':' || n, ',' ORDER BY reason) AS failures FROM (SELECT split, reason, count(*) AS n FROM t WHERE reason IS NOT NULL GROUP BY split, reason) GROUP BY split)
+SELECT split, CAST(sum(i) AS BIGINT) AS rows_in, CAST(sum(o) AS BIGINT) AS rows_out, count(*) AS groups_in, count(*) FILTER (WHERE o > 0) AS groups_out, count(*) FILTER (WHERE several) AS several_graphs, coalesce(any_value(failures), '') AS failures FROM g LEFT JOIN f USING (split) GROUP BY split""")
+def failure_report(spark, sf_dir):
+    """Splits of structures: dropped for an atom with more than three bonds, or chains that may be written from an oxygen; groups with several graphs; a histogram of reasons."""
+    c = conformers(spark, sf_dir).select("conf_id", F.col("key").alias("geom"))
+    bonds = structures.contacts(_placed(spark, sf_dir), "conf_id").groupBy("conf_id").agg(F.collect_list(F.struct("a", "b")).alias("bonds"))
+    keys = staged(_strings(spark, sf_dir).select("conf_id", "text", graphs.graph_key("text").alias("graph")), "graph-keys")
+    # of both ways to write a chain SQL takes the smaller: it begins with O if both ends are oxygens
+    oxygen = (F.col("conf_id") % 2 == 0) & F.col("text").startswith("O") & F.col("text").endswith("O")
+    rows = c.join(keys, "conf_id").join(bonds, "conf_id", "left")
+    reason = F.when(largest_degree(F.col("bonds")) > 3, "large_degree").when(oxygen, "oxygen_first")
+    out = corpus.failure_report(rows.select(split_of(F.col("conf_id")).alias("split"), "geom", "graph", reason.alias("reason")), ["split"])
+    line = F.array_join(F.transform(F.map_entries("failures"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return out.withColumn("failures", line)

@@ -172,12 +172,13 @@ def gates(spark, sf_dir):
     return _gates(spark, sf_dir).select("group_id", "pos", parsed.alias("parsed"), (parsed & (F.col("block") == F.col("canonical"))).alias("graph"))
 
 
-@query(f"WITH {_GATES}, f AS (SELECT CASE WHEN NOT contains(completion, '[/CONFORMER]') THEN 'no_closing_tag' WHEN trim(block) = '' THEN 'empty_conformer' WHEN length(block) < 20 THEN 'parsing_error' WHEN block <> canonical THEN 'smiles_mismatch' WHEN length(block) % 17 = 0 THEN 'rmsd_nan' ELSE 'ok' END AS failure FROM gt) SELECT failure, count(*) AS n FROM f GROUP BY failure")
+@query(f"WITH {_GATES}, t AS (SELECT DISTINCT conv_id AS group_id FROM conversations WHERE role = 'assistant'), f AS (SELECT CASE WHEN t.group_id IS NULL THEN 'no_ground_truth' WHEN NOT contains(completion, '[/CONFORMER]') THEN 'no_closing_tag' WHEN trim(block) = '' THEN 'empty_conformer' WHEN length(block) < 20 THEN 'parsing_error' WHEN block <> canonical THEN 'smiles_mismatch' WHEN length(block) % 17 = 0 THEN 'rmsd_nan' ELSE 'ok' END AS failure FROM gt LEFT JOIN t USING (group_id)) SELECT failure, count(*) AS n FROM f GROUP BY failure")
 def failure_taxonomy(spark, sf_dir):
-    """The first failure that applies: unclosed, empty, unparsable, another graph, no distance."""
+    """The first failure that applies: nothing to compare with (a group without an answer), unclosed, empty, unparsable, another graph, no distance."""
     block = F.col("block")
-    failure = F.when(~F.contains("completion", F.lit("[/CONFORMER]")), "no_closing_tag").when(F.trim(block) == "", "empty_conformer").when(F.length(block) < 20, "parsing_error").when(block != F.col("canonical"), "smiles_mismatch").when(F.length(block) % 17 == 0, "rmsd_nan").otherwise("ok")
-    return _gates(spark, sf_dir).groupBy(failure.alias("failure")).agg(F.count("*").alias("n"))
+    truth = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select(F.col("conv_id").alias("group_id"), F.lit(True).alias("known")).distinct()
+    failure = F.when(F.col("known").isNull(), "no_ground_truth").when(~F.contains("completion", F.lit("[/CONFORMER]")), "no_closing_tag").when(F.trim(block) == "", "empty_conformer").when(F.length(block) < 20, "parsing_error").when(block != F.col("canonical"), "smiles_mismatch").when(F.length(block) % 17 == 0, "rmsd_nan").otherwise("ok")
+    return _gates(spark, sf_dir).join(truth, "group_id", "left").groupBy(failure.alias("failure")).agg(F.count("*").alias("n"))
 
 
 @query("WITH g AS (SELECT role, lower(text) AS canonical, conv_id * 1000 + turn AS pos FROM conversations) SELECT role, canonical, min(pos) AS first_pos, count(*) AS k, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS members FROM g GROUP BY role, canonical")
