@@ -45,6 +45,14 @@ def split_of(index: Column) -> Column:
     return F.when(last <= 7, "train").when(last == 8, "valid").otherwise("test")
 
 
+def split_rows(rows: DataFrame, place: str, index: DataFrame) -> DataFrame:
+    """The rows that an index (split, idx) names, with their split: a place that two splits name comes twice. An entry without a row stops the job."""
+    at = index.select("split", F.col("idx").alias("_idx"))
+    met = at.join(rows, F.col("_idx") == F.col(place), "left")
+    known = F.when(F.col(place).isNotNull(), F.col("split")).otherwise(F.raise_error(F.concat(F.lit("no row at index "), F.coalesce(F.col("_idx").cast("string"), F.lit("null")))))
+    return met.withColumn("split", known).select("split", *rows.columns)
+
+
 def split_report(df: DataFrame, by: list[str], total: bool = False) -> DataFrame:
     """Counts before and after filtering, averages, success rate and failures by split; with ``total`` also over all (split null).
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator, Mapping, Sequence
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -205,6 +206,42 @@ def sampled(values: Column, n: int, seed: int) -> Column:
     return F.when(F.size(values) <= n, values).otherwise(F.transform(F.slice(drawn, 1, max(n, 0)), lambda s: s["x"]))
 
 
+def sample_rows(df: DataFrame, key: str, value: str, n: int, seed: int) -> DataFrame:
+    """At most ``n`` rows of each key, those whose values have the smallest seeded digests, with their ``place`` (from 1) by these.
+
+    Each task sends on ``n`` rows a key at most, however many it has; equal values are told apart by nothing and share a chance."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(value).cast("string")))
+    by = Window.partitionBy(key).orderBy("_digest", value)
+    return df.withColumn("_digest", digest).withColumn("place", F.row_number().over(by)).filter(F.col("place") <= n).drop("_digest")
+
+
+def vocabulary_tokens(units: DataFrame, path: str, pattern: str, text: str = "unit", out: str = "tokens") -> DataFrame:
+    """The rows with ``out``: token ids of a text by a public rank file (lines of base64 bytes and rank) and its split pattern, special tokens aside; null for a null text.
+
+    The file is read once in each worker; its path must lead there on all of them."""
+    others = list(units.columns)
+    kinds = dict(units.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoding(path, pattern).encode_ordinary
+        for batch in batches:
+            ids = [None if t is None else encode(t) for t in batch.column(others.index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*others, out])
+
+    return units.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), f"`{out}` array<int>"]))
+
+
+@cache
+def _encoding(path: str, pattern: str):
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def combined_seed(*candidates: object) -> int:
     """One 64-bit seed of all candidates that are whole numbers (or say one): each multiplies what came before and is added."""
     seed = 0

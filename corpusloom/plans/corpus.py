@@ -58,6 +58,14 @@ def split_assign(spark, sf_dir):
     return j.select("doc_id", F.coalesce("split", F.raise_error(F.lit("no split for this index"))).alias("split"))
 
 
+@query("SELECT CASE WHEN quality = 0 THEN 'test' WHEN toxic = 1 THEN 'valid' ELSE 'train' END AS split, d.doc_id, d.source FROM labels l JOIN documents d USING (doc_id)")
+def split_by_index(spark, sf_dir):
+    """Rows that a stored index names; one without a row would stop the query."""
+    split = F.when(F.col("quality") == 0, "test").when(F.col("toxic") == 1, "valid").otherwise("train")
+    index = table(spark, sf_dir, "labels").select(split.alias("split"), F.col("doc_id").alias("idx"))
+    return op.split_rows(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", index)
+
+
 @query(f"WITH {CORPUS_SQL}, o AS (SELECT geom, conf, row_number() OVER (ORDER BY geom, conf) - 1 AS idx FROM v_mol) SELECT geom, conf, idx, CASE WHEN idx % 10 < 7 THEN 'train' WHEN idx % 10 < 9 THEN 'valid' END AS split FROM o WHERE idx % 10 < 9")
 def running_index_split(spark, sf_dir):
     """Split by a position that counts on over all groups; rows in neither set are left out."""
@@ -139,7 +147,8 @@ def first_wins(spark, sf_dir):
 
 @query(f"WITH {CORPUS_SQL} SELECT DISTINCT geom, canonical FROM v_mol")
 def mapping_distinct(spark, sf_dir):
-    return corpus(spark, sf_dir).select("geom", "canonical").distinct().orderBy("geom", "canonical")
+    by_digest = corpus(spark, sf_dir).groupBy("geom", F.sha2("canonical", 256).alias("d")).agg(F.first("canonical").alias("canonical"))
+    return by_digest.select("geom", "canonical").orderBy("geom", "canonical")
 
 
 @query(f"WITH {CORPUS_SQL} SELECT count(*) AS pairs FROM (SELECT DISTINCT geom, canonical FROM v_mol)")

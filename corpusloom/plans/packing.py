@@ -145,8 +145,17 @@ def byte_check(spark, sf_dir):
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
-@query("WITH v AS (SELECT label AS key, list(vec_id ORDER BY vec_id) AS v FROM embeddings GROUP BY label), d AS (SELECT key, v, list_sort(list_transform(v, lambda x, i: {'k': md5('5:' || (i - 1) || ':' || x), 'x': x})) AS s FROM v) SELECT key, len(v) AS n, array_to_string(CASE WHEN len(v) <= 20 THEN v ELSE list_transform(s[1:20], lambda e: e.x) END, ',') AS drawn FROM d")
+@query("SELECT key, vec_id, place FROM (SELECT label AS key, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('5:' || vec_id), vec_id) AS place FROM embeddings) WHERE place <= 20")
 def array_sample(spark, sf_dir):
-    """Twenty of each key's ids: sampling is the feature here."""
-    v = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("key")).agg(F.array_sort(F.collect_list("vec_id")).alias("v"))
-    return v.select("key", F.size("v").cast("long").alias("n"), F.array_join(op.sampled(F.col("v"), 20, 5).cast("array<string>"), ",").alias("drawn"))
+    """Twenty of each key's ids: sampling is the feature here. ``op.sampled`` does the same with arrays that are given."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("label").alias("key"), "vec_id")
+    return op.sample_rows(v, "key", "vec_id", 20, 5)
+
+
+@query()
+def unit_tokens_bpe(spark, sf_dir):
+    """Units by a public vocabulary, cut to fit a sample: tests hold the tokens against the library that made it."""
+    import public_tokenizers
+
+    units = op.vocabulary_tokens(_units(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return units.select("conf", F.size("tokens").alias("whole"), op.truncated(F.col("tokens"), SEQ).alias("t")).select("conf", "whole", F.size("t").alias("n_tokens"), F.md5(F.array_join(F.col("t").cast("array<string>"), " ")).alias("tokens_md5"))

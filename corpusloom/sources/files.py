@@ -71,6 +71,26 @@ def read_corrections(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col(raw.columns[0]).alias("key"), fixed.alias("corrected"))
 
 
+def read_split_indices(spark: SparkSession, path: str) -> DataFrame:
+    """(split, idx) of index files: JSON objects of lists (split by name), or plain NumPy arrays of whole numbers, one file a split, named after it. Pickled arrays are refused."""
+    raw = spark.read.format("binaryFile").load(expand_paths(spark, path, suffix=""))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+        import json
+
+        import numpy as np
+
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                stem, _, kind = name.rpartition("/")[2].rpartition(".")
+                found = json.loads(content) if kind == "json" else {stem: np.load(io.BytesIO(content), allow_pickle=False).ravel()}
+                for split, values in found.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([split] * len(values), pa.string()), pa.array(values, pa.int64())], ["split", "idx"])
+
+    return raw.select("path", "content").mapInArrow(run, "split string, idx long")
+
+
 def read_prompts(spark: SparkSession, path: str, most: int = 150) -> DataFrame:
     value = F.trim("value")
     return spark.read.text(path).select(value.alias("prompt")).filter((F.length("prompt") > 0) & (F.length("prompt") <= most))

@@ -215,3 +215,58 @@ def test_grid(spark):
     assert sorted(got) == [(0.1, 4, 20), (0.1, 8, 10), (0.2, 4, 20), (0.2, 8, 10)]
     with pytest.raises(KeyError):
         runs.grid(spark, [0.1], [3], {4: 20})
+
+
+def test_splits_by_stored_indices(spark, tmp_path):
+    import json
+
+    import numpy as np
+
+    from corpusloom.operators import corpus
+
+    np.save(tmp_path / "train.npy", np.array([[0, 3], [4, 1]]))
+    (tmp_path / "rest.json").write_text(json.dumps({"valid": [2], "test": [5, 2], "none": []}))
+    index = files.read_split_indices(spark, str(tmp_path))
+    rows = spark.range(6).select(F.col("id").alias("at"), F.col("id").cast("string").alias("x"))
+    got = sorted((r["split"], r["at"]) for r in corpus.split_rows(rows, "at", index).collect())
+    assert got == [("test", 2), ("test", 5), ("train", 0), ("train", 1), ("train", 3), ("train", 4), ("valid", 2)]
+    with pytest.raises(Exception, match="no row at index 5"):
+        corpus.split_rows(rows.filter("at < 5"), "at", index).collect()
+    np.save(tmp_path / "bad.npy", np.array([[1], [2, 3]], dtype=object), allow_pickle=True)
+    with pytest.raises(Exception, match="allow_pickle"):
+        files.read_split_indices(spark, str(tmp_path)).collect()
+
+
+def test_failures_by_reason(spark):
+    from corpusloom.operators import corpus
+
+    rows = [("a", "g", "x", None), ("a", "g", "y", None), ("a", "g", "x", "bad"), ("a", "h", "x", "bad"), ("a", "h", "y", "worse"), ("b", "g", "x", None), ("b", "g", "x", None), ("b", "g", "z", "bad")]
+    got = {r["split"]: r for r in corpus.failure_report(spark.createDataFrame(rows, "split string, geom string, graph string, reason string"), ["split"]).collect()}
+    a, b = got["a"], got["b"]
+    assert (a["rows_in"], a["rows_out"], a["groups_in"], a["groups_out"], a["several_graphs"], a["failures"]) == (5, 2, 2, 1, 1, {"bad": 2, "worse": 1})
+    assert (b["rows_in"], b["rows_out"], b["groups_in"], b["groups_out"], b["several_graphs"], b["failures"]) == (3, 2, 1, 1, 0, {"bad": 1})
+
+
+def test_gates_of_modes(spark):
+    modules = [["a"], ["b"], ["c"], ["d"], ["e", "f"], ["g"]]
+    used = lambda mode: checks.gate(modules, mode)[1]
+    assert used("off") == used("other") == [] and used("basic") == list("abcd") and used("geometry") == list("abcdef") and used("full") == list("abcdefg")
+
+
+def test_units_by_a_public_vocabulary(spark):
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    texts = ["[SMILES]C[/SMILES]", "Größe 日本", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, unit string")
+    got = {r["k"]: r["tokens"] for r in packing.vocabulary_tokens(df, path, pattern).collect()}
+    enc = packing._encoding(path, pattern)
+    assert got == {k: None if t is None else enc.encode_ordinary(t) for k, t in enumerate(texts)}
+
+
+def test_rows_are_sampled(spark):
+    df = spark.createDataFrame([(k % 3, k) for k in range(100)], "key int, v int")
+    got = packing.sample_rows(df.repartition(7), "key", "v", 5, 1).collect()
+    again = packing.sample_rows(df.repartition(2), "key", "v", 5, 1).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again)) and len(got) == 15 and sorted({r["place"] for r in got}) == [1, 2, 3, 4, 5]
+    assert len(packing.sample_rows(df, "key", "v", 50, 1).collect()) == 100
