@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import null_if_nan, sigmoid
 from . import matching
+from .quantiles import quantiles
 
 
 @dataclass(frozen=True)
@@ -176,14 +177,18 @@ def batch_metrics(groups: DataFrame, rewards: DataFrame, p: Params, matched: Dat
     ``matched`` (key, i, j, d) and ``between`` (r: distances between a group's valid rollouts) give percentiles
     that are NaN where there are none."""
     z = lambda c: F.coalesce(c, F.lit(0.0))
-    nan = lambda c: F.coalesce(c, F.lit(float("nan")))
+    of = lambda df, name, c: df.select(F.lit(name).alias("name"), F.col(c).cast("double").alias("v"))
+    pooled = of(groups, "refs", "refs_hit").unionByName(of(rewards.filter("valid"), "near", "d_min")).unionByName(of(matched, "far", "d")).unionByName(of(between, "between", "r"))
+    found = quantiles(pooled, [("refs", 0.5), ("near", 0.5), ("near", 0.9), ("far", 0.5), ("far", 0.9), ("between", 0.5)])
+    known = lambda name, q, otherwise: F.lit(otherwise if found[name, q] is None else found[name, q])
+    nan = float("nan")
     ratio = lambda a, b: z(F.try_divide(F.sum(a), F.sum(b)))
     corr = F.try_divide(F.covar_pop("refs_hit", "soft_cov"), F.stddev_pop(F.when(F.col("soft_cov").isNotNull(), F.col("refs_hit"))) * F.stddev_pop("soft_cov"))
     mean = lambda c, name: z(F.avg(c)).alias(name)
     g = groups.agg(
         ratio("n_graph", "k").alias("graph_match_rate"), ratio("n_parsed", "k").alias("parse_rate"), ratio("n_base", "k").alias("base_valid_rate"), ratio("n_valid", "k").alias("final_valid_rate"),
         ratio("n_checked", "n_base").alias("checked_rate"), ratio("n_passed", "n_checked").alias("check_pass_rate"), ratio("n_errors", "n_checked").alias("check_error_rate"),
-        mean("refs_hit", "refs_hit_mean"), z(F.median("refs_hit")).alias("refs_hit_p50"), mean("cov_ratio", "cov_ratio_mean"), mean("unique_nearest", "unique_nearest_mean"), mean("collision", "collision_mean"), mean("n_valid", "valid_mean"),
+        mean("refs_hit", "refs_hit_mean"), known("refs", 0.5, 0.0).alias("refs_hit_p50"), mean("cov_ratio", "cov_ratio_mean"), mean("unique_nearest", "unique_nearest_mean"), mean("collision", "collision_mean"), mean("n_valid", "valid_mean"),
         mean("cover_ratio", "cover_ratio_mean"), mean("unique_cover_ratio", "unique_cover_ratio_mean"), mean("covered_ratio", "covered_ratio_mean"), mean("unique_covered_ratio", "unique_covered_ratio_mean"),
         mean("n_matched", "num_matched_mean"), mean("possible", "max_possible_mean"), mean("efficiency", "efficiency_mean"),
         z(F.try_divide(F.sum("edges"), F.sum(F.col("k") * F.col("m")))).alias("edge_density"), mean("soft_cov", "soft_cov_mean"), mean("soft_gt_01", "soft_gt_01"), mean("soft_gt_05", "soft_gt_05"), z(corr).alias("soft_refs_corr"),
@@ -191,13 +196,12 @@ def batch_metrics(groups: DataFrame, rewards: DataFrame, p: Params, matched: Dat
     )
     d, parts = F.col("d_min"), (("qual", p.w_quality), ("smcov", p.w_coverage), ("match", p.w_match))
     r = rewards.filter("valid").agg(
-        z(F.avg(d)).alias("d_min_mean"), z(F.median(d)).alias("d_min_p50"), z(F.percentile(d, 0.9)).alias("d_min_p90"),
+        z(F.avg(d)).alias("d_min_mean"), known("near", 0.5, 0.0).alias("d_min_p50"), known("near", 0.9, 0.0).alias("d_min_p90"),
         z(F.avg((d < p.delta).cast("double"))).alias("under_delta"), z(F.avg((d < 2 * p.delta).cast("double"))).alias("under_2delta"),
         z(F.avg("reward")).alias("total_mean"), z(F.stddev_pop("reward")).alias("total_std"),
         *(z(F.avg(w * F.col(f"r_{c}"))).alias(f"comp_{c}_mean") for c, w in parts), *(z(F.stddev_pop(w * F.col(f"r_{c}"))).alias(f"comp_{c}_std") for c, w in parts),
     )
-    far = matched.agg(nan(F.median("d")).alias("dist_p50"), nan(F.percentile("d", 0.9)).alias("dist_p90"))
-    out = g.crossJoin(r).crossJoin(far).crossJoin(between.agg(nan(F.median("r")).alias("pairwise_p50")))  # single rows
+    out = g.crossJoin(r).select("*", known("far", 0.5, nan).alias("dist_p50"), known("far", 0.9, nan).alias("dist_p90"), known("between", 0.5, nan).alias("pairwise_p50"))  # two single rows
     return out.withColumn("smcov_frac", F.when(F.col("total_mean") == 0, 0.0).otherwise(F.col("comp_smcov_mean") / (F.col("total_mean") + 1e-8)))
 
 
@@ -212,8 +216,8 @@ def counters(rewards: DataFrame, pairs: DataFrame) -> DataFrame:
 def match_metrics(matched: DataFrame, groups: DataFrame) -> DataFrame:
     """Matched pairs: mean number, mean of the possible number, efficiency, percentiles of the distance (NaN if there are none)."""
     a = groups.agg(F.avg("n_matched").alias("num_matched_mean"), F.avg("possible").alias("max_possible_mean"), F.avg("efficiency").alias("efficiency_mean"))
-    nan = F.lit(float("nan"))
-    return a.crossJoin(matched.agg(F.coalesce(F.median("d"), nan).alias("dist_p50"), F.coalesce(F.percentile("d", 0.9), nan).alias("dist_p90")))
+    found = quantiles(matched.select(F.lit("far").alias("name"), F.col("d").alias("v")), [("far", 0.5), ("far", 0.9)])
+    return a.select("*", *(F.lit(float("nan") if x is None else x).alias(f"dist_p{round(100 * q)}") for (_, q), x in found.items()))
 
 
 def legacy_reward(d_min: Column, text_match: Column, truth: Column, generated: Column, same_graph: Column, scale: float = 1.25, w_rmsd: float = 0.5, w_match: float = 0.5) -> tuple[Column, Column]:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import catalog, checks, components, coverage, matching, packing, reports, rewards, runs
+from corpusloom.operators import catalog, checks, components, coverage, matching, packing, quantiles, reports, rewards, runs
 from corpusloom.sources import files
 
 
@@ -270,3 +270,16 @@ def test_rows_are_sampled(spark):
     again = packing.sample_rows(df.repartition(2), "key", "v", 5, 1).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again)) and len(got) == 15 and sorted({r["place"] for r in got}) == [1, 2, 3, 4, 5]
     assert len(packing.sample_rows(df, "key", "v", 50, 1).collect()) == 100
+
+
+@pytest.mark.parametrize("at_once,ranges", [(50_000, 4096), (3, 4), (1, 2)])
+def test_quantiles(spark, at_once, ranges):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    columns = {"a": rng.normal(size=101), "ties": np.round(rng.normal(size=200)), "one": np.array([3.5]), "same": np.full(50, -2.0), "skew": np.concatenate([np.full(90, 1e-9), [1e9, -1e9]])}
+    rows = [(n, float(v)) for n, values in columns.items() for v in values] + [("a", None), ("a", float("nan")), ("none", None)]
+    wanted = [(n, q) for n in [*columns, "none", "unknown"] for q in (0.0, 0.1, 0.5, 0.9, 1.0)]
+    got = quantiles.quantiles(spark.createDataFrame(rows, "name string, v double").repartition(5), wanted, at_once, ranges)
+    for n, q in wanted:
+        assert got[n, q] == (pytest.approx(np.quantile(columns[n], q)) if n in columns else None)
