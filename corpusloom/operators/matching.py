@@ -17,6 +17,8 @@ from .components import components
 APART = 1e6
 #: Near pairs of one connected block at most: a task holds them.
 MOST_LINKS = 8_000_000
+#: Near pairs up to which a group is dealt out whole: fewer than a block may have, they need no rounds to part them.
+FEW_LINKS = 100_000
 
 
 def match_links(rows: list[int], columns: list[int], cost: list[float]) -> list[int]:
@@ -72,17 +74,20 @@ def match_links(rows: list[int], columns: list[int], cost: list[float]) -> list[
     return sorted(k for k in chosen if k >= 0)
 
 
-def assign(pairs: DataFrame, delta: float) -> DataFrame:
+def assign(pairs: DataFrame, delta: float, few: int = FEW_LINKS) -> DataFrame:
     """(key, i, j, d) of each group's matched pairs, of pairs (key, i, j, r) below ``delta``; a repeated pair counts by its least r, null ids and distances don't.
 
     Connected blocks of near pairs are found first, by rounds of joins, and each is solved apart in the task that it
-    is dealt to: a group is never in one task as such. A block of more than ``MOST_LINKS`` pairs stops the job (``mutual_nearest`` has no limit)."""
+    is dealt to: a group is never in one task as such, unless all groups together have no more than ``few`` near pairs. The pairs are the same either way. A block of more than ``MOST_LINKS`` pairs stops the job (``mutual_nearest`` has no limit)."""
     kinds = dict(pairs.dtypes)
     near = staged(pairs.filter(F.col("r") < delta).dropna(subset=["i", "j", "r"]).groupBy("key", "i", "j").agg(F.min("r").cast("double").alias("r")), "near")
-    named = near.withColumn("u", F.xxhash64(F.lit("i"), "key", "i")).withColumn("v", F.xxhash64(F.lit("j"), "key", "j"))
-    roots = components(named.select("u", "v")).withColumnRenamed("node", "u")
-    # the smallest node of a block has no row of its own among the roots
-    blocks = named.join(roots, "u", "left").select(F.coalesce("root", "u").alias("block"), "key", "i", "j", "r")
+    if near.count() <= few:
+        blocks = near.select(F.xxhash64("key").alias("block"), "key", "i", "j", "r")
+    else:
+        named = near.withColumn("u", F.xxhash64(F.lit("i"), "key", "i")).withColumn("v", F.xxhash64(F.lit("j"), "key", "j"))
+        roots = components(named.select("u", "v")).withColumnRenamed("node", "u")
+        # the smallest node of a block has no row of its own among the roots
+        blocks = named.join(roots, "u", "left").select(F.coalesce("root", "u").alias("block"), "key", "i", "j", "r")
     dealt = blocks.repartition("block").sortWithinPartitions("block", "key", "j", "i")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

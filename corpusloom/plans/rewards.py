@@ -73,7 +73,7 @@ def combine_reward(spark, sf_dir):
 
 
 #: Consecutive numbers within which references and rollouts of a key are matched.
-PART = 32
+PART = 128
 
 
 @query(f"""WITH RECURSIVE {_R}, el AS (SELECT key, i // {PART} AS part, i, j, r FROM dv WHERE r < 0.75 AND i // {PART} = j // {PART}),

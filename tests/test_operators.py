@@ -101,7 +101,8 @@ def test_strategies(spark):
 
 def test_matching_by_blocks(spark, monkeypatch):
     pairs = spark.createDataFrame([("g", i, j, 0.1 + 0.1 * abs(i - j)) for i in range(6) for j in range(6) if i // 3 == j // 3], "key string, i long, j long, r double")
-    assert sorted((r["i"], r["j"]) for r in matching.assign(pairs, 0.75).collect()) == [(k, k) for k in range(6)]
+    for few in (0, 1_000):
+        assert sorted((r["i"], r["j"]) for r in matching.assign(pairs, 0.75, few).collect()) == [(k, k) for k in range(6)]
     assert sorted((r["i"], r["j"]) for r in rewards.mutual_nearest(pairs, 0.75).collect()) == [(k, k) for k in range(6)]
     assert matching.assign(pairs, 0.05).count() == 0
 
@@ -125,7 +126,7 @@ def test_a_block_of_twenty_thousand(spark):
     n = 20_000
     j = spark.range(n).select(F.col("id").alias("j"), F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("d"))
     pairs = j.select(F.lit("k").alias("key"), (F.col("j") + F.col("d")).alias("i"), "j", F.when(F.col("d") == 0, 0.2).otherwise(0.3).alias("r")).filter(f"i between 0 and {n - 1}")
-    got = matching.assign(pairs.unionByName(pairs.limit(5)), 0.75)
+    got = matching.assign(pairs.unionByName(pairs.limit(5)), 0.75, few=1_000)
     assert got.count() == n and got.filter("i = j").count() == n
     none = spark.createDataFrame([("a", None, 1, 0.1), ("a", 1, 1, None)], "key string, i long, j long, r double")
     assert matching.assign(none, 0.75).count() == 0
