@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -68,7 +69,7 @@ def test_spellings(word, kind, other):
 
 def plain(text, learned):
     """Features by their definitions, word by word over the whole text."""
-    tokens = [t for t in __import__("re").split(r"[\x20\x09-\x0D]+", text) if t]
+    tokens = [t for t in re.split(r"[\x20\x09-\x0D]+", text) if t]
     bare = [t.strip(tox._EDGES) for t in tokens]
     found = [tox.find(t.lower()) for t in tokens]
     n, some, of = len(tokens), max(len(tokens), 1), max(len(text), 1)
@@ -87,12 +88,12 @@ def plain(text, learned):
     signs = [b for b in bare if b and not b.isalpha() and has(b, str.isalpha)]
     weights = [learned.weigh(b.lower()) for b in bare]
     each = [{b.lower(): w[k] for b, w in zip(bare, weights) if w[k]} for k in (0, 1)]
-    run = __import__("re").compile(r"(.)\1\1")
+    run = re.compile(r"(.)\1\1")
     return [
         math.log1p(n), (len(text) - spaces) / some, *(100 * c / some for c in counts), *(math.log1p(c) for c in counts), math.log1p(len(different)), 100 * sum(counts) / some,
         max([sum(j - tox.STRETCH < i <= j for i in hits) for j in hits], default=0), near, near / max(sum(counts), 1), 100 * len(you) / some,
         sum(c.isupper() for c in letter) / max(len(letter), 1), sum(len(b) > 2 and b.isupper() for b in bare) / some, sum(len(bare[i]) > 2 and bare[i].isupper() for i in hits),
-        100 * text.count("!") / of, 100 * text.count("?") / of, 100 * len(__import__("re").findall(r"[!?]{2,}", text)) / some, 100 * other / of, 100 * digits / of,
+        100 * text.count("!") / of, 100 * text.count("?") / of, 100 * len(re.findall(r"[!?]{2,}", text)) / some, 100 * other / of, 100 * digits / of,
         100 * sum(has(b, str.isdigit) for b in signs) / some, 100 * sum(not b.isalnum() for b in signs) / some, 100 * sum(bool(run.search(b)) and b[0].isalpha() for b in bare if b) / some,
         100 * len(spaced) / some, 100 * sum("*" in b[1:-1] for b in signs) / some, hidden, 100 * hidden / some,
         100 * sum(w for w, _ in weights) / some, sum(each[0].values()), math.log1p(len(each[0])), 100 * sum(w for _, w in weights) / some, sum(each[1].values()), math.log1p(len(each[1])),

@@ -3,6 +3,7 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from corpusloom.llm import queries, vector_codes
@@ -49,7 +50,7 @@ def got(df, **how):
 
 def vectors(n, dim=16, seed=0):
     rng = random.Random(seed)
-    near = lambda x: float(__import__("numpy").float32(x))
+    near = lambda x: float(np.float32(x))
     middles = [[rng.uniform(-1, 1) for _ in range(dim)] for _ in range(12)]
     return [(i, [near(c + rng.gauss(0, 0.2)) for c in rng.choice(middles)], rng.choice([0, 1, 2, None])) for i in range(n)]
 
