@@ -4,31 +4,37 @@ The model (coarse centroids, codebooks) is fitted on a bounded sample and broadc
 list belongs to a centroid and, in tables with more rows than the sample can give centroids for, to one of the
 second level as well, which is shared by all centroids: the number of lists grows with the root of the rows.
 Equal vectors are indexed once with their smallest ids, all that a top-k with ties to smaller ids can
-return. Lists are dealt in blocks of bounded size and the queries that probe a list in slices of bounded
-size; each block scores each slice by table look-ups and reranks its shortlist with the original vectors.
+return. How many lists a query asks is set by queries of the table itself, a bounded number of which meets
+every row. Lists are dealt in blocks of bounded size and the queries that probe a list in slices of bounded
+size; each block scores each slice by table look-ups, reranks its shortlist with the original vectors and
+then whatever else the quantisation errors, kept with the codes, leave in question: a block loses nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 
 #: Rows that centroids and codebooks are fitted on at most, those with the smallest hashes of their ids.
 TRAIN_ROWS = 20_000
-#: Share of a sample's true neighbours that the probed lists must hold when the number of probes is set.
+#: Share of the trial queries' true neighbours that the probed lists must hold when the number of probes is set.
 PROBE_RECALL = 0.997
+#: Queries that meet every row to set the number of probes at most, those with the smallest hashes of their vectors.
+TRIAL_QUERIES = 512
 #: Rows of a list's block, and queries that meet it in one task, about.
 BLOCK_ROWS = 1 << 15
 ASK_ROWS = 1 << 15
 SHORTLIST = 128
 CODES = 256
+#: More than what rounding does to a cosine or to its estimate.
+ROUNDING = 1e-12
 
 
 @dataclass
@@ -58,6 +64,11 @@ class Model:
             codes[:, j] = np.argmin((book**2).sum(axis=1) - 2 * rest[:, j] @ book.T, axis=1)
         return codes
 
+    def errors(self, unit: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far what the codes stand for is from each row: no query's estimate is off by more."""
+        rest = self.padded(unit - self.centres(lists)).reshape(len(unit), -1, 2)
+        return np.sqrt(((rest - self.books[np.arange(len(self.books)), codes]) ** 2).sum(axis=(1, 2)))
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """query x subspace x code: inner products of the query with the codes; a query stays exact, only rows are quantised."""
         return np.einsum("qjd,jcd->qjc", self.padded(queries).reshape(len(queries), -1, 2), self.books)
@@ -105,7 +116,7 @@ def units(x: np.ndarray) -> np.ndarray:
 
 
 def fit_arrays(x: np.ndarray, n_rows: int, k: int, recall: float = PROBE_RECALL, seed: int = 3) -> Model:
-    """A model for ``n_rows`` rows from sampled ones; probes are set so that the lists hold ``recall`` of the sample's true neighbours."""
+    """A model for ``n_rows`` rows from sampled ones; probes are set so that the lists hold ``recall`` of the sample's neighbours in it."""
     rng = np.random.default_rng(seed)
     unit = units(x)
     n_lists = int(np.clip(np.sqrt(n_rows) / 2, 1, max(1, len(unit) // 16)))
@@ -123,7 +134,13 @@ def fit_arrays(x: np.ndarray, n_rows: int, k: int, recall: float = PROBE_RECALL,
     model.books = np.stack(books)
     trial = unit[rng.choice(len(unit), min(len(unit), 400), replace=False)]
     near = np.argsort(-(trial @ unit.T), axis=1)[:, 1 : k + 1]
-    order = np.argsort(-(trial @ centroids.T - 0.5 * (centroids**2).sum(axis=1)), axis=1)
+    return set_probes(model, trial, own[near], recall)
+
+
+def set_probes(model: Model, trial: np.ndarray, near: np.ndarray, recall: float) -> Model:
+    """The model with as many centroids and lists asked as hold ``recall`` of trial queries' neighbours, whose lists are ``near`` (-1: none)."""
+    n_second = len(model.second)
+    order = np.argsort(-(trial @ model.centroids.T - 0.5 * (model.centroids**2).sum(axis=1)), axis=1, kind="stable")
     place = np.argsort(order, axis=1)
 
     def enough(ranks: np.ndarray) -> int:
@@ -131,15 +148,51 @@ def fit_arrays(x: np.ndarray, n_rows: int, k: int, recall: float = PROBE_RECALL,
         ranks = np.sort(ranks)
         return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
 
-    if near.size:
-        model.probes = enough(np.take_along_axis(place, first[near], axis=1).ravel())
-        ranks = []
-        for query, some, at, lists in zip(trial, order[:, : model.probes], place, own[near]):
-            found = model.nearness(query, some)
-            held = lists[at[lists // len(second)] < model.probes]
-            ranks += [int((found > found[at[i // len(second)], i % len(second)]).sum()) for i in held]
-        model.lists = enough(np.array(ranks)) if ranks else model.probes * len(second)
-    return model
+    if not (near >= 0).any():
+        return model
+    probes = enough(np.take_along_axis(place, np.maximum(near, 0) // n_second, axis=1)[near >= 0])
+    ranks = []
+    for query, some, at, lists in zip(trial, order[:, :probes], place, near):
+        found = model.nearness(query, some)
+        held = lists[(lists >= 0) & (at[lists // n_second] < probes)]
+        ranks += [int((found > found[at[i // n_second], i % n_second]).sum()) for i in held]
+    return replace(model, probes=probes, lists=enough(np.array(ranks)) if ranks else probes * n_second)
+
+
+def _first(exact: np.ndarray, rows: np.ndarray, ids: list[list[int]], k: int) -> tuple[dict[int, float], float]:
+    """The ids of the best rows with their scores, more than ``k`` if there are, and the least score that counts. Rows are in the order of their ids: of equal scores, more than ``k`` rows with ids of their own hold the smallest."""
+    found: dict[int, float] = {}
+    last, heads = np.inf, set()
+    for i in np.lexsort((rows, -exact)):
+        if exact[i] < last:
+            if len(found) > k:
+                return found, last
+            last, heads = exact[i], set()
+        heads.add(ids[rows[i]][0])
+        for x in ids[rows[i]]:
+            found.setdefault(x, float(exact[i]))
+        if len(heads) > k:
+            return found, last
+    return found, -np.inf
+
+
+def rerank(query: np.ndarray, scores: np.ndarray, errors: np.ndarray, v: np.ndarray, lengths: np.ndarray, ids: list[list[int]], k: int, shortlist: int) -> dict[int, float]:
+    """The ids with the ``k`` + 1 largest cosines of a block and some more: the shortlist by scores first, then every row whose error could lift it among them."""
+
+    def exact(rows: np.ndarray) -> np.ndarray:
+        return (v[rows] * query).sum(axis=1) / (lengths[rows] * np.sqrt((query**2).sum()))
+
+    if len(ids) <= shortlist:
+        return _first(exact(np.arange(len(ids))), np.arange(len(ids)), ids, k)[0]
+    rows = np.argpartition(-scores, shortlist)[:shortlist]
+    found, least = _first(exact(rows), rows, ids, k)
+    listed = np.zeros(len(ids), dtype=bool)
+    listed[rows] = True
+    further = (scores + errors >= least - ROUNDING) & ~listed
+    if not further.any():
+        return found
+    rows = np.flatnonzero(further | listed)
+    return _first(exact(rows), rows, ids, k)[0]
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -161,18 +214,22 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str =
     Nearest first by cosine of the original vectors in double precision, ties to the smaller id; the query's
     own row is no candidate. ``usable`` tells what takes part. Repeated rows count once. With few candidates
     all are returned; an empty table gives an empty result. The sample for the model holds at most
-    ``train_rows`` rows; every row is indexed."""
+    ``train_rows`` distinct vectors; every row is indexed. Lists asked hold ``recall`` of the neighbours that
+    trial queries have in the whole table; within them no row is missed, whatever the ``shortlist``."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     vector = dict(rows.dtypes)["v"]
     result = "query_id long, rank int, vec_id long, score double"
     rows = staged(rows, "vectors")
-    lengths = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    lengths = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("v")).alias("distinct")).orderBy(F.desc("n"), "dim").first()
     if lengths is None:
         return spark.createDataFrame([], result)
     dim, n_rows = lengths["dim"], lengths["n"]
     rows = rows.filter(F.size("v") == dim)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(train_rows).select("v").toArrow()["v"].combine_chunks()
+    # copies count once in the sample; hashes that aren't among the smallest don't travel
+    most = min(1.0, (2 * train_rows + 100) / max(1, lengths["distinct"]))
+    some = rows.withColumn("h", F.xxhash64("v")).filter(F.col("h") <= int(min(2**63 - 1, -(2**63) + most * 2**64)))
+    sample = some.groupBy("v", "h").agg(F.count("*").alias("_n")).orderBy("h", "v").limit(train_rows).select("v").toArrow()["v"].combine_chunks()
     model = fit_arrays(_matrix(sample, dim), n_rows, k, recall)
     shared = spark.sparkContext.broadcast(model)
 
@@ -188,9 +245,9 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str =
                 unit = units(_matrix(batch.column(0), dim))
                 lists = own.assign(unit)
                 codes = own.encode(unit, lists)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["v", "ids", "list", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(own.errors(unit, lists, codes))], ["v", "ids", "list", "code", "error"])
 
-    indexed = staged(classes.mapInArrow(index, f"v {vector}, ids array<long>, list int, code binary"), "index")
+    indexed = staged(classes.mapInArrow(index, f"v {vector}, ids array<long>, list int, code binary, error double"), "index")
     queries = rows.filter(F.col("vec_id") % query_every == 0)
     asked = staged(queries.groupBy("v").agg(F.count("*").alias("_n")).select("v", F.monotonically_increasing_id().alias("q")), "queries")
 
@@ -206,8 +263,33 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str =
     sizes[counts["list"].to_numpy()] = counts["n_ids"].to_numpy()
     sizes_of = spark.sparkContext.broadcast(sizes)
 
+    trial_rows = asked.orderBy(F.xxhash64("v"), "q").limit(TRIAL_QUERIES).select("v").toArrow()["v"].combine_chunks()
+    if not len(trial_rows):
+        return spark.createDataFrame([], result)
+    trial = units(_matrix(trial_rows, dim))
+    trial_of = spark.sparkContext.broadcast(trial)
+
+    def meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking = trial_of.value
+        best, lists = np.full((len(asking), k + 1), -np.inf), np.full((len(asking), k + 1), -1, dtype=np.int32)
+        for batch in small_batches(batches, 2048):
+            of = np.broadcast_to(batch.column(1).to_numpy(), (len(asking), batch.num_rows))
+            best, lists = np.hstack([best, asking @ units(_matrix(batch.column(0), dim)).T]), np.hstack([lists, of])
+            top = np.argpartition(-best, k, axis=1)[:, : k + 1]
+            best, lists = np.take_along_axis(best, top, axis=1), np.take_along_axis(lists, top, axis=1)
+        t, c = np.nonzero(lists >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(best[t, c]), pa.array(lists[t, c])], ["t", "score", "list"])
+
+    # the true neighbours of the trial queries: the nearest row of all is the query itself
+    nearest = Window.partitionBy("t").orderBy(F.desc("score"), "list")
+    met = indexed.select("v", "list").mapInArrow(meet_all, "t int, score double, list int").withColumn("r", F.row_number().over(nearest))
+    met = met.filter((F.col("r") > 1) & (F.col("r") <= k + 1)).select("t", "r", "list").toArrow()  # k a trial query
+    near = np.full((len(trial), k), -1, dtype=np.int64)
+    near[met["t"].to_numpy(), met["r"].to_numpy() - 2] = met["list"].to_numpy()
+    tuned = spark.sparkContext.broadcast(set_probes(model, trial, near, recall))
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = tuned.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
@@ -220,7 +302,7 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str =
     grid = F.broadcast(staged(held.select("list", "blocks").join(slices, "list"), "grid"))  # a row for each of the model's lists
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    members = indexed.join(grid, "list").withColumn("block", dealt(F.element_at("ids", 1), "blocks")).withColumn("slice", each("slices")).select("list", "block", "slice", "v", "ids", "code")
+    members = indexed.join(grid, "list").withColumn("block", dealt(F.element_at("ids", 1), "blocks")).withColumn("slice", each("slices")).select("list", "block", "slice", "v", "ids", "code", "error")
     probes = probes.join(grid, "list").withColumn("slice", dealt(F.col("q"), "slices")).withColumn("block", each("blocks")).select("list", "block", "slice", "q", F.col("v").alias("qv"))
 
     def meet(held: pa.Table, asking: pa.Table) -> pa.Table:
@@ -233,31 +315,21 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str =
         ids = [ids[i] for i in order]
         v = _matrix(held["v"].combine_chunks(), dim)[order]
         codes = np.frombuffer(b"".join(held["code"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[order]
+        errors = held["error"].to_numpy()[order]
         lengths_of = np.sqrt((v**2).sum(axis=1))
         centre = own.centres(np.array([held["list"][0].as_py()]))[0]
         qs, qv = asking["q"].to_pylist(), _matrix(asking["qv"].combine_chunks(), dim)
         out: list[tuple[int, int, float]] = []
-        for at in range(0, len(qs), 256):
-            part = qv[at : at + 256]
+        step = max(1, min(256, (1 << 21) // len(ids)))
+        for at in range(0, len(qs), step):
+            part = qv[at : at + step]
             unit = units(part)
-            tables = own.tables(unit).astype(np.float32)
-            near = np.repeat((unit @ centre).astype(np.float32)[:, None], len(ids), axis=1)
+            tables = own.tables(unit)
+            near = np.repeat((unit @ centre)[:, None], len(ids), axis=1)
             for j in range(codes.shape[1]):
                 near += tables[:, j].take(codes[:, j], axis=1)
-            for q, query, scores in zip(qs[at : at + 256], part, near):
-                if len(ids) > shortlist:
-                    edge = np.partition(scores, -shortlist)[-shortlist]
-                    pick = np.flatnonzero(scores > edge)
-                    pick = np.r_[pick, np.flatnonzero(scores == edge)[: shortlist - len(pick)]]
-                else:
-                    pick = np.arange(len(ids))
-                exact = (v[pick] * query).sum(axis=1) / (lengths_of[pick] * np.sqrt((query**2).sum()))
-                found: set[int] = set()
-                for i in np.lexsort((pick, -exact)):
-                    if len(found) > k:
-                        break
-                    out += [(q, x, float(exact[i])) for x in ids[pick[i]]]
-                    found.update(ids[pick[i]])
+            for q, query, scores in zip(qs[at : at + step], part, near):
+                out += [(q, x, score) for x, score in rerank(query, scores, errors, v, lengths_of, ids, k, shortlist).items()]
         if not out:
             return empty
         q, x, s = zip(*out)

@@ -103,3 +103,57 @@ def test_outliers_and_ids_with_several_vectors(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(table(spark, rows), query_every=10, k=5).collect())
     want = [x[:3] for x in brute(rows, 10, 5)]
     assert [g[:2] for g in got] == [w[:2] for w in want] and len(set(got) & set(want)) >= 0.9 * len(want)
+
+
+def rows_of(kind):
+    """6,000 rows: near copies beside strays; a common offset, so that cosines differ in their ninth digit; queries unlike all other rows."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 16))
+    if kind == "near copies":
+        x[rng.random(len(x)) < 0.95] = x[0]
+        x += 1e-4 * rng.standard_normal(x.shape)
+    elif kind == "offset":
+        x += 1e4
+    else:
+        strays = x[::50].copy()
+        x = x[rng.integers(0, 50, len(x))] + 0.05 * x
+        x[::50] = strays
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("kind", ["near copies", "offset", "other queries"])
+def test_recall_on_other_rows(spark, kind):
+    x = rows_of(kind)
+    got = {}
+    for r in ann.search(table(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    unit, hit = ann.units(x.astype(float)), 0
+    for q in range(0, len(x), 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        assert len(got[q]) == 5
+        hit += int((s[got[q]] >= np.sort(s)[-5] - 1e-14).sum())
+    assert hit / (5 * len(got)) >= 0.98
+
+
+def test_ties_between_copies_and_multiples(spark):
+    """Of equal scores the smaller ids count, though they come with several vectors of one direction."""
+    rows = [(i, [1.0, 2.0]) for i in (1, 51, 52, 53, 54, 55)] + [(i, [4.0, 8.0]) for i in (2, 3, 4, 5, 6)] + [(0, [2.0, 4.0])]
+    got = [(r["rank"], r["vec_id"]) for r in ann.search(table(spark, rows)).collect()]
+    assert sorted(got) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+
+
+def test_rerank_leaves_nothing_in_question():
+    """Estimates that are all alike, with errors that say so: every row is looked at; none is beyond its error."""
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((500, 8))
+    lengths = np.sqrt((v**2).sum(axis=1))
+    true = v @ v[0] / lengths / lengths[0]
+    found = ann.rerank(v[0], np.zeros(500), np.abs(true), v, lengths, [[i] for i in range(500)], 5, 10)
+    assert set(np.argsort(-true)[:6]) <= set(found)
+    unit = ann.units(v)
+    model = ann.fit_arrays(v, 500, 5)
+    lists = model.assign(unit)
+    codes = model.encode(unit, lists)
+    estimate = np.array([unit[0] @ model.centres(lists[i : i + 1])[0] + model.tables(unit[:1])[0, np.arange(4), codes[i]].sum() for i in range(500)])
+    assert (np.abs(estimate - true) <= model.errors(unit, lists, codes) + ann.ROUNDING).all()
