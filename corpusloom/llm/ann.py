@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -200,7 +201,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Distinct (vec_id, v) that take part: ids and vectors that aren't null, no null or non-finite component, not all zero, of the commonest length (ties: the shorter)."""
+    """Distinct (vec_id, v) that take part: ids and vectors that aren't null, no null or non-finite component, not all zero."""
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -212,22 +213,29 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str =
     """The ``k`` nearest rows found for each row whose id ``query_every`` divides: (query_id, rank, vec_id, score).
 
     Nearest first by cosine of the original vectors in double precision, ties to the smaller id; the query's
-    own row is no candidate. ``usable`` tells what takes part. Repeated rows count once. With few candidates
-    all are returned; an empty table gives an empty result. The sample for the model holds at most
+    own row is no candidate. ``usable`` tells what takes part; vectors of each length are searched apart.
+    Repeated rows count once. With few candidates all are returned; an empty table gives an empty result.
+    The sample for the model holds at most
     ``train_rows`` distinct vectors; every row is indexed. Lists asked hold ``recall`` of the neighbours that
     trial queries have in the whole table; within them no row is missed, whatever the ``shortlist``."""
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vector_col)
+    rows = staged(usable(vectors, id_col, vector_col), "vectors")
+    lengths = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("v")).alias("distinct"), F.max((F.col("vec_id") % query_every == 0).cast("int")).alias("asked"))
+    lengths = lengths.filter("n > 1 AND asked = 1").orderBy("dim").collect()  # a row a length: few
+    if not lengths:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_of_length(rows.filter(F.size("v") == x["dim"]), x["dim"], x["n"], x["distinct"], query_every, k, train_rows, recall, shortlist) for x in lengths]
+    mine = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return mine.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _of_length(rows: DataFrame, dim: int, n_rows: int, distinct: int, query_every: int, k: int, train_rows: int, recall: float, shortlist: int) -> DataFrame:
+    """(query_id, vec_id, score) of vectors of one length, the ``k`` best of each query's vector among them. Some row is a query."""
+    spark = rows.sparkSession
     vector = dict(rows.dtypes)["v"]
-    result = "query_id long, rank int, vec_id long, score double"
-    rows = staged(rows, "vectors")
-    lengths = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("v")).alias("distinct")).orderBy(F.desc("n"), "dim").first()
-    if lengths is None:
-        return spark.createDataFrame([], result)
-    dim, n_rows = lengths["dim"], lengths["n"]
-    rows = rows.filter(F.size("v") == dim)
     # copies count once in the sample; hashes that aren't among the smallest don't travel
-    most = min(1.0, (2 * train_rows + 100) / max(1, lengths["distinct"]))
+    most = min(1.0, (2 * train_rows + 100) / max(1, distinct))
     some = rows.withColumn("h", F.xxhash64("v")).filter(F.col("h") <= int(min(2**63 - 1, -(2**63) + most * 2**64)))
     sample = some.groupBy("v", "h").agg(F.count("*").alias("_n")).orderBy("h", "v").limit(train_rows).select("v").toArrow()["v"].combine_chunks()
     model = fit_arrays(_matrix(sample, dim), n_rows, k, recall)
@@ -264,8 +272,6 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str =
     sizes_of = spark.sparkContext.broadcast(sizes)
 
     trial_rows = asked.orderBy(F.xxhash64("v"), "q").limit(TRIAL_QUERIES).select("v").toArrow()["v"].combine_chunks()
-    if not len(trial_rows):
-        return spark.createDataFrame([], result)
     trial = units(_matrix(trial_rows, dim))
     trial_of = spark.sparkContext.broadcast(trial)
 
@@ -340,6 +346,4 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str =
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = found.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1).drop("_r")
     ids_of = queries.join(asked, "v").select(F.col("vec_id").alias("query_id"), "q")
-    mine = top.join(ids_of, "q").filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return mine.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return top.join(ids_of, "q").filter("vec_id <> query_id").select("query_id", "vec_id", "score")

@@ -157,3 +157,15 @@ def test_rerank_leaves_nothing_in_question():
     codes = model.encode(unit, lists)
     estimate = np.array([unit[0] @ model.centres(lists[i : i + 1])[0] + model.tables(unit[:1])[0, np.arange(4), codes[i]].sum() for i in range(500)])
     assert (np.abs(estimate - true) <= model.errors(unit, lists, codes) + ann.ROUNDING).all()
+
+
+def test_each_length_apart(spark):
+    """Vectors of every length find those of their own; an id with vectors of two lengths has one list of neighbours."""
+    rng = np.random.default_rng(10)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(4 if i < 60 else 3)]) for i in range(90)]
+    rows += [(95, [1.0, 2.0])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(table(spark, rows), query_every=10, k=5, recall=1.0).collect())
+    assert got == [x[:3] for x in brute(rows, 10, 5)]
+    both = [(0, [1.0, 0.0]), (0, [1.0, 0.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.2, 0.0]), (3, [1.0, 0.3]), (3, [1.0, 0.05, 0.0])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(table(spark, both)).collect())
+    assert got == [(0, 1, 3), (0, 2, 1), (0, 3, 2)]
