@@ -116,7 +116,8 @@ def failure_report(spark, sf_dir):
     keys = staged(_strings(spark, sf_dir).select("conf_id", "text", graphs.graph_key("text").alias("graph")), "graph-keys")
     # of both ways to write a chain SQL takes the smaller: it begins with O if both ends are oxygens
     oxygen = (F.col("conf_id") % 2 == 0) & F.col("text").startswith("O") & F.col("text").endswith("O")
-    rows = c.join(keys, "conf_id").join(bonds, "conf_id", "left")
+    # graph keys are few distinct texts: their table on disk is far smaller than in memory, so it is no broadcast
+    rows = c.join(keys.hint("merge"), "conf_id").join(bonds, "conf_id", "left")
     reason = F.when(largest_degree(F.col("bonds")) > 3, "large_degree").when(oxygen, "oxygen_first")
     out = corpus.failure_report(rows.select(split_of(F.col("conf_id")).alias("split"), "geom", "graph", reason.alias("reason")), ["split"])
     line = F.array_join(F.transform(F.map_entries("failures"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
