@@ -67,13 +67,11 @@ _MINIMA = f"x AS ({superposed_sql(f'SELECT a.key, a.conf_id AS i, b.conf_id AS j
 (SELECT key, avg(CASE WHEN m < 0.15 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS cov_r, avg(m) AS mat_r FROM (SELECT key, i, min(r) AS m FROM m GROUP BY key, i) GROUP BY key) JOIN
 (SELECT key, avg(CASE WHEN m < 0.15 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS cov_p, avg(m) AS mat_p FROM (SELECT key, j, min(r) AS m FROM m GROUP BY key, j) GROUP BY key) USING (key)""")
 def symmetric_coverage(spark, sf_dir):
-    """Coverage and matching by the symmetric distance. All pairs of a key, as ``covmat``: for tens of members a key."""
-    true, gen = true_and_generated(spark, sf_dir)
+    """Coverage and matching by the symmetric distance, over all pairs of a key."""
     points = F.transform(F.sequence(F.lit(0), F.lit(ATOMS - 1)), lambda k: F.struct(F.lit("C").alias("sym"), *(F.element_at("xyz", 3 * k + c + 1).alias(n) for c, n in enumerate("xyz"))))
     bonds = F.array(*(F.struct(F.lit(k).alias("a"), F.lit(k + 1).alias("b"), F.lit(1).alias("order")) for k in range(1, ATOMS)))
-    a, b = true.select("key", F.col("conf_id").alias("i"), points.alias("a")), gen.select("key", F.col("conf_id").alias("j"), points.alias("b"))
-    pairs = a.join(b, "key").select("key", "i", "j", graphs.symmetric_rmsd("a", bonds, "b", bonds).alias("r"))
-    out = coverage.covmat(coverage.minima(pairs), 0.15)
+    true, gen = (x.select("key", "conf_id", points.alias("atoms"), bonds.alias("bonds")) for x in true_and_generated(spark, sf_dir))
+    out = coverage.covmat(coverage.symmetric_extremes(true, gen), 0.15)
     return out.select("key", *(F.round(c, 6).alias(c) for c in ("cov_r", "cov_p", "mat_r", "mat_p")))
 
 
