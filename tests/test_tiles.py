@@ -8,14 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import geometry, graphs
-from corpusloom.operators import coverage, tiles
+from corpusloom.operators import coverage, pair_quantiles, tiles
 from corpusloom.plans import coverage as coverage_plans
 from corpusloom.plans import graphs as graph_plans
 from corpusloom.plans import registry
 from test_queries import SF, TABLES, plain
 
 registry.load_all()
-QUERIES = ["symmetric_coverage"]
+QUERIES = ["symmetric_coverage", "self_pairs"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -29,6 +29,7 @@ def test_no_pair_is_a_row_of_a_join(spark, monkeypatch, name):
         monkeypatch.setattr(module, "rmsd", never, raising=False)
     monkeypatch.setattr(graph_plans.graphs, "symmetric_rmsd", never)
     monkeypatch.setattr(tiles, "ROWS", 16)
+    monkeypatch.setattr(pair_quantiles, "AT_ONCE", 3)
     out = registry.QUERIES[name](spark, SF)
     cols = sorted(out.columns)
     con = duckdb.connect()
@@ -72,6 +73,20 @@ def test_extremes_of_odd_members(spark, monkeypatch, rows):
     near(each, {(r["key"], r["i"], r["j"]): (None if r["r"] is None else round(r["r"], 6),) for r in pairs.collect()})
 
 
+@pytest.mark.parametrize("rows", [4, 4096])
+def test_quantiles_of_odd_members(spark, monkeypatch, rows):
+    monkeypatch.setattr(tiles, "ROWS", rows)
+    monkeypatch.setattr(pair_quantiles, "AT_ONCE", 3)
+    members = odd_members(spark, 0).filter("key is not null")
+    a, b = members.select("key", F.col("conf_id").alias("i"), F.col("xyz").alias("a")), members.select("key", F.col("conf_id").alias("j"), F.col("xyz").alias("b"))
+    d = a.join(b, "key").filter("i < j").select("key", geometry.rmsd(F.col("a"), F.col("b")).alias("r")).cache()
+    want = {r["key"]: (r["n"], r["q"]) for r in d.groupBy("key").agg(F.count("*").alias("n"), F.median("r").alias("q")).collect()}
+    near({r["key"]: (r["n"], r["q"]) for r in pair_quantiles.by_key(members).collect()}, want)
+    all_ = d.filter("r is not null and not isnan(r)").agg(F.median("r")).first()[0]
+    assert pair_quantiles.pooled(members) == pytest.approx(all_, rel=1e-9)
+    assert pair_quantiles.pooled(members.limit(0)) is None
+
+
 @pytest.mark.parametrize("points", [3, 5, 21])
 def test_superposition_of_all_with_all(points):
     rng = np.random.default_rng(points)
