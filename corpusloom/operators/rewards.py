@@ -5,7 +5,7 @@ Distances come in long form, (key, i, j, r): reference i, rollout j; null r for
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import null_if_nan, sigmoid
-from . import matching
+from ..sources.staging import staged
+from . import coverage, matching, tiles
 from .quantiles import quantiles
 
 
@@ -50,6 +51,64 @@ def coverage_terms(pairs: DataFrame, p: Params) -> DataFrame:
     return d.withColumn("marginal", F.col("k") * others * depth).drop("_one", "_log")
 
 
+#: exp of a reference's sum of logs less any one of them (at least -36.8, the log of the least 1 - k above 0) is exactly 0 below this.
+_NOTHING = -790.0
+
+
+def _kernel(r: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """k, whether it is exactly 1, and the log of 1 - k, 0 where it is."""
+    with np.errstate(all="ignore"):
+        k = np.where(np.isnan(r), 0.0, 1 / (1 + np.exp(-(p.delta - r) / p.rho)))
+        one = k >= 1
+        return k, one, np.where(one, 0.0, np.log(1 - k))
+
+
+def nearness(true: DataFrame, gen: DataFrame, p: Params, scale: float = 1.0) -> DataFrame:
+    """``coverage.extremes`` with, for references (side R), the sum of the logs of 1 - k over rollouts, the number of kernels that are exactly 1 and of distances below delta; staged. ``gen`` holds the valid rollouts."""
+
+    def fold(a: tiles.Side, b: tiles.Side, same: bool, alone: bool, key: object) -> Iterator[dict]:
+        found = coverage.Extremes(a, b, scale)
+        log, ones, edges = np.zeros(len(a)), np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=np.int64)
+        for at, r in tiles.strips(a, b, scale):
+            found.add(at, r)
+            _, one, of = _kernel(r, p)
+            log[at], ones[at], edges[at] = of.sum(axis=1), one.sum(axis=1), (r < p.delta).sum(axis=1)
+        for columns, more in zip(found.columns(), ((log, ones, edges), (np.zeros(len(b)), np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=np.int64)))):
+            yield columns | dict(zip(("log", "one", "edges"), more))
+
+    parts = tiles.meet(true, gen, fold, f"{coverage.EXTREMES}, log double, one bigint, edges bigint")
+    return staged(coverage.merged(parts, *(F.sum(c).alias(c) for c in ("log", "one", "edges"))), "nearness")
+
+
+def smoothed(true: DataFrame, gen: DataFrame, near: DataFrame, p: Params, scale: float = 1.0) -> DataFrame:
+    """(key, j, d_min, best_i, cover) of valid rollouts, as from ``coverage_terms`` of all pairs: distances are worked out again, with the references' sums of ``nearness`` at hand.
+
+    A reference whose product of (1 - k) is exactly 0 in double precision adds exactly 0 to every rollout and is not met again."""
+
+    def fold(a: tiles.Side, b: tiles.Side, same: bool, alone: bool, key: object) -> Iterator[dict]:
+        total = np.zeros(len(b))
+        for at, r in tiles.strips(a, b, scale):
+            k, one, log = _kernel(r, p)
+            with np.errstate(all="ignore"):
+                others = np.where(a.extra["one"][at, None] - one > 0, 0.0, np.exp(a.extra["log"][at, None] - log))
+                depth = 1 + p.w_depth * np.where(np.isnan(r), 0.0, np.clip(1 - r / p.delta, 0.0, 1.0))
+            total += (k * others * depth).sum(axis=0)
+        yield {"j": b.ids, "cover": total}
+
+    of = near.filter(f"side = 'R' and log >= {_NOTHING}").select("key", F.col("id").alias("conf_id"), "log", "one")
+    some = tiles.meet(true.join(of, ["key", "conf_id"]), gen.withColumns({"log": F.lit(0.0), "one": F.lit(0).cast("long")}), fold, "j bigint, cover double", ("log", "one"))
+    some = some.groupBy("key", "j").agg(F.sum("cover").alias("cover"))
+    low = near.filter("side = 'P'").select("key", F.col("id").alias("j"), F.col("m").alias("d_min"), F.col("arg").alias("best_i"), "pairs")
+    return low.join(some, ["key", "j"], "left").select("key", "j", "d_min", "best_i", (F.coalesce("cover", F.lit(0.0)) / F.col("pairs")).alias("cover"))
+
+
+def mutual(near: DataFrame, delta: float) -> DataFrame:
+    """``mutual_nearest`` of what ``coverage.extremes`` gives."""
+    near = near.filter(F.col("m") < delta)
+    of_i = near.filter("side = 'R'").select("key", F.col("id").alias("i"), F.col("arg").alias("j"), F.col("m").alias("d"))
+    return of_i.join(near.filter("side = 'P'").select("key", F.col("arg").alias("i"), F.col("id").alias("j")), ["key", "i", "j"])
+
+
 def gated(rollouts: DataFrame, check: Column | None = None) -> DataFrame:
     """Rollouts (key, j, graph, parsed) with ``base``, ``check`` and ``valid``: both gates passed, then the check gate.
 
@@ -66,7 +125,12 @@ def rollout_rewards(pairs: DataFrame, rollouts: DataFrame, p: Params, matched: D
     Rollouts that fail a gate, and those without any distance, get the floor. ``matched``: (key, j, d) from ``matching.assign``."""
     terms = coverage_terms(pairs.join(rollouts.filter("valid").select("key", "j"), ["key", "j"]), p)
     each = terms.groupBy("key", "j").agg(F.min("r").alias("d_min"), F.min(F.when(F.col("r").isNotNull(), F.struct("r", "i"))).alias("_b"), F.avg("marginal").alias("cover"))
-    out = rollouts.join(each, ["key", "j"], "left").withColumn("best_i", F.col("_b.i")).drop("_b")
+    return scored(each.withColumn("best_i", F.col("_b.i")).drop("_b"), rollouts, p, matched)
+
+
+def scored(each: DataFrame, rollouts: DataFrame, p: Params, matched: DataFrame | None = None) -> DataFrame:
+    """``rollout_rewards`` from (key, j, d_min, best_i, cover) of the valid rollouts, as ``smoothed`` gives."""
+    out = rollouts.join(each, ["key", "j"], "left")
     match = F.lit(0.0)
     if matched is not None and p.w_match:
         out = out.join(matched.select("key", "j", "d"), ["key", "j"], "left")
@@ -147,7 +211,12 @@ def group_metrics(pairs: DataFrame, rewards: DataFrame, p: Params, matched: Data
     # the two nearest rollouts of a reference, the second by id where distances are equal
     two = F.min(F.when(F.col("r").isNotNull(), F.struct("r", "j")))
     refs = valid.groupBy("key", "i").agg(two.alias("first"), (1 - F.exp(F.sum(F.log(1 - k)))).alias("soft"), F.count_if(F.col("r") < p.delta).alias("edges"))
-    hit = F.coalesce(F.col("first.r") < p.delta, F.lit(False))
+    return grouped(refs.withColumn("d1", F.col("first.r")), pairs.groupBy("key").agg(F.countDistinct("i").alias("m")), rewards, p, matched)
+
+
+def grouped(refs: DataFrame, m: DataFrame, rewards: DataFrame, p: Params, matched: DataFrame | None = None) -> DataFrame:
+    """``group_metrics`` from the references that valid rollouts meet (key, i, d1, soft, edges) and the number of references of each group (key, m)."""
+    hit = F.coalesce(F.col("d1") < p.delta, F.lit(False))
     alone = hit & (F.col("edges") == 1)
     share = lambda c: F.avg(c.cast("double"))
     per_ref = refs.groupBy("key").agg(F.count_if(hit).alias("refs_hit"), share(hit).alias("cov_ratio"), share(alone).alias("unique_cover_ratio"), F.avg("soft").alias("soft_cov"), share(F.col("soft") > 0.1).alias("soft_gt_01"), share(F.col("soft") > 0.5).alias("soft_gt_05"), F.sum("edges").alias("edges"))
@@ -156,7 +225,6 @@ def group_metrics(pairs: DataFrame, rewards: DataFrame, p: Params, matched: Data
     counts = [F.count("*").alias("k"), *(F.count_if(c).alias(f"n_{c}") for c in ("graph", "parsed", "base", "valid")), F.count("check").alias("n_checked"), F.count_if(F.col("check") == "pass").alias("n_passed"), F.count_if(F.col("check") == "error").alias("n_errors")]
     spreads = [F.stddev_pop(on(c)).alias(f"std_{c.removeprefix('r_')}") for c in ("r_qual", "r_smcov", "r_match", "reward")]
     per = rewards.groupBy("key").agg(*counts, F.countDistinct(F.when(ok, F.col("best_i"))).alias("unique_nearest"), F.count_if(ok).alias("n_near"), *spreads)
-    m = pairs.groupBy("key").agg(F.countDistinct("i").alias("m"))
     rho = spearman(rewards.filter("valid").select("key", "r_smcov", "reward"), ["key"], "r_smcov", "reward")
     out = per.join(m, "key", "left").join(per_ref, "key", "left").join(rho, "key", "left")
     if matched is not None:
@@ -171,19 +239,24 @@ def group_metrics(pairs: DataFrame, rewards: DataFrame, p: Params, matched: Data
     return out.withColumn("cover_ratio", F.col("cov_ratio")).withColumns({"cov_ratio": zero("cov_ratio"), "covered_ratio": zero("cov_ratio"), "unique_covered_ratio": zero("unique_cover_ratio")})
 
 
-def batch_metrics(groups: DataFrame, rewards: DataFrame, p: Params, matched: DataFrame, between: DataFrame) -> DataFrame:
+def batch_metrics(groups: DataFrame, rewards: DataFrame, p: Params, matched: DataFrame, between: DataFrame | float | None) -> DataFrame:
     """The batch's 47 metrics in one row: ratios over rollouts, means over groups, percentiles over pooled rollouts; 0 where nothing counts.
 
-    ``matched`` (key, i, j, d) and ``between`` (r: distances between a group's valid rollouts) give percentiles
-    that are NaN where there are none."""
+    ``matched`` (key, i, j, d) and ``between`` (r: distances between a group's valid rollouts, or their median)
+    give percentiles that are NaN where there are none. The correlation is NaN where groups don't differ in one of its sides."""
     z = lambda c: F.coalesce(c, F.lit(0.0))
     of = lambda df, name, c: df.select(F.lit(name).alias("name"), F.col(c).cast("double").alias("v"))
-    pooled = of(groups, "refs", "refs_hit").unionByName(of(rewards.filter("valid"), "near", "d_min")).unionByName(of(matched, "far", "d")).unionByName(of(between, "between", "r"))
-    found = quantiles(pooled, [("refs", 0.5), ("near", 0.5), ("near", 0.9), ("far", 0.5), ("far", 0.9), ("between", 0.5)])
+    pooled = of(groups, "refs", "refs_hit").unionByName(of(rewards.filter("valid"), "near", "d_min")).unionByName(of(matched, "far", "d"))
+    wanted = [("refs", 0.5), ("near", 0.5), ("near", 0.9), ("far", 0.5), ("far", 0.9)]
+    if isinstance(between, DataFrame):
+        found = quantiles(pooled.unionByName(of(between, "between", "r")), [*wanted, ("between", 0.5)])
+    else:
+        found = quantiles(pooled, wanted) | {("between", 0.5): between}
     known = lambda name, q, otherwise: F.lit(otherwise if found[name, q] is None else found[name, q])
     nan = float("nan")
     ratio = lambda a, b: z(F.try_divide(F.sum(a), F.sum(b)))
     corr = F.try_divide(F.covar_pop("refs_hit", "soft_cov"), F.stddev_pop(F.when(F.col("soft_cov").isNotNull(), F.col("refs_hit"))) * F.stddev_pop("soft_cov"))
+    corr = F.when(F.count("soft_cov") > 0, F.coalesce(corr, F.lit(nan)))
     mean = lambda c, name: z(F.avg(c)).alias(name)
     g = groups.agg(
         ratio("n_graph", "k").alias("graph_match_rate"), ratio("n_parsed", "k").alias("parse_rate"), ratio("n_base", "k").alias("base_valid_rate"), ratio("n_valid", "k").alias("final_valid_rate"),
@@ -213,6 +286,11 @@ def counters(rewards: DataFrame, pairs: DataFrame) -> DataFrame:
     return r.agg(F.count("*").alias("rollouts"), F.count_if(~F.col("truth")).alias("failed_ground_truth"), failed(~F.col("graph")).alias("failed_matching"), failed(F.col("graph") & ~F.col("parsed")).alias("failed_parsing"), failed(F.col("base") & ~F.col("valid")).alias("failed_checks"), failed(F.col("valid") & F.col("d_min").isNull()).alias("failed_distance"))
 
 
+def met(near: DataFrame) -> DataFrame:
+    """The references of ``nearness`` as ``grouped`` takes them."""
+    return near.filter("side = 'R'").select("key", F.col("id").alias("i"), F.col("m").alias("d1"), (1 - F.exp("log")).alias("soft"), "edges")
+
+
 def match_metrics(matched: DataFrame, groups: DataFrame) -> DataFrame:
     """Matched pairs: mean number, mean of the possible number, efficiency, percentiles of the distance (NaN if there are none)."""
     a = groups.agg(F.avg("n_matched").alias("num_matched_mean"), F.avg("possible").alias("max_possible_mean"), F.avg("efficiency").alias("efficiency_mean"))

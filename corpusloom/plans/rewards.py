@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.geometry import null_if_nan
-from ..operators import coverage, matching, rewards
+from ..operators import coverage, matching, pair_quantiles, rewards
 from ..session import table
 from ..sources.staging import staged
 from .registry import query
@@ -21,16 +21,30 @@ def _setup(spark, sf_dir):
     true, gen = true_and_generated(spark, sf_dir)
     pairs = coverage.pair_distances(true, gen, SCALE)
     pairs = pairs.withColumn("r", null_if_nan(F.when(F.col("j") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("r"))))
+    return pairs, _runs(gen)
+
+
+def _runs(gen):
     j = F.col("conf_id")
     runs = gen.select("key", j.alias("j"), (j % 7 != 0).alias("graph"), (j % 11 != 0).alias("parsed"))
     j = F.col("j")
-    return pairs, rewards.gated(runs, F.when(j % 17 == 0, "error").when(j % 5 == 0, "fail").otherwise("pass"))
+    return rewards.gated(runs, F.when(j % 17 == 0, "error").when(j % 5 == 0, "fail").otherwise("pass"))
 
 
-def _staged(spark, sf_dir):
-    """The same, each computed once."""
-    pairs, runs = _setup(spark, sf_dir)
-    return staged(pairs, "pairs"), staged(runs, "rollouts")
+def _sets(spark, sf_dir):
+    """References, generated members (every 13th has no distances), and rollouts with their gates and check states: the same without pairs."""
+    true, gen = true_and_generated(spark, sf_dir)
+    return true, gen.withColumn("xyz", F.when(F.col("conf_id") % 13 != 0, F.col("xyz"))), _runs(gen)
+
+
+def _valid(gen, runs):
+    return gen.join(runs.filter("valid").select("key", F.col("j").alias("conf_id")), ["key", "conf_id"])
+
+
+def _rewards(spark, sf_dir):
+    true, gen, runs = _sets(spark, sf_dir)
+    gen = _valid(gen, runs)
+    return rewards.scored(rewards.smoothed(true, gen, rewards.nearness(true, gen, P, SCALE), P, SCALE), runs, P)
 
 
 _SIG = lambda x: f"(1 / (1 + exp(-({x}))))"
@@ -126,27 +140,30 @@ _METRICS = "graph_match_rate parse_rate base_valid_rate final_valid_rate checked
 
 
 def _scored(spark, sf_dir):
-    """Pairs, rollouts, matched pairs and rewards, each computed once. Mutual nearest pairs are the matching, which SQL can say."""
-    pairs, runs = _staged(spark, sf_dir)
-    matched = staged(rewards.mutual_nearest(pairs.join(runs.filter("valid").select("key", "j"), ["key", "j"]), PM.delta), "matched")
-    return pairs, runs, matched, staged(rewards.rollout_rewards(pairs, runs, PM, matched), "rewards")
+    """Groups, rollouts' rewards, matched pairs and the valid rollouts' members, each computed once. Mutual nearest pairs are the matching, which SQL can say."""
+    true, gen, runs = _sets(spark, sf_dir)
+    runs = staged(runs, "rollouts")
+    valid = _valid(gen, runs)
+    near = rewards.nearness(true, valid, PM, SCALE)
+    matched = staged(rewards.mutual(near, PM.delta), "matched")
+    r = staged(rewards.scored(rewards.smoothed(true, valid, near, PM, SCALE), runs, PM, matched), "rewards")
+    m = true.join(gen.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.countDistinct("conf_id").alias("m"))
+    return staged(rewards.grouped(rewards.met(near), m, r, PM, matched), "groups"), r, matched
 
 
 @query(f"WITH {_G} SELECT {', '.join(f'round({c}, 6) AS {c}' for c in _METRICS)}, round(comp_smcov_mean / (total_mean + 1e-8), 6) AS smcov_frac FROM ga, ra, md, bt")
 def batch_metrics(spark, sf_dir):
     """All 47 metrics; the distances between rollouts are those of all pairs of a group."""
-    pairs, runs, matched, r = _scored(spark, sf_dir)
-    gen = true_and_generated(spark, sf_dir)[1].join(runs.filter("valid").select("key", F.col("j").alias("conf_id")), ["key", "conf_id"])
-    between = coverage.pair_distances(gen, gen, SCALE).filter("i < j")
-    groups = staged(rewards.group_metrics(pairs, r, PM, matched), "groups")
-    out = rewards.batch_metrics(groups, r, PM, matched, between)
+    groups, r, matched = _scored(spark, sf_dir)
+    valid = _valid(true_and_generated(spark, sf_dir)[1], r)
+    out = rewards.batch_metrics(groups, r, PM, matched, pair_quantiles.pooled(valid, 0.5, SCALE))
     return _rounded(out, *out.columns)
 
 
 @query(f"WITH {_G} SELECT round(num_matched_mean, 6) AS num_matched_mean, round(max_possible_mean, 6) AS max_possible_mean, round(efficiency_mean, 6) AS efficiency_mean, round(dist_p50, 6) AS dist_p50, round(dist_p90, 6) AS dist_p90 FROM ga, md")
 def match_metrics(spark, sf_dir):
-    pairs, _, matched, r = _scored(spark, sf_dir)
-    out = rewards.match_metrics(matched, rewards.group_metrics(pairs, r, PM, matched))
+    groups, _, matched = _scored(spark, sf_dir)
+    out = rewards.match_metrics(matched, groups)
     return _rounded(out, *out.columns)
 
 

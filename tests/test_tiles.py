@@ -8,14 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import geometry, graphs
-from corpusloom.operators import coverage, pair_quantiles, tiles
+from corpusloom.operators import coverage, pair_quantiles, rewards, tiles
 from corpusloom.plans import coverage as coverage_plans
 from corpusloom.plans import graphs as graph_plans
 from corpusloom.plans import registry
 from test_queries import SF, TABLES, plain
 
 registry.load_all()
-QUERIES = ["symmetric_coverage", "self_pairs"]
+QUERIES = ["symmetric_coverage", "self_pairs", "batch_metrics"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -117,3 +117,39 @@ def test_symmetric_distances_by_tiles(spark, monkeypatch):
     assert set(got) == set(want)
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=1e-7)
+
+
+@pytest.mark.parametrize("delta", [0.75, 60.0])
+def test_rewards_by_tiles(spark, monkeypatch, delta):
+    """The same as from pairs; with a wide kernel some are exactly 1, and products of the others vanish."""
+    monkeypatch.setattr(tiles, "ROWS", 4)
+    p = rewards.Params(delta=delta, w_match=0.5)
+    true = odd_members(spark, 0).filter("key in ('a', 'b')")
+    gen = odd_members(spark, 1).filter("key in ('a', 'b') or key = 'only1'")
+    runs = rewards.gated(gen.select("key", F.col("conf_id").alias("j"), F.lit(True).alias("graph"), (F.col("conf_id") % 7 != 0).alias("parsed")))
+    pairs = coverage.pair_distances(true, gen, 0.5).withColumn("r", geometry.null_if_nan(F.col("r"))).cache()
+    valid = gen.join(runs.filter("valid").select("key", F.col("j").alias("conf_id")), ["key", "conf_id"])
+    low = rewards.nearness(true, valid, p, 0.5)
+    matched = rewards.mutual_nearest(pairs.join(runs.filter("valid").select("key", "j"), ["key", "j"]), delta).cache()
+    assert sorted(map(tuple, matched.select("key", "i", "j").collect())) == sorted(map(tuple, rewards.mutual(low, delta).select("key", "i", "j").collect()))
+    columns = ["valid", "d_min", "best_i", "r_qual", "r_smcov", "r_match", "reward"]
+    rows = lambda df: {(r["key"], r["j"]): tuple(r[c] for c in columns) for r in df.collect()}
+    want = rewards.rollout_rewards(pairs, runs, p, matched).cache()
+    got = rewards.scored(rewards.smoothed(true, valid, low, p, 0.5), runs, p, matched).cache()
+    near(rows(got), rows(want))
+    columns = ["m", "d1", "soft", "edges"]
+    m = true.join(gen.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.countDistinct("conf_id").alias("m"))
+    groups = lambda df: {r["key"]: tuple(v for c, v in sorted(r.asDict().items()) if c != "key") for r in df.collect()}
+    near(groups(rewards.grouped(rewards.met(low), m, got, p, matched)), groups(rewards.group_metrics(pairs, want, p, matched)))
+
+
+def test_correlation_of_groups_that_do_not_differ(spark):
+    """SQL's correlation is NaN where one side has no spread, and 0 only where no group counts."""
+    for n, want in ((2, math.nan), (0, 0.0)):
+        pairs = spark.createDataFrame([(f"k{g}", 0, j, 1e-9) for g in range(n) for j in range(80)], "key string, i long, j long, r double")
+        runs = rewards.gated(pairs.select("key", "j", F.lit(True).alias("graph"), F.lit(True).alias("parsed")))
+        p = rewards.Params()
+        r = rewards.rollout_rewards(pairs, runs, p).cache()
+        matched = rewards.mutual_nearest(pairs, p.delta)
+        out = rewards.batch_metrics(rewards.group_metrics(pairs, r, p, matched), r, p, matched, pairs.select("r")).first()
+        assert out["soft_refs_corr"] == pytest.approx(want, nan_ok=True)
