@@ -83,7 +83,7 @@ def smooth_coverage(spark, sf_dir):
 
 @query(f"WITH {_R} SELECT key, j, valid, coalesce(best_i, -1) AS best_i, round(reward, 6) AS reward FROM rr")
 def combine_reward(spark, sf_dir):
-    return _rounded(rewards.rollout_rewards(*_setup(spark, sf_dir), P).select("key", "j", "valid", F.coalesce("best_i", F.lit(-1)).alias("best_i"), "reward"), "reward")
+    return _rounded(_rewards(spark, sf_dir).select("key", "j", "valid", F.coalesce("best_i", F.lit(-1)).alias("best_i"), "reward"), "reward")
 
 
 #: Consecutive numbers within which references and rollouts of a key are matched.

@@ -15,7 +15,7 @@ from corpusloom.plans import registry
 from test_queries import SF, TABLES, plain
 
 registry.load_all()
-QUERIES = ["symmetric_coverage", "self_pairs", "batch_metrics", "kabsch_rmsd", "rmsd_stats", "covmat_summary"]
+QUERIES = ["symmetric_coverage", "self_pairs", "batch_metrics", "kabsch_rmsd", "rmsd_stats", "covmat_summary", "combine_reward"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
