@@ -211,9 +211,9 @@ l AS (SELECT key, j, d_min, CASE WHEN j % 19 = 0 THEN 'ground_truth' WHEN j % 17
 
 @query(f"WITH {_LEGACY}, w AS (SELECT *, CASE WHEN failure IN ('ground_truth', 'missing_conformer') THEN 0.0::DOUBLE ELSE 0.5 * CASE WHEN d_min IS NULL THEN 0.0::DOUBLE ELSE 1 / (1 + d_min / 1.25) END + 0.5 * m END AS reward FROM l) SELECT coalesce(failure, 'none') AS failure, count(*) AS n, round(avg(reward), 6) AS mean, round(stddev_pop(reward), 6) AS std FROM w GROUP BY 1")
 def legacy_reward(spark, sf_dir):
-    pairs, _ = _setup(spark, sf_dir)
+    true, gen, _ = _sets(spark, sf_dir)
     j = F.col("j")
-    low = pairs.groupBy("key", "j").agg(F.min("r").alias("d_min"))
+    low = coverage.extremes(true, gen, SCALE).filter("side = 'P'").select("key", F.col("id").alias("j"), F.col("m").alias("d_min"))
     match = F.when(j % 7 == 0, 0.5).otherwise(1.0)
     reward, failure = rewards.legacy_reward(F.col("d_min"), match, j % 19 != 0, j % 17 != 0, j % 7 != 0)
     rows = low.select(reward.alias("reward"), F.coalesce(failure, F.lit("none")).alias("failure"))
