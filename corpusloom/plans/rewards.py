@@ -78,7 +78,7 @@ def quality_reward(spark, sf_dir):
 
 @query(f"WITH {_R} SELECT key, j, round(r_smcov, 6) AS r_smcov FROM rr")
 def smooth_coverage(spark, sf_dir):
-    return _rounded(rewards.rollout_rewards(*_setup(spark, sf_dir), P).select("key", "j", "r_smcov"), "r_smcov")
+    return _rounded(_rewards(spark, sf_dir).select("key", "j", "r_smcov"), "r_smcov")
 
 
 @query(f"WITH {_R} SELECT key, j, valid, coalesce(best_i, -1) AS best_i, round(reward, 6) AS reward FROM rr")
