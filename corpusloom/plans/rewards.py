@@ -73,7 +73,7 @@ def _rounded(df, *cols):
 
 @query(f"WITH {_R} SELECT key, j, round(d_min, 6) AS d_min, round(r_qual, 6) AS r_qual FROM rr")
 def quality_reward(spark, sf_dir):
-    return _rounded(rewards.rollout_rewards(*_setup(spark, sf_dir), P).select("key", "j", "d_min", "r_qual"), "d_min", "r_qual")
+    return _rounded(_rewards(spark, sf_dir).select("key", "j", "d_min", "r_qual"), "d_min", "r_qual")
 
 
 @query(f"WITH {_R} SELECT key, j, round(r_smcov, 6) AS r_smcov FROM rr")
