@@ -15,7 +15,7 @@ from corpusloom.plans import registry
 from test_queries import SF, TABLES, plain
 
 registry.load_all()
-QUERIES = ["symmetric_coverage", "self_pairs", "batch_metrics", "kabsch_rmsd", "rmsd_stats", "covmat_summary", "combine_reward", "pairwise_distance", "nearest_ref", "legacy_reward", "covmat_curve", "smooth_coverage", "match_metrics", "quality_reward"]
+QUERIES = ["symmetric_coverage", "self_pairs", "batch_metrics", "kabsch_rmsd", "rmsd_stats", "covmat_summary", "combine_reward", "pairwise_distance", "nearest_ref", "legacy_reward", "covmat_curve", "smooth_coverage", "match_metrics", "quality_reward", "permol_report"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
